@@ -1,0 +1 @@
+"""No streaming operators: the surveyed capability set is batch only."""

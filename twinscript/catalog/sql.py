@@ -108,13 +108,12 @@ def kind(t: str) -> str:
 
 def title_case(t: str) -> str:
     small = "[" + ", ".join(quote(s) for s in rules.SMALL_WORDS) + "]"
-    ws = words(t)
     return (
-        f"(CASE WHEN {n_words(t)} = 0 THEN {t} ELSE array_to_string(list_transform({ws}, lambda w, i: CASE "
-        "WHEN contains(w, '[') AND contains(w, ']') THEN w "
-        f"WHEN i > 1 AND i < {n_words(t)} AND list_contains({small}, lower(w)) THEN lower(w) "
+        f"(list_transform([{words(t)}], lambda ws: CASE WHEN len(ws) = 0 THEN {t} ELSE "
+        "array_to_string(list_transform(ws, lambda w, i: CASE WHEN contains(w, '[') AND contains(w, ']') THEN w "
+        f"WHEN i > 1 AND i < len(ws) AND list_contains({small}, lower(w)) THEN lower(w) "
         "WHEN w = lower(w) AND w <> upper(w) THEN replace(upper(left(w, 1)), 'ẞ', 'SS') || substr(w, 2) "
-        "ELSE w END), ' ') END)"
+        "ELSE w END), ' ') END)[1])"
     )
 
 

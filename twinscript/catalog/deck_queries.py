@@ -48,7 +48,7 @@ def _archives(spark, sf_dir):
     "read_decks",
     q.using(
         "SELECT CAST(doc_id AS VARCHAR) AS deck_id, kind AS part_kind, "
-        "CASE kind WHEN 'slide' THEN 'ppt/slides/slide7.xml' ELSE 'ppt/notesSlides/notesSlide7.xml' END AS part_name, 7 AS part_no "
+        "CASE kind WHEN 'slide' THEN 'ppt/slides/slide7.xml' ELSE 'ppt/notesSlides/notesSlide7.xml' END AS part_name, 7::BIGINT AS part_no "
         "FROM documents CROSS JOIN (VALUES ('slide'), ('notes')) AS k(kind)"
     ),
 )
@@ -95,9 +95,9 @@ def extract_text_runs(spark, sf_dir):
 @query(
     "format_stats",
     q.using(
-        "SELECT deck_id, part_name, 1 AS text_frames, 1 AS title_frames, 0 AS body_frames, "
+        "SELECT deck_id, part_name, 1::BIGINT AS text_frames, 1::BIGINT AS title_frames, 0::BIGINT AS body_frames, "
         "CASE WHEN len(ls) > 1 THEN 'Arial' ELSE '' END AS font_families, len(ls) AS n_font_sizes, "
-        "'left=10,right=default,top=default,bottom=default' AS margin_settings, 0 AS n_line_spacings "
+        "'left=10,right=default,top=default,bottom=default' AS margin_settings, 0::BIGINT AS n_line_spacings "
         f"FROM (SELECT *, string_split({_CLEAN}, chr(10)) AS ls FROM documents_as_parts)"
     ),
 )
@@ -125,8 +125,8 @@ def read_kv_json(spark, sf_dir):
 
 @query(
     "read_pricing",
-    "SELECT 'part:' || p_partkey AS model, 'part' AS provider, p_retailprice AS \"in\", NULL AS in_cached, p_size / 4 AS out, "
-    "NULL AS cached_write, NULL AS cached_read, CASE WHEN p_size > 25 THEN p_type ELSE 'o200k_base' END AS tokenizer FROM part",
+    "SELECT 'part:' || p_partkey AS model, 'part' AS provider, p_retailprice AS \"in\", NULL::DOUBLE AS in_cached, p_size / 4 AS out, "
+    "NULL::DOUBLE AS cached_write, NULL::DOUBLE AS cached_read, CASE WHEN p_size > 25 THEN p_type ELSE 'o200k_base' END AS tokenizer FROM part",
 )
 def read_pricing(spark, sf_dir):
     rates = F.struct(

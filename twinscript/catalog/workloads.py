@@ -11,7 +11,7 @@ from twinscript.functions.script import has_script
 from twinscript.functions.text import is_nonblank
 from twinscript.operators.audits import with_kind
 from twinscript.operators.segments import split_paragraphs
-from twinscript.session import spread
+from twinscript.session import small_table, spread
 
 LATIN, KANA = "aeiou,.", "あいうえお、。"
 
@@ -132,7 +132,7 @@ def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glossary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GLOSSARY, "term string, expected string")
+    return small_table(spark, GLOSSARY, "term string, expected string")
 
 
 def slide_xml(text: Column) -> Column:

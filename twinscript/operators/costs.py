@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from twinscript import rules, schemas
 from twinscript.functions.cost import estimate_cost, input_parts, is_priced, output_tokens, request_count
 from twinscript.functions.script import count_script_chars
+from twinscript.session import small_table
 
 RATES = ["in", "in_cached", "out", "cached_write", "cached_read"]
 
 
 def default_pricing(spark: SparkSession) -> DataFrame:
     rows = [(m, m.split(":")[0], *prices, rules.DEFAULT_TOKENIZER) for m, prices in rules.MODEL_PRICES.items()]
-    return spark.createDataFrame(rows, schemas.PRICING)
+    return small_table(spark, rows, schemas.PRICING)
 
 
 def overlay_pricing(base: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from twinscript import rules
 from twinscript.functions.casing import any_phrase, whole_word
 from twinscript.functions.text import preview, strip_tags
+from twinscript.session import small_table
 
 INLINE_RULES = 256
 GRAM = 4
+BROADCAST_RULES = 200_000
+BROADCAST_CHARS = 16_000_000
 
 
 def bounded_rows(table: DataFrame, limit: int = INLINE_RULES) -> list[Row] | None:
@@ -25,26 +28,56 @@ def bounded_rows(table: DataFrame, limit: int = INLINE_RULES) -> list[Row] | Non
     return rows if len(rows) <= limit else None
 
 
-def _gram_keys(term: Column) -> Column:
-    return F.substring(term, 1, GRAM)
+def _folded(text: Column) -> Column:
+    """One form for all spellings that differ in case only."""
+    return F.lower(F.upper(text))
 
 
-def _candidates(df: DataFrame, text: Column, table: DataFrame, term: Column) -> DataFrame:
-    """Rows paired with the rules whose first characters occur in the text.
+def _first_word(text: Column) -> Column:
+    return F.regexp_extract(text, r"(?U)(\w+)", 1)
 
-    Terms shorter than a gram are keyed by their whole length, so grams of one to
-    ``GRAM`` characters are cut where such terms exist. Each pair appears once.
+
+def _meet(exploded: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Join text keys with rule keys.
+
+    The exploded text is always the larger side, though its statistics are those
+    of the unexploded table. So the rules are measured: below the bounds they are
+    broadcast, beyond them both sides are sorted on the key and a key that fills
+    a partition is split at run time.
     """
-    keyed = table.withColumn("_gram", _gram_keys(term)).filter(F.col("_gram") != "")
-    sizes = [r[0] for r in keyed.select(F.length("_gram")).distinct().collect()]
-    none = F.array().cast("array<string>")
+    size = keyed.agg(F.count("*").alias("n"), F.sum(sum(F.length(F.coalesce(F.col(c).cast("string"), F.lit("")))
+                                                        for c in keyed.columns)).alias("chars")).first()
+    if size["n"] <= BROADCAST_RULES and (size["chars"] or 0) <= BROADCAST_CHARS:
+        keyed = F.broadcast(keyed)
+    else:
+        keyed = keyed.hint("merge")
+    return exploded.join(keyed, "_key").drop("_key")
 
-    def cut(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(none)
 
-    grams = F.array_distinct(F.concat(none, *[cut(n) for n in sizes]))
-    return df.withColumn("_gram", F.explode(grams)).join(keyed, "_gram").drop("_gram")
+def _pairs_by_gram(df: DataFrame, text: Column, table: DataFrame, term: Column) -> DataFrame:
+    """Rows paired with the rules whose first characters occur in ``text``.
+
+    Terms shorter than a gram are keyed by their whole length, so grams are cut in
+    the sizes such terms have. Each pair appears once.
+    """
+    keyed = table.withColumn("_key", F.substring(term, 1, GRAM)).filter(F.col("_key") != "")
+    sizes = [r[0] for r in keyed.select(F.length("_key")).distinct().collect()]
+    # Every position starts a gram: the lookahead matches without moving on.
+    grams = [F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
+    cut = F.array_distinct(F.concat(F.array().cast("array<string>"), *grams))
+    return _meet(df.withColumn("_key", F.explode(cut)), keyed)
+
+
+def _pairs_by_word(df: DataFrame, text: Column, table: DataFrame, term: Column) -> DataFrame:
+    """Rows paired with the rules whose first word occurs in ``text`` as a word."""
+    keyed = table.withColumn("_key", _first_word(_folded(term)))
+    found = F.array_distinct(F.regexp_extract_all(_folded(text), F.lit(r"(?U)\w+"), F.lit(0)))
+    worded = _meet(df.withColumn("_key", F.explode(found)), keyed.filter(F.col("_key") != ""))
+    # A rule without any word in it can only be met by its characters.
+    unworded = keyed.filter(F.col("_key") == "").drop("_key")
+    if unworded.isEmpty():
+        return worded
+    return worded.unionByName(_pairs_by_gram(df, text, unworded, term))
 
 
 def match_rules(
@@ -85,16 +118,15 @@ def match_rules(
             *df.columns, *[F.col(f"_rule.{c}").alias(c) for c in columns]
         )
 
-    fold = ignore_case or word
-    subject = F.lower(text) if fold else text
-    wanted = F.lower(term) if fold else F.col(term)
-    pairs = _candidates(df.withColumn("_text", subject), F.col("_text"), table.withColumn("_term", wanted), F.col("_term"))
+    raw = df.withColumn("_text", text if word or not ignore_case else F.lower(text))
     if word:
-        check = F.expr(r"rlike(_raw, concat('(?iU)\\b\\Q', _word, '\\E\\b'))")
-        pairs = pairs.withColumn("_raw", text).withColumn("_word", F.col(term)).filter(check).drop("_raw", "_word")
-    else:
-        pairs = pairs.filter(F.col("_text").contains(F.col("_term")))
-    return pairs.drop("_text", "_term")
+        pairs = _pairs_by_word(raw, F.col("_text"), table, F.col(term))
+        return pairs.filter(
+            F.call_function("rlike", F.col("_text"), F.concat(F.lit(r"(?iU)\b\Q"), F.col(term), F.lit(r"\E\b")))
+        ).drop("_text")
+    wanted = table.withColumn("_term", F.lower(term) if ignore_case else F.col(term))
+    pairs = _pairs_by_gram(raw, F.col("_text"), wanted, F.col("_term"))
+    return pairs.filter(F.col("_text").contains(F.col("_term"))).drop("_text", "_term")
 
 
 def glossary_hits(bilingual: DataFrame, glossary: DataFrame, **kw) -> DataFrame:
@@ -286,10 +318,10 @@ def integrity_of_terms(
 def dict_table(spark, table: dict[str, str], key: str, value: str) -> DataFrame:
     """A rule dictionary as a table with its order in ``place``."""
     rows = [(k, v, i) for i, (k, v) in enumerate(table.items())]
-    return spark.createDataFrame(rows, f"{key} string, {value} string, place int")
+    return small_table(spark, rows, f"{key} string, {value} string, place int")
 
 
 def alternatives_table(spark, table: dict[str, list[str]] | None = None) -> DataFrame:
     table = rules.ALTERNATIVES if table is None else table
     rows = [(term, alt, i) for term, alts in table.items() for i, alt in enumerate(alts)]
-    return spark.createDataFrame(rows, "term string, alt string, place int")
+    return small_table(spark, rows, "term string, alt string, place int")

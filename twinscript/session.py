@@ -3,7 +3,10 @@
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def build_session(app_name: str = "twinscript", master: str | None = None, **options: str) -> SparkSession:
@@ -61,3 +64,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Literal rows as a local relation: its size is known to the optimizer and reading it starts no job."""
+    schema = StructType.fromDDL(ddl)
+    columns = list(zip(*rows)) if rows else [[] for _ in schema.names]
+    arrow = to_arrow_schema(schema)
+    arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.table(arrays, schema=arrow), schema)

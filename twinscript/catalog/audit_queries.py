@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from twinscript.catalog import sql as q
 from twinscript.catalog import workloads as w
 from twinscript.catalog.registry import query
-from twinscript.operators import audits, decks, matching, residual
+from twinscript.operators import audits, decks, matching
 
 ROW = "deck_id, slide, idx"
 _BARE = f"rows AS (SELECT *, {q.untag('tgt')} AS bare, {q.strip(q.untag('tgt'))} AS trimmed FROM bilingual)"
@@ -152,9 +152,8 @@ def deck_totals(spark, sf_dir):
     return decks.deck_totals(w.bilingual(spark, sf_dir))
 
 
-def audit_records(spark, sf_dir, slides_per_page=decks.SLIDES_PER_PAGE):
-    rows = w.bilingual(spark, sf_dir)
-    return decks.deck_audit(residual.before_after_of_pairs(rows), decks.deck_totals(rows), slides_per_page=slides_per_page)
+def audit_records(spark, sf_dir):
+    return decks.deck_audit(w.bilingual(spark, sf_dir))
 
 
 def map_text(column: str):

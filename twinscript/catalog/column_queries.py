@@ -155,8 +155,10 @@ def unmask_fragile(spark, sf_dir):
 )
 def mask_round_trip_check(spark, sf_dir):
     """The translation of tagged rows loses its code."""
-    lost = F.replace("masked", F.lit("⟦CODE_1⟧"), F.lit(""))
-    translated = F.when(F.col("text").startswith("["), lost).otherwise(F.col("masked"))
+    def translated(masked: Column) -> Column:
+        lost = F.replace(masked, F.lit("⟦CODE_1⟧"), F.lit(""))
+        return F.when(F.col("text").startswith("["), lost).otherwise(masked)
+
     return lengths.mask_round_trip_check(_fragile(spark, sf_dir), translated).select(
         "deck_id", "slide", "idx", "same_text", "same_placeholders"
     )

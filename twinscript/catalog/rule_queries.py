@@ -176,12 +176,23 @@ def _groups_sql(key: str, source: str) -> str:
     )
 
 
-_DECK_GROUPS = _groups_sql("deck_id", "SELECT deck_id, slide AS o1, idx AS o2, tgt AS text FROM bilingual")
+# Lines that end in a full stop get an -ing word in front, so that forms differ.
+_DECK_GROUPS = _groups_sql(
+    "deck_id",
+    "SELECT deck_id, slide AS o1, idx AS o2, CASE WHEN ends_with(tgt, '.') THEN 'Going • ' || tgt ELSE tgt END AS text FROM bilingual",
+)
+
+
+def _bullets(spark, sf_dir):
+    text = F.col("text")
+    return w.target_segments(spark, sf_dir).withColumn(
+        "text", F.when(text.endswith("."), F.concat(F.lit("Going • "), text)).otherwise(text)
+    )
 
 
 @query("bullet_groups", q.using("SELECT * FROM groups", _DECK_GROUPS))
 def bullet_groups(spark, sf_dir):
-    return islands.bullet_groups(w.target_segments(spark, sf_dir))
+    return islands.bullet_groups(_bullets(spark, sf_dir))
 
 
 @query(
@@ -193,7 +204,7 @@ def bullet_groups(spark, sf_dir):
     ),
 )
 def parallelism_issues(spark, sf_dir):
-    return islands.parallelism_issues(islands.bullet_groups(w.target_segments(spark, sf_dir)))
+    return islands.parallelism_issues(islands.bullet_groups(_bullets(spark, sf_dir)))
 
 
 _TITLE_FIX = f"SELECT batch_id, \"index\", text, {q.title_case_tagged('text')} AS fix FROM checked WHERE {q.kind('text')} = 'title'"
@@ -235,6 +246,11 @@ def style_diagnostics(spark, sf_dir):
     return diagnostics.style_diagnostics(w.checked_segments(spark, sf_dir), *_rules(spark))
 
 
+@query("style_diagnostics_large_tables", q.using("SELECT * FROM findings", _FINDINGS))
+def style_diagnostics_large_tables(spark, sf_dir):
+    return diagnostics.style_diagnostics(w.checked_segments(spark, sf_dir), *_rules(spark), inline=0)
+
+
 def _replies(spark, sf_dir):
     """Each slide's title and bullet findings as the JSON a reviewer sends."""
     rows = w.checked_segments(spark, sf_dir)
@@ -288,3 +304,27 @@ def apply_diagnostics(spark, sf_dir):
     return diagnostics.apply_diagnostics(rows, diagnostics.style_diagnostics(rows, *_rules(spark))).select(
         "batch_id", "index", "fixed"
     )
+
+
+@query("check_and_fix", q.using(_fixed_sql(), _FINDINGS))
+def check_and_fix(spark, sf_dir):
+    """Checks and fixes in one pass, without a join."""
+    return diagnostics.check_and_fix(w.checked_segments(spark, sf_dir), *_rules(spark)).select(
+        "batch_id", "index", "fixed"
+    )
+
+
+@query(
+    "parallelism_findings",
+    q.using(
+        "SELECT * FROM (SELECT batch_id, first_pos, last_pos, n_items, n_gerund FROM groups) WHERE n_items >= 3 AND n_gerund > 0 AND n_gerund < n_items",
+        _groups_sql("batch_id", "SELECT batch_id, \"index\" AS o1, 0 AS o2, CASE WHEN ends_with(text, '.') THEN 'Going • ' || text ELSE text END AS text FROM checked"),
+    ),
+)
+def parallelism_findings(spark, sf_dir):
+    """Lines that end in a full stop get an -ing word in front."""
+    text = F.col("text")
+    rows = w.checked_segments(spark, sf_dir).withColumn(
+        "text", F.when(text.endswith("."), F.concat(F.lit("Going • "), text)).otherwise(text)
+    )
+    return diagnostics.parallelism_findings(rows).select("batch_id", "first_pos", "last_pos", "n_items", "n_gerund")

@@ -8,6 +8,9 @@ from twinscript.functions.text import let, splice
 
 STAGES = (("URL", rules.FRAGILE_URL), ("NUM", rules.FRAGILE_NUMBER), ("CODE", rules.FRAGILE_CODE))
 
+# No pattern above matches a text without any of these.
+MAY_BE_FRAGILE = r"(?U)\d|@|https?://"
+
 
 def _placeholder(tag: str, i: Column) -> Column:
     return F.concat(F.lit(f"⟦{tag}_"), (i + 1).cast("string"), F.lit("⟧"))
@@ -20,6 +23,7 @@ def mask_fragile(text: Column) -> Column:
     stages do not look inside placeholders.
     """
     none = F.array().cast("array<string>")
+    unmasked = F.struct(text.alias("masked"), F.map_from_arrays(none, none).alias("marks"))
     state = F.struct(text.alias("masked"), none.alias("keys"), none.alias("spans"))
 
     def apply_stage(s: Column, tag: str, pattern: str) -> Column:
@@ -37,13 +41,14 @@ def mask_fragile(text: Column) -> Column:
 
     for tag, pattern in STAGES:
         state = let(state, staged(tag, pattern))
-    return let(
+    masked = let(
         state,
         lambda s: F.struct(
             s.getField("masked").alias("masked"),
             F.map_from_arrays(s.getField("keys"), s.getField("spans")).alias("marks"),
         ),
     )
+    return F.when(text.rlike(MAY_BE_FRAGILE), masked).otherwise(unmasked)
 
 
 def unmask_fragile(masked: Column, marks: Column) -> Column:

@@ -16,6 +16,7 @@ from twinscript.functions.script import extract_script_chars, has_script
 from twinscript.functions.text import (
     TERMINAL,
     classify_kind_by_length,
+    classify_segment_kind,
     is_nonblank,
     let,
     preview,
@@ -24,7 +25,7 @@ from twinscript.functions.text import (
     strip_text,
     word_count,
 )
-from twinscript.operators.matching import banned_matches, term_variant_uses, term_variants
+from twinscript.operators.matching import banned_matches, inconsistent_terms, term_variant_uses
 
 ROW = ["deck_id", "slide", "idx"]
 
@@ -39,26 +40,36 @@ def ends_like_sentence(bare: Column) -> Column:
     return bare.rlike(TERMINAL) & (sentence_marks(bare) <= 1)
 
 
+def found_in(rows: DataFrame, keys: list[str], finding: Column) -> DataFrame:
+    """Rows whose ``finding`` (array of structs, or null) holds something, one row per entry.
+
+    Exploding evaluates a finding once. A filter on a computed column would be
+    pushed below its projection and compute it a second time.
+    """
+    return rows.select(*keys, F.explode(finding).alias("_f")).select(*keys, "_f.*")
+
+
 def audit_title_case(bilingual: DataFrame) -> DataFrame:
     """Titles that differ from their title case."""
-    bare = strip_tags(F.col("tgt"))
-    return (
-        bilingual.filter((F.col("kind") == "title") & is_nonblank(F.col("tgt")))
-        .withColumn("_bare", bare)
-        .withColumn("_cased", title_case(F.col("_bare")))
-        .filter(F.col("_bare") != F.col("_cased"))
-        .select(*ROW, preview(F.col("tgt")).alias("text"), preview(F.col("_cased")).alias("expected"))
+    tgt, bare = F.col("tgt"), strip_tags(F.col("tgt"))
+    finding = let(
+        F.struct(bare.alias("bare"), title_case(bare).alias("cased")),
+        lambda t: F.when(
+            t["bare"] != t["cased"],
+            F.array(F.struct(preview(tgt).alias("text"), preview(t["cased"]).alias("expected"))),
+        ),
     )
+    return found_in(bilingual.filter((F.col("kind") == "title") & is_nonblank(tgt)), ROW, finding)
 
 
 def audit_bullet_punct(bilingual: DataFrame) -> DataFrame:
     """Bullets that end in a closing mark; the tail of the text is shown."""
-    return (
-        bilingual.filter((F.col("kind") == "bullet") & is_nonblank(F.col("tgt")))
-        .withColumn("_bare", strip_text(strip_tags(F.col("tgt"))))
-        .filter(ends_like_sentence(F.col("_bare")))
-        .select(*ROW, F.right(F.col("_bare"), F.lit(20)).alias("text"))
+    tgt = F.col("tgt")
+    finding = let(
+        strip_text(strip_tags(tgt)),
+        lambda bare: F.when(ends_like_sentence(bare), F.array(F.struct(F.right(bare, F.lit(20)).alias("text")))),
     )
+    return found_in(bilingual.filter((F.col("kind") == "bullet") & is_nonblank(tgt)), ROW, finding)
 
 
 def audit_residual(bilingual: DataFrame, cls: str = rules.SCRIPT_CORE) -> DataFrame:
@@ -72,22 +83,21 @@ def audit_length(
     bilingual: DataFrame, max_title_words: int = rules.TITLE_MAX_WORDS, max_bullet_chars: int = rules.BULLET_MAX_CHARS
 ) -> DataFrame:
     """Titles with too many words and bullets with too many characters."""
-    bare = strip_text(strip_tags(F.col("tgt")))
-    long_title = (F.col("kind") == "title") & (word_count(F.col("_bare")) > max_title_words)
-    long_bullet = (F.col("kind") == "bullet") & (F.length("_bare") > max_bullet_chars)
-    return (
-        bilingual.withColumn("_bare", bare)
-        .filter(long_title | long_bullet)
-        .select(
-            *ROW,
-            F.when(F.col("kind") == "title", "title_too_long").otherwise("bullet_too_long").alias("issue_type"),
-            F.when(F.col("kind") == "title", word_count(F.col("_bare")))
-            .otherwise(F.length("_bare"))
-            .cast("long")
-            .alias("size"),
-            preview(F.col("_bare")).alias("text"),
+    title = F.col("kind") == "title"
+
+    def finding(bare: Column) -> Column:
+        size = F.when(title, word_count(bare)).otherwise(F.length(bare)).cast("long")
+        limit = F.when(title, max_title_words).otherwise(max_bullet_chars)
+        kind = F.when(title, "title_too_long").otherwise("bullet_too_long")
+        return let(
+            size,
+            lambda n: F.when(
+                n > limit, F.array(F.struct(kind.alias("issue_type"), n.alias("size"), preview(bare).alias("text")))
+            ),
         )
-    )
+
+    audited = bilingual.filter(F.col("kind").isin("title", "bullet"))
+    return found_in(audited, ROW, let(strip_text(strip_tags(F.col("tgt"))), finding))
 
 
 def unbalanced_tags(text: Column) -> Column:
@@ -232,9 +242,7 @@ def all_issues(
     if glossary is None or alternatives is None:
         return found
     terms = (
-        term_variants(term_variant_uses(bilingual, glossary, alternatives))
-        .select("deck_id", "term", "n_variants")
-        .distinct()
+        inconsistent_terms(term_variant_uses(bilingual, glossary, alternatives))
         .select(
             "deck_id",
             F.lit("terminology_issues").alias("category"),
@@ -289,28 +297,35 @@ def quality_gate(
     )
 
 
-def check_title_case(segments: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """The checker's title rule: short texts that differ from their tagged title case."""
-    from twinscript.functions.text import classify_segment_kind
-
-    return (
-        segments.filter(classify_segment_kind(F.col(text)) == "title")
-        .withColumn("suggested_fix", title_case_tagged(F.col(text)))
-        .filter(F.col(text) != F.col("suggested_fix"))
-        .select(*keys, F.col(text).alias("text"), "suggested_fix")
+def title_case_fix(text: Column) -> Column:
+    """The tagged title case of a short text that differs from it, else null."""
+    return F.when(
+        classify_segment_kind(text) == "title",
+        let(title_case_tagged(text), lambda want: F.when(want != text, want)),
     )
 
 
+def bullet_fix(text: Column) -> Column:
+    """A marked or short text without its closing mark, or null when there is none too many."""
+    def fix(bare: Column) -> Column:
+        marked = text.contains("[li-") | text.contains("•")
+        fragment = (word_count(bare) < 15) & (F.regexp_count(bare, F.lit(r"\.")) <= 1)
+        open_end = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+\z", ""), TERMINAL, "")
+        return F.when((marked | fragment) & ends_like_sentence(bare), F.regexp_replace(open_end, r"(?U)\s+\z", ""))
+
+    return let(strip_text(strip_tags(text)), fix)
+
+
+def _fixes(segments: DataFrame, keys: list[str], text: str, fix: Column) -> DataFrame:
+    finding = let(fix, lambda f: F.when(f.isNotNull(), F.array(F.struct(f.alias("suggested_fix")))))
+    return found_in(segments, [*keys, text], finding).withColumnRenamed(text, "text")
+
+
+def check_title_case(segments: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """The checker's title rule with its fix."""
+    return _fixes(segments, keys, text, title_case_fix(F.col(text)))
+
+
 def check_bullet_punct(segments: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """The checker's bullet rule: marked or short texts with one closing mark too many."""
-    raw, bare = F.col(text), F.col("_bare")
-    marked = raw.contains("[li-") | raw.contains("•")
-    fragment = (word_count(bare) < 15) & (F.regexp_count(bare, F.lit(r"\.")) <= 1)
-    fix = F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(raw, r"(?U)\s+\z", ""), TERMINAL, ""), r"(?U)\s+\z", ""
-    )
-    return (
-        segments.withColumn("_bare", strip_text(strip_tags(raw)))
-        .filter((marked | fragment) & ends_like_sentence(bare))
-        .select(*keys, raw.alias("text"), fix.alias("suggested_fix"))
-    )
+    """The checker's bullet rule with its fix."""
+    return _fixes(segments, keys, text, bullet_fix(F.col(text)))

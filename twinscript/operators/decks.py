@@ -4,23 +4,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinscript import rules
-from twinscript.functions.script import count_script_chars, has_script
+from twinscript.functions.script import has_script
+from twinscript.operators.residual import before_after_of_pairs
 
 SLIDES_PER_PAGE = 1000
 
 
-def deck_totals(bilingual: DataFrame, n_missing: DataFrame | None = None, batch_size: int = rules.TRANSLATE_BATCH) -> DataFrame:
+def deck_totals(
+    bilingual: DataFrame,
+    before_after: DataFrame | None = None,
+    n_missing: DataFrame | None = None,
+    batch_size: int = rules.TRANSLATE_BATCH,
+) -> DataFrame:
     """Distinct source strings, calls, and characters before and after, per deck.
 
+    ``before_after`` are the per-slide counts when they are at hand already.
     ``n_missing`` (``deck_id, n_missing``) is what was sent; without it every
     distinct string was. Texts are made distinct before they are counted.
     """
-    src, tgt = F.col("src"), F.col("tgt")
-    chars = bilingual.groupBy("deck_id").agg(
-        F.sum(count_script_chars(src)).alias("jp_chars_before"), F.sum(count_script_chars(tgt)).alias("jp_chars_after")
+    by_slide = before_after_of_pairs(bilingual) if before_after is None else before_after
+    chars = by_slide.groupBy("deck_id").agg(
+        F.sum("n_before").alias("jp_chars_before"), F.sum("n_after").alias("jp_chars_after")
     )
     unique = (
-        bilingual.filter(has_script(src))
+        bilingual.filter(has_script(F.col("src")))
         .groupBy("deck_id", "src")
         .agg(F.count("*").alias("n_uses"))
         .groupBy("deck_id")
@@ -42,17 +49,22 @@ def deck_totals(bilingual: DataFrame, n_missing: DataFrame | None = None, batch_
 
 
 def deck_audit(
-    before_after: DataFrame, totals: DataFrame, part_no=None, slides_per_page: int = SLIDES_PER_PAGE
+    bilingual: DataFrame,
+    n_missing: DataFrame | None = None,
+    batch_size: int = rules.TRANSLATE_BATCH,
+    slides_per_page: int = SLIDES_PER_PAGE,
 ) -> DataFrame:
-    """The audit record with its two per-slide maps.
+    """The audit record of each deck with its two per-slide maps.
 
-    A record holds the slides of one page: ``part_no`` div ``slides_per_page``.
+    A record holds the slides of one page: slide number div ``slides_per_page``.
     An ordinary deck is one record; a deck of millions of slides becomes many
     records, and no task ever builds a map over all of them.
     """
-    number = F.regexp_extract("part_name", r"(\d+)\.xml$", 1).cast("long") if part_no is None else part_no
+    by_slide = before_after_of_pairs(bilingual)
+    totals = deck_totals(bilingual, by_slide, n_missing, batch_size)
+    number = F.regexp_extract("part_name", r"(\d+)\.xml$", 1).cast("long")
     paged = (
-        before_after.withColumn("page", F.floor(number / slides_per_page).cast("long"))
+        by_slide.withColumn("page", F.floor(number / slides_per_page).cast("long"))
         .groupBy("deck_id", "page")
         .agg(
             F.map_from_entries(F.collect_list(F.struct("part_name", "n_before"))).alias("per_slide_before"),

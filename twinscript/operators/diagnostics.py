@@ -1,13 +1,22 @@
 """Reviewer findings: from JSON to rows, from our own checks, and back into texts."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from twinscript import schemas
-from twinscript.functions.text import strip_tags
-from twinscript.operators.audits import check_bullet_punct, check_title_case
+from twinscript.functions.casing import any_phrase, whole_word
+from twinscript.functions.text import let, strip_tags
+from twinscript.operators.audits import bullet_fix, check_bullet_punct, check_title_case, title_case_fix
 from twinscript.operators.islands import bullet_groups, parallelism_issues
-from twinscript.operators.matching import banned_phrase_flags, glossary_alternatives, punct_flags
+from twinscript.operators.matching import (
+    INLINE_RULES,
+    alternative_hits,
+    banned_phrase_flags,
+    bounded_rows,
+    glossary_alternatives,
+    listed_alternatives,
+    punct_flags,
+)
 
 # The categories in the order their fixes are applied; the last has none.
 CATEGORIES = [
@@ -77,41 +86,102 @@ def tone_flags(replies: DataFrame, reply: str = "reply") -> DataFrame:
     )
 
 
+ITEM = "struct<category:string,stage:int,place:int,find:string,replacement:string>"
+
+
+def _item(category: str, place: Column | int, find: Column, replacement: Column) -> Column:
+    place = F.lit(place) if isinstance(place, int) else place
+    return F.struct(
+        F.lit(category).alias("category"),
+        F.lit(CATEGORIES.index(category)).alias("stage"),
+        place.cast("int").alias("place"),
+        find.cast("string").alias("find"),
+        replacement.cast("string").alias("replacement"),
+    )
+
+
+def row_findings(text: Column, banned: list[Row], marks: list[Row], listed: list[Row]) -> Column:
+    """All findings of one text as an array; the rule rows become literal conditions."""
+    none = F.array().cast(f"array<{ITEM}>")
+
+    def fix(category: str, wanted: Column) -> Column:
+        return let(
+            wanted, lambda f: F.when(f.isNotNull(), F.array(_item(category, 0, F.lit(None), f))).otherwise(none)
+        )
+
+    def each(category: str, hits: list[tuple[Column, int, str, str]]) -> Column:
+        found = [F.when(hit, _item(category, place, F.lit(find), F.lit(wanted))) for hit, place, find, wanted in hits]
+        return F.array_compact(F.array(*found)) if found else none
+
+    def phrases(bare: Column) -> Column:
+        hits = [(bare.rlike(whole_word(r["phrase"])), r["place"], r["phrase"], r["suggested"]) for r in banned]
+        any_hit = bare.rlike(any_phrase([r["phrase"] for r in banned])) if banned else F.lit(False)
+        return F.when(any_hit, each("banned_phrases", hits)).otherwise(none)
+
+    def terms(bare: Column) -> Column:
+        return F.transform(
+            alternative_hits(F.lower(bare), listed),
+            lambda h: _item("glossary_violations", 0, h["found"], h["expected"]),
+        )
+
+    return F.concat(
+        fix("title_case_violations", title_case_fix(text)),
+        fix("bullet_terminal_punctuation", bullet_fix(text)),
+        let(strip_tags(text), lambda bare: F.concat(phrases(bare), terms(bare))),
+        each("punctuation_errors", [(text.contains(r["original"]), r["place"], r["original"], r["correct"]) for r in marks]),
+    )
+
+
+def _inline_rules(
+    banned: DataFrame, marks: DataFrame, listed: DataFrame, inline: int
+) -> tuple[list[Row], list[Row], list[Row]] | None:
+    """The rows of all three tables, or None when one of them is too large to inline."""
+    rows = tuple(bounded_rows(t, inline) for t in (banned, marks, listed))
+    return None if any(r is None for r in rows) else rows
+
+
 def style_diagnostics(
-    segments: DataFrame, banned: DataFrame, marks: DataFrame, glossary: DataFrame, alternatives: DataFrame
+    segments: DataFrame,
+    banned: DataFrame,
+    marks: DataFrame,
+    glossary: DataFrame,
+    alternatives: DataFrame,
+    inline: int = INLINE_RULES,
 ) -> DataFrame:
     """The checks run on segments ``(batch_id, index, text)`` in the rows of :func:`parse_diagnostics`.
 
     ``banned`` and ``marks`` carry ``place``, the order their fixes are applied in.
+    Small rule tables take one scan for all checks; otherwise each check runs by
+    itself and the large table is joined.
     """
     keys = ["batch_id", "index"]
-    bare = segments.withColumn("_tgt", strip_tags(F.col("text")))
-
-    def rows(df: DataFrame, category: str, place: Column, find: Column, replacement: Column) -> DataFrame:
-        return df.select(
-            *keys,
-            F.lit(category).alias("category"),
-            F.lit(CATEGORIES.index(category)).alias("stage"),
-            place.cast("int").alias("place"),
-            find.cast("string").alias("find"),
-            replacement.alias("replacement"),
+    columns = ["category", "stage", "place", "find", "replacement"]
+    small = _inline_rules(banned, marks, listed_alternatives(glossary, alternatives), inline)
+    if small is not None:
+        return segments.select(*keys, F.explode(row_findings(F.col("text"), *small)).alias("_f")).select(*keys, "_f.*")
+
+    def rows(df: DataFrame, category: str, place: Column | int, find: Column, replacement: Column) -> DataFrame:
+        return df.select(*keys, _item(category, place, find, replacement).alias("_f")).select(
+            *keys, *[f"_f.{c}" for c in columns]
         )
 
-    zero, null = F.lit(0), F.lit(None)
-    titles = rows(check_title_case(segments, keys), CATEGORIES[0], zero, null, F.col("suggested_fix"))
-    bullets = rows(check_bullet_punct(segments, keys), CATEGORIES[1], zero, null, F.col("suggested_fix"))
-    phrases = rows(
-        banned_phrase_flags(segments, banned), CATEGORIES[2], F.col("place"), F.col("phrase"), F.col("suggested")
-    )
-    punctuation = rows(
-        punct_flags(segments, marks), CATEGORIES[3], F.col("place"), F.col("original"), F.col("correct")
-    )
-    terms = rows(
-        glossary_alternatives(bare, glossary, alternatives, keys, text="_tgt"),
-        CATEGORIES[4], zero, F.col("found"), F.col("expected"),
-    )
-    out = titles
-    for part in (bullets, phrases, punctuation, terms):
+    null, fix = F.lit(None), F.col("suggested_fix")
+    bare = segments.withColumn("_tgt", strip_tags(F.col("text")))
+    parts = [
+        rows(check_title_case(segments, keys), CATEGORIES[0], 0, null, fix),
+        rows(check_bullet_punct(segments, keys), CATEGORIES[1], 0, null, fix),
+        rows(
+            banned_phrase_flags(segments, banned, inline=inline),
+            CATEGORIES[2], F.col("place"), F.col("phrase"), F.col("suggested"),
+        ),
+        rows(punct_flags(segments, marks, inline=inline), CATEGORIES[3], F.col("place"), F.col("original"), F.col("correct")),
+        rows(
+            glossary_alternatives(bare, glossary, alternatives, keys, text="_tgt", inline=inline),
+            CATEGORIES[4], 0, F.col("found"), F.col("expected"),
+        ),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
@@ -130,6 +200,14 @@ def _literal_replacement(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
 
 
+def _apply_one(text: Column, fix: Column) -> Column:
+    return (
+        F.when(fix["stage"] <= 1, F.coalesce(fix["replacement"], text))
+        .when(fix["stage"] == 3, F.replace(text, fix["find"], fix["replacement"]))
+        .otherwise(F.regexp_replace(text, _literal_regex(fix["find"]), _literal_replacement(fix["replacement"])))
+    )
+
+
 def apply_diagnostics(segments: DataFrame, findings: DataFrame) -> DataFrame:
     """Apply the fixes of each segment in category order; unknown indexes fall away.
 
@@ -141,15 +219,30 @@ def apply_diagnostics(segments: DataFrame, findings: DataFrame) -> DataFrame:
         .groupBy("batch_id", "index")
         .agg(F.array_sort(F.collect_list(F.struct("stage", "place", "find", "replacement"))).alias("_fixes"))
     )
-
-    def apply_one(text: Column, fix: Column) -> Column:
-        return (
-            F.when(fix["stage"] <= 1, F.coalesce(fix["replacement"], text))
-            .when(fix["stage"] == 3, F.replace(text, fix["find"], fix["replacement"]))
-            .otherwise(F.regexp_replace(text, _literal_regex(fix["find"]), _literal_replacement(fix["replacement"])))
-        )
-
     fixed = F.when(F.col("_fixes").isNull(), F.col("text")).otherwise(
-        F.aggregate(F.col("_fixes"), F.col("text"), apply_one)
+        F.aggregate(F.col("_fixes"), F.col("text"), _apply_one)
     )
     return segments.join(fixes, ["batch_id", "index"], "left").withColumn("fixed", fixed).drop("_fixes")
+
+
+def check_and_fix(
+    segments: DataFrame,
+    banned: DataFrame,
+    marks: DataFrame,
+    glossary: DataFrame,
+    alternatives: DataFrame,
+    inline: int = INLINE_RULES,
+) -> DataFrame:
+    """Run the checks and apply their fixes; with small rule tables nothing is shuffled."""
+    small = _inline_rules(banned, marks, listed_alternatives(glossary, alternatives), inline)
+    if small is None:
+        return apply_diagnostics(segments, style_diagnostics(segments, banned, marks, glossary, alternatives, inline))
+    text = F.col("text")
+    ordered = F.array_sort(
+        F.transform(
+            row_findings(text, *small),
+            lambda f: F.struct(f["stage"].alias("stage"), f["place"].alias("place"), f["find"].alias("find"),
+                               f["replacement"].alias("replacement")),
+        )
+    )
+    return segments.withColumn("fixed", F.aggregate(ordered, text, _apply_one))

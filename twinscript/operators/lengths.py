@@ -1,11 +1,13 @@
 """Length policy over bilingual rows."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinscript.functions.length import counts_preserved, expansion_ratio, length_threshold, spill_to_notes
 from twinscript.functions.masking import mask_fragile, placeholders, unmask_fragile
-from twinscript.functions.text import is_nonblank
+from twinscript.functions.text import is_nonblank, let
 from twinscript.operators.matching import integrity_of_terms
 
 
@@ -84,18 +86,24 @@ def spilled_notes_by_slide(segments: DataFrame, notes: DataFrame) -> DataFrame:
     )
 
 
-def mask_round_trip_check(segments: DataFrame, translated: Column | None = None) -> DataFrame:
+def mask_round_trip_check(segments: DataFrame, translated: Callable[[Column], Column] | None = None) -> DataFrame:
     """Rows whose text does not come back from masking, or whose placeholders changed.
 
-    ``translated`` is the masked text after translation; without it the masked
-    text itself is checked.
+    ``translated`` gives the translation of a masked text (a column of the table
+    or an expression); without it the masked text itself is checked.
     """
-    masked = segments.withColumn("_m", mask_fragile(F.col("text"))).withColumn("masked", F.col("_m.masked"))
-    after = F.col("masked") if translated is None else translated
-    return (
-        masked.withColumn("restored", unmask_fragile(F.col("masked"), F.col("_m.marks")))
-        .withColumn("same_text", F.col("restored") == F.col("text"))
-        .withColumn("same_placeholders", placeholders(after) == F.array_sort(F.map_keys("_m.marks")))
-        .filter(~F.col("same_text") | ~F.col("same_placeholders"))
-        .drop("_m")
+    text = F.col("text")
+
+    def check(m: Column) -> Column:
+        after = m["masked"] if translated is None else translated(m["masked"])
+        return F.struct(
+            m["masked"].alias("masked"),
+            after.alias("translated"),
+            (unmask_fragile(m["masked"], m["marks"]) == text).alias("same_text"),
+            (placeholders(after) == F.array_sort(F.map_keys(m["marks"]))).alias("same_placeholders"),
+        )
+
+    finding = F.filter(
+        F.array(let(mask_fragile(text), check)), lambda c: ~(c["same_text"] & c["same_placeholders"])
     )
+    return segments.select("*", F.explode(finding).alias("_c")).select(*segments.columns, "_c.*")

@@ -143,6 +143,34 @@ def _with_places(alternatives: DataFrame) -> DataFrame:
     return alternatives if "place" in alternatives.columns else alternatives.withColumn("place", F.lit(0))
 
 
+def listed_alternatives(glossary: DataFrame, alternatives: DataFrame) -> DataFrame:
+    """The glossary's terms with their alternatives: ``term, expected, alt, place``."""
+    return glossary.join(_with_places(alternatives), "term").select("term", "expected", "alt", "place")
+
+
+def alternative_hits(bare: Column, listed: list[Row]) -> Column:
+    """``array<struct(term, expected, found)>`` for a text without tags in lower case.
+
+    A term counts when one of its alternatives occurs and the expected rendering
+    does not; its first alternative by place is named.
+    """
+    by_term: dict[tuple[str, str], list[str]] = {}
+    for r in sorted(listed, key=lambda r: (r["term"], r["place"])):
+        by_term.setdefault((r["term"], r["expected"]), []).append(r["alt"])
+
+    def hit(term: str, expected: str, alts: list[str]) -> Column:
+        first = F.coalesce(*[F.when(bare.contains(alt.lower()), F.lit(alt)) for alt in alts])
+        return F.when(
+            first.isNotNull() & ~bare.contains(expected.lower()),
+            F.struct(F.lit(term).alias("term"), F.lit(expected).alias("expected"), first.alias("found")),
+        )
+
+    none = F.array().cast("array<struct<term:string,expected:string,found:string>>")
+    if not by_term:
+        return none
+    return F.array_compact(F.array(*[hit(t, e, alts) for (t, e), alts in by_term.items()]))
+
+
 def glossary_alternatives(
     bilingual: DataFrame, glossary: DataFrame, alternatives: DataFrame, keys: list[str], text: str = "tgt", **kw
 ) -> DataFrame:
@@ -151,32 +179,15 @@ def glossary_alternatives(
     ``alternatives`` has ``term, alt, place``; the lowest place wins per row and
     term. ``keys`` identify a row.
     """
-    listed = glossary.join(_with_places(alternatives), "term").select("term", "expected", "alt", "place")
-    bare = F.lower(strip_tags(F.col(text)))
-    small = bounded_rows(listed, kw.get("inline", INLINE_RULES))
+    listed = listed_alternatives(glossary, alternatives)
+    rows = bilingual.withColumn("_bare", F.lower(strip_tags(F.col(text))))
     context = preview(F.col(text), 50, always=True)
+    small = bounded_rows(listed, kw.get("inline", INLINE_RULES))
     if small is not None:
-        by_term: dict[tuple[str, str], list[Row]] = {}
-        for r in sorted(small, key=lambda r: (r["term"], r["place"])):
-            by_term.setdefault((r["term"], r["expected"]), []).append(r)
-        with_bare = bilingual.withColumn("_bare", bare)
-
-        def first_alternative(term: str, expected: str, found: list[Row]) -> Column:
-            first = F.coalesce(
-                *[F.when(F.col("_bare").contains(r["alt"].lower()), F.lit(r["alt"])) for r in found]
-            )
-            return F.when(
-                first.isNotNull() & ~F.col("_bare").contains(expected.lower()),
-                F.struct(F.lit(term).alias("term"), F.lit(expected).alias("expected"), first.alias("found")),
-            )
-
-        hits = [first_alternative(t, e, found) for (t, e), found in by_term.items()]
-        if not hits:
-            hits = [F.lit(None).cast("struct<term:string,expected:string,found:string>")]
-        return with_bare.withColumn("_hit", F.explode(F.array_compact(F.array(*hits)))).select(
+        return rows.withColumn("_hit", F.explode(alternative_hits(F.col("_bare"), small))).select(
             *keys, "_hit.term", "_hit.expected", "_hit.found", context.alias("context")
         )
-    pairs = match_rules(bilingual.withColumn("_bare", bare), F.col("_bare"), listed, "alt", ignore_case=True, **kw)
+    pairs = match_rules(rows, F.col("_bare"), listed, "alt", ignore_case=True, **kw)
     return (
         pairs.filter(~F.col("_bare").contains(F.lower("expected")))
         .groupBy(*keys, "term", "expected", context.alias("context"))
@@ -204,6 +215,15 @@ def term_variant_uses(bilingual: DataFrame, glossary: DataFrame, alternatives: D
     )
 
 
+def _several(renderings: DataFrame) -> DataFrame:
+    return renderings.groupBy("deck_id", "term").agg(F.count("*").alias("n_variants")).filter("n_variants > 1")
+
+
+def inconsistent_terms(uses: DataFrame) -> DataFrame:
+    """Deck and term with the number of renderings, where that is more than one."""
+    return _several(uses.groupBy("deck_id", "term", "variant").agg(F.count("*").alias("n_uses")))
+
+
 def term_variants(uses: DataFrame) -> DataFrame:
     """Terms a deck renders in more than one way: one row per rendering.
 
@@ -213,7 +233,7 @@ def term_variants(uses: DataFrame) -> DataFrame:
     counted = uses.groupBy("deck_id", "term", "variant").agg(
         F.count("*").alias("n_uses"), F.min(F.struct("slide", "idx")).alias("at")
     )
-    several = counted.groupBy("deck_id", "term").agg(F.count("*").alias("n_variants")).filter("n_variants > 1")
+    several = _several(counted)
     return counted.join(several, ["deck_id", "term"]).select(
         "deck_id", "term", "variant", "n_variants", "n_uses",
         F.col("at.slide").alias("first_slide"), F.col("at.idx").alias("first_idx"),

@@ -9,7 +9,9 @@ MILLION = 1_000_000.0
 
 
 def request_count(n_blocks: Column, batch_size: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(n_blocks / F.greatest(F.lit(1), batch_size))).cast("long")
+    """Requests of ``batch_size`` blocks, one at least; a size below one means no batching."""
+    batches = F.ceil(n_blocks / F.greatest(F.lit(1), batch_size))
+    return F.when(batch_size < 1, F.lit(1)).otherwise(F.greatest(F.lit(1), batches)).cast("long")
 
 
 def output_tokens(
@@ -27,8 +29,9 @@ def _discounted(prefix: Column) -> Column:
 
 
 def _no_discount(prefix: Column, n_requests: Column, no_cache: Column | bool) -> Column:
+    """A prefix within the floor has no part to discount, so all input is billed."""
     no_cache = no_cache if isinstance(no_cache, Column) else F.lit(no_cache)
-    return no_cache | (n_requests <= 1) | (prefix <= 0)
+    return no_cache | (n_requests <= 1) | (prefix <= rules.CACHED_PREFIX_FLOOR)
 
 
 def _dynamic(total_in: Column, prefix: Column, n_requests: Column) -> Column:

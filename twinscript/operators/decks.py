@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from twinscript import rules
 from twinscript.functions.script import has_script
 from twinscript.operators.residual import before_after_of_pairs
+from twinscript.operators.segments import part_number
 
 SLIDES_PER_PAGE = 1000
 
@@ -62,7 +63,8 @@ def deck_audit(
     """
     by_slide = before_after_of_pairs(bilingual)
     totals = deck_totals(bilingual, by_slide, n_missing, batch_size)
-    number = F.regexp_extract("part_name", r"(\d+)\.xml$", 1).cast("long")
+    # A part without a number gets a page of its own.
+    number = F.coalesce(part_number(F.col("part_name")), F.xxhash64("part_name"))
     paged = (
         by_slide.withColumn("page", F.floor(number / slides_per_page).cast("long"))
         .groupBy("deck_id", "page")

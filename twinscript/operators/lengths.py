@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from twinscript.functions.length import counts_preserved, expansion_ratio, length_threshold, spill_to_notes
 from twinscript.functions.masking import mask_fragile, placeholders, unmask_fragile
 from twinscript.functions.text import is_nonblank, let
+from twinscript.operators.joins import join_hot
 from twinscript.operators.matching import integrity_of_terms
 
 
@@ -78,8 +79,7 @@ def spilled_notes_by_slide(segments: DataFrame, notes: DataFrame) -> DataFrame:
     """
     wanted = notes.filter(is_nonblank(F.col("notes"))).select(F.col("src").alias("text"), "notes")
     return (
-        segments.select("deck_id", "part_name", "para_idx", "text")
-        .join(wanted, "text")
+        join_hot(segments.select("deck_id", "part_name", "para_idx", "text"), wanted, "text")
         .groupBy("deck_id", "part_name")
         .agg(F.array_sort(F.collect_list(F.struct("para_idx", "notes"))).alias("_n"))
         .select("deck_id", "part_name", F.array_join(F.transform("_n", lambda n: n["notes"]), "\n\n").alias("notes"))

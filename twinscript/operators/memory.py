@@ -1,8 +1,8 @@
 """The translation memory: lookup, gaps, overlay, cleaning.
 
-The memory may be as large as the corpus. Lookups are plain equi joins: adaptive
-execution broadcasts a memory that turns out small and splits the partitions of
-a text that holds a large share of the rows.
+The memory may be as large as the corpus. Lookups are equi joins on the text;
+a memory that turns out small is broadcast, and the rows of a text that holds a
+large share of them are split over tasks (:mod:`joins`).
 """
 
 from collections.abc import Callable
@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from twinscript import rules
 from twinscript.functions.masking import mask_fragile, unmask_fragile
 from twinscript.functions.script import has_script, is_identity_entry, is_unusable_entry
+from twinscript.operators.joins import join_hot
 from twinscript.operators.ordering import number_rows
 
 
 def lookup_translations(segments: DataFrame, tm: DataFrame) -> DataFrame:
     """Each paragraph with its target, or with its own text when the memory has none."""
     entries = tm.select(F.col("src").alias("text"), "tgt")
-    return segments.join(entries, "text", "left").select(
+    return join_hot(segments, entries, "text", "left").select(
         "deck_id",
         F.col("part_name").alias("slide"),
         F.col("para_idx").alias("idx"),
@@ -40,7 +41,7 @@ def apply_tm_exact(segments: DataFrame, tm: DataFrame, require_script: bool = Tr
         hit = hit & (F.col("tgt") != "") & has_script(F.col("text"))
     hit = F.coalesce(hit, F.lit(False))
     return (
-        segments.join(entries, "text", "left")
+        join_hot(segments, entries, "text", "left")
         .withColumn("new_text", F.when(hit, F.col("tgt")).otherwise(F.col("text")))
         .withColumn("changed", hit)
         .drop("tgt")
@@ -75,7 +76,7 @@ def scrub_tm(tm: DataFrame) -> DataFrame:
 def missing_sources(segments: DataFrame, tm: DataFrame, rule: str = "identity") -> DataFrame:
     """Distinct texts the memory cannot serve; deduplicated before the join."""
     known = usable_entries(tm, rule).select("src")
-    return distinct_sources(segments).join(known, "src", "left_anti")
+    return join_hot(distinct_sources(segments), known, "src", "left_anti")
 
 
 def merge_tm(tm: DataFrame, *updates: DataFrame) -> DataFrame:

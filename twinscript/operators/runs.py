@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinscript.operators.joins import join_hot
+
 
 def _votes(tm_runs: DataFrame) -> DataFrame:
     return tm_runs.groupBy("src", "tgt").agg(F.count("*").alias("votes"))
@@ -16,7 +18,7 @@ def run_disagreement(tm_runs: DataFrame) -> DataFrame:
     """
     votes = _votes(tm_runs)
     several = votes.groupBy("src").agg(F.count("*").alias("n_variants")).filter("n_variants > 1")
-    return votes.join(several, "src").select("src", "n_variants", "tgt", "votes")
+    return join_hot(votes, several, "src").select("src", "n_variants", "tgt", "votes")
 
 
 def run_disagreement_totals(tm_runs: DataFrame) -> DataFrame:

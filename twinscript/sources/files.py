@@ -54,18 +54,22 @@ def read_bilingual_csv(spark: SparkSession, path: str, deck_id: str | None = Non
 
     The deck is the file unless ``deck_id`` names it.
     """
-    # The parse keeps short rows and shows which fields they lack.
-    raw = spark.read.options(**CSV, nullValue="\x00", emptyValue="", mode="PERMISSIVE").schema(
-        schemas.BILINGUAL_FILE + ", _corrupt_record string"
-    ).option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
+    # An empty field and a missing one both read as null; only a short row is malformed.
+    raw = (
+        spark.read.options(**CSV, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+        .schema(schemas.BILINGUAL_FILE + ", _corrupt_record string")
+        .csv(path)
+    )
     deck = F.input_file_name() if deck_id is None else F.lit(deck_id)
-    return raw.filter(F.col("tgt").isNotNull()).select(
+    complete = F.col("tgt").isNotNull() | F.col("_corrupt_record").isNull()
+    text = F.coalesce("tgt", F.lit(""))
+    return raw.filter(complete).select(
         deck.alias("deck_id"),
         "slide",
         F.col("idx").cast("long").alias("idx"),
-        "src",
-        "tgt",
-        classify_kind_by_length(F.col("tgt")).alias("kind"),
+        F.coalesce("src", F.lit("")).alias("src"),
+        text.alias("tgt"),
+        classify_kind_by_length(text).alias("kind"),
     )
 
 

@@ -114,7 +114,7 @@ def test_parallelism(spark):
     rows = [("b", i, t) for i, t in enumerate(["[li-1] Launching in Q4", "[li-2] Reduce churn", "[li-3] Expanding margins"])]
     df = spark.createDataFrame(rows, "batch_id string, index long, text string")
     (issue,) = diagnostics.parallelism_findings(df).collect()
-    assert (issue.first_pos, issue.last_pos, issue.n_items, issue.n_gerund) == (1, 3, 3, 2)
+    assert (issue.first_index, issue.last_index, issue.n_items, issue.n_gerund) == (0, 2, 3, 2)
     assert diagnostics.parallelism_findings(df.filter("index <> 1")).count() == 0
 
 
@@ -179,11 +179,13 @@ def test_model_replies(spark):
     rows = [
         (0, '```json\n["a", "b"]\n```', 2), (1, 'Sure [1]: ["x \\"]", "y"] end', 2), (2, "no array", 1), (3, '["a"]', 2),
         (4, '["a", "b", "c"]', 2), (5, '[1, true]', 2), (6, '"[not]" [["p"], "q"]', 2), (7, '["a"]', 0),
+        (8, '["a"] or ["b", "c"]', 2), (9, '["a", null]', 2), (10, '[' + ", ".join(['"w\\\\"'] * 20000) + "]", 20000),
     ]
     df = spark.createDataFrame(rows, "i int, reply string, expected_len int")
     got = {r.i: r["items"] for r in replies.parse_model_array(df).collect()}
     assert got == {
         0: ["a", "b"], 1: ['x "]', "y"], 2: None, 3: None, 4: ["a", "b"], 5: ["1", "True"], 6: ["['p']", "q"], 7: ["a"],
+        8: ["b", "c"], 9: ["a", "None"], 10: ["w\\"] * 20000,
     }
 
 

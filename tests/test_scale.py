@@ -51,7 +51,7 @@ def test_islands_equal_a_plain_scan(spark, hot_deck):
     rows = sorted((r.deck_id, r.part_name, r.para_idx, r.text) for r in hot_deck.collect())
     for deck, items in groupby(rows, key=lambda r: r[0]):
         start, members = None, 0
-        for pos, item in enumerate([*items, None], start=1):
+        for pos, item in enumerate([*items, None]):
             bullet = item is not None and ("•" in item[3] or (len(item[3].split()) < 15 and not item[3].endswith(".")))
             if bullet:
                 start, members = (pos, 1) if start is None else (start, members + 1)
@@ -59,7 +59,7 @@ def test_islands_equal_a_plain_scan(spark, hot_deck):
                 if members >= 2:
                     want.add((deck, start, start + members - 1, members))
                 start = None
-    got = {(r.deck_id, r.first_pos, r.last_pos, r.n_items) for r in islands.bullet_groups(hot_deck).collect()}
+    got = {(r.deck_id, r.first_index, r.last_index, r.n_items) for r in islands.bullet_groups(hot_deck).collect()}
     assert got == want
 
 

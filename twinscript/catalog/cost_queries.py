@@ -167,15 +167,15 @@ def estimate_cost(spark, sf_dir):
 @query(
     "overlay_pricing",
     q.using(
-        "SELECT model, provider, \"in\", out FROM part_prices WHERE NOT starts_with(tokenizer, 'E') UNION ALL "
-        "SELECT model, 'new', 1.0::DOUBLE, NULL FROM part_prices WHERE starts_with(tokenizer, 'E')",
+        "SELECT model, provider, \"in\", out FROM part_prices WHERE tokenizer <> 'ECONOMY' UNION ALL "
+        "SELECT model, 'new', 1.0::DOUBLE, NULL FROM part_prices WHERE tokenizer = 'ECONOMY'",
         _PART_PRICES,
     ),
 )
 def overlay_pricing(spark, sf_dir):
     base = _deck_prices(spark, sf_dir)
     unknown = F.lit(None).cast("double")
-    overrides = base.filter(F.col("tokenizer").startswith("E")).withColumns(
+    overrides = base.filter(F.col("tokenizer") == "ECONOMY").withColumns(
         {"provider": F.lit("new"), "in": F.lit(1.0), "in_cached": unknown, "out": unknown, "cached_read": unknown}
     )
     return costs.overlay_pricing(base, overrides).select("model", "provider", "in", "out")

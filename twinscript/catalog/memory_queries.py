@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from twinscript.catalog import sql as q
 from twinscript.catalog import workloads as w
 from twinscript.catalog.registry import query
+from twinscript.functions.script import has_script
 from twinscript.operators import memory as m
 from twinscript.operators import runs
 from twinscript.operators.replies import parse_model_array
@@ -89,13 +90,13 @@ def missing_sources_clean_rule(spark, sf_dir):
     "merge_tm",
     q.using(
         "SELECT src, coalesce(u.tgt, t.tgt) AS tgt FROM tm t FULL JOIN "
-        f"(SELECT DISTINCT text AS src, 'new ' || text AS tgt FROM segments WHERE {q.has('text')} AND starts_with(text, 'E')) u USING (src)"
+        f"(SELECT DISTINCT text AS src, 'new ' || text AS tgt FROM segments WHERE {q.has('text')} AND lang = 'es') u USING (src)"
     ),
 )
 def merge_tm(spark, sf_dir):
     updates = (
         w.segments(spark, sf_dir)
-        .filter(F.col("text").rlike(f"[{q.ANY}]") & F.col("text").startswith("E"))
+        .filter(has_script(F.col("text")) & (F.col("lang") == "es"))
         .select(F.col("text").alias("src"), F.concat(F.lit("new "), "text").alias("tgt"))
     )
     return m.merge_tm(w.memory(spark, sf_dir), updates)

@@ -162,10 +162,8 @@ def extract_text_blocks(spark, sf_dir):
     return blocks.select("deck_id", "block_idx", "text")
 
 
-_SLIDE_BLOCKS = "slide_blocks AS (SELECT source AS deck_id, doc_id AS no, text FROM documents)"
-
-
 def _blocks_of(spark, sf_dir):
+    """Documents as slides of their source's deck, conversations as the notes of decks without slides."""
     slides = w.table(spark, sf_dir, "documents").select(
         F.col("source").alias("deck_id"),
         F.col("doc_id").cast("string").alias("part_name"),
@@ -173,7 +171,7 @@ def _blocks_of(spark, sf_dir):
         w.in_kana(F.col("text")).alias("text"),
     )
     notes = w.table(spark, sf_dir, "conversations").select(
-        F.concat(F.lit("src"), F.col("conv_id") % 20).alias("deck_id"),
+        F.col("conv_id").cast("string").alias("deck_id"),
         F.col("conv_id").cast("string").alias("part_name"),
         F.col("turn").cast("long").alias("block_idx"),
         w.in_kana(F.col("text")).alias("text"),
@@ -184,7 +182,7 @@ def _blocks_of(spark, sf_dir):
 _UNION = (
     "blocks AS (SELECT source AS deck_id, CAST(doc_id AS VARCHAR) AS part_name, 0 AS block_idx, "
     f"translate(text, {q._KANA}) AS text, 'slide' AS part_kind FROM documents UNION ALL "
-    "SELECT 'src' || (conv_id % 20), CAST(conv_id AS VARCHAR), turn, "
+    "SELECT CAST(conv_id AS VARCHAR), CAST(conv_id AS VARCHAR), turn, "
     f"translate(text, {q._KANA}), 'notes' FROM conversations)"
 )
 

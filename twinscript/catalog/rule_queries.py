@@ -171,7 +171,7 @@ def _groups_sql(key: str, source: str) -> str:
         f"flagged AS (SELECT *, contains(text, '[li-') OR contains(text, '•') OR ({q.n_words('text')} < 15 AND NOT ends_with(text, '.')) AS bullet, "
         f"regexp_matches({q.strip(q.untag('text'))}, '^[{q.WORD}]+ing($|[^{q.WORD}])') AS gerund FROM ordered), "
         f"ran AS (SELECT *, sum(CASE WHEN bullet THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY pos) AS breaks FROM flagged), "
-        f"groups AS (SELECT {key}, CAST(breaks AS BIGINT) AS group_id, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_items, "
+        f"groups AS (SELECT {key}, CAST(breaks AS BIGINT) AS group_id, min(pos) - 1 AS first_index, max(pos) - 1 AS last_index, count(*) AS n_items, "
         f"count(*) FILTER (gerund) AS n_gerund FROM ran WHERE bullet GROUP BY {key}, breaks HAVING count(*) >= 2)"
     )
 
@@ -317,7 +317,7 @@ def check_and_fix(spark, sf_dir):
 @query(
     "parallelism_findings",
     q.using(
-        "SELECT * FROM (SELECT batch_id, first_pos, last_pos, n_items, n_gerund FROM groups) WHERE n_items >= 3 AND n_gerund > 0 AND n_gerund < n_items",
+        "SELECT * FROM (SELECT batch_id, first_index, last_index, n_items, n_gerund FROM groups) WHERE n_items >= 3 AND n_gerund > 0 AND n_gerund < n_items",
         _groups_sql("batch_id", "SELECT batch_id, \"index\" AS o1, 0 AS o2, CASE WHEN ends_with(text, '.') THEN 'Going • ' || text ELSE text END AS text FROM checked"),
     ),
 )
@@ -327,4 +327,4 @@ def parallelism_findings(spark, sf_dir):
     rows = w.checked_segments(spark, sf_dir).withColumn(
         "text", F.when(text.endswith("."), F.concat(F.lit("Going • "), text)).otherwise(text)
     )
-    return diagnostics.parallelism_findings(rows).select("batch_id", "first_pos", "last_pos", "n_items", "n_gerund")
+    return diagnostics.parallelism_findings(rows).select("batch_id", "first_index", "last_index", "n_items", "n_gerund")

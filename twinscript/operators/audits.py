@@ -145,23 +145,28 @@ def _text(fmt: str, *args: Column) -> Column:
 def row_issues(tgt: Column, kind: Column, banned: dict[str, str]) -> Column:
     """All issues of one row as an array of (category, type, description, fix)."""
     title, bullet = kind == "title", kind == "bullet"
-    bare = strip_tags(tgt)
-    trimmed = strip_text(bare)
     none = F.filter(F.array(_issue("", "", F.lit(""), "")), lambda _: F.lit(False))
 
     def only_if(condition: Column, issue: Column) -> Column:
         return F.when(condition, F.array(issue)).otherwise(none)
 
-    cased = let(
-        title_case(bare),
-        lambda want: only_if(
-            want != bare,
-            _issue("capitalization_issues", "title_case", _text("Title not in Title Case: '%s'", preview(tgt)), preview(want)),
-        ),
-    )
-    return F.concat(
-        F.when(title & is_nonblank(tgt), cased).otherwise(none),
-        only_if(
+    def capitalization(bare: Column) -> Column:
+        cased = let(
+            title_case(bare),
+            lambda want: only_if(
+                want != bare,
+                _issue(
+                    "capitalization_issues",
+                    "title_case",
+                    _text("Title not in Title Case: '%s'", preview(tgt)),
+                    preview(want),
+                ),
+            ),
+        )
+        return F.when(title & is_nonblank(tgt), cased).otherwise(none)
+
+    def closing_mark(trimmed: Column) -> Column:
+        return only_if(
             bullet & is_nonblank(tgt) & ends_like_sentence(trimmed),
             _issue(
                 "bullet_punctuation_issues",
@@ -169,8 +174,12 @@ def row_issues(tgt: Column, kind: Column, banned: dict[str, str]) -> Column:
                 _text("Bullet ends with punctuation: '%s'", F.right(trimmed, F.lit(20))),
                 "Remove terminal punctuation",
             ),
-        ),
-        F.transform(
+        )
+
+    def phrases(bare: Column) -> Column:
+        if not banned:
+            return none
+        return F.transform(
             banned_matches(bare, banned),
             lambda m: _issue(
                 "banned_word_issues",
@@ -179,48 +188,65 @@ def row_issues(tgt: Column, kind: Column, banned: dict[str, str]) -> Column:
                 _text("Replace with '%s'", m["suggested"]),
             ),
         )
-        if banned
-        else none,
-        only_if(
-            has_script(tgt, rules.SCRIPT_CORE),
-            _issue(
-                "japanese_residual",
-                "japanese_residual",
-                _text("Japanese characters remain: %s", extract_script_chars(tgt)),
-                "Re-translate remaining Japanese",
-            ),
-        ),
-        F.when(
-            tgt.contains("["),
-            F.transform(
-                unbalanced_tags(tgt),
-                lambda t: _issue(
-                    "formatting_tag_issues",
-                    "unbalanced_tags",
-                    _text("Unbalanced tag [%s]: %d open, %d close", t["tag"], t["open_count"], t["close_count"]),
-                    _text("Balance [%s] tags", t["tag"]),
+
+    def length(trimmed: Column) -> Column:
+        fix = "Condense text or apply expansion policy"
+        title_words, bullet_chars = F.lit(rules.TITLE_MAX_WORDS), F.lit(rules.BULLET_MAX_CHARS)
+        return (
+            F.when(
+                title & (word_count(trimmed) > title_words),
+                F.array(
+                    _issue(
+                        "length_violations",
+                        "title_too_long",
+                        _text("Title too long: %d words (max %d)", word_count(trimmed), title_words),
+                        fix,
+                    )
                 ),
-            ),
-        ).otherwise(none),
-        only_if(
-            title & (word_count(trimmed) > rules.TITLE_MAX_WORDS),
-            _issue(
-                "length_violations",
-                "title_too_long",
-                _text("Title too long: %d words (max %d)", word_count(trimmed), F.lit(rules.TITLE_MAX_WORDS)),
-                "Condense text or apply expansion policy",
-            ),
+            )
+            .when(
+                bullet & (F.length(trimmed) > bullet_chars),
+                F.array(
+                    _issue(
+                        "length_violations",
+                        "bullet_too_long",
+                        _text("Bullet too long: %d chars (max %d)", F.length(trimmed), bullet_chars),
+                        fix,
+                    )
+                ),
+            )
+            .otherwise(none)
+        )
+
+    residual = only_if(
+        has_script(tgt, rules.SCRIPT_CORE),
+        _issue(
+            "japanese_residual",
+            "japanese_residual",
+            _text("Japanese characters remain: %s", extract_script_chars(tgt)),
+            "Re-translate remaining Japanese",
         ),
-        only_if(
-            bullet & (F.length(trimmed) > rules.BULLET_MAX_CHARS),
-            _issue(
-                "length_violations",
-                "bullet_too_long",
-                _text("Bullet too long: %d chars (max %d)", F.length(trimmed), F.lit(rules.BULLET_MAX_CHARS)),
-                "Condense text or apply expansion policy",
+    )
+    tags = F.when(
+        tgt.contains("["),
+        F.transform(
+            unbalanced_tags(tgt),
+            lambda t: _issue(
+                "formatting_tag_issues",
+                "unbalanced_tags",
+                _text("Unbalanced tag [%s]: %d open, %d close", t["tag"], t["open_count"], t["close_count"]),
+                _text("Balance [%s] tags", t["tag"]),
             ),
         ),
+    ).otherwise(none)
+    bare = F.when(tgt.contains("["), strip_tags(tgt)).otherwise(tgt)
+    of_text = let(
+        F.struct(bare.alias("bare"), strip_text(bare).alias("trimmed")),
+        lambda t: F.concat(
+            capitalization(t["bare"]), closing_mark(t["trimmed"]), phrases(t["bare"]), length(t["trimmed"])
+        ),
     )
+    return F.concat(of_text, residual, tags)
 
 
 def all_issues(

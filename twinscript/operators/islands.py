@@ -19,8 +19,9 @@ def starts_with_gerund(text: Column) -> Column:
 def bullet_groups(segments: DataFrame, by: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """Consecutive bullet-like segments, groups of two and more.
 
-    A group is consecutive, so its first and last position name all its members.
-    Groups are aggregated as sums; a group of any length stays one small row.
+    A group is consecutive, so its first and last index (counted from zero in the
+    given order) name all its members. Groups are aggregated as sums; a group of
+    any length stays one small row.
     """
     by = ["deck_id"] if by is None else by
     order = ORDER if order is None else order
@@ -35,13 +36,13 @@ def bullet_groups(segments: DataFrame, by: list[str] | None = None, order: list[
         ran.filter("_bullet")
         .groupBy(*by, "breaks")
         .agg(
-            F.min("pos").alias("first_pos"),
-            F.max("pos").alias("last_pos"),
+            (F.min("pos") - 1).alias("first_index"),
+            (F.max("pos") - 1).alias("last_index"),
             F.count("*").alias("n_items"),
             F.count_if("_gerund").alias("n_gerund"),
         )
         .filter("n_items >= 2")
-        .select(*by, F.col("breaks").alias("group_id"), "first_pos", "last_pos", "n_items", "n_gerund")
+        .select(*by, F.col("breaks").alias("group_id"), "first_index", "last_index", "n_items", "n_gerund")
     )
 
 

@@ -12,7 +12,8 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
     laid out by it already and would be joined in place, hot partition and all.
     Hashing the key once more as a second join column asks for a layout nobody has
     yet, so both sides are shuffled. A right side that turns out small is still
-    broadcast.
+    broadcast. The hash leads, so rows are sorted by a number before any text is
+    compared.
     """
-    again = F.xxhash64(key)
-    return left.withColumn("_again", again).join(right.withColumn("_again", again), [key, "_again"], how).drop("_again")
+    hashed = F.xxhash64(key)
+    return left.withColumn("_hash", hashed).join(right.withColumn("_hash", hashed), ["_hash", key], how).drop("_hash")

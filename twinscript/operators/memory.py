@@ -36,16 +36,21 @@ def apply_tm_exact(segments: DataFrame, tm: DataFrame, require_script: bool = Tr
     ``require_script=False`` applies every hit.
     """
     entries = tm.select(F.col("src").alias("text"), "tgt")
-    hit = F.col("tgt").isNotNull()
-    if require_script:
-        hit = hit & (F.col("tgt") != "") & has_script(F.col("text"))
-    hit = F.coalesce(hit, F.lit(False))
-    return (
-        join_hot(segments, entries, "text", "left")
-        .withColumn("new_text", F.when(hit, F.col("tgt")).otherwise(F.col("text")))
-        .withColumn("changed", hit)
-        .drop("tgt")
-    )
+    if not require_script:
+        hit = F.col("tgt").isNotNull()
+        return _with_hits(join_hot(segments, entries, "text", "left"), hit)
+    # Texts without source script cannot match: they stay out of the shuffle.
+    foreign = has_script(F.col("text"))
+    usable = entries.filter((F.col("tgt") != "") & foreign)
+    matched = _with_hits(join_hot(segments.filter(foreign), usable, "text", "left"), F.col("tgt").isNotNull())
+    rest = segments.filter(~foreign).withColumns({"new_text": F.col("text"), "changed": F.lit(False)})
+    return matched.unionByName(rest)
+
+
+def _with_hits(joined: DataFrame, hit: Column) -> DataFrame:
+    return joined.withColumns(
+        {"new_text": F.when(hit, F.col("tgt")).otherwise(F.col("text")), "changed": hit}
+    ).drop("tgt")
 
 
 def distinct_sources(segments: DataFrame, cls: str = rules.SCRIPT_ANY, by: list[str] | None = None) -> DataFrame:

@@ -49,11 +49,10 @@ def parse_model_array(df: DataFrame, reply: str = "reply", expected: str = "expe
     n = F.col(expected)
     text = F.trim(F.regexp_replace(F.regexp_replace(F.col(reply), r"(?U)\A\s+|\s+\z", ""), FENCE, ""))
     bare = F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
-    clean: Column = F.when(
-        bare.rlike(r'(?s)\A\[\s*(?:"(?:[^"\\]|\\.)*+"\s*(?:,\s*(?=")|(?=\])))*+\]\z'), F.from_json(bare, "array<string>")
-    )
+    only_strings = F.schema_of_variant(F.try_parse_json(bare)) == "ARRAY<STRING>"
+    clean: Column = F.when(bare.startswith("[") & only_strings, F.from_json(bare, "array<string>"))
     parsed = df.withColumn("_text", text).withColumn("_clean", clean)
-    enough = F.coalesce(F.size("_clean") >= n, F.lit(False))
+    enough = F.coalesce((F.size("_clean") >= n) & ~F.exists("_clean", lambda x: x.isNull()), F.lit(False))
     scanned = _embedded_array(F.when(~enough, F.col("_text")), n)
     cut = F.when(n == 0, F.col("_clean")).otherwise(F.slice("_clean", F.lit(1), n))
     return parsed.withColumn("items", F.when(enough, cut).otherwise(scanned)).drop("_text", "_clean")

@@ -2,7 +2,7 @@
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinscript.functions.text import is_nonblank, strip_text, unescape_markup
@@ -31,10 +31,15 @@ def slide_bounds(spec: str | None) -> tuple[int, int] | None:
 
 
 def filter_slide_range(segments: DataFrame, spec: str | None) -> DataFrame:
-    """Keep slides ``a..b``, both ends included, by the number in the part name."""
+    """Keep slides ``a..b``, both ends included, by the number in the part name.
+
+    A table with ``part_no`` has that number as a column, and the filter reaches the scan.
+    """
     bounds = slide_bounds(spec)
     if bounds is None:
         return segments
+    if "part_no" in segments.columns:
+        return segments.filter(F.col("part_no").between(*bounds))
     number = F.regexp_extract("part_name", r"slide(\d+)\.xml", 1)
     return segments.filter((number != "") & number.cast("long").between(*bounds))
 
@@ -76,8 +81,6 @@ def sample_first_blocks(blocks: DataFrame, cls: str, n: int = 10) -> DataFrame:
     The rank filter becomes a group limit below the shuffle, so a task sends at
     most ``n`` rows of a deck however large the deck is.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("deck_id").orderBy(F.desc("part_kind"), "part_name", "block_idx")
     first = (
         blocks.filter(F.col("text").rlike(f"[{cls}]"))

@@ -55,13 +55,17 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+MAX_SPREAD_SPLITS = 8
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a table with fewer splits than cores one split per core.
+    """Give a table of a few splits, fewer than there are cores, one split per core.
 
-    Large tables already have more splits than cores and pass through untouched.
+    A small file is one split and would keep one core busy. Any table of more than
+    ``MAX_SPREAD_SPLITS`` splits passes through: shuffling it costs more than it gains.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= min(cores, MAX_SPREAD_SPLITS):
         return df
     return df.repartition(cores, *keys)
 

@@ -164,9 +164,9 @@ def extract_text_blocks(spark, sf_dir):
 
 def _blocks_of(spark, sf_dir):
     """Documents as slides of their source's deck, conversations as the notes of decks without slides."""
-    slides = w.table(spark, sf_dir, "documents").select(
-        F.col("source").alias("deck_id"),
-        F.col("doc_id").cast("string").alias("part_name"),
+    slides = w.documents(spark, sf_dir).select(
+        "deck_id",
+        F.col("part_no").cast("string").alias("part_name"),
         F.lit(0).cast("long").alias("block_idx"),
         w.in_kana(F.col("text")).alias("text"),
     )

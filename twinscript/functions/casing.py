@@ -13,6 +13,7 @@ from twinscript.functions.text import (
     collapse_whitespace,
     is_nonblank,
     let,
+    matches,
     normalize_mechanics,
     normalize_punctuation,
     splice,
@@ -49,20 +50,20 @@ def title_case(text: Column, small_words: list[str] | None = None) -> Column:
 
 def title_case_tagged(text: Column, small_words: list[str] | None = None) -> Column:
     """Title case applied to each stretch between tags; the tags stay."""
-    tags = F.regexp_extract_all(text, F.lit(TAG), F.lit(0))
-    return let(
-        tags,
+    def cased(part: Column) -> Column:
+        return F.when(part.startswith("[") & part.endswith("]"), part).otherwise(title_case(part, small_words))
+
+    tagged = let(
+        matches(text, TAG),
         lambda found: F.array_join(
             F.transform(
                 F.split(text, TAG, -1),
-                lambda part, i: F.concat(
-                    F.when(part.startswith("[") & part.endswith("]"), part).otherwise(title_case(part, small_words)),
-                    F.coalesce(F.get(found, i), F.lit("")),
-                ),
+                lambda part, i: F.concat(cased(part), F.coalesce(F.get(found, i), F.lit(""))),
             ),
             "",
         ),
     )
+    return F.when(text.contains("["), tagged).otherwise(title_case(text, small_words))
 
 
 def whole_word(phrase: str) -> str:

@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from twinscript import rules
-from twinscript.functions.text import let, splice
+from twinscript.functions.text import let, matches, splice
 
 STAGES = (("URL", rules.FRAGILE_URL), ("NUM", rules.FRAGILE_NUMBER), ("CODE", rules.FRAGILE_CODE))
 
@@ -27,14 +27,16 @@ def mask_fragile(text: Column) -> Column:
     state = F.struct(text.alias("masked"), none.alias("keys"), none.alias("spans"))
 
     def apply_stage(s: Column, tag: str, pattern: str) -> Column:
-        hits = F.regexp_extract_all(s.getField("masked"), F.lit(pattern), F.lit(0))
-        return F.struct(
-            splice(
-                s.getField("masked"), pattern, lambda hit, i: F.when(hit.isNotNull(), _placeholder(tag, i))
-            ).alias("masked"),
-            F.concat(s.getField("keys"), F.transform(hits, lambda _, i: _placeholder(tag, i))).alias("keys"),
-            F.concat(s.getField("spans"), hits).alias("spans"),
-        )
+        text = s["masked"]
+
+        def put(hits: Column) -> Column:
+            return F.struct(
+                splice(text, pattern, lambda hit, i: F.when(hit.isNotNull(), _placeholder(tag, i)), hits).alias("masked"),
+                F.concat(s["keys"], F.transform(hits, lambda _, i: _placeholder(tag, i))).alias("keys"),
+                F.concat(s["spans"], hits).alias("spans"),
+            )
+
+        return let(matches(text, pattern), lambda hits: F.when(F.size(hits) == 0, s).otherwise(put(hits)))
 
     def staged(tag: str, pattern: str):
         return lambda s: apply_stage(s, tag, pattern)
@@ -44,8 +46,8 @@ def mask_fragile(text: Column) -> Column:
     masked = let(
         state,
         lambda s: F.struct(
-            s.getField("masked").alias("masked"),
-            F.map_from_arrays(s.getField("keys"), s.getField("spans")).alias("marks"),
+            s["masked"].alias("masked"),
+            F.map_from_arrays(s["keys"], s["spans"]).alias("marks"),
         ),
     )
     return F.when(text.rlike(MAY_BE_FRAGILE), masked).otherwise(unmasked)

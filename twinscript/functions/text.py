@@ -17,19 +17,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def splice(text: Column, pattern: str, render: Callable[[Column, Column], Column]) -> Column:
-    """Replace the i-th match of ``pattern`` by ``render(match, i)``."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(
-        hits,
-        lambda found: F.array_join(
-            F.transform(
-                F.split(text, pattern, -1),
-                lambda piece, i: F.concat(piece, F.coalesce(render(F.get(found, i), i), F.lit(""))),
-            ),
-            "",
-        ),
-    )
+def matches(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def splice(
+    text: Column, pattern: str, render: Callable[[Column, Column], Column], found: Column | None = None
+) -> Column:
+    """Replace the i-th match of ``pattern`` by ``render(match, i)``.
+
+    ``found`` are the matches when the caller has them already.
+    """
+    def interleave(hits: Column) -> Column:
+        pieces = F.transform(
+            F.split(text, pattern, -1),
+            lambda piece, i: F.concat(piece, F.coalesce(render(F.get(hits, i), i), F.lit(""))),
+        )
+        return F.when(F.size(hits) == 0, text).otherwise(F.array_join(pieces, ""))
+
+    return let(matches(text, pattern), interleave) if found is None else interleave(found)
 
 
 def strip_tags(text: Column) -> Column:

@@ -125,8 +125,10 @@ def test_deck_audit_pages(spark):
 
 
 def test_large_rule_tables_give_the_same_pairs(spark):
-    words = ["alpha", "Beta", "g", "delta-x", "日本", "été", "a.b", "$5", "beta gamma", "ße"]
-    texts = ["Alpha beta gamma", "delta-x $5 a.b", "日本のalpha", "Été ÉTÉ g", "nothing", "alphabet xße ße", ""]
+    words = ["alpha", "Beta", "g", "delta-x", "日本", "été", "a.b", "$5", "beta gamma", "ße",
+             "internationalization", "internationalisation", "international", "--"]
+    texts = ["Alpha beta gamma", "delta-x $5 a.b", "日本のalpha", "Été ÉTÉ g", "nothing", "alphabet xße ße", "",
+             "an internationalization of a--b", "INTERNATIONAL internationalisation"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     table = spark.createDataFrame([(w,) for w in words], "term string")
     for options in ({}, {"ignore_case": True}, {"word": True}):
@@ -146,3 +148,12 @@ def test_rule_table_beyond_the_bound_is_never_collected(spark):
     rows = spark.createDataFrame([(0, "has term77 inside")], "i int, text string")
     got = sorted(r.term for r in matching.match_rules(rows, F.col("text"), table, "term").collect())
     assert got == ["term7", "term77"]
+
+
+def test_terms_that_begin_alike_are_kept_apart(spark):
+    """A shared beginning does not pair every text with every term."""
+    table = spark.range(500).select(F.format_string("internal system %03d", "id").alias("term"))
+    rows = spark.range(200).select(F.format_string("the internal system %03d here", "id").alias("text"))
+    for pairs in (matching._pairs_by_gram, matching._pairs_by_word):
+        assert pairs(rows, F.col("text"), table, F.col("term")).count() == 200
+    assert matching.match_rules(rows, F.col("text"), table, "term").count() == 200

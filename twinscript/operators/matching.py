@@ -1,8 +1,9 @@
 """Matching texts against rule tables (glossary, phrases, marks, alternatives).
 
 A rule table up to ``INLINE_RULES`` rows becomes literal conditions in one
-projection: no join and no shuffle. A larger one is met by an equi join on the
-first characters of each term, and every candidate is then checked in full.
+projection: no join and no shuffle. A larger one is met by an equi join on a part
+of each term (a few characters, or a word when whole words are asked for) that
+few other terms have, and every candidate is then checked in full.
 """
 
 import re
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 from twinscript import rules
 from twinscript.functions.casing import any_phrase, whole_word
 from twinscript.functions.text import preview, strip_tags
-from twinscript.session import small_table
+from twinscript.session import small_table, staged
 
 INLINE_RULES = 256
-GRAM = 4
+GRAMS = (16, 8, 4, 3, 2, 1)
 BROADCAST_RULES = 200_000
 BROADCAST_CHARS = 16_000_000
 
@@ -33,11 +34,53 @@ def _folded(text: Column) -> Column:
     return F.lower(F.upper(text))
 
 
-def _first_word(text: Column) -> Column:
-    return F.regexp_extract(text, r"(?U)(\w+)", 1)
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(_folded(text), F.lit(r"(?U)\w+"), F.lit(0))
 
 
-def _meet(exploded: DataFrame, keyed: DataFrame) -> DataFrame:
+def _gram_pattern(n: Column) -> Column:
+    """Every position starts a gram: the lookahead matches without moving on."""
+    return F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))"))
+
+
+def _gram_size(term: Column) -> Column:
+    """The largest gram size that fits the term."""
+    size = F.lit(None).cast("int")
+    for n in sorted(GRAMS):
+        size = F.when(F.length(term) >= n, F.lit(n)).otherwise(size)
+    return size
+
+
+def _rarest_key(table: DataFrame, term: Column, candidates: Column) -> DataFrame:
+    """Add ``_key``: the candidate that fewest terms of the table share, null without any.
+
+    Terms often begin or end alike. A key they share would pair each of its texts
+    with each of its terms; the rarest one keeps them apart.
+    """
+    terms = table.select(term.alias("_t")).distinct()
+    keys = terms.select("_t", F.explode(candidates).alias("_k"))
+    shared = keys.groupBy("_k").agg(F.count("*").alias("_n"))
+    rarest = (
+        keys.join(shared, "_k")
+        .groupBy("_t")
+        .agg(F.min(F.struct("_n", (-F.length("_k")).alias("_short"), "_k")).alias("_best"))
+        .select("_t", F.col("_best._k").alias("_key"))
+    )
+    # Read three times from here on: measured, cut by its key sizes, and joined.
+    return staged(table.withColumn("_t", term).join(rarest, "_t", "left").drop("_t"), "rules")
+
+
+def _measure(keyed: DataFrame) -> Row:
+    """Rows, characters and key sizes of a rule table: one small row, whatever the table holds."""
+    chars = sum(F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in keyed.columns)
+    return keyed.agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.sum(chars), F.lit(0)).alias("chars"),
+        F.collect_set(F.least(F.length("_key"), F.lit(max(GRAMS)))).alias("sizes"),
+    ).first()
+
+
+def _meet(exploded: DataFrame, keyed: DataFrame, size: Row) -> DataFrame:
     """Join text keys with rule keys.
 
     The exploded text is always the larger side, though its statistics are those
@@ -45,39 +88,36 @@ def _meet(exploded: DataFrame, keyed: DataFrame) -> DataFrame:
     broadcast, beyond them both sides are sorted on the key and a key that fills
     a partition is split at run time.
     """
-    size = keyed.agg(F.count("*").alias("n"), F.sum(sum(F.length(F.coalesce(F.col(c).cast("string"), F.lit("")))
-                                                        for c in keyed.columns)).alias("chars")).first()
-    if size["n"] <= BROADCAST_RULES and (size["chars"] or 0) <= BROADCAST_CHARS:
-        keyed = F.broadcast(keyed)
-    else:
-        keyed = keyed.hint("merge")
-    return exploded.join(keyed, "_key").drop("_key")
+    small = size["n"] <= BROADCAST_RULES and size["chars"] <= BROADCAST_CHARS
+    return exploded.join(F.broadcast(keyed) if small else keyed.hint("merge"), "_key").drop("_key")
 
 
 def _pairs_by_gram(df: DataFrame, text: Column, table: DataFrame, term: Column) -> DataFrame:
-    """Rows paired with the rules whose first characters occur in ``text``.
+    """Rows paired with the rules of which a gram occurs in ``text``; each pair appears once.
 
-    Terms shorter than a gram are keyed by their whole length, so grams are cut in
-    the sizes such terms have. Each pair appears once.
+    Texts are cut into grams of only those sizes the rules use.
     """
-    keyed = table.withColumn("_key", F.substring(term, 1, GRAM)).filter(F.col("_key") != "")
-    sizes = [r[0] for r in keyed.select(F.length("_key")).distinct().collect()]
-    # Every position starts a gram: the lookahead matches without moving on.
-    grams = [F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
-    cut = F.array_distinct(F.concat(F.array().cast("array<string>"), *grams))
-    return _meet(df.withColumn("_key", F.explode(cut)), keyed)
+    grams = F.array_distinct(
+        F.regexp_extract_all(F.col("_t"), _gram_pattern(_gram_size(F.col("_t"))), F.lit(1))
+    )
+    keyed = _rarest_key(table, term, grams).filter(F.col("_key").isNotNull())
+    size = _measure(keyed)
+    cut = [F.regexp_extract_all(text, _gram_pattern(F.lit(n)), F.lit(1)) for n in sorted(size["sizes"])]
+    found = F.array_distinct(F.concat(F.array().cast("array<string>"), *cut))
+    return _meet(df.withColumn("_key", F.explode(found)), keyed, size)
 
 
 def _pairs_by_word(df: DataFrame, text: Column, table: DataFrame, term: Column) -> DataFrame:
-    """Rows paired with the rules whose first word occurs in ``text`` as a word."""
-    keyed = table.withColumn("_key", _first_word(_folded(term)))
-    found = F.array_distinct(F.regexp_extract_all(_folded(text), F.lit(r"(?U)\w+"), F.lit(0)))
-    worded = _meet(df.withColumn("_key", F.explode(found)), keyed.filter(F.col("_key") != ""))
+    """Rows paired with the rules of which a word is a word of ``text``."""
+    keyed = _rarest_key(table, term, F.array_distinct(_words(F.col("_t"))))
+    found = F.array_distinct(_words(text))
+    with_word = keyed.filter(F.col("_key").isNotNull())
+    worded = _meet(df.withColumn("_key", F.explode(found)), with_word, _measure(with_word))
     # A rule without any word in it can only be met by its characters.
-    unworded = keyed.filter(F.col("_key") == "").drop("_key")
-    if unworded.isEmpty():
+    without = keyed.filter(F.col("_key").isNull()).drop("_key")
+    if without.isEmpty():
         return worded
-    return worded.unionByName(_pairs_by_gram(df, text, unworded, term))
+    return worded.unionByName(_pairs_by_gram(df, text, without, term))
 
 
 def match_rules(

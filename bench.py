@@ -53,6 +53,9 @@ HEADLINE = [
     "deck_cost_report",
 ]
 
+# The operations the published overhead per slide is about.
+STYLE = ["normalize_block", "normalize_batch", "title_case_tagged", "replace_banned", "apply_diagnostics"]
+
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -73,6 +76,7 @@ def main() -> None:
         start = time.perf_counter()
         CATALOG[name][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    slides = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     spark.stop()
     print(
         json.dumps(
@@ -81,6 +85,8 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "slides": slides,
+                "ms_per_slide": {n: round(seconds[n] * 1000 / slides, 3) for n in STYLE if n in seconds},
                 "sf": os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf"),
             }
         )

@@ -40,6 +40,15 @@ def test_number_rows_equals_a_window(spark, hot_deck, many_ranges):
     assert got.filter("rn = want").count() == 20000
 
 
+def test_a_null_group_is_kept(spark, hot_deck, many_ranges):
+    rows = hot_deck.withColumn("deck_id", F.when(F.col("deck_id") != "hot", F.col("deck_id")))
+    order = ["part_name", "para_idx"]
+    numbered = ordering.number_rows(rows, ["deck_id"], order, "rn")
+    assert numbered.filter("deck_id is null").agg(F.count("*"), F.max("rn"), F.countDistinct("rn")).first() == (15000,) * 3
+    ran = ordering.running_totals(rows, ["deck_id"], order, {"n": F.lit(1)})
+    assert ran.filter("deck_id is null").agg(F.max("n")).first()[0] == 15000 and ran.count() == 20000
+
+
 def test_running_totals_equal_a_window(spark, hot_deck, many_ranges):
     order = ["part_name", "para_idx"]
     window = Window.partitionBy("deck_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

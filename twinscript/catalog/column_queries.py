@@ -275,19 +275,19 @@ _LINK = rf"https?://[^{q.WS}]+|www\.[^{q.WS}]+"
 _STUB2, _NOTES2 = spill_sql("tgt", "kind")
 
 
-def _same_counts(a: str, b: str) -> str:
+def same_counts(a: str, b: str) -> str:
     return " AND ".join(
         f"len(regexp_extract_all({a}, '{p}')) = len(regexp_extract_all({b}, '{p}'))" for p in (_NUMBER, _LINK)
     )
 
 
-_TERMS = "NOT EXISTS (SELECT 1 FROM glossary g WHERE contains(src, g.term) AND NOT contains(whole, g.expected))"
+TERMS_KEPT = "NOT EXISTS (SELECT 1 FROM glossary g WHERE contains(src, g.term) AND NOT contains(whole, g.expected))"
 
 
 @query(
     "content_integrity",
     q.using(
-        f"SELECT {ROW}, ({_same_counts('src', 'whole')}) AND {_TERMS} AS intact "
+        f"SELECT {ROW}, ({same_counts('src', 'whole')}) AND {TERMS_KEPT} AS intact "
         f"FROM (SELECT *, ({_STUB2}) || ' ' || ({_NOTES2}) AS whole FROM bilingual)"
     ),
 )
@@ -308,7 +308,7 @@ _STUB3, _SPILL3 = spill_sql("condensed", "kind")
         "CASE action WHEN 'keep' THEN r1 > th * 0.8::DOUBLE WHEN 'condense' THEN r2 > th * 0.85::DOUBLE "
         f"WHEN 'spill' THEN {q.ratio('src', 'stub')} > th * 0.9::DOUBLE ELSE true END AS needs_tightening FROM ("
         "SELECT *, CASE WHEN r1 <= th THEN 'keep' WHEN r2 <= th THEN 'condense' "
-        f"WHEN ({_same_counts('src', 'whole')}) AND {_TERMS} THEN 'spill' ELSE 'condense_unspilled' END AS action FROM ("
+        f"WHEN ({same_counts('src', 'whole')}) AND {TERMS_KEPT} THEN 'spill' ELSE 'condense_unspilled' END AS action FROM ("
         "SELECT *, stub || ' ' || spill AS whole FROM ("
         f"SELECT *, {q.ratio('src', 'tgt')} AS r1, {q.ratio('src', 'condensed')} AS r2, {q.threshold('kind')} AS th, "
         f"{_STUB3} AS stub, {_SPILL3} AS spill FROM (SELECT *, replace(tgt, ' the ', ' ') AS condensed FROM bilingual))))"

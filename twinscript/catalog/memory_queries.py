@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from twinscript.catalog import sql as q
 from twinscript.catalog import workloads as w
+from twinscript.catalog.column_queries import TERMS_KEPT, same_counts, spill_sql
 from twinscript.catalog.registry import query
 from twinscript.functions.script import has_script
 from twinscript.operators import memory as m
 from twinscript.operators import runs
 from twinscript.operators.replies import parse_model_array
+from twinscript.plans import flows
 
 
 @query(
@@ -125,6 +127,34 @@ def translate_missing(spark, sf_dir):
     return out.select("deck_id", "batch_id", "pos_in_batch", "src", "tgt")
 
 
+_ANSWER_STUB, _ANSWER_NOTES = spill_sql("t", "'bullet'")
+_ANSWERS = (
+    "answers AS (SELECT src, CASE WHEN r <= 1.4::DOUBLE THEN t "
+    f"WHEN ({same_counts('src', 'whole')}) AND {TERMS_KEPT} THEN stub ELSE t END AS text FROM ("
+    "SELECT *, stub || ' ' || spill AS whole FROM ("
+    f"SELECT *, {q.ratio('src', 't')} AS r, {_ANSWER_STUB} AS stub, {_ANSWER_NOTES} AS spill FROM "
+    "(SELECT DISTINCT src, 'EN ' || src AS t FROM missing)))), "
+    f"styled AS (SELECT src, CASE {q.kind('text')} WHEN 'title' THEN norm ELSE {q.bullet_fragment('norm', '.;:。；：')} END AS new "
+    f"FROM (SELECT *, {q.normalize_mechanics('text')} AS norm FROM answers))"
+)
+
+
+@query(
+    "translate_corpus",
+    q.using(
+        "SELECT deck_id, part_name AS slide, para_idx AS idx, text AS src, coalesce(new, tgt, text) AS tgt "
+        "FROM segments s LEFT JOIN styled n ON s.text = n.src LEFT JOIN tm m ON s.text = m.src",
+        _DISTINCT, _MISSING, _ANSWERS,
+    ),
+)
+def translate_corpus(spark, sf_dir):
+    """The whole flow: gaps, batches, calls, length and style rules, memory, lookup."""
+    out = flows.translate_corpus(
+        w.segments(spark, sf_dir), w.memory(spark, sf_dir), lambda texts: [f"EN {t}" for t in texts], w.glossary(spark)
+    )
+    return out.bilingual
+
+
 _VOTES = "votes AS (SELECT src, tgt, count(*) AS votes FROM tm_runs GROUP BY ALL)"
 
 

@@ -5,6 +5,8 @@ ordered data into ranges first, so that one deck may hold any share of all rows:
 a range boundary falls inside a large group like anywhere else.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,14 @@ def _offsets(per_chunk: DataFrame, by: list[str], names: list[str]) -> DataFrame
     ).filter("_n > 0").drop("_n")
 
 
+def _attach(rows: DataFrame, per_chunk: DataFrame, by: list[str], how: str, broadcast: bool = False) -> DataFrame:
+    """Join per-range values to the rows of their range; a null group is a group too."""
+    keys = [*by, "_chunk"]
+    side = per_chunk.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return rows.join(F.broadcast(side) if broadcast else side, same, how).drop(*[f"_of_{k}" for k in keys])
+
+
 def number_rows(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
     """``row_number`` by group, exact, with one range shuffle.
 
@@ -40,10 +50,9 @@ def number_rows(df: DataFrame, by: list[str], order: list[str], name: str) -> Da
     per_chunk = ranged.groupBy(*by, "_chunk").agg(F.min("_seq").alias("_start"), F.count("*").alias("rows"))
     before = _offsets(per_chunk, by, ["rows"])
     starts = per_chunk.select(*by, "_chunk", "_start")
+    placed = _attach(_attach(ranged, starts, by, "inner"), before, by, "left", broadcast=True)
     return (
-        ranged.join(starts, [*by, "_chunk"])
-        .join(F.broadcast(before), [*by, "_chunk"], "left")
-        .withColumn(name, F.col("_seq") - F.col("_start") + 1 + F.coalesce("_before_rows", F.lit(0)))
+        placed.withColumn(name, F.col("_seq") - F.col("_start") + 1 + F.coalesce("_before_rows", F.lit(0)))
         .drop("_chunk", "_seq", "_start", "_before_rows")
     )
 
@@ -60,9 +69,9 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], totals: dict[
     inside = (
         Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    summed = ranged.withColumns({n: F.sum(n).over(inside) for n in names})
     return (
-        ranged.withColumns({n: F.sum(n).over(inside) for n in names})
-        .join(F.broadcast(before), [*by, "_chunk"], "left")
+        _attach(summed, before, by, "left", broadcast=True)
         .withColumns({n: F.col(n) + F.coalesce(f"_before_{n}", F.lit(0)) for n in names})
         .drop("_chunk", *[f"_before_{n}" for n in names])
     )

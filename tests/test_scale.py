@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from twinscript.operators import decks, islands, matching, memory, ordering
 from twinscript.operators.segments import sample_first_blocks
+from twinscript.session import small_table
 
 
 @pytest.fixture(scope="module")
@@ -135,11 +136,11 @@ def test_deck_audit_pages(spark):
 
 def test_large_rule_tables_give_the_same_pairs(spark):
     words = ["alpha", "Beta", "g", "delta-x", "日本", "été", "a.b", "$5", "beta gamma", "ße",
-             "internationalization", "internationalisation", "international", "--"]
+             "internationalization", "internationalisation", "international", "--", "ΣΟΦΟΣ", "kiſs"]
     texts = ["Alpha beta gamma", "delta-x $5 a.b", "日本のalpha", "Été ÉTÉ g", "nothing", "alphabet xße ße", "",
-             "an internationalization of a--b", "INTERNATIONAL internationalisation"]
+             "an internationalization of a--b", "INTERNATIONAL internationalisation", "σοφος σοφοσ KISS"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
-    table = spark.createDataFrame([(w,) for w in words], "term string")
+    table = small_table(spark, [(w,) for w in words], "term string")
     for options in ({}, {"ignore_case": True}, {"word": True}):
         pairs = [
             sorted(

@@ -64,6 +64,11 @@ def tag_balance(spark, sf_dir):
     return audits.tag_balance(w.bilingual(spark, sf_dir))
 
 
+@query("tags_union", q.using("SELECT DISTINCT deck_id, tag FROM tags", _BARE, _TAGS))
+def tags_union(spark, sf_dir):
+    return audits.tags_union(w.bilingual(spark, sf_dir))
+
+
 _LOW = f"low AS (SELECT *, lower(bare) AS b FROM rows)"
 _TERMS = (
     "term_rows AS (SELECT deck_id, term, count(DISTINCT variant) AS n_variants FROM low JOIN (SELECT term, expected AS variant FROM glossary UNION "

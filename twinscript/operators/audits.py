@@ -100,10 +100,24 @@ def audit_length(
     return found_in(audited, ROW, let(strip_text(strip_tags(F.col("tgt"))), finding))
 
 
+def opened_tags(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"\[([^/][^\]]*)\]"), F.lit(1))
+
+
+def closed_tags(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"\[/([^\]]+)\]"), F.lit(1))
+
+
+def tags_union(bilingual: DataFrame) -> DataFrame:
+    """Distinct tags of each deck, opened or closed."""
+    tgt = F.col("tgt")
+    both = F.array_union(opened_tags(tgt), closed_tags(tgt))
+    return bilingual.filter(tgt.contains("[")).select("deck_id", F.explode(both).alias("tag")).distinct()
+
+
 def unbalanced_tags(text: Column) -> Column:
     """``array<struct(tag, open_count, close_count)>`` of tags whose counts differ."""
-    opened = F.regexp_extract_all(text, F.lit(r"\[([^/][^\]]*)\]"), F.lit(1))
-    closed = F.regexp_extract_all(text, F.lit(r"\[/([^\]]+)\]"), F.lit(1))
+    opened, closed = opened_tags(text), closed_tags(text)
 
     def compare(both: Column) -> Column:
         counts = F.transform(

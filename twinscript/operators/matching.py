@@ -29,9 +29,14 @@ def bounded_rows(table: DataFrame, limit: int = INLINE_RULES) -> list[Row] | Non
     return rows if len(rows) <= limit else None
 
 
+# Letters whose lower case is their own but which a pattern that ignores case
+# takes for another letter, and those letters.
+LOOKALIKES = ("ſςıµϐϑϕϖϰϱϵẛ", "sσiμβθφπκρεṡ")
+
+
 def _folded(text: Column) -> Column:
     """One form for all spellings that differ in case only."""
-    return F.lower(F.upper(text))
+    return F.translate(F.lower(F.translate(text, "İ", "i")), *LOOKALIKES)
 
 
 def _words(text: Column) -> Column:

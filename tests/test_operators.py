@@ -99,6 +99,14 @@ def test_banned_and_marks(spark):
     assert found == {(1, "、"), (1, "。"), (2, "「"), (2, "」")}
 
 
+def test_phrases_that_differ_in_case(spark):
+    rows = spark.createDataFrame([("d", "s", 0, "", "robust Robust x")], ROW)
+    banned = matching.dict_table(spark, {"Robust": "first", "robust": "second"}, "phrase", "suggested")
+    for inline in (256, 0):
+        got = sorted((r.word, r.suggested) for r in matching.banned_word_matches(rows, banned, inline=inline).collect())
+        assert got == [("Robust", "second"), ("robust", "second")]
+
+
 def test_bullet_checks(spark):
     rows = spark.createDataFrame(
         [(0, "[li-1] Increase revenue."), (1, "• Expand to APAC;"), (2, "• Expand to APAC. Start with Japan.")],

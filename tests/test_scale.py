@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from twinscript.operators import decks, islands, matching, memory, ordering
 from twinscript.operators.segments import sample_first_blocks
-from twinscript.session import small_table
+from twinscript.session import shuffle_partitions, small_table
 
 
 @pytest.fixture(scope="module")
@@ -167,3 +167,9 @@ def test_terms_that_begin_alike_are_kept_apart(spark):
     for pairs in (matching._pairs_by_gram, matching._pairs_by_word):
         assert pairs(rows, F.col("text"), table, F.col("term")).count() == 200
     assert matching.match_rules(rows, F.col("text"), table, "term").count() == 200
+
+
+def test_shuffle_sizing():
+    assert shuffle_partitions(10 * 2**20, 8) == 16
+    assert shuffle_partitions(2**40, 400) == 4096
+    assert shuffle_partitions(100 * 2**40, 4000) == 50_000

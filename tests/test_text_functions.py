@@ -85,8 +85,8 @@ def test_normalize_block(values):
 
 
 def test_unescape(values):
-    rows = ["&lt;tag&gt; &amp; &quot;x&quot;", "&#x3042;&#12354;", "&amp;lt;", "&#1114112;", "plain"]
-    want = ['<tag> & "x"', "ああ", "&lt;", "�", "plain"]
+    rows = ["&lt;tag&gt; &amp; &quot;x&quot;", "&#x3042;&#12354;", "&amp;lt;", "&#1114112;", "plain", "&#38;lt; &middot;&copy; &nope; &"]
+    want = ['<tag> & "x"', "ああ", "&lt;", "�", "plain", "&lt; ·© &nope; &"]
     assert values(rows, "s string", lambda c: text.unescape_markup(c("s"))) == want
 
 

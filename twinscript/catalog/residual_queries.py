@@ -144,7 +144,7 @@ _BLOCKS = (
 )
 _JOINED = q.replace_chain(
     "array_to_string(regexp_extract_all(regexp_replace(html, '<br\\s*/?>', chr(10), 'g'), '(?s)<p>(.*?)</p>', 1), '')",
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"),
+    ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"),
 )
 
 

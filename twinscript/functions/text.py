@@ -146,24 +146,33 @@ def classify_kind_by_length(text: Column) -> Column:
     return F.when(word_count(text) <= rules.TITLE_MAX_WORDS, "title").otherwise("bullet")
 
 
+# The named entities of XML.
+XML_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+
+
+def _code_point(ref: Column) -> Column:
+    """The character of a numeric reference; an impossible number is the replacement character."""
+    digits = F.upper(F.regexp_extract(ref, r"&#[xX]?([0-9A-Fa-f]+);", 1))
+    as_hex = F.lpad(F.when(ref.rlike("^&#[xX]"), digits).otherwise(F.conv(digits, 10, 16)), 8, "0")
+    valid = (as_hex > "00000000") & (as_hex <= "0010FFFF") & ~as_hex.between("0000D800", "0000DFFF")
+    return F.when(valid, F.decode(F.unhex(as_hex), "UTF-32")).otherwise("\ufffd")
+
+
 def unescape_markup(text: Column) -> Column:
-    """Numeric references and the entities every XML reader knows, ``&amp;`` last.
+    """Decode character references in one pass, so that ``&amp;lt;`` becomes ``&lt;``.
 
-    A numeric reference is decoded from its code point, so no entity table is
-    carried along.
+    Names beyond those of XML come from the standard library's table; unknown
+    ones stay as they are.
     """
-    def code_point(ref: Column) -> Column:
-        hexa = ref.rlike("^&#[xX]")
-        digits = F.upper(F.regexp_extract(ref, r"&#[xX]?([0-9A-Fa-f]+);", 1))
-        as_hex = F.lpad(F.when(hexa, digits).otherwise(F.conv(digits, 10, 16)), 8, "0")
-        valid = (as_hex > "00000000") & (as_hex <= "0010FFFF") & ~as_hex.between("0000D800", "0000DFFF")
-        return F.when(valid, F.decode(F.unhex(as_hex), "UTF-32")).when(ref.isNotNull(), "\ufffd")
-
-    plain = F.when(
-        text.contains("&#"),
-        splice(text, r"&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});", lambda ref, _: code_point(ref)),
-    ).otherwise(text)
-    # The named entities of XML.
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return plain
+    from html.entities import html5
+
+    named = F.create_map(*[F.lit(x) for name, char in html5.items() if name.endswith(";") for x in (f"&{name}", char)])
+
+    def decode(ref: Column) -> Column:
+        decoded = F.when(ref.startswith("&#"), _code_point(ref))
+        for entity, char in XML_ENTITIES.items():
+            decoded = decoded.when(ref == entity, char)
+        return F.when(ref.isNotNull(), decoded.otherwise(F.coalesce(F.try_element_at(named, ref), ref)))
+
+    pattern = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+    return F.when(text.contains("&"), splice(text, pattern, lambda ref, _: decode(ref))).otherwise(text)

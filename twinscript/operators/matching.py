@@ -304,7 +304,8 @@ def banned_phrase_flags(df: DataFrame, banned: DataFrame, text: str = "text", **
 def banned_matches(text: Column, banned: dict[str, str]) -> Column:
     """``array<struct(word, suggested)>``: every match of one combined pattern, left to right."""
     hits = F.regexp_extract_all(text, F.lit(any_phrase(list(banned))), F.lit(0))
-    suggestion = F.create_map(*[F.lit(x) for k, v in banned.items() for x in (k.lower(), v)])
+    by_word = {k.lower(): v for k, v in banned.items()}
+    suggestion = F.create_map(*[F.lit(x) for entry in by_word.items() for x in entry])
     return F.transform(
         hits,
         lambda m: F.struct(
@@ -342,13 +343,10 @@ def banned_word_matches(
             F.array_sort(F.collect_list(F.struct("place", "phrase", "suggested"))).alias("_found")
         )
         pattern = F.expr(r"concat('(?iU)', array_join(transform(_found, f -> concat('\\b\\Q', f.phrase, '\\E\\b')), '|'))")
-        suggestion = F.map_from_entries(
-            F.transform("_found", lambda f: F.struct(F.lower(f["phrase"]), f["suggested"]))
-        )
-        rows = (
-            per_row.withColumn("_suggestion", suggestion)
-            .withColumn("word", F.explode(F.regexp_extract_all(F.col("_bare"), pattern, F.lit(0))))
-            .withColumn("suggested", F.coalesce(F.try_element_at("_suggestion", F.lower("word")), F.lit("review")))
+        # Of phrases that differ in case only the last one speaks, as in a dictionary by lower case.
+        same = F.filter("_found", lambda f: F.lower(f["phrase"]) == F.lower("word"))
+        rows = per_row.withColumn("word", F.explode(F.regexp_extract_all(F.col("_bare"), pattern, F.lit(0)))).withColumn(
+            "suggested", F.coalesce(F.try_element_at(same, F.lit(-1))["suggested"], F.lit("review"))
         )
     return rows.select(*keys, "word", "suggested", preview(F.col("_bare"), 60).alias("context"))
 

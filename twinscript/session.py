@@ -9,8 +9,29 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def build_session(app_name: str = "twinscript", master: str | None = None, **options: str) -> SparkSession:
-    """A session with adaptive execution; ``options`` override single settings."""
+SHUFFLE_BYTES = 256 * 2**20
+MAX_SHUFFLE_PARTITIONS = 50_000
+
+
+def shuffle_partitions(input_bytes: int, cores: int) -> int:
+    """Partitions to start a shuffle of ``input_bytes`` with: small enough to sort in memory, two per core at least.
+
+    Adaptive execution merges small ones afterwards but never splits large ones.
+    """
+    return max(2 * cores, min(MAX_SHUFFLE_PARTITIONS, -(-input_bytes // SHUFFLE_BYTES)))
+
+
+def build_session(
+    app_name: str = "twinscript",
+    master: str | None = None,
+    input_bytes: int | None = None,
+    cores: int = 1,
+    **options: str,
+) -> SparkSession:
+    """A session with adaptive execution; ``options`` override single settings.
+
+    ``input_bytes`` (what a job reads) and ``cores`` (of the cluster) size its shuffles.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -19,8 +40,11 @@ def build_session(app_name: str = "twinscript", master: str | None = None, **opt
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        **options,
     }
+    if input_bytes is not None:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions(input_bytes, cores))
+        settings["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = "128m"
+    settings.update(options)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -1,6 +1,8 @@
 """Whitespace, tags, punctuation, words and previews."""
 
+import json
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -164,9 +166,8 @@ def unescape_markup(text: Column) -> Column:
     Names beyond those of XML come from the standard library's table; unknown
     ones stay as they are.
     """
-    from html.entities import html5
-
-    named = F.create_map(*[F.lit(x) for name, char in html5.items() if name.endswith(";") for x in (f"&{name}", char)])
+    table = json.dumps({f"&{name}": char for name, char in html5.items() if name.endswith(";")})
+    named = F.from_json(F.lit(table), "map<string,string>")
 
     def decode(ref: Column) -> Column:
         decoded = F.when(ref.startswith("&#"), _code_point(ref))

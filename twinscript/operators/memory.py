@@ -1,6 +1,7 @@
 """The translation memory: lookup, gaps, overlay, cleaning.
 
-The memory may be as large as the corpus. Lookups are equi joins on the text;
+A memory (``src, tgt``) has one row per source; :func:`merge_tm` makes one out of
+several tables. It may be as large as the corpus. Lookups are equi joins on the text;
 a memory that turns out small is broadcast, and the rows of a text that holds a
 large share of them are split over tasks (:mod:`joins`).
 """

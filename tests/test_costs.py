@@ -83,3 +83,14 @@ def test_tokenizer_hook(spark):
     blocks = spark.createDataFrame([("d", "one two"), ("d", "three")], "deck_id string, text string")
     row = costs.token_totals(blocks, costs.tokenizer(str.split)).first()
     assert row["tokens"] == 3
+
+
+def test_each_model_counts_with_its_own_encoder(spark):
+    blocks = spark.createDataFrame([("d", "one two three")], "deck_id string, text string")
+    rates = spark.createDataFrame(
+        [("a:p", "a", 1e6, None, None, None, None, "words"), ("a:r", "a", 1e6, None, None, None, None, "unknown")],
+        schemas.PRICING,
+    )
+    encoders = {"words": str.split, "o200k_base": list}
+    row = costs.deck_cost_report(blocks, rates, "a:p", "a:r", encoders=encoders).first()
+    assert (row["producer_cost"], row["reviewer_cost"], row["tokens"]) == (3.0, 13.0, 3)

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from twinscript import rules, schemas
@@ -41,30 +41,43 @@ def tokenizer(encode: Callable[[str], list] | None = None) -> Callable[[Column],
     return count
 
 
+def tokenizer_for(name: str | None, encoders: dict[str, Callable[[str], list]] | None = None) -> Callable[[Column], Column]:
+    """The counter of a named encoding; unknown names fall back to the default one, then to characters."""
+    encoders = encoders or {}
+    return tokenizer(encoders.get(name, encoders.get(rules.DEFAULT_TOKENIZER)))
+
+
 def token_totals(
-    blocks: DataFrame, count_tokens: Callable[[Column], Column] | None = None, cls: str = rules.SCRIPT_COST
+    blocks: DataFrame,
+    count_tokens: Callable[[Column], Column] | None = None,
+    cls: str = rules.SCRIPT_COST,
+    **more: Callable[[Column], Column],
 ) -> DataFrame:
-    """Blocks, tokens and source-script characters per deck."""
-    count_tokens = count_tokens or tokenizer()
+    """Blocks, tokens and source-script characters per deck.
+
+    ``more`` adds a column of tokens per further counter.
+    """
+    counters = {"tokens": count_tokens or tokenizer(), **more}
     return blocks.groupBy("deck_id").agg(
         F.count("*").alias("n_blocks"),
-        F.sum(count_tokens(F.col("text"))).alias("tokens"),
+        *[F.sum(count(F.col("text"))).alias(name) for name, count in counters.items()],
         F.sum(count_script_chars(F.col("text"), cls)).alias("script_chars"),
     )
 
 
-def _price_rows(pricing: DataFrame, models: list[str]) -> Column:
-    """The asked-for price rows as a literal array; its length is the caller's list."""
+def _price_rows(pricing: DataFrame, models: list[str]) -> list[Row]:
+    """The asked-for price rows; there are as many as the caller named."""
     known = {r["model"]: r for r in pricing.filter(F.col("model").isin(models)).collect()}
     missing = [m for m in models if m not in known]
     if missing:
         raise ValueError(f"unknown model: {', '.join(missing)}")
-    types = {f.name: f.dataType for f in pricing.schema}
-    return F.array(
-        *[
-            F.struct(*[F.lit(known[m][c]).cast(types[c]).alias(c) for c in ("model", "provider", *RATES, "tokenizer")])
-            for m in models
-        ]
+    return [known[m] for m in models]
+
+
+def _literal(row: Row) -> Column:
+    text = ("model", "provider", "tokenizer")
+    return F.struct(
+        *[F.lit(row[c]).cast("string").alias(c) for c in text], *[F.lit(row[c]).cast("double").alias(c) for c in RATES]
     )
 
 
@@ -74,10 +87,12 @@ def deck_workload(
     prefix_tokens: int = 0,
     expansion: float = rules.EXPANSION,
     chars_per_token: float = rules.CHARS_PER_TOKEN,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Token totals with requests and estimated output."""
     return totals.select(
         "deck_id",
+        *(keep or []),
         "n_blocks",
         "script_chars",
         "tokens",
@@ -96,7 +111,7 @@ def price_alternatives(
         price["provider"], F.col("tokens"), F.col("prefix_tokens"), F.col("n_requests"), no_cache, charge_write
     )
     return (
-        workload.withColumn("_p", F.explode(_price_rows(pricing, models)))
+        workload.withColumn("_p", F.explode(F.array(*[_literal(r) for r in _price_rows(pricing, models)])))
         .withColumn("_parts", parts)
         .select(
             "deck_id",
@@ -120,27 +135,31 @@ def deck_cost_report(
     chars_per_token: float = rules.CHARS_PER_TOKEN,
     no_cache: bool = False,
     charge_write: bool = False,
-    count_tokens: Callable[[Column], Column] | None = None,
+    encoders: dict[str, Callable[[str], list]] | None = None,
+    reviewer_prefix_tokens: int | None = None,
 ) -> DataFrame:
     """One row per deck: size, requests, and what producing and reviewing it costs.
 
-    The reviewer reads the same input and answers with next to nothing.
+    The reviewer reads the same input and answers with next to nothing. Each model
+    counts tokens with the encoder its price row names, when ``encoders`` has it.
     """
-    prices = _price_rows(pricing, [producer, reviewer])
-    work = deck_workload(
-        token_totals(blocks, count_tokens), batch_size, prefix_tokens, expansion, chars_per_token
-    ).withColumn("_prices", prices)
-
-    def cost(i: int, out: Column) -> Column:
-        price = F.col("_prices")[i]
-        parts = input_parts(
-            price["provider"], F.col("tokens"), F.col("prefix_tokens"), F.col("n_requests"), no_cache, charge_write
-        )
+    producing, reviewing = _price_rows(pricing, [producer, reviewer])
+    totals = token_totals(
+        blocks,
+        tokenizer_for(producing["tokenizer"], encoders),
+        reviewer_tokens=tokenizer_for(reviewing["tokenizer"], encoders),
+    )
+    work = deck_workload(totals, batch_size, prefix_tokens, expansion, chars_per_token, keep=["reviewer_tokens"])
+
+    def cost(row: Row, tokens: str, prefix: Column, out: Column) -> Column:
+        price = _literal(row)
+        parts = input_parts(price["provider"], F.col(tokens), prefix, F.col("n_requests"), no_cache, charge_write)
         return estimate_cost(parts, out, price)
 
+    reviewer_prefix = F.lit(prefix_tokens if reviewer_prefix_tokens is None else reviewer_prefix_tokens)
     return (
-        work.withColumn("producer_cost", cost(0, F.col("out_tokens")))
-        .withColumn("reviewer_cost", cost(1, F.lit(0)))
+        work.withColumn("producer_cost", cost(producing, "tokens", F.col("prefix_tokens"), F.col("out_tokens")))
+        .withColumn("reviewer_cost", cost(reviewing, "reviewer_tokens", reviewer_prefix, F.lit(0)))
         .select(
             "deck_id", "n_blocks", "n_requests", "script_chars", "tokens", "out_tokens", "producer_cost", "reviewer_cost",
             (F.col("producer_cost") + F.col("reviewer_cost")).alias("total_cost"),

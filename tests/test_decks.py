@@ -117,6 +117,13 @@ def test_bilingual_csv(spark, tmp_path):
     ]
 
 
+def test_bilingual_csv_with_dos_line_ends(spark, tmp_path):
+    path = tmp_path / "b.csv"
+    path.write_bytes("slide_xml,paragraph_idx,Japanese,English\r\ns1,0,日,day\r\ns1,1,\"二\n行\",\"two, lines\"\r\n".encode())
+    got = sorted((r.slide, r.idx, r.src, r.tgt) for r in files.read_bilingual_csv(spark, str(path), "d").collect())
+    assert got == [("s1", 0, "日", "day"), ("s1", 1, "二\n行", "two, lines")]
+
+
 def test_kv_json_and_pricing(spark, tmp_path):
     (tmp_path / "tm.json").write_text(json.dumps({"日": "day", "x": ""}, ensure_ascii=False, indent=2), encoding="utf-8")
     got = {r.src: r.tgt for r in files.read_kv_json(spark, str(tmp_path / "tm.json"), "src", "tgt").collect()}
@@ -156,3 +163,13 @@ def test_memory_versions(spark, tmp_path):
     assert [tuple(r) for r in clean_memory(spark, path, "001", "002").collect()] == [("日", "day")]
     assert files.read_tm(spark, path, "001").count() == 3
     assert files.read_tm(spark, path).count() == 1
+
+
+def test_csv_round_trip_keeps_texts_whole(spark, tmp_path):
+    texts = ["  lead", "trail  ", 'q"u"ote', "a,b", "two\nlines", "cr\rhere", "crlf\r\nend", "back\\slash\\", "\ttab\t", "", "　日本　", '"', "\\\""]
+    rows = [("d", "s", i, t, t, "title") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "deck_id string, slide string, idx long, src string, tgt string, kind string")
+    path = str(tmp_path / "out")
+    files.write_bilingual(df, path)
+    got = {r.idx: (r.src, r.tgt) for r in files.read_bilingual_csv(spark, path).collect()}
+    assert got == {i: (t, t) for i, t in enumerate(texts)}

@@ -7,6 +7,11 @@ from twinscript import rules, schemas
 from twinscript.functions.text import classify_kind_by_length
 
 CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+# Texts are written whole: the writer would trim them by default.
+CSV_OUT = {
+    "header": "true", "quote": '"', "escape": '"', "quoteAll": "true",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def parse_kv_json(df: DataFrame, column: str, key: str = "key", value: str = "value") -> DataFrame:
@@ -80,7 +85,7 @@ def write_bilingual(df: DataFrame, path: str) -> None:
         F.col("idx").alias("paragraph_idx"),
         F.col("src").alias("Japanese"),
         F.col("tgt").alias("English"),
-    ).write.options(header="true", quote='"', escape='"', quoteAll="true").csv(path)
+    ).write.options(**CSV_OUT).csv(path)
 
 
 def write_tm(df: DataFrame, path: str, version: str) -> None:
@@ -128,4 +133,4 @@ def write_issue_report(issues: DataFrame, path: str) -> None:
     """The six report columns as CSV."""
     issues.select(
         "category", "slide", F.col("idx").alias("index"), "issue_type", "description", "suggested_fix"
-    ).write.options(header="true", quote='"', escape='"', quoteAll="true").csv(path)
+    ).write.options(**CSV_OUT).csv(path)

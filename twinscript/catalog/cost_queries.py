@@ -113,13 +113,13 @@ _ASKED = "(" + ", ".join(q.quote(m) for m in MODELS) + ")"
     q.using(
         "SELECT deck_id, model, uncached_in, cached_in, read_tokens AS cached_read, write_tokens AS cached_write, out_tokens, "
         "coalesce(\"in\", out, in_cached, cached_read, cached_write) IS NOT NULL AS priced, "
-        f"round({_price()}, 6) AS cost FROM priced WHERE model IN {_ASKED}",
+        f"round({_price()}, 10) AS cost FROM priced WHERE model IN {_ASKED}",
         _WORK, _PRICES, _PARTS,
     ),
 )
 def price_alternatives(spark, sf_dir):
     return costs.price_alternatives(_work(spark, sf_dir), costs.default_pricing(spark), MODELS).withColumn(
-        "cost", F.round("cost", 6)
+        "cost", F.round("cost", 10)
     )
 
 
@@ -197,8 +197,8 @@ def unknown_models(spark, sf_dir):
 @query(
     "deck_cost_report",
     q.using(
-        "SELECT deck_id, n_blocks, n_requests, script_chars, tokens, out_tokens, round(pc, 6) AS producer_cost, "
-        "round(rc, 6) AS reviewer_cost, round(pc + rc, 6) AS total_cost FROM ("
+        "SELECT deck_id, n_blocks, n_requests, script_chars, tokens, out_tokens, round(pc, 10) AS producer_cost, "
+        "round(rc, 10) AS reviewer_cost, round(pc + rc, 10) AS total_cost FROM ("
         f"SELECT a.*, {_price('a.out_tokens', 'a.')} AS pc, {_price('0', 'b.')} AS rc "
         "FROM priced a JOIN priced b USING (deck_id) WHERE a.model = 'openai:gpt-5' AND b.model = 'openai:gpt-5-mini')",
         _WORK, _PRICES, _PARTS,
@@ -206,4 +206,4 @@ def unknown_models(spark, sf_dir):
 )
 def deck_cost_report(spark, sf_dir):
     report = costs.deck_cost_report(w.segments(spark, sf_dir), costs.default_pricing(spark), prefix_tokens=2000)
-    return report.withColumns({c: F.round(c, 6) for c in ("producer_cost", "reviewer_cost", "total_cost")})
+    return report.withColumns({c: F.round(c, 10) for c in ("producer_cost", "reviewer_cost", "total_cost")})

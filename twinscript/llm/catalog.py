@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscript.llm import packing, quality, simhash, topk, toxicity
+from twinscript.llm import extraction, licenses, mixing, packing, quality, simhash, substrings, topk, toxicity
 from twinscript.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(read(spark, sf_dir, "documents"), window=35).drop("removed")
+
+
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
 
@@ -48,10 +56,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents")).select(*columns)
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(read(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_main_text(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
+    "op2_substring_dedup": (op2_substring_dedup, None),
+    "op3_license_scans": (op3_license_scans, licenses.license_sql()),
     "op4_exact_top_k": (op4_exact_top_k, OP4_SQL),
     "op5_toxicity": (op5_toxicity, None),
     "op8_simhash_near_dedup": (op8_simhash_near_dedup, None),
     "op6_quality_rules": (op6_quality_rules, None),
+    "op9_source_mixing": (op9_source_mixing, None),
+    "op10_html_extraction": (op10_html_extraction, None),
 }

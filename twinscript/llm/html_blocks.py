@@ -18,6 +18,7 @@ ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
 }
+MEANING = {"article", "aside", "dialog", "footer", "form", "header", "main", "nav"}
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 TELLING = {"class", "id", "role", "aria-label", "itemprop"}
 
@@ -124,8 +125,8 @@ def _bin(value: float, edges: list[float]) -> int:
 
 def features(blocks: list[Block]) -> list[list[str]]:
     """Names of what holds for each block: ancestors, their names, and the shape of its text."""
-    out, n = [], len(blocks)
-    for i, b in enumerate(blocks):
+    out = []
+    for b in blocks:
         size = len(b.text)
         f = {f"tag {t}" for t in b.tags} | {f"name {w}" for w in b.names}
         f |= {f"near {w}" for names in b.near for w in names}
@@ -134,7 +135,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
         f.add(f"linked {_bin(b.linked / max(1, size), [0.01, 0.3, 0.7])}")
         f.add(f"ends {b.text[-1] in '.!?:;…»”'}")
         f.add(f"commas {_bin(b.text.count(','), [1, 3])}")
-        f.add(f"place {_bin(i / n, [0.1, 0.9])}")
+        f.add(f"within {next((t for t in reversed(b.tags) if t in MEANING), '')}")
         if b.hidden:
             f.add("hidden")
         if "©" in b.text:

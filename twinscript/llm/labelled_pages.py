@@ -99,8 +99,7 @@ class Drawer:
                 a, b, c = self.some(1, 5), self.some(1, 3), self.sentences(1, 3)
                 add("p", f"{a} {b} {c}", f"{a} <a href='/x'>{b}</a> {c}")
             elif kind < 0.45:
-                s = self.sentences(1, 1)
-                add("p", s)
+                add("p", self.sentences(1, 1) if r.random() < 0.5 else self.some(1, 3) + r.choice([".", "", "!"]))
             elif kind < 0.6:
                 s = self.sentences(1, 3)
                 add("p", s, f"<b>{s}<br>", r.random() < 0.5)
@@ -125,7 +124,7 @@ class Drawer:
         return f"<html><head><title>{lines[0]}</title></head><body>{wrapped}</body></html>", "\n".join(lines)
 
 
-def drawn_pages(n: int = 900, seed: int = 5) -> list[tuple[str, str]]:
+def drawn_pages(n: int = 700, seed: int = 5) -> list[tuple[str, str]]:
     """``n`` pages as (html, main text)."""
     drawer = Drawer(seed)
     return [drawer.page() for _ in range(n)]

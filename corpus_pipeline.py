@@ -1,8 +1,9 @@
 """The corpus pipeline: quality rules, near and substring duplicates, mixing, packing."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinscript.llm import quality
+from twinscript.llm import mixing, packing, quality, simhash, substrings
 from twinscript.llm.tables import read, staged
 
 
@@ -11,10 +12,35 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.keep_one(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 35 words or more that occur elsewhere too are taken out."""
+    return substrings.without_repeats(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are left out or repeated so that the sources meet their weights."""
+    return mixing.mixed(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a training sequence."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality_rules", quality_stage),
+    ("simhash_near_dedup", near_dedup_stage),
+    ("substring_dedup", substring_stage),
+    ("source_mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
+# Hash tables, tokens and the permutation have no counterpart in SQL.
 ORACLE_SQL = None
 
 

@@ -195,4 +195,7 @@ def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     # The references are five rows, written down so that they are summed once.
     reference = staged(references(figures, limits), "quality-reference")
     inner = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang")
-    return judged(measures(inner, ["_row"]), reference, limits).filter("_kept").select("_row.*")
+    # Written down before it is filtered: a filter on the verdict would be moved below the projections
+    # that lead to it, and every array would be computed once for each of its uses.
+    verdicts = judged(measures(inner, ["_row"]), reference, limits).select("_row", "_kept")
+    return staged(verdicts, "quality-verdicts").filter("_kept").select("_row.*")

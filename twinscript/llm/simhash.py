@@ -17,10 +17,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinscript.llm.tables import staged, text_of
+from twinscript.llm.packing import blocks
+from twinscript.llm.repeats import mix
+from twinscript.llm.tables import content_key, staged, text_of
 from twinscript.operators.joins import join_hot
 
 BITS, WIDEST, SEED = 64, 3, 42
@@ -30,13 +32,14 @@ PIVOTS = 24
 PAIRS_AT_ONCE = 2_000_000
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
-    """Reference fingerprints: hashes of their own numbers."""
-    return np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), SEED) for i in range(n)], np.uint64)
+def pivots(lanes: int, n: int = PIVOTS) -> np.ndarray:
+    """Reference fingerprints of 64 bits a lane: hashes of their own numbers."""
+    made = [xxhash.xxh64_intdigest(i.to_bytes(4, "little"), SEED) for i in range(n * lanes)]
+    return np.array(made, np.uint64).reshape(n, lanes)
 
 
-def _fingerprints(texts: list[str], shingle: int) -> np.ndarray:
-    """Majority bits of each text's shingle hashes; all zero for a text without a word."""
+def _shingle_hashes(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles, repeats included, and their number per text (none for a text without a word)."""
     hashes, sizes = [], []
     for text in texts:
         words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -50,35 +53,35 @@ def _fingerprints(texts: list[str], shingle: int) -> np.ndarray:
         last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
         hashes.extend(xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist()))
         sizes.append(n)
-    sizes = np.array(sizes, np.int64)
-    out = np.zeros(len(texts), np.uint64)
-    if not hashes:
-        return out
+    return np.array(hashes, np.uint64), np.array(sizes, np.int64)
+
+
+def _majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bits set in over half of each text's hashes; zero without one."""
+    out = np.zeros(len(sizes), np.uint64)
     full = np.flatnonzero(sizes)
-    begin = np.concatenate([[0], np.cumsum(sizes[full])])
-    hashes = np.array(hashes, np.uint64)
-    # In pieces, so that the unpacked bits of long texts stay small.
+    if not len(full):
+        return out
     votes = np.zeros((len(full), BITS), np.int64)
     owner = np.repeat(np.arange(len(full)), sizes[full])
+    # In pieces, so that the unpacked bits of long texts stay small.
     for at in range(0, len(hashes), 1 << 18):
         part, whose = hashes[at : at + (1 << 18)], owner[at : at + (1 << 18)]
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(whose)) + 1])
         np.add.at(votes, whose[cuts], np.add.reduceat(bits, cuts, axis=0, dtype=np.int64))
-    majority = (2 * votes > np.diff(begin)[:, None]).astype(np.uint8)
+    majority = (2 * votes > sizes[full][:, None]).astype(np.uint8)
     out[full] = np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``_fp`` (as a signed long) of every document besides the columns of ``keep``."""
-    from twinscript.llm.packing import blocks
-
     def hash_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
             for lo, hi in blocks(texts, 2_000_000):
-                fp = pa.array(_fingerprints(texts[lo:hi], shingle).view(np.int64), pa.int64())
+                fp = pa.array(_majority(*_shingle_hashes(texts[lo:hi], shingle)).view(np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(lo, hi - lo) for i in range(len(keep))], fp], [*keep, "_fp"])
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
@@ -95,15 +98,14 @@ def _table_key(table: int) -> Column:
     return key
 
 
-def _verified(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, widest: int) -> np.ndarray:
-    """Which pairs are links: pivot distances first, one pivot after another, then all bits."""
-    alive = np.arange(len(a))
-    for j in range(pa_.shape[1]):
-        alive = alive[np.abs(pa_[alive, j].astype(np.int16) - pb[alive, j]) <= widest]
+def _linked(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, widest: int) -> np.ndarray:
+    """Those of the pairs (i, j) that are links: pivot distances first, one pivot after another, then all bits."""
+    alive = np.arange(len(i))
+    for pivot in range(table.shape[1]):
+        alive = alive[np.abs(table[i[alive], pivot] - table[j[alive], pivot]) <= widest]
         if len(alive) < 1024:
             break
-    near = np.bitwise_count(a[alive] ^ b[alive]) <= widest
-    return alive[near]
+    return alive[np.bitwise_count(fps[i[alive]] ^ fps[j[alive]]).sum(1, dtype=np.int64) <= widest]
 
 
 class Forest:
@@ -136,51 +138,55 @@ def _links_of_groups(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, wides
     while (active := np.flatnonzero(remaining >= step)).size:
         for at in range(0, len(active), PAIRS_AT_ONCE):
             i = active[at : at + PAIRS_AT_ONCE]
-            for x in i[_verified(fps[i], fps[i + step], table[i], table[i + step], widest)].tolist():
+            for x in i[_linked(fps, table, i, i + step, widest)].tolist():
                 if forests.setdefault(group[x], Forest()).joins(x, x + step):
                     links.append((x, x + step))
         step += 1
     return links
 
 
-def links(prints: DataFrame, widest: int = WIDEST) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that span every group; ``prints`` has ``_fp``."""
-    references = pivots()
+def links(routed: DataFrame, lanes: list[str], widest: int) -> DataFrame:
+    """Links (a, b) between nodes that span every group of ``_key``; ``lanes`` hold a node's fingerprint."""
+    references = pivots(len(lanes))
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry_k, carry_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        carry_k, carry_n, carry_f = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(lanes)), np.uint64)
 
-        def found(keys, fps):
+        def found(keys, nodes, fps):
             # A key of its own has no partner; drop those before the table is made.
             same = keys[1:] == keys[:-1]
             shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            keys, fps = keys[shared], fps[shared]
+            keys, nodes, fps = keys[shared], nodes[shared], fps[shared]
             if not len(keys):
                 return None
-            table = np.bitwise_count(fps[:, None] ^ references[None, :])
+            table = np.stack([np.bitwise_count(fps ^ r).sum(1, dtype=np.int16) for r in references], 1)
             pairs = np.array(_links_of_groups(keys, fps, table, widest), np.int64).reshape(-1, 2)
-            ends = fps.view(np.int64)[pairs]
-            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], ["a", "b"])
 
         for batch in batches:
             keys = np.concatenate([carry_k, batch.column(0).to_numpy()])
-            fps = np.concatenate([carry_f, batch.column(1).to_numpy().view(np.uint64)])
+            nodes = np.concatenate([carry_n, batch.column(1).to_numpy()])
+            fps = np.concatenate([carry_f, np.stack([batch.column(2 + i).to_numpy() for i in range(len(lanes))], 1).view(np.uint64)])
             if not len(keys):
                 continue
             cut = int(np.searchsorted(keys, keys[-1]))
-            carry_k, carry_f = keys[cut:], fps[cut:]
-            if cut and (out := found(keys[:cut], fps[:cut])) is not None:
+            carry_k, carry_n, carry_f = keys[cut:], nodes[cut:], fps[cut:]
+            if cut and (out := found(keys[:cut], nodes[:cut], fps[:cut])) is not None:
                 yield out
-        if len(carry_k) and (out := found(carry_k, carry_f)) is not None:
+        if len(carry_k) and (out := found(carry_k, carry_n, carry_f)) is not None:
             yield out
 
-    width = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = F.array(*[_table_key(t) for t in range(len(TABLES))])
-    routed = prints.select("_fp").distinct().select(F.explode(keys).alias("_key"), "_fp")
-    laid = routed.repartition(width, "_key").sortWithinPartitions("_key", "_fp")
+    width = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = routed.select("_key", "_node", *lanes).distinct().repartition(width, "_key").sortWithinPartitions("_key", "_node")
     return laid.mapInArrow(search, "a long, b long").distinct()
 
 
+def by_blocks(prints: DataFrame) -> DataFrame:
+    """Every distinct fingerprint under the key of each table, for links of three bits at most."""
+    keys = F.array(*[_table_key(t) for t in range(len(TABLES))])
+    return prints.select("_fp").distinct().select(F.explode(keys).alias("_key"), F.col("_fp").alias("_node"), "_fp")
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``node`` and its ``root``, the smallest node reachable, for every node with a link.
 
@@ -213,8 +219,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, widest: int = WIDEST) ->
     smallest; a component of null doc_ids alone has a null component_id. An empty table gives
     an empty result. Columns besides doc_id and text are not read.
     """
+    if widest > WIDEST:
+        raise ValueError(f"the tables find links of {WIDEST} bits at most")
     prints = staged(fingerprints(docs, shingle), "fingerprints")
-    roots = components(links(prints, widest), "near-duplicates")
+    roots = components(links(by_blocks(prints), ["_fp"], widest), "near-duplicates")
     by_print = prints.groupBy("_fp").agg(F.min("doc_id").alias("_least"))
     rooted = by_print.join(roots, by_print["_fp"] == roots["node"], "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
     rooted = staged(rooted, "near-duplicates")
@@ -222,3 +230,70 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, widest: int = WIDEST) ->
     classes = join_hot(rooted.select("_fp", "_root"), least, "_root").select("_fp", "component_id")
     digits = F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint")
     return join_hot(prints, classes, "_fp").select("doc_id", digits, "component_id")
+
+
+# Four lanes of 64 bits tell similarities apart that one lane cannot: 256 bits of which this many may
+# differ. Two texts whose sets of shingles are alike by 0.8 differ in 39 bits on average, by 0.7 in 49.
+LANES, WIDE_LINK = 4, 44
+BANDS, ROWS = 8, 4  # of least hashes; texts alike by 0.8 share a band with a chance of 0.985, by 0.9 of 0.9999
+
+
+def _bands(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A key per band: the least values of the text's hashes under ROWS orders. All zero without a word."""
+    out = np.zeros((len(sizes), BANDS), np.uint64)
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return out
+    cuts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+    for order in range(0, BANDS * ROWS, 2):
+        mixed = mix(hashes + np.uint64((order + 1) * 0xD6E8FEB86659FD93 % 2**64))
+        for half in (mixed >> np.uint64(32), mixed & np.uint64(0xFFFFFFFF)):
+            band = order // ROWS
+            out[full, band] = mix(out[full, band] * np.uint64(3) + np.minimum.reduceat(half, cuts) + np.uint64(band))
+    return out
+
+
+def _wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """``_id`` of a row, doc_id, the lanes of its fingerprint, and its band keys."""
+    lanes = [f"_f{i}" for i in range(LANES)]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def hash_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for lo, hi in blocks(texts, 2_000_000):
+                hashes, sizes = _shingle_hashes(texts[lo:hi], shingle)
+                wide = [_majority(hashes if i == 0 else mix(hashes ^ np.uint64(i * 0x9E3779B97F4A7C15 % 2**64)), sizes) for i in range(LANES)]
+                keys = _bands(hashes, sizes).view(np.int64)
+                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *[pa.array(w.view(np.int64)) for w in wide], pa.array(list(keys), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "doc_id", *lanes, "_keys"])
+
+    schema = f"_id string, doc_id {kind}, {', '.join(f'{x} long' for x in lanes)}, _keys array<long>"
+    prints = docs.select(_row_id().alias("_id"), "doc_id", text_of().alias("_t")).mapInArrow(hash_batches, schema)
+    return prints.withColumn("_node", F.xxhash64(*lanes))
+
+
+def _row_id() -> Column:
+    """Stands for a row by its doc_id and text."""
+    return F.concat(F.hex(content_key()), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, widest: int = WIDE_LINK) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
+
+    Texts alike by 0.8 or more in their five-word shingles are near copies. Fingerprints of 256 bits
+    are compared where a band of least hashes agrees, by the same pivot tables as above; groups are
+    what links reach. A null text counts as empty, and empty texts are copies of each other. Null
+    doc_ids come last; rows alike in doc_id and text are copies of each other too.
+    """
+    lanes = [f"_f{i}" for i in range(LANES)]
+    prints = staged(_wide_prints(docs, shingle), "wide-prints")
+    routed = prints.select(F.explode(F.array_distinct("_keys")).alias("_key"), "_node", *lanes)
+    roots = components(links(routed, lanes, widest), "near-copies")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_id"))
+    by_node = prints.groupBy("_node").agg(first.alias("_first"))
+    rooted = by_node.join(roots, by_node["_node"] == roots["node"], "left").select(F.coalesce("root", "_node").alias("_root"), "_first")
+    kept = rooted.groupBy("_root").agg(F.min("_first").alias("_first")).select(F.col("_first._id").alias("_id"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), _row_id().alias("_id")).join(kept, "_id", "left_semi")
+    once = Window.partitionBy("_id").orderBy(F.lit(1))
+    return rows.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_row.*")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscript.llm import extraction, licenses, mixing, packing, quality, simhash, substrings, topk, toxicity
+from twinscript.llm import extraction, licenses, mixing, packing, quality, simhash, substrings, suffixes, topk, toxicity
 from twinscript.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents")).select(*columns)
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_array_dedup(read(spark, sf_dir, "documents"), window=400)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op5_toxicity": (op5_toxicity, None),
     "op8_simhash_near_dedup": (op8_simhash_near_dedup, None),
     "op6_quality_rules": (op6_quality_rules, None),
+    "op7_suffix_array_dedup": (op7_suffix_array_dedup, None),
     "op9_source_mixing": (op9_source_mixing, None),
     "op10_html_extraction": (op10_html_extraction, None),
 }

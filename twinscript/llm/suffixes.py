@@ -94,7 +94,7 @@ def _node_rows(texts: list[str], ids: np.ndarray, copied: np.ndarray, window: in
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h", "node", "_id", "x"])
 
 
-def _decide(h: np.ndarray, node: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+def _decide(h: np.ndarray, node: np.ndarray, ids: np.ndarray, x: np.ndarray, split_nodes: int) -> pa.RecordBatch:
     """What becomes of each node, from all rows of some minimizers, sorted by minimizer and node."""
     settled = x & 3 == 2
     out = [(h[settled], ids[settled], x[settled] >> 2, np.full(settled.sum(), WHOLE), np.ones(settled.sum(), np.int64))]
@@ -106,14 +106,14 @@ def _decide(h: np.ndarray, node: np.ndarray, ids: np.ndarray, x: np.ndarray) ->
         nodes = np.bincount(of_h[new_n])[of_h]  # different nodes of the minimizer
         announced = x & 3 == 1
         many = (np.bincount(of_n) > 1)[of_n] | (np.bincount(of_n, announced) > 0)[of_n]
-        parts = -(-nodes // SPLIT_NODES)
+        parts = -(-nodes // split_nodes)
         for action, rows in ((WHOLE, many & ~announced), (ASK, ~many & (nodes > 1)), (TELL, many & (nodes > 1) & new_n)):
             out.append((h[rows], ids[rows], x[rows] >> 2, np.full(rows.sum(), action), parts[rows]))
     columns = [np.concatenate(c) for c in zip(*out)]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h", "_id", "x", "action", "parts"])
 
 
-def decided(rows: DataFrame, partitions: int) -> DataFrame:
+def decided(rows: DataFrame, partitions: int, split_nodes: int = SPLIT_NODES) -> DataFrame:
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = [np.zeros(0, np.int64)] * 4
         for batch in batches:
@@ -123,9 +123,9 @@ def decided(rows: DataFrame, partitions: int) -> DataFrame:
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
             carry = [a[cut:] for a in cols]
             if cut:
-                yield _decide(*[a[:cut] for a in cols])
+                yield _decide(*[a[:cut] for a in cols], split_nodes)
         if len(carry[0]):
-            yield _decide(*carry)
+            yield _decide(*carry, split_nodes)
 
     laid = rows.repartition(partitions, "h").sortWithinPartitions("h", "node")
     return laid.mapInArrow(meet, "h long, _id long, x long, action long, parts long")
@@ -237,7 +237,7 @@ def _shard(table: pa.Table, window: int) -> pa.Table:
     return pa.table([pa.array(np.concatenate(p), pa.int64()) for p in zip(ranges, outer)], ["kind", "h", "_id", "x", "starts"])
 
 
-def deduplicated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def deduplicated_bytes(docs: DataFrame, window: int = WINDOW, shard_nodes: int = SHARD_NODES, split_nodes: int = SPLIT_NODES) -> DataFrame:
     """Per distinct text: ``_id``, ``_key``, n_bytes, n_removed, n_spans, the kept bytes (null if none goes) and their kept_sha256."""
     if not GRAM < window < GRAM + 447:
         raise ValueError("a window must be longer than a gram, and its grams fewer than 448")
@@ -254,10 +254,10 @@ def deduplicated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield _node_rows(texts[lo:hi], ids[lo:hi], copied[lo:hi], window, powers)
 
     met = store.select("_id", "copies", "text").mapInArrow(nodes, "h long, node long, _id long, x long")
-    fates = staged(decided(met, width), "suffix-nodes")
+    fates = staged(decided(met, width, split_nodes), "suffix-nodes")
     whole = fates.filter(F.col("action") == WHOLE).select("_id", F.shiftright("x", 9).alias("first"), F.col("x").bitwiseAND(F.lit(511)).alias("starts"))
     asked = fates.filter(F.col("action") != WHOLE)
-    shards = max(width, -(-asked.count() // SHARD_NODES))
+    shards = max(width, -(-asked.count() // shard_nodes))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,12 +312,12 @@ def deduplicated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return judged.mapInArrow(remove, "_id long, _key binary, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
-def suffix_array_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, window: int = WINDOW, shard_nodes: int = SHARD_NODES, split_nodes: int = SPLIT_NODES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document.
 
     A null text counts as empty. A text that stands in several rows repeats as a whole, so each of
     its rows loses all its bytes if it has a window. Null doc_ids and repeated rows stay rows; an
     empty table gives an empty result. Columns besides doc_id and text are not read.
     """
-    results = deduplicated_bytes(docs, window)
+    results = deduplicated_bytes(docs, window, shard_nodes, split_nodes)
     return _with_results(docs.select("doc_id", "text"), results, "n_bytes", "n_removed", "n_spans", "kept_sha256").drop("text")

@@ -144,7 +144,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(eight, kind="stable")
     new = np.concatenate([[True], eight[order[1:]] != eight[order[:-1]]])
     slots = np.arange(n)
-    rank = np.full(n + depth, n, np.int64)
+    rank = np.full(n + depth, -1, np.int64)  # what lies behind the end sorts first
     rank[order] = np.maximum.accumulate(np.where(new, slots, 0))
     known = 8
     while known < depth:
@@ -167,10 +167,11 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
-    """Bytes that each position of ``order`` but the first shares with the one before it, up to ``limit``.
+    """Bytes that each position of ``order`` but the first shares with the one before it.
 
-    Kasai's rule in the order of the text: where a position and its neighbour both follow a compared
-    pair, they share one byte less; only the other pairs are compared, all at once.
+    Exact up to half of ``limit``, and no less than that half where more are shared. Kasai's rule in the
+    order of the text: where a position and its neighbour both follow a compared pair, they share one byte
+    less; only the other pairs are compared, all at once and up to ``limit``, and one of every limit / 2.
     """
     shared = np.zeros(len(order), np.int64)
     if len(order) < 2:
@@ -180,6 +181,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
     at, before, slot = at[by_place], before[by_place], slot[by_place]
     follows = np.concatenate([[False], (at[1:] == at[:-1] + 1) & (before[1:] == before[:-1] + 1)])
     heads = np.flatnonzero(~follows)
+    follows &= (np.arange(len(at)) - heads[np.cumsum(~follows) - 1]) % (limit // 2) != 0
+    heads = np.flatnonzero(~follows)
     length, alive = np.zeros(len(heads), np.int64), np.arange(len(heads))
     a, b = at[heads], before[heads]
     for i in range(limit):

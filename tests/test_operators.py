@@ -229,3 +229,30 @@ def test_style_audit_flow(spark):
     out = flows.style_audit(rows)
     assert {r.deck_id: r.passed for r in out.gate.collect()} == {"d": True, "e": False}
     assert {r.category for r in out.counts.collect()} == {None, "capitalization_issues", "formatting_tag_issues"}
+
+
+def test_exact_matches_keep_null_texts(spark):
+    segments = spark.createDataFrame(
+        [("d", "p", 0, "日本"), ("d", "p", 1, None), ("d", "p", 2, "plain"), (None, None, 3, None)],
+        "deck_id string, part_name string, para_idx int, text string",
+    )
+    tm = spark.createDataFrame([("日本", "Japan"), ("plain", "no"), (None, "x")], "src string, tgt string")
+    got = {r["para_idx"]: (r["new_text"], r["changed"]) for r in memory.apply_tm_exact(segments, tm).collect()}
+    assert got == {0: ("Japan", True), 1: (None, False), 2: ("plain", False), 3: (None, False)}
+
+
+def test_literal_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from twinscript.functions.casing import quoted
+
+    texts = [r"a\Eb", "x.y*", "(名) $1", "\\Q"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r[0] for r in rows.select(F.call_function("rlike", F.col("t"), F.concat(F.lit("(?iU)^"), quoted(F.col("t")), F.lit("$")))).collect())
+
+
+def test_deeply_nested_reply_is_no_array(spark):
+    from twinscript.operators.replies import parse_model_array
+
+    df = spark.createDataFrame([("x " + "[" * 100_000, 1), ('x ["a"]', 1)], "reply string, expected_len int")
+    assert sorted((r["items"] or [] for r in parse_model_array(df).collect())) == [[], ["a"]]

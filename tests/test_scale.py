@@ -172,4 +172,4 @@ def test_terms_that_begin_alike_are_kept_apart(spark):
 def test_shuffle_sizing():
     assert shuffle_partitions(10 * 2**20, 8) == 16
     assert shuffle_partitions(2**40, 400) == 4096
-    assert shuffle_partitions(100 * 2**40, 4000) == 50_000
+    assert shuffle_partitions(100 * 2**40, 4000) == 409_600

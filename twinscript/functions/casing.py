@@ -120,3 +120,8 @@ def normalize_batch(text: Column) -> Column:
         normalize_mechanics(text),
         lambda s: F.when(classify_segment_kind(text) == "title", s).otherwise(bullet_fragment(s, wide=True)),
     )
+
+
+def quoted(text: Column) -> Column:
+    """``text`` as a pattern that matches it literally, whatever it holds."""
+    return F.regexp_replace(text, r"(?U)(\W)", r"\\$1")

@@ -10,6 +10,7 @@ from twinscript.functions.cost import estimate_cost, input_parts, is_priced, out
 from twinscript.functions.script import count_script_chars
 from twinscript.session import small_table
 
+PRODUCER = "openai:gpt-5"
 RATES = ["in", "in_cached", "out", "cached_write", "cached_read"]
 
 
@@ -74,6 +75,14 @@ def _price_rows(pricing: DataFrame, models: list[str]) -> list[Row]:
     return [known[m] for m in models]
 
 
+def producer_tokenizer(
+    pricing: DataFrame, producer: str | None = None, encoders: dict[str, Callable[[str], list]] | None = None
+) -> Callable[[Column], Column]:
+    """The counter of the encoding that the producer's price row names."""
+    (row,) = _price_rows(pricing, [producer or PRODUCER])
+    return tokenizer_for(row["tokenizer"], encoders)
+
+
 def _literal(row: Row) -> Column:
     text = ("model", "provider", "tokenizer")
     return F.struct(
@@ -127,7 +136,7 @@ def price_alternatives(
 def deck_cost_report(
     blocks: DataFrame,
     pricing: DataFrame,
-    producer: str = "openai:gpt-5",
+    producer: str = PRODUCER,
     reviewer: str = "openai:gpt-5-mini",
     batch_size: int = rules.REQUEST_BATCH,
     prefix_tokens: int = 0,

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from twinscript import schemas
-from twinscript.functions.casing import any_phrase, whole_word
+from twinscript.functions.casing import any_phrase, quoted, whole_word
 from twinscript.functions.text import let, strip_tags
 from twinscript.operators.audits import bullet_fix, check_bullet_punct, check_title_case, title_case_fix
 from twinscript.operators.islands import bullet_groups, parallelism_issues
@@ -193,7 +193,7 @@ def parallelism_findings(segments: DataFrame) -> DataFrame:
 
 def _literal_regex(text: Column) -> Column:
     """``text`` as a whole-word pattern that ignores case."""
-    return F.concat(F.lit(r"(?iU)\b\Q"), text, F.lit(r"\E\b"))
+    return F.concat(F.lit(r"(?iU)\b"), quoted(text), F.lit(r"\b"))
 
 
 def _literal_replacement(text: Column) -> Column:

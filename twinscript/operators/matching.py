@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from twinscript import rules
-from twinscript.functions.casing import any_phrase, whole_word
+from twinscript.functions.casing import any_phrase, quoted, whole_word
 from twinscript.functions.text import preview, strip_tags
 from twinscript.session import small_table, staged
 
@@ -167,7 +167,7 @@ def match_rules(
     if word:
         pairs = _pairs_by_word(raw, F.col("_text"), table, F.col(term))
         return pairs.filter(
-            F.call_function("rlike", F.col("_text"), F.concat(F.lit(r"(?iU)\b\Q"), F.col(term), F.lit(r"\E\b")))
+            F.call_function("rlike", F.col("_text"), F.concat(F.lit(r"(?iU)\b"), quoted(F.col(term)), F.lit(r"\b")))
         ).drop("_text")
     wanted = table.withColumn("_term", F.lower(term) if ignore_case else F.col(term))
     pairs = _pairs_by_gram(raw, F.col("_text"), wanted, F.col("_term"))
@@ -342,7 +342,8 @@ def banned_word_matches(
         per_row = pairs.groupBy(*keys, "_bare").agg(
             F.array_sort(F.collect_list(F.struct("place", "phrase", "suggested"))).alias("_found")
         )
-        pattern = F.expr(r"concat('(?iU)', array_join(transform(_found, f -> concat('\\b\\Q', f.phrase, '\\E\\b')), '|'))")
+        each = F.transform("_found", lambda f: F.concat(F.lit(r"\b"), quoted(f["phrase"]), F.lit(r"\b")))
+        pattern = F.concat(F.lit("(?iU)"), F.array_join(each, "|"))
         # Of phrases that differ in case only the last one speaks, as in a dictionary by lower case.
         same = F.filter("_found", lambda f: F.lower(f["phrase"]) == F.lower("word"))
         rows = per_row.withColumn("word", F.explode(F.regexp_extract_all(F.col("_bare"), pattern, F.lit(0)))).withColumn(

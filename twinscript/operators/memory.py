@@ -36,16 +36,21 @@ def apply_tm_exact(segments: DataFrame, tm: DataFrame, require_script: bool = Tr
     By default an empty target and a source without source script do not count;
     ``require_script=False`` applies every hit.
     """
-    entries = tm.select(F.col("src").alias("text"), "tgt")
+    hit = F.col("tgt").isNotNull()
     if not require_script:
-        hit = F.col("tgt").isNotNull()
-        return _with_hits(join_hot(segments, entries, "text", "left"), hit)
-    # Texts without source script cannot match: they stay out of the shuffle.
-    foreign = has_script(F.col("text"))
-    usable = entries.filter((F.col("tgt") != "") & foreign)
-    matched = _with_hits(join_hot(segments.filter(foreign), usable, "text", "left"), F.col("tgt").isNotNull())
-    rest = segments.filter(~foreign).withColumns({"new_text": F.col("text"), "changed": F.lit(False)})
-    return matched.unionByName(rest)
+        return _with_hits(join_hot(segments, tm.select(F.col("src").alias("text"), "tgt"), "text", "left"), hit)
+    # Texts without source script, null ones included, cannot match. They have no key, and their place
+    # spreads them over the tasks, so that the corpus is read once and none of them piles up.
+    foreign = F.coalesce(has_script(F.col("text")), F.lit(False))
+    keyed = segments.withColumns(
+        {
+            "_key": F.when(foreign, F.col("text")),
+            "_hash": F.when(foreign, F.xxhash64("text")).otherwise(F.xxhash64("deck_id", "part_name", "para_idx")),
+        }
+    )
+    usable = tm.filter((F.col("tgt") != "") & has_script(F.col("src")))
+    entries = usable.select(F.xxhash64("src").alias("_hash"), F.col("src").alias("_key"), "tgt")
+    return _with_hits(keyed.join(entries, ["_hash", "_key"], "left").drop("_hash", "_key"), hit)
 
 
 def _with_hits(joined: DataFrame, hit: Column) -> DataFrame:

@@ -27,7 +27,7 @@ def _embedded_array(replies: pd.Series, expected: pd.Series) -> pd.Series:
             elif ch == "[" and not quoted:
                 try:
                     found, end = decoder.raw_decode(text, i)
-                except json.JSONDecodeError:
+                except (ValueError, RecursionError):  # no array, or one nested deeper than any list of texts
                     i += 1
                     continue
                 if len(found) >= n:

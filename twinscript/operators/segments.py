@@ -41,7 +41,7 @@ def filter_slide_range(segments: DataFrame, spec: str | None) -> DataFrame:
     if "part_no" in segments.columns:
         return segments.filter(F.col("part_no").between(*bounds))
     number = F.regexp_extract("part_name", r"slide(\d+)\.xml", 1)
-    return segments.filter((number != "") & number.cast("long").between(*bounds))
+    return segments.filter((number != "") & number.try_cast("long").between(*bounds))
 
 
 def order_slides(df: DataFrame, natural: bool = False) -> DataFrame:

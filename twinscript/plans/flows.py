@@ -38,16 +38,21 @@ def translate_corpus(
     batch: int = rules.TRANSLATE_BATCH,
     rule: str = "identity",
     once: bool = True,
+    kind: Callable[[Column], Column] | None = None,
 ) -> Translation:
     """Find gaps, translate them in batches, apply length and style rules, look everything up.
 
+    ``kind`` names a source's kind for its length limit (``classify_segment_kind``); without it
+    every source is a bullet.
+
     The answers are written once before anything reads them: a call is expensive
     and must not run again because a later stage does.
     """
     missing = memory.missing_sources(segments, tm, rule)
     batches = memory.assign_batches(one_deck_per_source(missing) if once else missing, batch)
     answers = staged(memory.translate_missing(batches, translate), "answers")
-    kinds = answers.select("deck_id", "batch_id", "pos_in_batch", "src", "tgt").withColumn("kind", F.lit("bullet"))
+    # A source whose batch failed stays out of the memory, so that the next run finds it missing again.
+    kinds = answers.filter("translated").select("deck_id", "batch_id", "pos_in_batch", "src", "tgt").withColumn("kind", F.lit("bullet") if kind is None else kind(F.col("src")))
     condensed = F.col("tgt") if condense is None else condense(F.col("tgt"))
     keys = ["deck_id", "batch_id", "pos_in_batch"]
     fitted = lengths.length_policy(kinds.withColumn("condensed", condensed), glossary, keys)
@@ -101,12 +106,15 @@ def residual_report(parts: DataFrame, limit: int = 0, k: int = 10) -> dict[str,
 def cost_estimate(
     blocks: DataFrame, pricing: DataFrame, also: list[str] | None = None, prefix_tokens: int = 0, **options
 ) -> tuple[DataFrame, DataFrame | None]:
-    """The report per deck, and the same work under further models."""
+    """The report per deck, and the same work, in the producer's tokens, under further models."""
     report = costs.deck_cost_report(blocks, pricing, prefix_tokens=prefix_tokens, **options)
     if not also:
         return report, None
-    work = costs.deck_workload(costs.token_totals(blocks), prefix_tokens=prefix_tokens)
-    return report, costs.price_alternatives(work, pricing, also)
+    shape = {k: options[k] for k in ("batch_size", "expansion", "chars_per_token") if k in options}
+    billing = {k: options[k] for k in ("no_cache", "charge_write") if k in options}
+    count = costs.producer_tokenizer(pricing, options.get("producer"), options.get("encoders"))
+    work = costs.deck_workload(costs.token_totals(blocks, count), prefix_tokens=prefix_tokens, **shape)
+    return report, costs.price_alternatives(work, pricing, also, **billing)
 
 
 def clean_memory(spark: SparkSession, path: str, version: str, new_version: str) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql.types import StructType
 
 
 SHUFFLE_BYTES = 256 * 2**20
-MAX_SHUFFLE_PARTITIONS = 50_000
 
 
 def shuffle_partitions(input_bytes: int, cores: int) -> int:
@@ -18,7 +17,7 @@ def shuffle_partitions(input_bytes: int, cores: int) -> int:
 
     Adaptive execution merges small ones afterwards but never splits large ones.
     """
-    return max(2 * cores, min(MAX_SHUFFLE_PARTITIONS, -(-input_bytes // SHUFFLE_BYTES)))
+    return max(2 * cores, -(-input_bytes // SHUFFLE_BYTES))
 
 
 def build_session(

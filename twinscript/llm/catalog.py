@@ -70,12 +70,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
-    "op2_substring_dedup": (op2_substring_dedup, None),
+    "op2_substring_dedup": (op2_substring_dedup, substrings.substring_sql(35)),
     "op3_license_scans": (op3_license_scans, licenses.license_sql()),
     "op4_exact_top_k": (op4_exact_top_k, OP4_SQL),
     "op5_toxicity": (op5_toxicity, None),
     "op8_simhash_near_dedup": (op8_simhash_near_dedup, None),
-    "op6_quality_rules": (op6_quality_rules, None),
+    "op6_quality_rules": (op6_quality_rules, quality.quality_sql()),
     "op7_suffix_array_dedup": (op7_suffix_array_dedup, None),
     "op9_source_mixing": (op9_source_mixing, None),
     "op10_html_extraction": (op10_html_extraction, None),

@@ -199,3 +199,47 @@ def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     # that lead to it, and every array would be computed once for each of its uses.
     verdicts = judged(measures(inner, ["_row"]), reference, limits).select("_row", "_kept")
     return staged(verdicts, "quality-verdicts").filter("_kept").select("_row.*")
+
+
+def quality_sql(limits: Limits = Limits()) -> str:
+    """The same rules for the check."""
+    common = " ".join(f"WHEN '{lang}' THEN {words!r}" for lang, words in COMMON_WORDS.items())
+    langs = ", ".join(f"'{x}'" for x in COMMON_WORDS)
+    kinds, slots = len(CHAR_KINDS), WORD_SLOTS + 1
+    sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i}])" for i in range(1, n + 1)) + "]"
+
+    def distance(a: str, b: str, n: int) -> str:
+        p = [f"({a}[{i}] / list_sum({a})::DOUBLE)" for i in range(1, n + 1)]
+        q = [f"({b}[{i}] / list_sum({b})::DOUBLE)" for i in range(1, n + 1)]
+        part = lambda x, m: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / {m}) ELSE 0 END"
+        terms = " + ".join(f"({part(x, f'(({x} + {y}) / 2)')} + {part(y, f'(({x} + {y}) / 2)')}) / 2" for x, y in zip(p, q))
+        return f"CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN sqrt(greatest(0, {terms})) END"
+
+    failed = f"(n_words < {limits.min_words} OR 100 * n_repeat_words > {limits.repeat_percent} * n_words)"
+    space = "[\\x20\\x09-\\x0D]"
+    return f"""
+WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(lower(lang), '') AS lang,
+    list_filter(string_split_regex(coalesce(text, ''), '{space}+'), lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM rows)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT i) AS n_repeat FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS i FROM twice) GROUP BY rid),
+counted AS (SELECT rows.rid, doc_id, w, CASE WHEN lang IN ({langs}) THEN lang ELSE '' END AS lang, len(w)::BIGINT AS n_words,
+    length(regexp_replace(t, '{space}+', '', 'g'))::BIGINT AS word_chars, length(t)::BIGINT AS n_chars, (strlen(t) - length(t))::BIGINT AS wide,
+    (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
+    length(regexp_replace(t, '[^A-Z]+', '', 'g'))::BIGINT AS upper_, (length(t) - length(translate(t, '0123456789.,;:!?()''"-', '')))::BIGINT AS mark,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+    coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, CASE lang {common} ELSE {POOLED_WORDS!r} END AS common
+    FROM rows LEFT JOIN covered ON rows.rid = covered.rid),
+hits AS (SELECT *, list_transform(common, lambda c: len(list_filter(w, lambda x: x = c))) AS found FROM counted),
+measured AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    [greatest(0, word_chars - upper_ - mark - n_symbols), upper_, mark, n_chars - word_chars, n_symbols, wide] AS kinds,
+    list_concat(found, [len(w) - list_sum(found)]) AS words, {failed} AS base_failed FROM hits),
+first AS (SELECT lang, {sums("kinds", kinds)} AS rk FROM measured WHERE NOT base_failed GROUP BY lang),
+near AS (SELECT m.* FROM measured m JOIN first f ON m.lang = f.lang WHERE NOT base_failed AND {distance("kinds", "rk", kinds)} <= {limits.first_distance}),
+refs AS (SELECT lang, {sums("kinds", kinds)} AS rk, {sums("words", slots)} AS rw FROM near GROUP BY lang),
+judged AS (SELECT m.*, {limits.noise} / sqrt(greatest(n_words, 1)) AS slack, {distance("kinds", "rk", kinds)} AS dk, {distance("words", "rw", slots)} AS dw
+    FROM measured m LEFT JOIN refs r ON m.lang = r.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (
+    coalesce(dk, 0) > {limits.char_distance} + slack / 4 OR (n_words >= {limits.word_min_words} AND coalesce(dw, 0) > {limits.word_distance} + slack / 2)) AS kept
+FROM judged
+"""

@@ -182,3 +182,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = joined.filter("n_words > n_removed")
     columns = [F.coalesce("kept", F.col("_row.text")).alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
     return rows.select(*columns)
+
+
+def substring_sql(window: int = WINDOW) -> str:
+    """The same removals for the check, over the windows' words themselves."""
+    return f"""
+WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT rid, i, array_to_string(w[i:i + {window - 1}], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - {window} + 2)) AS i FROM rows)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY g) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + {window})) AS p FROM twice),
+words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM rows),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM rows LEFT JOIN kept USING (rid)
+"""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from twinscript.session import scratch_path, staged
 
-__all__ = ["read", "scratch_path", "staged", "text_of", "content_key", "partitions_for"]
+__all__ = ["read", "scratch_path", "staged", "text_of", "content_key"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,10 +20,3 @@ def text_of(column: str = "text") -> Column:
 def content_key(column: str = "text") -> Column:
     """128 bits that stand for a text, so that all copies of a text share one result."""
     return F.unhex(F.md5(F.encode(text_of(column), "UTF-8")))
-
-
-def partitions_for(df: DataFrame, weight: Column, per_partition: int) -> int:
-    """Partitions that hold about ``per_partition`` of ``weight`` each; the session's shuffle width at least."""
-    total = df.agg(F.sum(weight)).first()[0] or 0
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-total // per_partition))

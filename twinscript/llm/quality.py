@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinscript.llm.tables import staged, text_of
+from twinscript.llm.tables import staged, staged_texts, text_of
 
 # Frequent function words by language; any other language uses the pooled list.
 COMMON_WORDS = {
@@ -198,7 +198,7 @@ def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     # Written down before it is filtered: a filter on the verdict would be moved below the projections
     # that lead to it, and every array would be computed once for each of its uses.
     verdicts = judged(measures(inner, ["_row"]), reference, limits).select("_row", "_kept")
-    return staged(verdicts, "quality-verdicts").filter("_kept").select("_row.*")
+    return staged_texts(verdicts, "quality-verdicts").filter("_kept").select("_row.*")
 
 
 def quality_sql(limits: Limits = Limits()) -> str:

@@ -5,13 +5,20 @@ from pyspark.sql import functions as F
 
 from twinscript.session import scratch_path, staged
 
-__all__ = ["read", "scratch_path", "staged", "text_of", "content_key"]
+__all__ = ["read", "scratch_path", "staged", "staged_texts", "text_of", "content_key"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def staged_texts(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written and read again like ``staged``, packed tighter, for tables that hold whole texts."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null one as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

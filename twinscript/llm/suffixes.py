@@ -10,7 +10,7 @@
    the depth until ``window``. Kasai's rule gives common prefixes, and windows whose neighbour in
    the array shares ``window`` bytes repeat.
 3. A minimizer with more nodes than a shard takes is spread over several. Their sorted windows are
-   merged by binary search: shard by shard to ranges of hashes, and there by searching each value.
+   merged by binary search: runs of each shard go to ranges of hashes, where each window is searched.
 
 Texts are read from a bucketed table and are never shuffled whole again.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from twinscript.llm import repeats
 from twinscript.llm.packing import blocks
-from twinscript.llm.repeats import Powers, Rolling, found_elsewhere, mix, occurrence_rows, text_store
+from twinscript.llm.repeats import Powers, Rolling, mix, text_store
 from twinscript.llm.substrings import _with_results
 from twinscript.llm.tables import staged
 
@@ -34,6 +34,8 @@ BLOCK_CHARS = 2_000_000
 SHARD_NODES = 8_000  # of some 570 bytes each
 SPLIT_NODES = 4_000  # of one minimizer in a shard
 WHOLE, ASK, TELL = 0, 1, 2
+ANSWERED = -1  # in the place of a window that needs no answer
+RANGES = pa.list_(pa.struct([("first", pa.int64()), ("starts", pa.int64())]))
 
 
 def _joined(texts: list[str]) -> tuple[bytes, np.ndarray]:
@@ -197,8 +199,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
 
 
 def _shard(table: pa.Table, window: int) -> pa.Table:
-    """Repeated windows of a shard's nodes (kind 0: _id, first start, starts), and the windows of spread
-    minimizers that another shard may hold (kind 1: rows of ``occurrence_rows``)."""
+    """Repeated windows of a shard's nodes (kind 0: _id, first start, starts), and sorted runs of the windows
+    of spread minimizers that another shard may hold too (kind 1)."""
     table = table.sort_by([("_id", "ascending"), ("first", "ascending")])
     ids, first, count, tell, parts = (table[c].to_numpy() for c in ("_id", "first", "starts", "tell", "parts"))
     nodes = table["bytes"].to_pylist()
@@ -226,18 +228,40 @@ def _shard(table: pa.Table, window: int) -> pa.Table:
     cuts = np.unique(np.concatenate([lo, np.flatnonzero(hit & (offset == 0))]))
     ends = hi[np.searchsorted(hi, cuts, side="right")] if len(cuts) else cuts
     ends = np.minimum(ends, np.append(cuts[1:], len(hit)))
-    ranges = [np.zeros(len(cuts), np.int64), np.zeros(len(cuts), np.int64), ids[node[cuts]], first[node[cuts]] + offset[cuts], ends - cuts]
-    spread = parts[node[item]] > 1
+    found = [[0, 0, i, f, n, b""] for i, f, n in zip(ids[node[cuts]].tolist(), (first[node[cuts]] + offset[cuts]).tolist(), (ends - cuts).tolist())]
     lead = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
-    wide = np.flatnonzero(spread & (lead | ~repeated))
+    wide = np.flatnonzero((parts[node[item]] > 1) & lead)
+    if len(wide):
+        found += _runs_to_merge(text, mine[wide], window, table["h"].to_numpy()[node[item[wide]]], parts[node[item[wide]]], ids[node[item[wide]]], np.where(repeated[wide], ANSWERED, first[node[item[wide]]] + offset[item[wide]]))
+    return pa.table([pa.array(c, k) for c, k in zip(list(zip(*found)) or [()] * 6, [pa.int64()] * 5 + [pa.binary()])], ["kind", "key", "_id", "first", "starts", "run"])
+
+
+def _runs_to_merge(text, spots, window, minimizer, parts, ids, first) -> list[list]:
+    """The distinct windows of spread minimizers, one sorted run per minimizer and range of window hashes."""
     powers = Powers()
     values = text.astype(np.uint64) + np.uint64(1)
-    spots = mine[wide]
     h = Rolling(values, powers).of(spots, spots + window)
-    check = Rolling(mix(values), powers).of(spots, spots + window)
-    rows = occurrence_rows(h, check, ids[node[item[wide]]], first[node[item[wide]]] + offset[item[wide]], repeated[wide])
-    outer = [np.ones(len(rows), np.int64), rows.column(0).to_numpy(), rows.column(2).to_numpy(), rows.column(1).to_numpy(), np.zeros(len(rows), np.int64)]
-    return pa.table([pa.array(np.concatenate(p), pa.int64()) for p in zip(ranges, outer)], ["kind", "h", "_id", "x", "starts"])
+    check = (Rolling(mix(values), powers).of(spots, spots + window) >> np.uint64(33)).astype(np.int64)
+    key = mix(minimizer.view(np.uint64) ^ mix((h >> np.uint64(32)) % (2 * parts).astype(np.uint64))).view(np.int64)
+    order = np.lexsort((check, h, key))
+    rows = np.stack([h.view(np.int64), check, ids, first], 1)[order]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(order)]])
+    return [[1, int(key[order[a]]), 0, 0, 0, rows[a:b].tobytes()] for a, b in zip(edges[:-1], edges[1:])]
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """Places of windows that several shards hold: each window of each run is searched in all runs."""
+    runs = [np.frombuffer(r, np.int64).reshape(-1, 4) for r in table["run"].to_pylist()]
+    rows = np.concatenate(runs)
+    _, value = np.unique(rows[:, 0], return_inverse=True)
+    value = value << 31 | rows[:, 1]
+    merged = np.sort(value)
+    held = np.searchsorted(merged, value, "right") - np.searchsorted(merged, value, "left")
+    rows = rows[(held > 1) & (rows[:, 3] != ANSWERED)]
+    rows = rows[np.argsort(rows[:, 2], kind="stable")]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(rows[:, 2])) + 1, [len(rows)]]) if len(rows) else np.zeros(1, int)
+    places = [[{"first": f, "starts": 1} for f in rows[a:b, 3].tolist()] for a, b in zip(edges[:-1], edges[1:])]
+    return pa.table([pa.array(rows[edges[:-1], 2], pa.int64()), pa.array(places, RANGES)], ["_id", "_ranges"])
 
 
 def deduplicated_bytes(docs: DataFrame, window: int = WINDOW, shard_nodes: int = SHARD_NODES, split_nodes: int = SPLIT_NODES) -> DataFrame:
@@ -283,11 +307,12 @@ def deduplicated_bytes(docs: DataFrame, window: int = WINDOW, shard_nodes: int =
     def shard(table: pa.Table) -> pa.Table:
         return _shard(table, window)
 
-    found = staged(strings.groupBy("_shard").applyInArrow(shard, "kind long, h long, _id long, x long, starts long"), "suffix-windows")
-    inside = found.filter("kind = 0").select("_id", F.col("x").alias("first"), "starts")
-    between = found_elsewhere(found.filter("kind = 1").select("h", "x", "_id"), width).select("_id", F.col("pos").alias("first"), F.lit(1).cast("long").alias("starts"))
-    ranges = whole.unionByName(inside).unionByName(between)
-    by_text = ranges.groupBy("_id").agg(F.collect_list(F.struct("first", "starts")).alias("_ranges"))
+    found = staged(strings.groupBy("_shard").applyInArrow(shard, "kind long, key long, _id long, first long, starts long, run binary"), "suffix-windows")
+    single = F.array(F.struct("first", "starts")).alias("_ranges")
+    inside = found.filter("kind = 0").select("_id", single)
+    between = found.filter("kind = 1").select("key", "run").groupBy("key").applyInArrow(_merged, "_id long, _ranges array<struct<first: long, starts: long>>")
+    ranges = whole.select("_id", single).unionByName(inside).unionByName(between)
+    by_text = ranges.groupBy("_id").agg(F.flatten(F.collect_list("_ranges")).alias("_ranges"))
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,8 @@ from twinscript.llm.tables import text_of
 SEQUENCE_TOKENS = 2048
 SHARD_DOCUMENTS = 8192  # each shard leaves at most a few sequences unfilled
 CACHED_WORDS = 600_000
-BLOCK_CHARS = 4_000_000
+MARKS = ".,;:!?$%&*#|<>"  # symbols that form a token of their own behind letters
+BLOCK_CHARS = 400_000  # small enough for a block's words to stay in the cache
 
 
 class WordCache:
@@ -39,22 +40,58 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-
-    def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            yield word, array("I", got.ids).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        parts = {}
+        self.model = self.tokenizer.model
+        suffix = getattr(self.model, "end_of_word_suffix", None)
+        probes = ["the", "zebra", "qxj"]
+        # Lower-case ASCII words pass the steps before the model unchanged; probes make sure of it.
+        self.plain = bool(suffix) and all(self._of_model(p) == self._of_batch([p])[0] for p in probes)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(self.tokenizer.get_vocab(True).values()) + 1, bool)
+        if self.plain:
+            self.ends_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def _of_model(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _of_batch(self, words: list[str]) -> list[bytes]:
+        return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _of_line(self, words: list[str]) -> list[bytes]:
+        """Words of letters alone, encoded as one text and parted where a token ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        stops = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
+        if len(stops) != len(words):  # some letter becomes more than letters in lower case
+            return self._of_batch(words)
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip([0, *stops[:-1].tolist()], stops.tolist())]
+
+    def _learn(self, words: list[str]) -> None:
+        """Add words to the known ones: letters and the marks behind them apart, all else as it is."""
+        known, parts, plain, other, rest = self.known, [], set(), set(), set()
         for w in words:
-            stem, mark = (w[:-1], w[-1]) if w[-1] in ".,;:!?" and w[:-1].isalpha() else (w, "")
-            parts[w] = (stem.lower() if stem.isascii() and stem.isalpha() else stem, mark)
-        fresh = {x for pair in parts.values() for x in pair} - self.known.keys()
-        stems = dict(self._encode(list(fresh)))
-        get = lambda x: stems[x] if x in stems else self.known[x]
-        learnt = {w: get(stem) + get(mark) for w, (stem, mark) in parts.items()}
-        self.known.update(stems)
-        self.known.update(learnt)
+            stem = w.rstrip(MARKS)
+            if self.plain and stem.isalpha():
+                if stem.isascii():
+                    stem = stem.lower()
+                    if stem not in known:
+                        plain.add(stem)
+                elif stem not in known:
+                    other.add(stem)
+                if stem != w:
+                    n = len(w) - len(stem)
+                    mark = w[-n:] if n else ""
+                    if mark not in known:
+                        rest.add(mark)
+                    parts.append((w, stem, mark))
+            else:
+                rest.add(w)
+        for w in plain:
+            known[w] = self._of_model(w)
+        for group, encode in ((list(other), self._of_line), (list(rest), self._of_batch)):
+            if group:
+                known.update(zip(group, encode(group)))
+        for w, stem, mark in parts:
+            known[w] = known[stem] + known[mark]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -62,9 +99,9 @@ class WordCache:
         seen = set().union(*words)
         if len(self.known) > CACHED_WORDS:
             self.known = {"": b""}
-        if missing := seen - self.known.keys():
-            self._learn(missing)
-        known = self.known.__getitem__
+        known = self.known
+        self._learn([w for w in seen if w not in known])
+        known = known.__getitem__
         return [b"".join(map(known, w)) for w in words]
 
 

@@ -136,6 +136,49 @@ def test_keep_one(frame, odd_rows):
     assert {20 + i for i in range(40)} <= set(ids)
 
 
+def test_keep_one_decides_by_exact_similarity(frame):
+    r = np.random.default_rng(11)
+    texts = []
+    for n in range(240):
+        words = [f"w{x}" for x in r.integers(0, 50_000, 229)]
+        # Of 225 shingles each changed word far from others costs five: 0.751, 0.801, 0.854 by their number.
+        other = list(words)
+        for k in range((6, 5, 3, 7)[n % 4]):
+            other[10 + 30 * k] = "x"
+        texts += [" ".join(words), " ".join(other)]
+    # A chain: its ends are alike by less than 0.8 and still go together; repeats of a phrase count once.
+    chain = [f"c{x}" for x in range(229)]
+    for at in (0, 60, 120, 180):
+        chain = [*chain[:at], *[f"d{at}x{i}" for i in range(14)], *chain[at + 14 :]]
+        texts.append(" ".join(chain))
+    texts += ["a b c d e f g h " * 10, "a b c d e f g h " * 90]
+    words = [t.lower().split() for t in texts]
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    group = list(range(len(texts)))
+    for _ in range(5):
+        for i, a in enumerate(shingles):
+            for j in range(i):
+                if (n := len(a & shingles[j])) and n / len(a | shingles[j]) >= 0.8:
+                    group[i] = group[j] = min(group[i], group[j])
+    expected = {i for i, g in enumerate(group) if i == g}
+    assert 250 < len(expected) < 400
+    kept = simhash.keep_one(frame([(i, t, "en", "a") for i, t in enumerate(texts)]))
+    assert sorted(row["doc_id"] for row in kept.collect()) == sorted(expected)
+
+
+def test_no_proposal_goes_undecided():
+    r = np.random.default_rng(5)
+    fps = r.integers(0, 2**63, (1, 4)).astype(np.uint64) ^ (np.uint64(1) << r.integers(0, 63, (60, 4)).astype(np.uint64))
+    keys, sizes = np.zeros(60, np.int64), np.full(60, 100)
+    table = np.zeros((60, 0), np.int16)
+    parts = np.arange(60) % 7
+    got = {tuple(x) for x in simhash._open_proposals(keys, fps, table, sizes, parts, 70).tolist()}
+    assert got == {(i, j) for j in range(60) for i in range(j) if parts[i] != parts[j]}
+    assert len(simhash._nearest_proposals(keys, fps, table, sizes, 70)) == 59
+    sizes[:30] = 79
+    assert len(simhash._nearest_proposals(keys, fps, table, sizes, 70)) == 58
+
+
 def test_packing_round_trip(frame, odd_rows):
     tokenizer = Tokenizer.from_file(VOCABULARY)
     rows = [*odd_rows, (70, "İstanbul don't 's ΣΑΣ, x<|endoftext|>y a..b, c!?", "en", "a")]

@@ -98,14 +98,15 @@ def _table_key(table: int) -> Column:
     return key
 
 
-def _linked(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, widest: int) -> np.ndarray:
+def _linked(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, widest: int | np.ndarray) -> np.ndarray:
     """Those of the pairs (i, j) that are links: pivot distances first, one pivot after another, then all bits."""
     alive = np.arange(len(i))
+    widest = np.broadcast_to(widest, len(i))
     for pivot in range(table.shape[1]):
-        alive = alive[np.abs(table[i[alive], pivot] - table[j[alive], pivot]) <= widest]
+        alive = alive[np.abs(table[i[alive], pivot] - table[j[alive], pivot]) <= widest[alive]]
         if len(alive) < 1024:
             break
-    return alive[np.bitwise_count(fps[i[alive]] ^ fps[j[alive]]).sum(1, dtype=np.int64) <= widest]
+    return alive[np.bitwise_count(fps[i[alive]] ^ fps[j[alive]]).sum(1, dtype=np.int64) <= widest[alive]]
 
 
 class Forest:
@@ -145,42 +146,48 @@ def _links_of_groups(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, wides
     return links
 
 
-def links(routed: DataFrame, lanes: list[str], widest: int) -> DataFrame:
-    """Links (a, b) between nodes that span every group of ``_key``; ``lanes`` hold a node's fingerprint."""
+def _runs_of_keys(routed: DataFrame, lanes: list[str], more: list[str], pairs_of) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that ``pairs_of(keys, fps, table, *more)`` finds in whole groups of ``_key``."""
     references = pivots(len(lanes))
+    own = len(more)
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry_k, carry_n, carry_f = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(lanes)), np.uint64)
+        carry = [np.zeros(0, np.int64) for _ in range(2 + own)] + [np.zeros((0, len(lanes)), np.uint64)]
 
-        def found(keys, nodes, fps):
+        def found(columns):
             # A key of its own has no partner; drop those before the table is made.
-            same = keys[1:] == keys[:-1]
+            same = columns[0][1:] == columns[0][:-1]
             shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            keys, nodes, fps = keys[shared], nodes[shared], fps[shared]
+            keys, nodes, *others, fps = [c[shared] for c in columns]
             if not len(keys):
                 return None
             table = np.stack([np.bitwise_count(fps ^ r).sum(1, dtype=np.int16) for r in references], 1)
-            pairs = np.array(_links_of_groups(keys, fps, table, widest), np.int64).reshape(-1, 2)
+            pairs = np.array(pairs_of(keys, fps, table, *others), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], ["a", "b"])
 
         for batch in batches:
-            keys = np.concatenate([carry_k, batch.column(0).to_numpy()])
-            nodes = np.concatenate([carry_n, batch.column(1).to_numpy()])
-            fps = np.concatenate([carry_f, np.stack([batch.column(2 + i).to_numpy() for i in range(len(lanes))], 1).view(np.uint64)])
-            if not len(keys):
+            fresh = [batch.column(i).to_numpy() for i in range(2 + own + len(lanes))]
+            fresh = [*fresh[: 2 + own], np.stack(fresh[2 + own :], 1).view(np.uint64)]
+            columns = [np.concatenate(c) for c in zip(carry, fresh)]
+            if not len(columns[0]):
                 continue
-            cut = int(np.searchsorted(keys, keys[-1]))
-            carry_k, carry_n, carry_f = keys[cut:], nodes[cut:], fps[cut:]
-            if cut and (out := found(keys[:cut], nodes[:cut], fps[:cut])) is not None:
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            carry = [c[cut:] for c in columns]
+            if cut and (out := found([c[:cut] for c in columns])) is not None:
                 yield out
-        if len(carry_k) and (out := found(carry_k, carry_n, carry_f)) is not None:
+        if len(carry[0]) and (out := found(carry)) is not None:
             yield out
 
     width = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = routed.select("_key", "_node", *lanes).distinct().repartition(width, "_key").sortWithinPartitions("_key", "_node")
+    laid = routed.select("_key", "_node", *more, *lanes).distinct().repartition(width, "_key").sortWithinPartitions("_key", "_node")
     return laid.mapInArrow(search, "a long, b long").distinct()
 
 
+def links(routed: DataFrame, lanes: list[str], widest: int) -> DataFrame:
+    """Links (a, b) between nodes that span every group of ``_key``; ``lanes`` hold a node's fingerprint."""
+    return _runs_of_keys(routed, lanes, [], lambda keys, fps, table: _links_of_groups(keys, fps, table, widest))
+
+
 def by_blocks(prints: DataFrame) -> DataFrame:
     """Every distinct fingerprint under the key of each table, for links of three bits at most."""
     keys = F.array(*[_table_key(t) for t in range(len(TABLES))])
@@ -232,10 +239,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, widest: int = WIDEST) ->
     return join_hot(prints, classes, "_fp").select("doc_id", digits, "component_id")
 
 
-# Four lanes of 64 bits tell similarities apart that one lane cannot: 256 bits of which this many may
-# differ. Two texts whose sets of shingles are alike by 0.8 differ in 39 bits on average, by 0.7 in 49.
-LANES, WIDE_LINK = 4, 46
-BANDS, ROWS = 8, 4  # of least hashes; texts alike by 0.8 share a band with a chance of 0.985, by 0.9 of 0.9999
+# Four lanes of 64 bits tell similarities apart that one lane cannot: texts whose sets of shingles are alike
+# by 0.8 differ in 39 of 256 bits on average with a deviation of 6. Pairs up to WIDE_LINK bits are compared
+# exactly. A set of few shingles strays further, so those of less than FEW are compared whatever their bits.
+LANES, WIDE_LINK, FEW = 4, 70, 32
+NEAREST_FIRST = (32, 46, 58)
+BANDS, ROWS = 32, 4  # of least hashes; texts alike by 0.8 share no band with a chance of 5 in 100 million
+ALIKE = (4, 5)  # a similarity of 4/5
 
 
 def _bands(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -253,8 +263,18 @@ def _bands(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's hashes once, in ascending order, and their number."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    once = np.ones(len(hashes), bool)
+    once[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[once], np.bincount(owner[once], minlength=len(sizes)).astype(np.int64)
+
+
 def _wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """``_id`` of a row, doc_id, the lanes of its fingerprint, and its band keys."""
+    """``_id`` of a row, doc_id, its set of shingles as ``_node`` and their number, the lanes of its fingerprint, its band keys."""
     lanes = [f"_f{i}" for i in range(LANES)]
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -262,15 +282,116 @@ def _wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for lo, hi in blocks(texts, 2_000_000):
-                hashes, sizes = _shingle_hashes(texts[lo:hi], shingle)
+                hashes, sizes = _distinct(*_shingle_hashes(texts[lo:hi], shingle))
                 wide = [_majority(hashes if i == 0 else mix(hashes ^ np.uint64(i * 0x9E3779B97F4A7C15 % 2**64)), sizes) for i in range(LANES)]
                 keys = _bands(hashes, sizes).view(np.int64)
-                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *[pa.array(w.view(np.int64)) for w in wide], pa.array(list(keys), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["_id", "doc_id", *lanes, "_keys"])
+                sets = np.split(hashes, np.cumsum(sizes)[:-1])
+                nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(nodes), pa.array(sizes)]
+                columns += [*[pa.array(w.view(np.int64)) for w in wide], pa.array(list(keys), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "doc_id", "_node", "_n", *lanes, "_keys"])
+
+    schema = f"_id string, doc_id {kind}, _node long, _n long, {', '.join(f'{x} long' for x in lanes)}, _keys array<long>"
+    return docs.select(_row_id().alias("_id"), "doc_id", text_of().alias("_t")).mapInArrow(hash_batches, schema)
+
+
+def _shingle_sets(docs: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame:
+    """``_node`` and its distinct shingle hashes, from the rows of ``docs`` that ``firsts`` (``_id, _node``) names."""
+
+    def hash_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for lo, hi in blocks(texts, 2_000_000):
+                hashes, sizes = _distinct(*_shingle_hashes(texts[lo:hi], shingle))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                sets = pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], ["_node", "_set"])
+
+    rows = docs.select(_row_id().alias("_id"), text_of().alias("_t")).join(firsts, "_id").select("_node", "_t")
+    return rows.mapInArrow(hash_batches, "_node long, _set array<long>").dropDuplicates(["_node"])
+
+
+def _room(sizes: np.ndarray, i: np.ndarray, j: np.ndarray, widest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the sizes of two sets allow a similarity of ALIKE, and the bits that may differ."""
+    less, more = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    return ALIKE[1] * less >= ALIKE[0] * more, np.where(less < FEW, LANES * BITS, widest)
+
+
+def _nearest_proposals(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, sizes: np.ndarray, widest: int) -> list[tuple[int, int]]:
+    """Like a spanning forest of the proposed pairs inside each run of equal keys, nearest fingerprints first."""
+    remaining = _remaining(keys)
+    forest, tops, out = Forest(), np.arange(len(keys)), []
+    for limit in (*NEAREST_FIRST, widest):
+        step = 1
+        while (active := np.flatnonzero(remaining >= step)).size:
+            for at in range(0, len(active), PAIRS_AT_ONCE):
+                i = active[at : at + PAIRS_AT_ONCE]
+                i = i[tops[i] != tops[i + step]]
+                fits, room = _room(sizes, i, i + step, widest)
+                i, room = i[fits], room[fits] if limit == widest else limit
+                for x in i[_linked(fps, table, i, i + step, room)].tolist():
+                    if forest.joins(x, x + step):
+                        out.append((x, x + step))
+            step += 1
+        tops = np.fromiter((forest.top(x) for x in range(len(keys))), np.int64, len(keys))
+    return out
+
+
+def _open_proposals(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, sizes: np.ndarray, parts: np.ndarray, widest: int) -> np.ndarray:
+    """All proposed pairs inside each run of equal keys whose nodes are in different ``parts``."""
+    remaining = _remaining(keys)
+    out, step = [np.zeros((0, 2), np.int64)], 1
+    while (active := np.flatnonzero(remaining >= step)).size:
+        for at in range(0, len(active), PAIRS_AT_ONCE):
+            i = active[at : at + PAIRS_AT_ONCE]
+            i = i[parts[i] != parts[i + step]]
+            fits, room = _room(sizes, i, i + step, widest)
+            i, room = i[fits], room[fits]
+            i = i[_linked(fps, table, i, i + step, room)]
+            out.append(np.stack([i, i + step], 1))
+        step += 1
+    return np.concatenate(out)
+
 
-    schema = f"_id string, doc_id {kind}, {', '.join(f'{x} long' for x in lanes)}, _keys array<long>"
-    prints = docs.select(_row_id().alias("_id"), "doc_id", text_of().alias("_t")).mapInArrow(hash_batches, schema)
-    return prints.withColumn("_node", F.xxhash64(*lanes))
+def _remaining(keys: np.ndarray) -> np.ndarray:
+    """Members of the same run of equal keys after each one."""
+    ends = np.concatenate([np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+    return np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(keys)) - 1
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets of shingles are alike by ALIKE, counted exactly."""
+    both = pairs.join(sets.select(F.col("_node").alias("a"), F.col("_set").alias("_sa")), "a")
+    both = both.join(sets.select(F.col("_node").alias("b"), F.col("_set").alias("_sb")), "b")
+    shared = F.size(F.array_intersect("_sa", "_sb"))
+    # shared / (a + b - shared) >= 4 / 5 in whole numbers.
+    return both.filter(sum(ALIKE) * shared >= ALIKE[0] * (F.size("_sa") + F.size("_sb"))).select("a", "b")
+
+
+def similar_pairs(docs: DataFrame, prints: DataFrame, shingle: int, widest: int) -> DataFrame:
+    """Pairs (a, b) of nodes alike by 0.8 or more, enough of them to connect every group of such nodes.
+
+    A pair is proposed where a band and the sizes agree and the fingerprints are near; what decides is
+    the exact similarity. First the nearest proposals that would connect each key's nodes are decided,
+    then every proposal between nodes that are not connected by then, so none goes undecided.
+    """
+    lanes = [f"_f{i}" for i in range(LANES)]
+    keyed = prints.select(F.explode(F.array_distinct("_keys")).alias("_key"), "_node")
+    # Fingerprints travel only to keys that two nodes share.
+    several = keyed.groupBy("_key").agg(F.min("_node").alias("lo"), F.max("_node").alias("hi")).filter("lo <> hi").select("_key")
+    keyed = join_hot(keyed, several, "_key").distinct()
+    nodes = prints.select("_node", "_n", *lanes).distinct()
+    routed = staged(keyed.join(nodes, "_node").select("_key", "_node", "_n", *lanes), "near-routes")
+    nearest = staged(_runs_of_keys(routed, lanes, ["_n"], lambda *c: _nearest_proposals(*c, widest)), "near-proposals")
+    named = nearest.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
+    firsts = prints.groupBy("_node").agg(F.min("_id").alias("_id")).join(named, "_node", "left_semi")
+    # The nodes of all proposals are among these: who has one in a key is in its forest.
+    sets = staged(_shingle_sets(docs, firsts, shingle), "near-sets")
+    sure = staged(_alike(nearest, sets), "near-links")
+    parts = components(sure, "near-parts").select(F.col("node").alias("_node"), "root")
+    labelled = routed.join(named, "_node", "left_semi").join(parts, "_node", "left").withColumn("_part", F.coalesce("root", "_node"))
+    rest = _runs_of_keys(labelled, lanes, ["_n", "_part"], lambda *c: _open_proposals(*c, widest))
+    return sure.unionByName(_alike(rest, sets))
 
 
 def _row_id() -> Column:
@@ -281,15 +402,13 @@ def _row_id() -> Column:
 def keep_one(docs: DataFrame, shingle: int = 5, widest: int = WIDE_LINK) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
 
-    Texts alike by 0.8 or more in their five-word shingles are near copies. Fingerprints of 256 bits
-    are compared where a band of least hashes agrees, by the same pivot tables as above; groups are
-    what links reach. A null text counts as empty, and empty texts are copies of each other. Null
-    doc_ids come last; rows alike in doc_id and text are copies of each other too.
+    Texts whose sets of five-word shingles are alike by 0.8 or more are near copies; groups are what such
+    links reach. Bands of least hashes and fingerprints of 256 bits only propose pairs, the sets of shingles
+    decide. A null text counts as empty, and empty texts are copies of each other. Null doc_ids come last;
+    rows alike in doc_id and text are copies of each other too.
     """
-    lanes = [f"_f{i}" for i in range(LANES)]
     prints = staged(_wide_prints(docs, shingle), "wide-prints")
-    routed = prints.select(F.explode(F.array_distinct("_keys")).alias("_key"), "_node", *lanes)
-    roots = components(links(routed, lanes, widest), "near-copies")
+    roots = components(similar_pairs(docs, prints, shingle, widest), "near-copies")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_id"))
     by_node = prints.groupBy("_node").agg(first.alias("_first"))
     rooted = by_node.join(roots, by_node["_node"] == roots["node"], "left").select(F.coalesce("root", "_node").alias("_root"), "_first")

@@ -34,6 +34,22 @@ def test_blocks_of_broken_markup():
     assert html_blocks.blocks_of("") == [] and html_blocks.blocks_of("<p>  </p>") == []
 
 
+@pytest.mark.parametrize(
+    "html, texts",
+    [
+        ("<html><head><title>t</title><p>article<p>more", ["article", "more"]),
+        ("<head><meta charset=x><title>t</title><script>a()</script>bare <b>text</b><p>more", ["bare text", "more"]),
+        ("<head><title>t</title><noscript><link href=x><style>b{}</style></noscript><meta name=y><b>a</b>", ["a"]),
+        ("<head><title>t</title><noscript><p>off</p></noscript><p>more", ["off", "more"]),
+        ("<head><template><p>no</p></template><style>p{}</style></head><p>yes<body><p>more", ["yes", "more"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<p><svg/>a<svg><text>b</text></svg>", ["so x=2 holds", "ab"]),
+        ("<noscript><p>one</p></noscript><object>two</object><audio>three</audio><video>four</video>", ["one", "twothreefour"]),
+    ],
+)
+def test_blocks_without_head_end_or_body(html, texts):
+    assert [b.text for b in html_blocks.blocks_of(html)] == texts
+
+
 def test_field_on_held_out_layouts():
     field = extraction.default_field()
     right = total = 0

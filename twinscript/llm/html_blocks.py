@@ -6,7 +6,11 @@ from html.parser import HTMLParser
 
 # Element names of the HTML standard, by what they do to the flow of text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-SILENT = {"head", "script", "style", "template", "noscript", "svg", "math", "iframe", "object", "canvas", "audio", "video"}
+SILENT = {"head", "script", "style", "template"}
+FOREIGN = {"svg", "math"}
+# What may stand in a head, and in a noscript there; any other opening tag or text ends the head.
+HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+HEAD_NOSCRIPT = {"basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "style"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
     "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html",
@@ -70,7 +74,14 @@ class _Parser(HTMLParser):
             if self.open[at].tag in scopes:
                 return None
 
+    def leave_head(self, tag: str | None) -> None:
+        """End an open head, unless the tag may stand in it (None for text)."""
+        tags = [o.tag for o in self.open[-2:]]
+        if tags[-2:] == ["head", "noscript"] and tag not in HEAD_NOSCRIPT or tags[-1:] == ["head"] and tag not in HEAD:
+            self.end_of({"head"}, set())
+
     def handle_starttag(self, tag, attrs):
+        self.leave_head(tag)
         if tag in BLOCK:
             self.flush()
             self.end_of({"p"}, BLOCK - {"p"})
@@ -93,7 +104,7 @@ class _Parser(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in SILENT:  # only foreign elements really close themselves
+        if tag in SILENT | FOREIGN:  # only foreign elements really close themselves
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
@@ -104,6 +115,8 @@ class _Parser(HTMLParser):
                 return self.close_to(at)
 
     def handle_data(self, data):
+        if data.strip():
+            self.leave_head(None)
         if not self.silent:
             self.parts.append(data)
             if self.links:

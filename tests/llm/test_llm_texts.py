@@ -236,6 +236,22 @@ def test_quality_verdicts(frame):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(30))
 
 
+def test_quality_holds_each_language_against_its_own(frame):
+    r = np.random.default_rng(8)
+    italian = "il gatto e la volpe che non si trova nella casa di un vecchio amico con molte belle parole".split()
+    japanese = ["これは", "日本語の", "文章です。", "とても", "きれいな", "花が", "咲いて", "いました。", "そして", "雨も"]
+    texts = {lang: [" ".join(f"{w}{k}" if k < 3 else w for w, k in zip(r.choice(words, 90), r.integers(0, 9, 90))) for _ in range(n)] for lang, words, n in (("IT", italian, 100), ("ja", japanese, 2))}
+    rows = [(i, t, lang, "a") for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)]
+    rows += [(200, texts["ja"][0], "it", "a")]
+    docs = frame(rows)
+    verdicts = {row["doc_id"]: row["kept"] for row in quality.quality_rules(docs).collect()}
+    assert [i for i, kept in verdicts.items() if not kept] == [200]
+    assert sorted(row["doc_id"] for row in quality.keep_good(docs).collect()) == list(range(102))
+    listed = {row["_lang"]: row["_listed"] for row in quality.common_words(docs).collect()}
+    assert set(listed) == {"it", "ja"} and all(len(x) == quality.WORD_SLOTS for x in listed.values())
+    assert set(listed["ja"]) <= {w for t in texts["ja"] for w in t.split()}
+
+
 def test_license_scan(frame, collect):
     notice = licenses.NOTICES[0][1]
     cut = notice.split(" ")

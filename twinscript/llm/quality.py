@@ -3,6 +3,7 @@
 Two histograms are compared: kinds of characters, and the most common words of the
 language. A reference is the sum of the histograms of all texts of the language that
 pass the base rules, so it covers the whole corpus and behaves alike at every size.
+Every value of ``lang`` has its own reference; only texts without one share theirs.
 Short texts have noisy histograms; the distance allowed grows as the text shrinks,
 and below ``min_words`` words the word histogram is not judged at all.
 
@@ -11,12 +12,14 @@ Everything is a built-in expression inside one scan; no Python runs on executors
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinscript.llm.tables import staged, staged_texts, text_of
+from twinscript.operators.joins import join_hot
 
-# Frequent function words by language; any other language uses the pooled list.
+# Frequent function words by language. Any other language has those that stand in most of
+# its texts; texts without a language use the pooled list.
 COMMON_WORDS = {
     "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it"],
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "ist"],
@@ -60,14 +63,35 @@ def _count(kind: str) -> Column:
     return F.regexp_count("_t", F.lit(f"[{kind}]")).cast("long")
 
 
-def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Base figures and histograms of every row, besides the columns of ``keep``.
+def _language() -> Column:
+    return F.coalesce(F.lower("lang"), F.lit(""))
+
+
+def common_words(docs: DataFrame) -> DataFrame | None:
+    """``_lang`` and its ``_listed`` words, those in most texts, for languages without a fixed list; None without such a language."""
+    other = docs.select(_language().alias("_lang"), text_of().alias("_t")).filter(~F.col("_lang").isin("", *COMMON_WORDS))
+    if other.select("_lang").isEmpty():
+        return None
+    words = F.array_remove(F.array_distinct(F.split("_t", "[\\x20\\x09-\\x0D]+")), "")
+    counts = other.select("_lang", F.explode(words).alias("_word")).groupBy("_lang", "_word").count()
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("count"), "_word"))
+    ranked = counts.withColumn("_rank", rank).filter(F.col("_rank") <= WORD_SLOTS)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_word"))), lambda x: x["_word"])
+    listed = F.concat(listed, F.array_repeat(F.lit(""), F.lit(WORD_SLOTS) - F.count("*").cast("int")))  # no word is empty
+    return staged(ranked.groupBy("_lang").agg(listed.alias("_listed")), "quality-words")
+
+
+def measures(docs: DataFrame, keep: list[str], words: DataFrame | None = None) -> DataFrame:
+    """Base figures and histograms of every row, besides the columns of ``keep``; ``words`` is from :func:`common_words`.
 
     Later columns refer to earlier ones by name, several times each, so that the optimizer
     computes an array once instead of copying its expression into every lambda.
     """
     longs = "array<bigint>"
-    df = docs.select(*keep, text_of().alias("_t"), F.coalesce(F.lower("lang"), F.lit("")).alias("_lang"))
+    df = docs.select(*keep, text_of().alias("_t"), _language().alias("_lang"))
+    if words is not None:
+        # Staged, so its size is known before the join: a table of a few languages is sent to all tasks.
+        df = join_hot(df, words, "_lang", "left")
     # Every space character becomes one blank, so the pieces also count the space characters.
     df = df.withColumn("_pieces", F.split(F.regexp_replace("_t", "[\\x09-\\x0D]", " "), " "))
     df = df.withColumn("_w", F.array_remove("_pieces", ""))
@@ -91,6 +115,7 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
         *keep,
         "_lang",
         "_w",
+        *([] if words is None else ["_listed"]),
         F.size("_w").cast("long").alias("_n_words"),
         F.length("_t").cast("long").alias("_n_chars"),
         (F.size("_pieces") - 1).cast("long").alias("_space"),
@@ -101,9 +126,9 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
         _count("A-Z").alias("_upper"),
         _count(MARKS).alias("_mark"),
     )
-    common = F.lit(None).cast("array<string>")
-    for lang, words in COMMON_WORDS.items():
-        common = F.when(F.col("_lang") == lang, F.array(*map(F.lit, words))).otherwise(common)
+    common = F.lit(None).cast("array<string>") if words is None else F.col("_listed")
+    for lang, fixed in COMMON_WORDS.items():
+        common = F.when(F.col("_lang") == lang, F.array(*map(F.lit, fixed))).otherwise(common)
     df = df.withColumn("_common", F.coalesce(common, F.array(*map(F.lit, POOLED_WORDS))))
     df = df.withColumn("_hits", F.filter("_w", lambda w: F.array_contains("_common", w)))
     counted = F.transform("_common", lambda c: F.size(F.filter("_hits", lambda w: w == c)).cast("long"))
@@ -111,7 +136,7 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     lower = F.greatest(F.lit(0), word_chars - F.col("_upper") - F.col("_mark") - F.col("_n_symbols"))
     return df.select(
         *keep,
-        F.when(F.col("_lang").isin(*COMMON_WORDS), F.col("_lang")).otherwise("").alias("_lang"),
+        "_lang",
         "_n_words", word_chars.alias("_word_chars"), "_n_symbols", "_n_dup_lines", "_n_repeat_words",
         F.array(lower, F.col("_upper"), F.col("_mark"), F.col("_space"), F.col("_n_symbols"), F.col("_wide")).alias("_kinds"),
         F.concat(counted, F.array(F.col("_n_words") - F.size("_hits"))).alias("_common"),
@@ -123,7 +148,7 @@ def base_failed(limits: Limits) -> Column:
 
 
 def _summed(measured: DataFrame) -> DataFrame:
-    """Histograms added up by language: five rows at most, four fixed languages and one for all others."""
+    """Histograms added up by language, one row for each and one for all texts without a language."""
     sums = [F.sum(F.col("_kinds")[i]).alias(f"k{i}") for i in range(len(CHAR_KINDS))]
     sums += [F.sum(F.col("_common")[i]).alias(f"c{i}") for i in range(WORD_SLOTS + 1)]
     return measured.groupBy("_lang").agg(*sums).select(
@@ -140,9 +165,13 @@ def references(measured: DataFrame, limits: Limits) -> DataFrame:
     so a second one takes only those nearer to the first than ``first_distance``.
     """
     sound = measured.filter(~base_failed(limits))
-    first = sound.join(F.broadcast(_summed(sound)), F.col("_lang") == F.col("_ref_lang"))
+    first = _with_reference(sound, staged(_summed(sound), "quality-first"), "inner")
     near = jensen_shannon(F.col("_kinds"), F.col("_ref_kinds")) <= limits.first_distance
-    return _summed(first.filter(near).select("_lang", "_kinds", "_common"))
+    return staged(_summed(first.filter(near).select("_lang", "_kinds", "_common")), "quality-reference")
+
+
+def _with_reference(measured: DataFrame, reference: DataFrame, how: str) -> DataFrame:
+    return join_hot(measured, reference.withColumnRenamed("_ref_lang", "_lang"), "_lang", how)
 
 
 def jensen_shannon(counts: Column, reference: Column) -> Column:
@@ -156,7 +185,7 @@ def jensen_shannon(counts: Column, reference: Column) -> Column:
 
 def judged(measured: DataFrame, reference: DataFrame, limits: Limits) -> DataFrame:
     """Add ``_char_distance``, ``_word_distance``, ``_base_failed`` and ``_kept``."""
-    df = measured.join(F.broadcast(reference), F.col("_lang") == F.col("_ref_lang"), "left")
+    df = _with_reference(measured, reference, "left")
     slack = limits.noise / F.sqrt(F.greatest(F.col("_n_words"), F.lit(1)))
     df = df.withColumns(
         {
@@ -174,11 +203,11 @@ def judged(measured: DataFrame, reference: DataFrame, limits: Limits) -> DataFra
 def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Base figures, distances and the verdict for every document.
 
-    A null text counts as empty: no words, so the base rules reject it. A null or unknown
-    language is held against the texts of all such languages. Repeated rows give repeated
+    A null text counts as empty: no words, so the base rules reject it. Every language is held
+    against its own texts, those without a language against each other. Repeated rows give repeated
     rows; an empty table gives an empty one. Columns besides doc_id, text and lang are not read.
     """
-    measured = staged(measures(docs, ["doc_id"]), "quality")
+    measured = staged(measures(docs, ["doc_id"], common_words(docs)), "quality")
     rows = judged(measured, references(measured, limits), limits)
     return rows.select(
         "doc_id",
@@ -191,13 +220,13 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs`` whose text passes, with all their columns."""
-    figures = staged(measures(docs.select("text", "lang"), []), "quality")
-    # The references are five rows, written down so that they are summed once.
-    reference = staged(references(figures, limits), "quality-reference")
+    words = common_words(docs)
+    figures = staged(measures(docs.select("text", "lang"), [], words), "quality")
+    reference = references(figures, limits)
     inner = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang")
     # Written down before it is filtered: a filter on the verdict would be moved below the projections
     # that lead to it, and every array would be computed once for each of its uses.
-    verdicts = judged(measures(inner, ["_row"]), reference, limits).select("_row", "_kept")
+    verdicts = judged(measures(inner, ["_row"], words), reference, limits).select("_row", "_kept")
     return staged_texts(verdicts, "quality-verdicts").filter("_kept").select("_row.*")
 
 

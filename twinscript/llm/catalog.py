@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscript.llm import extraction, licenses, mixing, packing, quality, simhash, substrings, suffixes, topk, toxicity
+from twinscript.llm import extraction, licenses, mixing, packing, quality, simhash, spelling, substrings, suffixes, topk, toxicity
 from twinscript.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_main_text(read(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
     "op2_substring_dedup": (op2_substring_dedup, substrings.substring_sql(35)),
@@ -79,4 +83,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op7_suffix_array_dedup": (op7_suffix_array_dedup, None),
     "op9_source_mixing": (op9_source_mixing, None),
     "op10_html_extraction": (op10_html_extraction, None),
+    "op11_spelling_variants": (op11_spelling_variants, spelling.spelling_sql()),
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscript.llm import divergence, extraction, licenses, mixing, packing, quality, simhash, spelling, substrings, suffixes, topk, toxicity
+from twinscript.llm import divergence, extraction, licenses, mixing, packing, quality, simhash, sketches, spelling, substrings, suffixes, topk, toxicity
 from twinscript.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(read(spark, sf_dir, "documents"))
 
 
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints_beside_next(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
     "op2_substring_dedup": (op2_substring_dedup, substrings.substring_sql(35)),
@@ -89,4 +93,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op10_html_extraction": (op10_html_extraction, None),
     "op11_spelling_variants": (op11_spelling_variants, spelling.spelling_sql()),
     "op12_source_divergence": (op12_source_divergence, divergence.divergence_sql()),
+    "op13_document_fingerprints": (op13_document_fingerprints, None),
 }

@@ -5,21 +5,32 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from twinscript.session import build_session  # noqa: E402
+from twinscript.session import build_session, drop_stages, open_stages  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     session = build_session(
         "tests",
         "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.checkpoint.dir": str(shared)},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_stages(session)
+    assert not open_stages() and not [p for p in shared.glob("twinscript/*") if p.name.startswith("stage-")]
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def no_stage_is_left(request):
+    """Whatever a test staged goes when it is done."""
+    yield
+    if "spark" in request.fixturenames:
+        drop_stages(request.getfixturevalue("spark"))
+
+
 @pytest.fixture
 def values(spark):
     """Evaluate column functions on literal rows: ``values(rows, ddl, lambda c: ...)``."""

@@ -39,3 +39,37 @@ def test_small_tables_start_no_job(spark):
     assert "LocalTableScan" in df._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in df.collect()] == [("a", None), ("b", 2.5)]
     assert session.small_table(spark, [], "s string").count() == 0
+
+
+def folders(*stages):
+    return [s.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://") for s in stages]
+
+
+def test_dropped_stages_leave_no_folder(spark):
+    import os
+
+    one, two, three = (session.staged(spark.range(n)) for n in (1, 2, 3))
+    with session.owned_stages("owner"):
+        mine = session.staged(spark.range(4))
+    paths = folders(one, two, three, mine)
+    session.drop_stage(one)
+    assert [os.path.exists(p) for p in paths] == [False, True, True, True]
+    session.drop_stage(one)  # gone already
+    session.drop_stages(spark, owner="owner")
+    assert [os.path.exists(p) for p in paths] == [False, True, True, False]
+    # What a DataFrame still reads stays.
+    session.drop_stages(spark, three.filter("id > 0"))
+    assert [os.path.exists(p) for p in paths] == [False, False, True, False]
+    assert three.count() == 3
+    session.drop_stages(spark)
+    assert not os.path.exists(paths[2])
+
+
+def test_a_stage_in_the_catalog_goes_with_its_table(spark):
+    import os
+
+    path = session.scratch_path(spark, "table")
+    spark.range(3).write.option("path", path).saveAsTable("stage_in_the_catalog")
+    session.stage_table(spark, "stage_in_the_catalog", path)
+    session.drop_stages(spark, spark.range(1))
+    assert not os.path.exists(path) and not spark.catalog.tableExists("stage_in_the_catalog")

@@ -2,6 +2,9 @@
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,16 +76,85 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/twinscript/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str = "stage") -> DataFrame:
+# Folders of stages that nobody has dropped yet with their owner, and what each stage's DataFrame was written to.
+_open_stages: dict[str, str | None] = {}
+_owner: list[str] = []
+_stage_of: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
+
+
+def staged(df: DataFrame, label: str = "stage", **options: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     The written table cuts the lineage: a lost executor re-reads files, and two
     branches of a plan see the very same rows. It keeps real sizes for the
-    optimizer, which an RDD checkpoint does not.
+    optimizer, which an RDD checkpoint does not. It stays until ``drop_stage`` or
+    ``drop_stages`` removes it.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _open_stages[path] = _owner[-1] if _owner else None
+    df.write.options(**options).parquet(path)
+    return stage_reader(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def stage_reader(df: DataFrame, path: str) -> DataFrame:
+    """Register ``df`` as what reads the stage at ``path``."""
+    _open_stages.setdefault(path, _owner[-1] if _owner else None)
+    _stage_of[df] = path
+    return df
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies; with it the table of that folder, if the catalog has one."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    _open_stages.pop(path, None)
+    if (table := _tables.pop(path, None)) is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+_tables: dict[str, str] = {}
+
+
+def stage_table(spark: SparkSession, table: str, path: str) -> DataFrame:
+    """The catalog's table over a stage's files; the table goes when the stage is dropped."""
+    _tables[path] = table
+    return stage_reader(spark.table(table), path)
+
+
+def drop_stage(*stages: DataFrame) -> None:
+    """Remove what ``staged`` wrote for these. Nothing that still has to read them may be left."""
+    for df in stages:
+        path = _stage_of.pop(df, None)
+        if path in _open_stages:
+            _remove(df.sparkSession, path)
+
+
+@contextmanager
+def owned_stages(owner: str) -> Iterator[None]:
+    """Stages written inside belong to ``owner``, who can drop them together."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def drop_stages(spark: SparkSession, *unread: DataFrame, owner: str | None = None) -> None:
+    """Remove all stages (of ``owner``, if named) but those that the DataFrames ``unread`` still have to read.
+
+    To be called when a result has been written: operators cannot know when their last reader is done.
+    """
+    mine = [path for path, of in _open_stages.items() if owner is None or of == owner]
+    files = [f for df in unread for f in df.inputFiles()] if mine else []
+    for path in mine:
+        if not any(f"{path}/" in f for f in files):
+            _remove(spark, path)
+
+
+def open_stages() -> list[str]:
+    """Folders of the stages nobody has dropped yet."""
+    return list(_open_stages)
 
 
 MAX_SPREAD_SPLITS = 8

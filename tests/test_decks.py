@@ -173,3 +173,73 @@ def test_csv_round_trip_keeps_texts_whole(spark, tmp_path):
     files.write_bilingual(df, path)
     got = {r.idx: (r.src, r.tgt) for r in files.read_bilingual_csv(spark, path).collect()}
     assert got == {i: (t, t) for i, t in enumerate(texts)}
+
+
+def archive(path, parts):
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in parts.items():
+            z.writestr(name, data)
+    return path
+
+
+def test_what_cannot_be_read_becomes_a_row(spark, tmp_path):
+    good = slide(run("好き"))
+    for i in range(9):
+        archive(tmp_path / f"good{i}.pptx", {"ppt/slides/slide1.xml": good})
+    (tmp_path / "cut.pptx").write_bytes((tmp_path / "good0.pptx").read_bytes()[:-30])
+    (tmp_path / "no.pptx").write_bytes(b"text")
+    mixed = archive(tmp_path / "mixed.pptx", {"ppt/slides/slide1.xml": good, "ppt/slides/slide2.xml": b"<a>\xff\xfe</a>", "ppt/slides/slide3.xml": good})
+    data = bytearray(mixed.read_bytes())
+    data[data.rindex(b"ppt/slides/slide3.xml", 0, data.index(b"PK\x01\x02")) + 40] ^= 0xFF
+    mixed.write_bytes(bytes(data))
+    rows = decks.read_deck_rows(spark, str(tmp_path / "*.pptx"))
+    bad = sorted((r.deck_id.rsplit("/", 1)[1], r.part_name) for r in decks.unreadable(rows).collect())
+    assert bad == sorted([("cut.pptx", None), ("no.pptx", None), ("mixed.pptx", "ppt/slides/slide2.xml"), ("mixed.pptx", "ppt/slides/slide3.xml")])
+    assert all(r.error for r in decks.unreadable(rows).collect())
+    assert decks.extract_paragraphs(decks.read_decks(spark, str(tmp_path / "*.pptx"))).count() == 10
+    # A slide range is no error and skips damaged slides unread.
+    assert decks.read_deck_rows(spark, str(tmp_path / "mixed.pptx"), slides="1-1").filter("error is not null").count() == 0
+
+
+@pytest.mark.parametrize("encoding,declared", [
+    ("utf-16", "UTF-16"), ("utf-16-le", "UTF-16"), ("utf-16-be", "UTF-16"), ("utf-8-sig", None), ("iso-8859-1", "ISO-8859-1"),
+    ("shift_jis", "Shift_JIS"), ("utf-32", None), ("utf-8", "utf-8"), ("utf-8", None),
+])
+def test_parts_in_other_encodings(spark, tmp_path, encoding, declared):
+    text = "café" if encoding.startswith("iso") else "日本 x"
+    head = f'<?xml version="1.0" encoding="{declared}"?>' if declared else ""
+    xml = head + slide(run(text))
+    archive(tmp_path / "d.pptx", {"ppt/slides/slide1.xml": xml.encode(encoding)})
+    parts = decks.read_decks(spark, str(tmp_path / "d.pptx"))
+    assert parts.first().xml == xml
+    assert [r.text for r in decks.extract_paragraphs(parts).collect()] == [text]
+
+
+def test_broken_parts_give_errors_and_no_rows(spark):
+    whole = slide(run("one"), run("two"), run("x", '<a:rPr sz="1800"/>'))
+    xmls = [whole, whole[:-20], "", None, "<a>", whole.replace('sz="1800"', 'sz="big"')]
+    head = "deck_id string, part_kind string, part_name string, part_no long"
+    for kind in ("string", "binary"):
+        values = [x if kind == "string" or x is None else bytearray(x.encode()) for x in xmls]
+        parts = spark.createDataFrame([("d", "slide", f"p{i}", i, x) for i, x in enumerate(values)], f"{head}, xml {kind}")
+        rows = decks.paragraph_rows(parts)
+        assert sorted(r.part_no for r in decks.unreadable(rows).collect()) == [1, 2, 3, 4]
+        assert sorted((r.part_no, r.para_idx, r.text) for r in decks.extract_paragraphs(parts).collect()) == [
+            (p, i, t) for p in (0, 5) for i, t in enumerate(("one", "two", "x"))
+        ]
+        assert sorted(r.part_no for r in decks.unreadable(decks.run_rows(parts)).collect()) == [1, 2, 3, 4, 5]
+        assert {r.part_no for r in decks.extract_text_runs(parts).collect()} == {0}
+    wide = spark.createDataFrame([("d", "slide", "p", 1, bytearray(('<?xml version="1.0" encoding="UTF-16"?>' + whole).encode("utf-16")))], f"{head}, xml binary")
+    assert [r.text for r in decks.extract_paragraphs(wide).collect()] == ["one", "two", "x"]
+
+
+def test_paragraphs_inside_paragraphs_keep_their_order(spark):
+    inner = slide("<a:r><a:t>outer</a:t></a:r><x><a:p><a:r><a:t>inner</a:t></a:r></a:p></x>", run("last"))
+    parts = spark.createDataFrame([("d", "slide", "p", 1, inner)], "deck_id string, part_kind string, part_name string, part_no long, xml string")
+    assert [(r.para_idx, r.text) for r in decks.extract_paragraphs(parts).orderBy("para_idx").collect()] == [(0, "outerinner"), (1, "inner"), (2, "last")]
+
+
+def test_rows_leave_in_frames_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(decks, "BATCH_CHARS", 100)
+    frames = list(decks._frames((("x" * 30,) for _ in range(20)), ["t"], {}, lambda row: len(row[0])))
+    assert [len(f) for f in frames] == [4, 4, 4, 4, 4, 0]

@@ -16,6 +16,7 @@ from twinscript.operators.matching import (
     glossary_alternatives,
     listed_alternatives,
     punct_flags,
+    usable_rules,
 )
 
 # The categories in the order their fixes are applied; the last has none.
@@ -136,7 +137,8 @@ def _inline_rules(
     banned: DataFrame, marks: DataFrame, listed: DataFrame, inline: int
 ) -> tuple[list[Row], list[Row], list[Row]] | None:
     """The rows of all three tables, or None when one of them is too large to inline."""
-    rows = tuple(bounded_rows(t, inline) for t in (banned, marks, listed))
+    usable = usable_rules(banned, "phrase", word="phrase"), usable_rules(marks, "original"), listed
+    rows = tuple(bounded_rows(t, inline) for t in usable)
     return None if any(r is None for r in rows) else rows
 
 

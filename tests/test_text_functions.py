@@ -158,3 +158,20 @@ def test_counts_preserved(values):
 def test_patterns_compile_in_python_too():
     for phrase in rules.BANNED_PHRASES:
         assert re.compile(rf"\b{re.escape(phrase)}\b")
+
+
+def test_references_equal_the_standard_library(values):
+    """All numbers of interest, all names with and without semicolon, and drawn mixtures."""
+    import html
+    import random
+    from html.entities import html5
+
+    r = random.Random(6)
+    numbers = [*range(0, 170), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF, 0xFFFD, 0xFFFE, 0x1FFFF, 0x10FFFE, 0x10FFFF, 0x110000, 10**7, 10**30]
+    texts = [f"a&#{n}{end}b" for n in numbers for end in (";", "")] + [f"&#{x}{n:x};&#x{'0' * 12}{n:X}z" for n in numbers for x in "xX"]
+    texts += [f"&{name}" for name in html5] + [f"x&{name.rstrip(';')} y" for name in r.sample(sorted(html5), 300)]
+    texts += ["&copy 2020 &#128;", "&#000000065;", "&notit;", "&notin;", "&amp;lt;", "&;", "&#;", "&#x;", "&#xg;", "&&amp;&", "& amp;", "R&D", "&" + "a" * 40 + ";", "&ampamp;", "&AMP;x"]
+    pieces = ["&", "#", "x", ";", "amp", "lt", "copy", "not", "in", "65", "0", "é", " ", "frac12", "&#", "&#x", "8", "f"]
+    texts += ["".join(r.choices(pieces, k=r.randint(1, 9))) for _ in range(1500)]
+    got = values(texts, "s string", lambda c: text.unescape_markup(c("s")))
+    assert [(t, g) for t, g in zip(texts, got) if g != html.unescape(t)] == []

@@ -151,29 +151,62 @@ def classify_kind_by_length(text: Column) -> Column:
 # The named entities of XML.
 XML_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
 
+# What may be a reference, with or without its semicolon.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[^\t\n\f <&#;]{1,32};?)"
+REPLACEMENT = "\ufffd"
+
+
+def _windows_character(n: int) -> str:
+    """What a number from 128 to 159 stands for on the web; the five without a character are themselves."""
+    try:
+        return bytes([n]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(n)
+
 
 def _code_point(ref: Column) -> Column:
-    """The character of a numeric reference; an impossible number is the replacement character."""
-    digits = F.upper(F.regexp_extract(ref, r"&#[xX]?([0-9A-Fa-f]+);", 1))
-    as_hex = F.lpad(F.when(ref.rlike("^&#[xX]"), digits).otherwise(F.conv(digits, 10, 16)), 8, "0")
-    valid = (as_hex > "00000000") & (as_hex <= "0010FFFF") & ~as_hex.between("0000D800", "0000DFFF")
-    return F.when(valid, F.decode(F.unhex(as_hex), "UTF-32")).otherwise("\ufffd")
+    """The character of a numeric reference, however long.
+
+    Zero, surrogates and numbers beyond Unicode give the replacement character; control
+    characters and numbers that are no characters give none.
+    """
+    is_hex = ref.rlike("^&#[xX]")
+    digits = F.upper(F.regexp_extract(ref, r"^&#[xX]?0*([0-9A-Fa-f]*)", 1))
+    short = F.length(digits) <= F.when(is_hex, 6).otherwise(7)
+    few = F.when(digits == "", "0").otherwise(F.substring(digits, 1, 7))
+    number = F.when(is_hex, F.conv(few, 16, 10)).otherwise(few).try_cast("long")
+    within = short & number.isNotNull() & (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    control = (number < 9) | number.between(14, 31) | number.isin(11, 127)
+    no_character = number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    windows = F.array(*[F.lit(_windows_character(n)) for n in range(128, 160)])
+    return (
+        F.when(~within | within.isNull(), REPLACEMENT)
+        .when(number.between(128, 159), F.get(windows, (number - 128).cast("int")))
+        .when(control | no_character, "")
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    )
 
 
 def unescape_markup(text: Column) -> Column:
     """Decode character references in one pass, so that ``&amp;lt;`` becomes ``&lt;``.
 
-    Names beyond those of XML come from the standard library's table; unknown
-    ones stay as they are.
+    Names come from the standard library's table. Where no name fits the whole reference,
+    the longest name known without a semicolon that it begins with is decoded and the rest
+    kept (``&copy2020``); a reference that begins with none stays as it is.
     """
-    table = json.dumps({f"&{name}": char for name, char in html5.items() if name.endswith(";")})
+    table = json.dumps({f"&{name}": char for name, char in html5.items()})
     named = F.from_json(F.lit(table), "map<string,string>")
+    open_names = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
+
+    def by_name(ref: Column) -> Column:
+        begins = F.regexp_extract(ref, f"^&(?:{'|'.join(open_names)})", 0)
+        prefix = F.when(begins != "", F.concat(F.try_element_at(named, begins), F.substring(ref, F.length(begins) + 1, F.length(ref))))
+        return F.coalesce(F.try_element_at(named, ref), prefix, ref)
 
     def decode(ref: Column) -> Column:
-        decoded = F.when(ref.startswith("&#"), _code_point(ref))
+        decoded = F.when(ref.rlike("^&#[0-9xX]"), _code_point(ref))
         for entity, char in XML_ENTITIES.items():
             decoded = decoded.when(ref == entity, char)
-        return F.when(ref.isNotNull(), decoded.otherwise(F.coalesce(F.try_element_at(named, ref), ref)))
+        return F.when(ref.isNotNull(), decoded.otherwise(by_name(ref)))
 
-    pattern = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-    return F.when(text.contains("&"), splice(text, pattern, lambda ref, _: decode(ref))).otherwise(text)
+    return F.when(text.contains("&"), splice(text, REFERENCE, lambda ref, _: decode(ref))).otherwise(text)

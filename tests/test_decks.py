@@ -243,3 +243,31 @@ def test_rows_leave_in_frames_of_bounded_size(monkeypatch):
     monkeypatch.setattr(decks, "BATCH_CHARS", 100)
     frames = list(decks._frames((("x" * 30,) for _ in range(20)), ["t"], {}, lambda row: len(row[0])))
     assert [len(f) for f in frames] == [4, 4, 4, 4, 4, 0]
+
+
+def test_bilingual_files_name_their_decks(spark, tmp_path):
+    rows = [("a.pptx", "s1", 0, "日", "day", "title"), ("b, c.pptx", "s1", 0, "日", "", "title"), (None, "s2", 1, "", "x", "title")]
+    df = spark.createDataFrame(rows, "deck_id string, slide string, idx long, src string, tgt string, kind string")
+    path = str(tmp_path / "out")
+    files.write_bilingual(df, path)
+    assert sorted(map(tuple, files.read_bilingual_csv(spark, path).collect()), key=repr) == sorted(rows, key=repr)
+    assert {r.deck_id for r in files.read_bilingual_csv(spark, path, "mine").collect()} == {"mine"}
+
+
+def test_a_reader_sees_no_unfinished_version(spark, tmp_path):
+    tm = spark.createDataFrame([("a", "b")], "src string, tgt string")
+    path = str(tmp_path / "tm")
+    files.write_tm(tm, path, "001")
+    # A version whose files are there, but whose write has not ended.
+    tm.unionByName(tm).write.parquet(f"{path}/version=002")
+    assert files.tm_versions(spark, path) == ["001"] and files.read_tm(spark, path).count() == 1
+    files.write_tm(tm.limit(0), path, "003")
+    assert files.read_tm(spark, path).count() == 0 and files.read_tm(spark, path, "001").count() == 1
+    # No other version is listed.
+    assert all("version=003" in f for f in files.read_tm(spark, path).inputFiles())
+
+
+def test_objects_by_line(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": "1", "b": "2"}\n{"a": "3"}\n', encoding="utf-8")
+    got = sorted(map(tuple, files.read_kv_json(spark, str(tmp_path / "x.jsonl"), lines=True).collect()))
+    assert got == [("a", "1"), ("a", "3"), ("b", "2")]

@@ -23,37 +23,59 @@ _LINES = (
 )
 
 
-def _archives(spark, sf_dir):
-    """Each document as a deck archive of its own, one slide and one notes part."""
+def _archives(spark, sf_dir) -> str:
+    """Each document as a deck file of its own, one slide and one notes part; one file in ten is cut short. The folder."""
     rows = w.documents(spark, sf_dir)
     clean = F.regexp_replace("text", r"[\x00-\x09\x0b-\x1f]", " ")
-    markup = rows.select(F.col("part_no").cast("string").alias("deck_id"), w.slide_xml(clean).alias("xml"))
+    markup = rows.select(F.col("part_no").alias("doc_id"), w.slide_xml(clean).alias("xml"))
+    folder = scratch_path(spark, "decks")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        store.create_dir(base)
         for batch in batches:
-            packed = []
-            for xml in batch["xml"]:
+            for doc_id, xml in zip(batch["doc_id"], batch["xml"]):
                 out = io.BytesIO()
                 with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
                     archive.writestr("ppt/slides/slide7.xml", xml)
                     archive.writestr("ppt/notesSlides/notesSlide7.xml", "<n/>")
                     archive.writestr("ppt/theme/theme1.xml", "<t/>")
-                packed.append(out.getvalue())
-            yield pd.DataFrame({"deck_id": batch["deck_id"], "content": packed})
+                data = out.getvalue()
+                with store.open_output_stream(f"{base}/{doc_id}.pptx") as file:
+                    file.write(data[: len(data) // 2] if doc_id % 10 == 3 else data)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    markup.mapInPandas(pack, "n long").write.format("noop").mode("overwrite").save()
+    return folder
 
-    return markup.mapInPandas(pack, "deck_id string, content binary")
+
+_MARKUP = (
+    "'<p:sld xmlns:a=\"http://schemas.openxmlformats.org/drawingml/2006/main\" xmlns:p=\"http://schemas.openxmlformats.org/presentationml/2006/main\">"
+    "<p:sp><p:nvSpPr><p:nvPr><p:ph type=\"title\"/></p:nvPr></p:nvSpPr><a:txBody><a:bodyPr lIns=\"10\"/>' || array_to_string(list_transform("
+    "string_split(replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10)), lambda line, i: '<a:p><a:r>' || "
+    "CASE WHEN i % 2 = 0 THEN '<a:rPr b=\"1\" sz=\"1800\"><a:latin typeface=\"Arial\"/></a:rPr>' ELSE '<a:rPr sz=\"2400\"/>' END || "
+    "'<a:t>' || line || '</a:t></a:r></a:p>'), '') || '</a:txBody></p:sp></p:sld>'"
+).format(text=_CLEAN)
 
 
 @query(
     "read_decks",
     q.using(
-        "SELECT CAST(doc_id AS VARCHAR) AS deck_id, kind AS part_kind, "
-        "CASE kind WHEN 'slide' THEN 'ppt/slides/slide7.xml' ELSE 'ppt/notesSlides/notesSlide7.xml' END AS part_name, 7::BIGINT AS part_no "
-        "FROM documents CROSS JOIN (VALUES ('slide'), ('notes')) AS k(kind)"
-    ),
+        "SELECT CAST(doc_id AS VARCHAR) AS deck, kind AS part_kind, CASE kind WHEN 'slide' THEN 'ppt/slides/slide7.xml' "
+        "WHEN 'notes' THEN 'ppt/notesSlides/notesSlide7.xml' END AS part_name, CASE WHEN kind <> 'bad' THEN 7::BIGINT END AS part_no, "
+        f"CASE kind WHEN 'slide' THEN md5({_MARKUP}) WHEN 'notes' THEN md5('<n/>') END AS xml_md5, kind = 'bad' AS unreadable "
+        "FROM documents CROSS JOIN (VALUES ('slide'), ('notes'), ('bad')) AS k(kind) WHERE (doc_id % 10 = 3) = (kind = 'bad')"
+    ).replace("kind AS part_kind", "nullif(kind, 'bad') AS part_kind"),
 )
 def read_decks(spark, sf_dir):
-    return deck_source.unpack_decks(_archives(spark, sf_dir)).select("deck_id", "part_kind", "part_name", "part_no")
+    """Real files, one in ten of them no archive."""
+    rows = deck_source.read_deck_rows(spark, f"{_archives(spark, sf_dir)}/*.pptx")
+    deck = F.regexp_extract("deck_id", r"(\d+)\.pptx$", 1)
+    return rows.select(
+        deck.alias("deck"), "part_kind", "part_name", "part_no", F.md5(F.encode("xml", "UTF-8")).alias("xml_md5"), F.col("error").isNotNull().alias("unreadable")
+    )
 
 
 @query(
@@ -114,21 +136,33 @@ def format_stats(spark, sf_dir):
 
 @query(
     "read_kv_json",
-    "SELECT conv_id, turn, role AS key, text AS value FROM conversations UNION ALL "
-    "SELECT conv_id, turn, 'length', CAST(length(text) AS VARCHAR) FROM conversations",
+    "SELECT 'supplier' AS file, s_name AS key, CAST(s_nationkey AS VARCHAR) AS value FROM supplier UNION ALL "
+    "SELECT 'supplier', 'key of ' || s_name, CAST(s_suppkey AS VARCHAR) FROM supplier UNION ALL "
+    "SELECT 'conversation', role, text FROM conversations UNION ALL SELECT 'conversation', 'length', CAST(length(text) AS VARCHAR) FROM conversations",
 )
 def read_kv_json(spark, sf_dir):
-    pairs = F.create_map(F.col("role"), F.col("text"), F.lit("length"), F.length("text").cast("string"))
-    objects = w.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(pairs).alias("json"))
-    return files.parse_kv_json(objects, "json")
+    """Files of one object each, and a file of one object per line."""
+    of = lambda *pairs: F.to_json(F.create_map(*pairs)).alias("value")
+    suppliers = w.table(spark, sf_dir, "supplier").select(
+        of(F.col("s_name"), F.col("s_nationkey").cast("string"), F.concat(F.lit("key of "), "s_name"), F.col("s_suppkey").cast("string"))
+    )
+    turns = w.table(spark, sf_dir, "conversations").select(of(F.col("role"), F.col("text"), F.lit("length"), F.length("text").cast("string")))
+    one, many = scratch_path(spark, "objects"), scratch_path(spark, "object-lines")
+    suppliers.write.option("maxRecordsPerFile", 1).text(one)
+    turns.write.text(many)
+    return files.read_kv_json(spark, one).select(F.lit("supplier").alias("file"), "*").unionByName(
+        files.read_kv_json(spark, many, lines=True).select(F.lit("conversation").alias("file"), "*")
+    )
 
 
 @query(
     "read_pricing",
     "SELECT 'part:' || p_partkey AS model, 'part' AS provider, p_retailprice AS \"in\", NULL::DOUBLE AS in_cached, p_size / 4 AS out, "
-    "NULL::DOUBLE AS cached_write, NULL::DOUBLE AS cached_read, CASE WHEN p_size > 25 THEN p_type ELSE 'o200k_base' END AS tokenizer FROM part",
+    "NULL::DOUBLE AS cached_write, NULL::DOUBLE AS cached_read, CASE WHEN p_size > 25 THEN p_type ELSE 'o200k_base' END AS tokenizer FROM part UNION ALL "
+    "SELECT 'supplier:' || s_suppkey, 'supplier', s_acctbal, NULL, NULL, NULL, NULL, 'o200k_base' FROM supplier",
 )
 def read_pricing(spark, sf_dir):
+    """A file of objects by line, and files of one object each."""
     rates = F.struct(
         F.col("p_retailprice").alias("in"),
         (F.col("p_size") / 4).alias("out"),
@@ -137,10 +171,14 @@ def read_pricing(spark, sf_dir):
     entries = F.create_map(
         F.concat(F.lit("part:"), "p_partkey"), rates, F.lit("_meta"), F.struct(F.lit(1.0).alias("in"), F.lit(1.0).alias("out"), F.lit("x").alias("tokenizer"))
     )
-    return files.parse_pricing(w.table(spark, sf_dir, "part").select(F.to_json(entries).alias("json")), "json")
+    one, many = scratch_path(spark, "prices"), scratch_path(spark, "price-lines")
+    w.table(spark, sf_dir, "part").select(F.to_json(entries)).write.text(many)
+    balance = F.create_map(F.concat(F.lit("supplier:"), "s_suppkey"), F.struct(F.col("s_acctbal").alias("in")))
+    w.table(spark, sf_dir, "supplier").select(F.to_json(balance)).write.option("maxRecordsPerFile", 1).text(one)
+    return files.read_pricing(spark, many, lines=True).unionByName(files.read_pricing(spark, one))
 
 
-_ROWS = q.using("SELECT slide, idx, src, tgt, kind FROM bilingual")
+_ROWS = q.using("SELECT deck_id, slide, idx, src, tgt, kind FROM bilingual")
 
 
 @query("read_bilingual_csv", _ROWS)
@@ -148,14 +186,14 @@ def read_bilingual_csv(spark, sf_dir):
     """Written with :func:`write_bilingual` and read again."""
     path = scratch_path(spark, "bilingual")
     files.write_bilingual(w.bilingual(spark, sf_dir), path)
-    return files.read_bilingual_csv(spark, path).select("slide", "idx", "src", "tgt", "kind")
+    return files.read_bilingual_csv(spark, path).select("deck_id", "slide", "idx", "src", "tgt", "kind")
 
 
-@query("write_bilingual", q.using("SELECT slide AS slide_xml, CAST(idx AS VARCHAR) AS paragraph_idx, src AS Japanese, tgt AS English FROM bilingual"))
+@query("write_bilingual", q.using("SELECT slide AS slide_xml, CAST(idx AS VARCHAR) AS paragraph_idx, src AS Japanese, tgt AS English, deck_id FROM bilingual"))
 def write_bilingual(spark, sf_dir):
     path = scratch_path(spark, "bilingual")
     files.write_bilingual(w.bilingual(spark, sf_dir), path)
-    return spark.read.options(**files.CSV).schema("slide_xml string, paragraph_idx string, Japanese string, English string").csv(path)
+    return spark.read.options(**files.CSV).schema("slide_xml string, paragraph_idx string, Japanese string, English string, deck_id string").csv(path)
 
 
 @query("write_tm", q.using(f"SELECT src, tgt FROM tm WHERE tgt <> src AND NOT {q.has('tgt')}"))
@@ -169,10 +207,10 @@ def write_tm(spark, sf_dir):
     return files.read_tm(spark, path)
 
 
-def _written_audits(spark, sf_dir):
+def _written_audits(spark, sf_dir, records_per_file=0):
     folder = scratch_path(spark, "audits")
-    files.write_audit(audit_queries.audit_records(spark, sf_dir), f"{folder}/run=base")
-    return files.read_run_audit_lines(spark, f"{folder}/run=*")
+    files.write_audit(audit_queries.audit_records(spark, sf_dir), f"{folder}/run-base", records_per_file)
+    return f"{folder}/run-*"
 
 
 @query(
@@ -185,7 +223,7 @@ def _written_audits(spark, sf_dir):
     ),
 )
 def write_audit(spark, sf_dir):
-    return _written_audits(spark, sf_dir).select(
+    return files.read_run_audit_lines(spark, _written_audits(spark, sf_dir), run_rx=r"run-([^/]+)/").select(
         "run_id", "deck_id", "unique_strings", "jp_chars_before", "jp_chars_after",
         audit_queries.map_text("per_slide_before").alias("before"),
     )
@@ -196,13 +234,14 @@ def write_audit(spark, sf_dir):
     q.using("SELECT 'base' AS run_id, deck_id, part_name, n_before, n_after FROM by_slide", audit_queries._TOTALS),
 )
 def read_run_audits(spark, sf_dir):
-    return files.slides_of_audits(_written_audits(spark, sf_dir))
+    """One record per file, as a run leaves it."""
+    return files.slides_of_audits(files.read_run_audits(spark, _written_audits(spark, sf_dir, records_per_file=1)))
 
 
 @query(
     "write_issue_report",
     q.using(
-        "SELECT category, slide, CAST(idx AS VARCHAR) AS \"index\", issue_type, description, suggested_fix FROM issues WHERE category <> 'terminology_issues'",
+        "SELECT category, slide, CAST(idx AS VARCHAR) AS \"index\", issue_type, description, suggested_fix, deck_id FROM issues WHERE category <> 'terminology_issues'",
         *audit_queries._ALL,
     ),
 )
@@ -210,5 +249,5 @@ def write_issue_report(spark, sf_dir):
     path = scratch_path(spark, "report")
     files.write_issue_report(audits.all_issues(w.bilingual(spark, sf_dir), banned=w.BANNED), path)
     return spark.read.options(**files.CSV).schema(
-        "category string, slide string, index string, issue_type string, description string, suggested_fix string"
+        "category string, slide string, index string, issue_type string, description string, suggested_fix string, deck_id string"
     ).csv(path)

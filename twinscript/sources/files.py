@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from twinscript import rules, schemas
 from twinscript.functions.text import classify_kind_by_length
+from twinscript.session import small_table
 
 CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
 # Texts are written whole: the writer would trim them by default.
@@ -22,13 +23,13 @@ def parse_kv_json(df: DataFrame, column: str, key: str = "key", value: str = "va
     )
 
 
-def read_kv_json(spark: SparkSession, path: str, key: str = "key", value: str = "value") -> DataFrame:
-    """Entries of one JSON object per file (cache, glossary, patch).
+def read_kv_json(spark: SparkSession, path: str, key: str = "key", value: str = "value", lines: bool = False) -> DataFrame:
+    """Entries of one JSON object per file (cache, glossary, patch), or with ``lines`` of one object per line.
 
-    A file is one record here. Keep a large memory with :func:`write_tm`, which
-    splits, and use this to import it.
+    A whole file is one record; files of lines split. Keep a large memory with
+    :func:`write_tm`, and use this to import it.
     """
-    return parse_kv_json(spark.read.text(path, wholetext=True), "value", key, value)
+    return parse_kv_json(spark.read.text(path, wholetext=not lines), "value", key, value)
 
 
 def parse_pricing(df: DataFrame, column: str) -> DataFrame:
@@ -50,22 +51,26 @@ def parse_pricing(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def read_pricing(spark: SparkSession, path: str) -> DataFrame:
-    return parse_pricing(spark.read.text(path, wholetext=True), "value")
+def read_pricing(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Price rows of one JSON object per file, or with ``lines`` per line."""
+    return parse_pricing(spark.read.text(path, wholetext=not lines), "value")
 
 
 def read_bilingual_csv(spark: SparkSession, path: str, deck_id: str | None = None) -> DataFrame:
     """Bilingual rows with their kind; rows short of four fields are dropped.
 
-    The deck is the file unless ``deck_id`` names it.
+    The deck is ``deck_id`` if given, else the file's fifth column of that name, else the
+    file. All files of a path have the same columns.
     """
+    named = "deck_id" in spark.read.options(**CSV).csv(path).columns
+    fields = schemas.BILINGUAL_FILE + (", deck_id string" if named else "")
     # An empty field and a missing one both read as null; only a short row is malformed.
     raw = (
         spark.read.options(**CSV, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
-        .schema(schemas.BILINGUAL_FILE + ", _corrupt_record string")
+        .schema(fields + ", _corrupt_record string")
         .csv(path)
     )
-    deck = F.input_file_name() if deck_id is None else F.lit(deck_id)
+    deck = F.lit(deck_id) if deck_id is not None else F.col("deck_id") if named else F.input_file_name()
     complete = F.col("tgt").isNotNull() | F.col("_corrupt_record").isNull()
     text = F.coalesce("tgt", F.lit(""))
     return raw.filter(complete).select(
@@ -79,38 +84,50 @@ def read_bilingual_csv(spark: SparkSession, path: str, deck_id: str | None = Non
 
 
 def write_bilingual(df: DataFrame, path: str) -> None:
-    """Bilingual rows under the file's own column names."""
+    """Bilingual rows under the file's own four column names, and their deck behind them.
+
+    Readers that go by position find the four where they expect them.
+    """
     df.select(
         F.col("slide").alias("slide_xml"),
         F.col("idx").alias("paragraph_idx"),
         F.col("src").alias("Japanese"),
         F.col("tgt").alias("English"),
+        "deck_id",
     ).write.options(**CSV_OUT).csv(path)
 
 
 def write_tm(df: DataFrame, path: str, version: str) -> None:
-    """Write one version of the memory; earlier versions stay as they are."""
+    """Write one version of the memory; earlier versions stay as they are.
+
+    A line of the manifest names the version once it is whole, so readers never see a part of one.
+    """
     df.select("src", "tgt").write.mode("errorifexists").parquet(f"{path}/version={version}")
+    small_table(df.sparkSession, [(version,)], "version string").coalesce(1).write.mode("append").json(f"{path}/_manifest")
+
+
+def tm_versions(spark: SparkSession, path: str) -> list[str]:
+    """The memory's whole versions, ascending by name. Only the manifest is read."""
+    lines = spark.read.schema("version string").json(f"{path}/_manifest")
+    return sorted(r["version"] for r in lines.distinct().collect())
 
 
 def read_tm(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
-    """A version of the memory, the last one (by name) when none is given."""
-    entries = spark.read.schema(schemas.MEMORY + ", version string").option("basePath", path).parquet(path)
-    if version is None:
-        version = entries.agg(F.max("version")).first()[0]
-    return entries.filter(F.col("version") == version).drop("version")
+    """A version of the memory, the last one (by name) when none is given.
 
+    Only that version's files are listed and read.
+    """
+    version = tm_versions(spark, path)[-1] if version is None else version
+    return spark.read.schema(schemas.MEMORY).parquet(f"{path}/version={version}")
 
-def write_audit(audits: DataFrame, path: str) -> None:
-    """Audit records as JSON, one file set per run."""
-    audits.write.json(path)
 
+def write_audit(audits: DataFrame, path: str, records_per_file: int = 0) -> None:
+    """Audit records as JSON, one file set per run, of any number of records a file unless it is bounded."""
+    audits.write.option("maxRecordsPerFile", records_per_file).json(path)
 
-def read_run_audits(spark: SparkSession, glob: str, run_rx: str = r"run-([^/]+?)(?:-artifacts)?/") -> DataFrame:
-    """Audit records of many runs; the run id comes from the path.
 
-    Files may hold one record spread over lines or one record per line.
-    """
+def read_run_audits(spark: SparkSession, glob: str, run_rx: str = r"run-([^/]+?)(?:-artifacts)?/") -> DataFrame:
+    """Audit records of many runs, one record per file, which may spread over lines; the run id comes from the path."""
     fields = schemas.RUN_AUDIT
     multi = spark.read.schema(fields).json(glob, multiLine=True)
     return multi.select(F.regexp_extract(F.input_file_name(), run_rx, 1).alias("run_id"), "*")
@@ -130,7 +147,7 @@ def slides_of_audits(audits: DataFrame) -> DataFrame:
 
 
 def write_issue_report(issues: DataFrame, path: str) -> None:
-    """The six report columns as CSV."""
+    """The six report columns as CSV, and the deck behind them."""
     issues.select(
-        "category", "slide", F.col("idx").alias("index"), "issue_type", "description", "suggested_fix"
+        "category", "slide", F.col("idx").alias("index"), "issue_type", "description", "suggested_fix", "deck_id"
     ).write.options(**CSV_OUT).csv(path)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from twinscript.llm import licenses, mixing, packing, quality, simhash, substrings, suffixes, toxicity
+from twinscript.llm import licenses, mixing, packing, quality, simhash, substrings, suffixes, tables, toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -166,19 +166,94 @@ def test_keep_one_decides_by_exact_similarity(frame):
     assert sorted(row["doc_id"] for row in kept.collect()) == sorted(expected)
 
 
-def test_no_proposal_goes_undecided():
+def test_candidates_of_a_key_leave_as_a_forest():
     r = np.random.default_rng(5)
     fps = r.integers(0, 2**63, (1, 4)).astype(np.uint64) ^ (np.uint64(1) << r.integers(0, 63, (60, 4)).astype(np.uint64))
     keys, sizes = np.zeros(60, np.int64), np.full(60, 100)
     table = np.zeros((60, 0), np.int16)
-    parts = np.arange(60) % 7
-    got = {tuple(x) for x in simhash._open_proposals(keys, fps, table, sizes, parts, 70).tolist()}
-    assert got == {(i, j) for j in range(60) for i in range(j) if parts[i] != parts[j]}
     assert len(simhash._nearest_proposals(keys, fps, table, sizes, 70)) == 59
     sizes[:30] = 79
     assert len(simhash._nearest_proposals(keys, fps, table, sizes, 70)) == 58
 
 
+def exact_groups(sets):
+    """The smallest member of every set's group, by comparing all pairs."""
+    group = list(range(len(sets)))
+
+    def top(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = sorted((top(i), top(j)))
+                group[y] = x
+    return [top(x) for x in range(len(sets))]
+
+
+def test_sets_of_a_group_are_decided_exactly():
+    r = np.random.default_rng(9)
+    for trial in range(30):
+        base = r.integers(0, 400, 60)
+        sets = [set(np.concatenate([base[: r.integers(1, 60)], r.integers(0, 400, r.integers(0, 12))]).tolist()) for _ in range(40)]
+        sets += [set(), {1, 2, 3, 4}, {1, 2, 3, 4, 5}]
+        sizes = np.array([len(x) for x in sets])
+        links = simhash.linked_sets(sizes, np.array([x for y in sets for x in sorted(y)]), np.arange(len(sets)))
+        assert all(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for i, j in links)
+        forest = simhash.Forest()
+        assert all(forest.joins(i, j) for i, j in links)
+        assert [forest.top(x) for x in range(len(sets))] == exact_groups(sets)
+
+
+def variants(r, n, changed, words=300):
+    """Texts that differ from one and the same text in ``changed`` of its words."""
+    base = [f"w{x}" for x in range(words)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for k in r.choice(np.arange(5, words - 5, 7), changed, replace=False):
+            own[k] = f"v{i}x{k}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_crowded_keys_and_clusters_are_decided_in_blocks(spark, frame):
+    r = np.random.default_rng(3)
+    # Unlike each other, a third of all; alike to their first; chains; and single texts.
+    texts = variants(r, 60, 5) + [t.replace("w", "u") for t in variants(r, 40, 1)] + [t.replace("w", "t") for t in variants(r, 40, 3)]
+    texts += [" ".join(f"s{x}" for x in r.integers(0, 9_000, 80)) for _ in range(40)]
+    words = [t.split() for t in texts]
+    group = exact_groups([{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words])
+    expected = sorted({g for g in group})
+    assert 90 < len(expected) < 160
+    docs = frame([(i, t, "en", "a") for i, t in enumerate(texts)])
+    for bounds in ({}, {"key_nodes": 8, "block": 2_000}):
+        assert sorted(row["doc_id"] for row in simhash.keep_one(docs, **bounds).collect()) == expected
+
+
+def test_mutually_unlike_variants_make_rows_in_proportion_to_nodes(spark, frame, monkeypatch):
+    rows = {}
+    for n in (200, 400):
+        staged = {}
+
+        def counting(df, label="stage", **options):
+            out = tables.staged(df, label, **options)
+            staged[label] = staged.get(label, 0) + out.count()
+            return out
+
+        monkeypatch.setattr(simhash, "staged", counting)
+        texts = variants(np.random.default_rng(n), n, 5)
+        words = [t.split() for t in texts]
+        groups = exact_groups([{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words])
+        assert len(set(groups)) > 0.9 * n  # a few happen to change nearly the same words
+        assert simhash.keep_one(frame([(i, t, "en", "a") for i, t in enumerate(texts)])).count() == len(set(groups))
+        rows[n] = staged
+        assert staged["near-proposals"] <= simhash.BANDS * n and staged["near-sets"] == n and staged["near-links"] < n / 10
+    assert all(rows[400][label] <= 3 * rows[200][label] for label in rows[200] if label != "near-links")
+
+
 def test_packing_round_trip(frame, odd_rows):
     tokenizer = Tokenizer.from_file(VOCABULARY)
     rows = [*odd_rows, (70, "İstanbul don't 's ΣΑΣ, x<|endoftext|>y a..b, c!?", "en", "a")]

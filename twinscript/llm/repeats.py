@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinscript.llm.tables import content_key, scratch_path, text_of
+from twinscript.session import stage_table
 
 STORE_BYTES = 128 * 2**20  # of text in a bucket
 SEEN_KEYS = 200_000
@@ -64,9 +65,9 @@ def text_store(docs: DataFrame) -> DataFrame:
     collapsed = texts.mapInArrow(collapse, "_id long, _key binary, text string, n long").repartition(buckets, "_id")
     distinct = collapsed.groupBy("_id", "_key").agg(F.max("text").alias("text"), F.sum("n").alias("copies"))
     name = f"twinscript_texts_{uuid.uuid4().hex}"
-    writer = distinct.write.bucketBy(buckets, "_id").option("compression", "zstd").option("path", scratch_path(spark, "texts"))
-    writer.saveAsTable(name)
-    return spark.table(name)
+    path = scratch_path(spark, "texts")
+    distinct.write.bucketBy(buckets, "_id").option("compression", "zstd").option("path", path).saveAsTable(name)
+    return stage_table(spark, name, path)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinscript.llm.packing import blocks
-from twinscript.llm.repeats import mix
-from twinscript.llm.tables import content_key, staged, text_of
+from twinscript.llm.repeats import mix, offsets_of
+from twinscript.llm.tables import content_key, drop_stage, staged, text_of
 from twinscript.operators.joins import join_hot
 
 BITS, WIDEST, SEED = 64, 3, 42
@@ -30,6 +30,7 @@ BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 TABLES = list(combinations(range(len(BLOCKS)), len(BLOCKS) - WIDEST))
 PIVOTS = 24
 PAIRS_AT_ONCE = 2_000_000
+KEY_NODES = 4_096  # of one key in a group
 
 
 def pivots(lanes: int, n: int = PIVOTS) -> np.ndarray:
@@ -146,8 +147,11 @@ def _links_of_groups(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, wides
     return links
 
 
-def _runs_of_keys(routed: DataFrame, lanes: list[str], more: list[str], pairs_of) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that ``pairs_of(keys, fps, table, *more)`` finds in whole groups of ``_key``."""
+def _runs_of_keys(routed: DataFrame, lanes: list[str], more: list[str], pairs_of, key_nodes: int = KEY_NODES) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that ``pairs_of(keys, fps, table, *more)`` finds in groups of ``_key``.
+
+    A key of more than ``key_nodes`` nodes is met in blocks, two at a time.
+    """
     references = pivots(len(lanes))
     own = len(more)
 
@@ -179,10 +183,26 @@ def _runs_of_keys(routed: DataFrame, lanes: list[str], more: list[str], pairs_of
             yield out
 
     width = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = routed.select("_key", "_node", *more, *lanes).distinct().repartition(width, "_key").sortWithinPartitions("_key", "_node")
+    parted = _parted(routed.select("_key", "_node", *more, *lanes).distinct(), key_nodes)
+    laid = parted.repartition(width, "_key").sortWithinPartitions("_key", "_node")
     return laid.mapInArrow(search, "a long, b long").distinct()
 
 
+def _parted(routed: DataFrame, most: int) -> DataFrame:
+    """``routed`` with the keys of more than ``most`` nodes replaced by keys for any two blocks of their nodes.
+
+    Any two nodes of a key still share one, and no key has more than about ``2 * most``.
+    """
+    nodes = routed.groupBy("_key").agg(F.count("*").alias("_members")).filter(F.col("_members") > most)
+    blocks_of = nodes.select("_key", F.greatest(F.lit(2), F.ceil(F.col("_members") / most)).cast("int").alias("_blocks"))
+    placed = join_hot(routed, blocks_of, "_key", "left")
+    own = F.pmod(F.xxhash64("_node"), F.coalesce("_blocks", F.lit(1))).cast("int")
+    others = F.array_except(F.sequence(F.lit(0), F.coalesce(F.col("_blocks") - 1, F.lit(1))), F.array("_own"))
+    met = placed.withColumn("_own", own).withColumn("_other", F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(others)))
+    pair = F.xxhash64("_key", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return met.withColumn("_key", F.when(F.col("_blocks").isNull(), F.col("_key")).otherwise(pair)).drop("_blocks", "_own", "_other")
+
+
 def links(routed: DataFrame, lanes: list[str], widest: int) -> DataFrame:
     """Links (a, b) between nodes that span every group of ``_key``; ``lanes`` hold a node's fingerprint."""
     return _runs_of_keys(routed, lanes, [], lambda keys, fps, table: _links_of_groups(keys, fps, table, widest))
@@ -200,6 +220,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     Rounds of large-star and small-star over joins until nothing changes; a node only ever
     points to smaller ones, so a chain shortens by more than half in a pair of rounds.
     """
+    spans = lambda e: e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     edges = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     before = None
     while True:
@@ -208,13 +229,17 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = join_hot(both, least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = staged(large.filter("a <> b"), label)
+        drop_stage(edges)
         # Small star: a node and its smaller neighbours point to the smallest of these.
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = join_hot(large, lowest, "a").select(F.explode(F.array("a", "b")).alias("x"), "m")
         edges = staged(moved.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), label)
+        drop_stage(large)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
         if state == before or state[0] == 0:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            rooted = staged(spans(edges), label)
+            drop_stage(edges)
+            return rooted
         before = state
 
 
@@ -240,10 +265,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, widest: int = WIDEST) ->
 
 
 # Four lanes of 64 bits tell similarities apart that one lane cannot: texts whose sets of shingles are alike
-# by 0.8 differ in 39 of 256 bits on average with a deviation of 6. Pairs up to WIDE_LINK bits are compared
-# exactly. A set of few shingles strays further, so those of less than FEW are compared whatever their bits.
-LANES, WIDE_LINK, FEW = 4, 70, 32
+# by 0.8 differ in 39 of 256 bits on average with a deviation of 6. Pairs up to WIDE_LINK bits are candidates.
+# A set of few shingles strays further, so those of less than FEW are candidates whatever their bits.
+LANES, WIDE_LINK, FEW = 4, 76, 32
 NEAREST_FIRST = (32, 46, 58)
+BLOCK_HASHES = 1_000_000  # shingles of the sets decided in one group
+PIVOT_SETS = 16  # of a large cluster, in each of its groups
 BANDS, ROWS = 32, 4  # of least hashes; texts alike by 0.8 share no band with a chance of 5 in 100 million
 ALIKE = (4, 5)  # a similarity of 4/5
 
@@ -296,19 +323,20 @@ def _wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame:
-    """``_node`` and its distinct shingle hashes, from the rows of ``docs`` that ``firsts`` (``_id, _node``) names."""
+    """``_cluster``, ``_node`` and its distinct shingle hashes, from the rows of ``docs`` that ``firsts`` (``_id, _node, _cluster``) names."""
 
     def hash_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for lo, hi in blocks(texts, 2_000_000):
                 hashes, sizes = _distinct(*_shingle_hashes(texts[lo:hi], shingle))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
                 sets = pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], ["_node", "_set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), sets], ["_cluster", "_node", "_set"])
 
-    rows = docs.select(_row_id().alias("_id"), text_of().alias("_t")).join(firsts, "_id").select("_node", "_t")
-    return rows.mapInArrow(hash_batches, "_node long, _set array<long>").dropDuplicates(["_node"])
+    # Rows alike in doc_id and text share an id; one of them is enough.
+    rows = docs.select(_row_id().alias("_id"), text_of().alias("_t")).join(firsts, "_id").dropDuplicates(["_id"])
+    return rows.select("_cluster", "_node", "_t").mapInArrow(hash_batches, "_cluster long, _node long, _set array<long>")
 
 
 def _room(sizes: np.ndarray, i: np.ndarray, j: np.ndarray, widest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -337,43 +365,147 @@ def _nearest_proposals(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, siz
     return out
 
 
-def _open_proposals(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, sizes: np.ndarray, parts: np.ndarray, widest: int) -> np.ndarray:
-    """All proposed pairs inside each run of equal keys whose nodes are in different ``parts``."""
-    remaining = _remaining(keys)
-    out, step = [np.zeros((0, 2), np.int64)], 1
-    while (active := np.flatnonzero(remaining >= step)).size:
-        for at in range(0, len(active), PAIRS_AT_ONCE):
-            i = active[at : at + PAIRS_AT_ONCE]
-            i = i[parts[i] != parts[i + step]]
-            fits, room = _room(sizes, i, i + step, widest)
-            i, room = i[fits], room[fits]
-            i = i[_linked(fps, table, i, i + step, room)]
-            out.append(np.stack([i, i + step], 1))
-        step += 1
-    return np.concatenate(out)
-
-
 def _remaining(keys: np.ndarray) -> np.ndarray:
     """Members of the same run of equal keys after each one."""
     ends = np.concatenate([np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
     return np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(keys)) - 1
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets of shingles are alike by ALIKE, counted exactly."""
-    both = pairs.join(sets.select(F.col("_node").alias("a"), F.col("_set").alias("_sa")), "a")
-    both = both.join(sets.select(F.col("_node").alias("b"), F.col("_set").alias("_sb")), "b")
-    shared = F.size(F.array_intersect("_sa", "_sb"))
-    # shared / (a + b - shared) >= 4 / 5 in whole numbers.
-    return both.filter(sum(ALIKE) * shared >= ALIKE[0] * (F.size("_sa") + F.size("_sb"))).select("a", "b")
+def linked_sets(sizes: np.ndarray, values: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of sets alike by ALIKE that connect whatever such pairs connect, beyond what ``part`` connects already.
+
+    ``values`` are the members of all sets, one after another. A set is counted against all later ones outside its
+    part at once.
+    """
+    codes = np.unique(values, return_inverse=True)[1]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    marked, part, out = np.zeros(len(values), bool), part.copy(), []
+    for i in range(len(sizes) - 1):
+        less, more = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
+        rest = i + 1 + np.flatnonzero((part[i + 1 :] != part[i]) & (ALIKE[1] * less >= ALIKE[0] * more) & (less > 0))
+        if not len(rest):
+            continue
+        own = codes[at[i] : at[i + 1]]
+        marked[own] = True
+        if 4 * len(rest) > len(sizes) - i:
+            hits = marked[codes[at[i + 1] :]]
+            shared = np.concatenate([[0], np.cumsum(hits)])
+            shared = shared[at[rest + 1] - at[i + 1]] - shared[at[rest] - at[i + 1]]
+        else:
+            shared = np.array([np.count_nonzero(marked[codes[at[j] : at[j + 1]]]) for j in rest.tolist()])
+        marked[own] = False
+        # shared / (a + b - shared) >= 4 / 5 in whole numbers.
+        for j in rest[sum(ALIKE) * shared >= ALIKE[0] * (sizes[i] + sizes[rest])].tolist():
+            if part[j] != part[i]:
+                out.append((i, j))
+                part[part == part[j]] = part[i]
+    return out
+
+
+def _links_of_groups_of_sets(grouped: DataFrame) -> DataFrame:
+    """Links (a, b) inside each group of ``_group``: rows are ``_group, _node, _part, _set``, a group fits in memory."""
 
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: list[pa.RecordBatch] = []
+
+        def decided(rows: pa.Table) -> pa.RecordBatch:
+            group, node, part = (rows.column(k).to_numpy() for k in range(3))
+            sets = rows.column(3).combine_chunks()
+            sets = pa.concat_arrays(sets.chunks) if isinstance(sets, pa.ChunkedArray) else sets
+            values, at = offsets_of(sets)
+            pairs = []
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+            for lo, hi in zip(edges.tolist(), edges[1:].tolist()):
+                # The same node may come by several ways.
+                once = lo + np.unique(node[lo:hi], return_index=True)[1]
+                if len(once) > 1:
+                    sizes = at[once + 1] - at[once]
+                    own = values[at[lo] : at[hi]] if len(once) == hi - lo else np.concatenate([values[at[x] : at[x + 1]] for x in once])
+                    if len(once) == hi - lo:
+                        once = np.arange(lo, hi)
+                        sizes = np.diff(at[lo : hi + 1])
+                    pairs += [(once[i], once[j]) for i, j in linked_sets(sizes, own, part[once])]
+            pairs = np.array(pairs, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], ["a", "b"])
 
-def similar_pairs(docs: DataFrame, prints: DataFrame, shingle: int, widest: int) -> DataFrame:
+        for batch in batches:
+            if not len(batch):
+                continue
+            group = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(group, group[-1]))
+            if carry and carry[0].column(0)[0].as_py() != group[-1]:
+                # All groups before the batch's last one are complete.
+                yield decided(pa.Table.from_batches([*carry, batch.slice(0, cut)]))
+                carry = [batch.slice(cut)]
+            elif carry:
+                carry.append(batch)
+            else:
+                if cut:
+                    yield decided(pa.Table.from_batches([batch.slice(0, cut)]))
+                carry = [batch.slice(cut)]
+        if carry:
+            yield decided(pa.Table.from_batches(carry))
+
+    width = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = grouped.select("_group", "_node", "_part", "_set").repartition(width, "_group").sortWithinPartitions("_group", "_node")
+    return laid.mapInArrow(search, "a long, b long")
+
+
+def cluster_links(clustered: DataFrame, block: int = BLOCK_HASHES) -> DataFrame:
+    """Links (a, b) between alike nodes of the same ``_cluster``, enough to connect all that alike pairs connect.
+
+    ``clustered`` (``_cluster, _node, _set``) is read several times. A cluster of up to ``block`` hashes is decided in one
+    group. A larger one is first decided block by block, its first nodes standing in every block as pivots, which
+    connects most of it. Of what stays in several parts, all but the largest part is met with everything, block by
+    block; nodes of one part are not compared again.
+    """
+    sizes = clustered.groupBy("_cluster").agg(F.sum(F.size("_set").cast("long")).alias("_hashes"), F.count("*").alias("_nodes"))
+    several = sizes.filter("_nodes > 1").select("_cluster", F.greatest(F.lit(1), F.ceil(F.col("_hashes") / block)).cast("int").alias("_blocks"))
+    sized = join_hot(clustered, several, "_cluster")
+    own = F.pmod(F.xxhash64("_node"), F.col("_blocks"))
+    first = sized.withColumn("_own", own).select(F.xxhash64("_cluster", "_own").alias("_group"), "_node", F.col("_node").alias("_part"), "_set")
+    large = staged(several.filter("_blocks > 1"), "near-large")
+    if large.isEmpty():
+        drop_stage(large)
+        return _links_of_groups_of_sets(first)
+    in_large = join_hot(clustered, large, "_cluster")
+    rank = Window.partitionBy("_cluster").orderBy("_node")
+    leaders = in_large.select("_cluster", "_node", "_blocks").withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= PIVOT_SETS)
+    everywhere = leaders.withColumn("_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("_cluster", "_node", "_own")
+    pivots_in = join_hot(clustered, everywhere.drop("_cluster"), "_node").select(F.xxhash64("_cluster", "_own").alias("_group"), "_node", F.col("_node").alias("_part"), "_set")
+    found = staged(_links_of_groups_of_sets(first.unionByName(pivots_in)), "near-links")
+    parts = components(found, "near-parts").select(F.col("node").alias("_node"), F.col("root").alias("_part"))
+    labelled = in_large.select("_cluster", "_node", F.size("_set").cast("long").alias("_n")).join(parts, "_node", "left")
+    labelled = staged(labelled.withColumn("_part", F.coalesce("_part", "_node")), "near-labels")
+    of_part = labelled.groupBy("_cluster", "_part").agg(F.sum("_n").alias("_hashes"))
+    largest = of_part.groupBy("_cluster").agg(F.max(F.struct("_hashes", "_part")).alias("_main"), F.sum("_hashes").alias("_all"), F.count("*").alias("_parts"))
+    open_ = largest.filter("_parts > 1").select(
+        "_cluster", F.col("_main._part").alias("_main"),
+        F.ceil(F.col("_main._hashes") / block).cast("int").alias("_mains"),
+        F.greatest(F.lit(1), F.ceil((F.col("_all") - F.col("_main._hashes")) / block)).cast("int").alias("_strays"),
+    )
+    nodes = join_hot(labelled, open_, "_cluster")
+    stray = F.col("_part") != F.col("_main")
+    at = F.pmod(F.xxhash64("_node"), F.when(stray, F.col("_strays")).otherwise(F.col("_mains"))).cast("int")
+    # Strays meet strays of every block and every block of the largest part; blocks of that part meet strays only.
+    strays, mains = F.sequence(F.lit(0), F.col("_strays") - 1), F.sequence(F.lit(0), F.col("_mains") - 1)
+    meets = F.when(stray, F.concat(
+        F.transform(strays, lambda k: F.struct(F.least("_at", k).alias("i"), F.greatest("_at", k).alias("j"), F.lit(False).alias("m"))),
+        F.transform(mains, lambda k: F.struct(F.col("_at").alias("i"), k.alias("j"), F.lit(True).alias("m"))),
+    )).otherwise(F.transform(strays, lambda k: F.struct(k.alias("i"), F.col("_at").alias("j"), F.lit(True).alias("m"))))
+    met = nodes.withColumn("_at", at).withColumn("_m", F.explode(meets))
+    met = met.select(F.xxhash64("_cluster", "_m.i", "_m.j", "_m.m").alias("_group"), "_node", "_part")
+    again = join_hot(clustered.select("_node", "_set"), met, "_node")
+    more = staged(_links_of_groups_of_sets(again), "near-more-links")
+    return found.unionByName(more)
+
+
+def similar_pairs(docs: DataFrame, prints: DataFrame, shingle: int, widest: int, key_nodes: int = KEY_NODES, block: int = BLOCK_HASHES) -> DataFrame:
     """Pairs (a, b) of nodes alike by 0.8 or more, enough of them to connect every group of such nodes.
 
-    A pair is proposed where a band and the sizes agree and the fingerprints are near; what decides is
-    the exact similarity. First the nearest proposals that would connect each key's nodes are decided,
-    then every proposal between nodes that are not connected by then, so none goes undecided.
+    Two nodes are a candidate where a band and the sizes agree and the fingerprints are near. Inside each key a
+    forest, nearest first, is all that leaves the task, so keys make rows in proportion to their nodes. What
+    candidates connect is a cluster; sets of shingles are sent to clusters, once each, and decided there exactly.
     """
     lanes = [f"_f{i}" for i in range(LANES)]
     keyed = prints.select(F.explode(F.array_distinct("_keys")).alias("_key"), "_node")
@@ -382,16 +514,15 @@ def similar_pairs(docs: DataFrame, prints: DataFrame, shingle: int, widest: int)
     keyed = join_hot(keyed, several, "_key").distinct()
     nodes = prints.select("_node", "_n", *lanes).distinct()
     routed = staged(keyed.join(nodes, "_node").select("_key", "_node", "_n", *lanes), "near-routes")
-    nearest = staged(_runs_of_keys(routed, lanes, ["_n"], lambda *c: _nearest_proposals(*c, widest)), "near-proposals")
-    named = nearest.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
-    firsts = prints.groupBy("_node").agg(F.min("_id").alias("_id")).join(named, "_node", "left_semi")
-    # The nodes of all proposals are among these: who has one in a key is in its forest.
-    sets = staged(_shingle_sets(docs, firsts, shingle), "near-sets")
-    sure = staged(_alike(nearest, sets), "near-links")
-    parts = components(sure, "near-parts").select(F.col("node").alias("_node"), "root")
-    labelled = routed.join(named, "_node", "left_semi").join(parts, "_node", "left").withColumn("_part", F.coalesce("root", "_node"))
-    rest = _runs_of_keys(labelled, lanes, ["_n", "_part"], lambda *c: _open_proposals(*c, widest))
-    return sure.unionByName(_alike(rest, sets))
+    nearest = staged(_runs_of_keys(routed, lanes, ["_n"], lambda *c: _nearest_proposals(*c, widest), key_nodes), "near-proposals")
+    drop_stage(routed)
+    clusters = components(nearest, "near-clusters")
+    named = clusters.select(F.col("node").alias("_node"), F.col("root").alias("_cluster"))
+    firsts = prints.groupBy("_node").agg(F.min("_id").alias("_id")).join(named, "_node")
+    clustered = staged(_shingle_sets(docs, firsts, shingle), "near-sets")
+    links_ = staged(cluster_links(clustered, block), "near-links")
+    drop_stage(nearest, clusters, clustered)
+    return links_
 
 
 def _row_id() -> Column:
@@ -399,16 +530,17 @@ def _row_id() -> Column:
     return F.concat(F.hex(content_key()), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, widest: int = WIDE_LINK) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, widest: int = WIDE_LINK, key_nodes: int = KEY_NODES, block: int = BLOCK_HASHES) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
 
     Texts whose sets of five-word shingles are alike by 0.8 or more are near copies; groups are what such
-    links reach. Bands of least hashes and fingerprints of 256 bits only propose pairs, the sets of shingles
-    decide. A null text counts as empty, and empty texts are copies of each other. Null doc_ids come last;
+    links reach. Bands of least hashes and fingerprints of 256 bits only tell who is sent where, the sets of shingles
+    decide. ``key_nodes`` and ``block`` bound what a task holds, not what is found. Texts may be of any length: a set
+    larger than ``block`` is a block by itself. A null text counts as empty, and empty texts are copies of each other. Null doc_ids come last;
     rows alike in doc_id and text are copies of each other too.
     """
     prints = staged(_wide_prints(docs, shingle), "wide-prints")
-    roots = components(similar_pairs(docs, prints, shingle, widest), "near-copies")
+    roots = components(similar_pairs(docs, prints, shingle, widest, key_nodes, block), "near-copies")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_id"))
     by_node = prints.groupBy("_node").agg(first.alias("_first"))
     rooted = by_node.join(roots, by_node["_node"] == roots["node"], "left").select(F.coalesce("root", "_node").alias("_root"), "_first")

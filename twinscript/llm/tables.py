@@ -3,9 +3,9 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscript.session import scratch_path, staged
+from twinscript.session import drop_stage, scratch_path, staged
 
-__all__ = ["read", "scratch_path", "staged", "staged_texts", "text_of", "content_key"]
+__all__ = ["read", "drop_stage", "scratch_path", "staged", "staged_texts", "text_of", "content_key"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -14,9 +14,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def staged_texts(df: DataFrame, label: str) -> DataFrame:
     """``df`` written and read again like ``staged``, packed tighter, for tables that hold whole texts."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return staged(df, label, compression="zstd")
 
 
 def text_of(column: str = "text") -> Column:

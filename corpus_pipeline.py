@@ -1,35 +1,47 @@
 """The corpus pipeline: quality rules, near and substring duplicates, mixing, packing."""
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from twinscript.llm import mixing, packing, quality, simhash, substrings
 from twinscript.llm.tables import read, staged
+from twinscript.session import drop_stages, owned_stages
+
+OWNER = "pipeline"
+
+
+def _applied(operator: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
+    """``operator`` of ``docs``. A predecessor's result has been written by now: whatever it staged goes first."""
+    drop_stages(docs.sparkSession, docs, owner=OWNER)
+    with owned_stages(OWNER):
+        return operator(docs)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.keep_good(docs)
+    return _applied(quality.keep_good, docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    return _applied(simhash.keep_one, docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 35 words or more that occur elsewhere too are taken out."""
-    return substrings.without_repeats(docs)
+    return _applied(substrings.without_repeats, docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are left out or repeated so that the sources meet their weights."""
-    return mixing.mixed(docs)
+    return _applied(mixing.mixed, docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a training sequence."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return _applied(lambda d: packing.pack_documents(d, public_tokenizers.path("word_bpe_49k.json")), docs)
 
 
 STAGES = [
@@ -50,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = staged(docs, f"pipeline-{name}")
+            with owned_stages(OWNER):
+                docs = staged(docs, f"pipeline-{name}")
     return docs

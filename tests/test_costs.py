@@ -94,3 +94,33 @@ def test_each_model_counts_with_its_own_encoder(spark):
     encoders = {"words": str.split, "o200k_base": list}
     row = costs.deck_cost_report(blocks, rates, "a:p", "a:r", encoders=encoders).first()
     assert (row["producer_cost"], row["reviewer_cost"], row["tokens"]) == (3.0, 13.0, 3)
+
+
+def test_prefix_in_each_models_own_tokens(spark):
+    blocks = spark.createDataFrame([("d", "w " * 9000)] + [("d", "x")] * 39, "deck_id string, text string")
+    rates = spark.createDataFrame(
+        [("openai:chars", "openai", 1.0, 0.1, 0.0, None, None, "o200k_base"), ("openai:words", "openai", 1.0, 0.1, 0.0, None, None, "words")],
+        schemas.PRICING,
+    )
+    prefix, encoders = "pre fix " * 700, {"words": str.split}
+    assert costs.prefix_counts(rates, ["openai:chars", "openai:words"], prefix, encoders) == {"openai:chars": 5600, "openai:words": 1400}
+    work = costs.deck_workload(costs.token_totals(blocks), batch_size=20, prefix_tokens=0)
+    prefixes = costs.prefix_counts(rates, ["openai:chars", "openai:words"], prefix, encoders)
+    got = {r["model"]: r for r in costs.price_alternatives(work, rates, ["openai:chars", "openai:words"], prefixes=prefixes).collect()}
+    # Two requests: (prefix - 1024) is cached once.
+    assert got["openai:chars"]["cached_in"] == 5600 - 1024 and got["openai:words"]["cached_in"] == 1400 - 1024
+
+
+def test_a_report_names_unpriced_models(spark):
+    blocks = spark.createDataFrame([("d", "x")], "deck_id string, text string")
+    pricing = costs.default_pricing(spark)
+    row = costs.deck_cost_report(blocks, pricing, reviewer="openai:gpt-4.1").first()
+    assert row["priced"] is False and row["total_cost"] is None and row["producer_cost"] is not None
+    assert costs.deck_cost_report(blocks, pricing).first()["priced"] is True
+
+
+def test_one_encoder_counts_once(spark):
+    blocks = spark.createDataFrame([("d", "one two")], "deck_id string, text string")
+    same = costs.deck_cost_report(blocks, costs.default_pricing(spark), encoders={"o200k_base": str.split})
+    assert same._jdf.queryExecution().executedPlan().toString().count("count(text") == 1 or "ArrowEvalPython [count(text" in same._jdf.queryExecution().executedPlan().toString()
+    assert same.first()["tokens"] == 2

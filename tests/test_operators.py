@@ -256,3 +256,67 @@ def test_deeply_nested_reply_is_no_array(spark):
 
     df = spark.createDataFrame([("x " + "[" * 100_000, 1), ('x ["a"]', 1)], "reply string, expected_len int")
     assert sorted((r["items"] or [] for r in parse_model_array(df).collect())) == [[], ["a"]]
+
+
+def test_a_failed_batch_stays_missing(spark):
+    """Other batches go on, the failed one's sources keep their text and are asked again."""
+    rows = [("d1", "s1", i, f"日{i}") for i in range(4)] + [("d2", "s1", 0, "本")]
+    segments = spark.createDataFrame([(d, "slide", p, 1, i, t) for d, p, i, t in rows], "deck_id string, part_kind string, part_name string, part_no long, para_idx long, text string")
+    tm = spark.createDataFrame([], "src string, tgt string")
+    glossary = spark.createDataFrame([], "term string, expected string")
+
+    def translate(texts):
+        if any("本" in t for t in texts):
+            raise RuntimeError("no answer")
+        return [f"day {t[-7:-1]}" for t in texts]
+
+    from unittest import mock
+
+    with mock.patch("time.sleep"):
+        out = flows.translate_corpus(segments, tm, translate, glossary, batch=2)
+    got = {r.src: r.tgt for r in out.bilingual.collect()}
+    assert got["本"] == "本" and all(got[f"日{i}"].startswith("day") for i in range(4))
+    assert {r.src for r in out.tm.collect()} == {f"日{i}" for i in range(4)}
+    assert [r.src for r in memory.missing_sources(segments, out.tm).collect()] == ["本"]
+
+
+def test_titles_have_their_own_limit(spark):
+    from twinscript.functions.text import classify_segment_kind
+
+    segments = spark.createDataFrame([("d", "slide", "p", 1, 0, "日本の首都")], "deck_id string, part_kind string, part_name string, part_no long, para_idx long, text string")
+    empty = spark.createDataFrame([], "src string, tgt string"), spark.createDataFrame([], "term string, expected string")
+    answer = "The City"  # 8 letters for 5: over the limit of bullets, within that of titles
+    plain = flows.translate_corpus(segments, empty[0], lambda texts: [answer] * len(texts), empty[1])
+    kinds = flows.translate_corpus(segments, empty[0], lambda texts: [answer] * len(texts), empty[1], kind=classify_segment_kind)
+    assert kinds.bilingual.first().tgt == answer != plain.bilingual.first().tgt
+
+
+def test_masking_texts_that_hold_placeholders(spark):
+    from twinscript.functions.masking import mask_fragile, unmask_fragile
+    from twinscript.operators.lengths import mask_round_trip_check
+
+    texts = ["see ⟦URL_1⟧ and https://a.b/2 on 12", "⟦NUM_3⟧ 4 5", "⟦NUM_99999999999⟧ 7", "⟦CODE_2⟧ AB12 ⟦URL_1⟧", "https://x/⟦NUM_1⟧ 3", "⟦URL_1", "plain 1"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select("text", mask_fragile(F.col("text")).alias("m")).select("text", "m.*", unmask_fragile(F.col("m.masked"), F.col("m.marks")).alias("back")).collect()
+    assert all(r.back == r.text for r in rows)
+    assert rows[0].masked == "see ⟦URL_1⟧ and ⟦URL_2⟧ on ⟦NUM_2⟧" and rows[6].masked == "plain ⟦NUM_1⟧"
+    assert not set(rows[1].marks) & {"⟦NUM_3⟧"}
+    assert mask_round_trip_check(df).count() == 0
+    lost = mask_round_trip_check(df, lambda masked: F.replace(masked, F.lit("⟦URL_1⟧"), F.lit("")))
+    assert {r.text for r in lost.collect()} == {texts[0], texts[3]}
+
+
+def test_format_counts_stay_small(spark):
+    from twinscript.operators import decks
+
+    schema = "deck_id string, part_name string, record string, is_title boolean, font_family string, font_size int, margins string, line_spacing string"
+    runs = spark.range(30000).select(
+        F.lit("d").alias("deck_id"), F.lit("p").alias("part_name"), F.lit("run").alias("record"), F.lit(None).cast("boolean").alias("is_title"),
+        F.when(F.col("id") % 2 == 0, "Arial").alias("font_family"), (F.col("id") % 3).cast("int").alias("font_size"),
+        F.lit(None).cast("string").alias("margins"), F.lit(None).cast("string").alias("line_spacing"),
+    )
+    runs = runs.unionByName(spark.createDataFrame([("d", "p", "frame", True, None, None, "m", None), ("d", "p", "frame", None, None, None, None, None)], schema))
+    assert decks.format_counts(runs).count() == 8
+    row = decks.format_stats(runs).first()
+    assert (row.text_frames, row.title_frames, row.body_frames) == (2, 1, 0)
+    assert row.font_sizes == [0] * 10000 + [1] * 10000 + [2] * 10000 and row.font_families == ["Arial"] and row.margin_settings == ["m"]

@@ -198,7 +198,7 @@ def unknown_models(spark, sf_dir):
     "deck_cost_report",
     q.using(
         "SELECT deck_id, n_blocks, n_requests, script_chars, tokens, out_tokens, round(pc, 10) AS producer_cost, "
-        "round(rc, 10) AS reviewer_cost, round(pc + rc, 10) AS total_cost FROM ("
+        "round(rc, 10) AS reviewer_cost, round(pc + rc, 10) AS total_cost, true AS priced FROM ("
         f"SELECT a.*, {_price('a.out_tokens', 'a.')} AS pc, {_price('0', 'b.')} AS rc "
         "FROM priced a JOIN priced b USING (deck_id) WHERE a.model = 'openai:gpt-5' AND b.model = 'openai:gpt-5-mini')",
         _WORK, _PRICES, _PARTS,
@@ -207,3 +207,81 @@ def unknown_models(spark, sf_dir):
 def deck_cost_report(spark, sf_dir):
     report = costs.deck_cost_report(w.segments(spark, sf_dir), costs.default_pricing(spark), prefix_tokens=2000)
     return report.withColumns({c: F.round(c, 10) for c in ("producer_cost", "reviewer_cost", "total_cost")})
+
+
+# A producer without a rate for its cache, a reviewer with an encoder of its own, a model without any rate.
+PREFIX = "Go on. " * 600
+ENCODERS = {"words": lambda text: text.split(" ")}
+FLOW_PRICES = [
+    ("openai:chars", "openai", 2.0, None, 8.0, None, None, "o200k_base"),
+    ("anthropic:words", "anthropic", 3.0, None, 15.0, 3.75, 0.3, "words"),
+    ("openai:words", "openai", 1.0, 0.25, 4.0, None, None, "words"),
+    ("openai:free", "openai", None, None, None, None, None, "words"),
+]
+_FLOW_PRICES = "pricing AS " + q.values(
+    [(*p, len(ENCODERS.get(p[-1], list)(PREFIX))) for p in FLOW_PRICES],
+    'model, provider, "in", in_cached, out, cached_write, cached_read, tokenizer, prefix_tokens',
+)
+_FLOW_WORK = (
+    f"totals AS (SELECT deck_id, count(*) AS n_blocks, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS words, "
+    f"CAST(sum({q.count('text', q.COST)}) AS BIGINT) AS script_chars FROM segments GROUP BY deck_id), "
+    "work AS (SELECT *, CAST(greatest(1, ceil(n_blocks / 10)) AS BIGINT) AS n_requests, "
+    "CAST(round_even(round_even(script_chars * 1.45::DOUBLE, 0) / 4.0::DOUBLE, 0) AS BIGINT) AS out_tokens FROM totals)"
+)
+
+
+def _flow_parts(tokens: str) -> str:
+    """Every deck under every model, its input counted as ``tokens`` says."""
+    return _PARTS.replace("priced AS (SELECT w.*, p.*,", f"priced AS (SELECT w.*, p.*, {tokens} AS tokens,").replace(
+        "FROM work w CROSS JOIN pricing p", f"FROM (SELECT w.*, p.*, {tokens} AS tokens FROM work w CROSS JOIN pricing p)"
+    ).replace(f"SELECT w.*, p.*, {tokens} AS tokens,", "SELECT *,")
+
+
+def _flow(spark, sf_dir, reviewer="anthropic:words"):
+    from twinscript import schemas
+    from twinscript.plans import flows
+    from twinscript.session import small_table
+
+    return flows.cost_estimate(
+        w.segments(spark, sf_dir), small_table(spark, FLOW_PRICES, schemas.PRICING), also=[p[0] for p in FLOW_PRICES], prefix=PREFIX,
+        producer="openai:chars", reviewer=reviewer, batch_size=10, encoders=ENCODERS,
+    )
+
+
+@query(
+    "cost_estimate",
+    q.using(
+        "SELECT deck_id, n_blocks, n_requests, script_chars, chars AS tokens, out_tokens, round(pc, 10) AS producer_cost, "
+        "round(rc, 10) AS reviewer_cost, round(pc + rc, 10) AS total_cost, true AS priced FROM ("
+        f"SELECT a.*, {_price('a.out_tokens', 'a.')} AS pc, {_price('0', 'b.')} AS rc "
+        "FROM priced a JOIN priced b USING (deck_id) WHERE a.model = 'openai:chars' AND b.model = 'anthropic:words')",
+        _FLOW_WORK, _FLOW_PRICES, _flow_parts("CASE tokenizer WHEN 'words' THEN words ELSE chars END"),
+    ),
+)
+def cost_estimate(spark, sf_dir):
+    """The flow with an encoder for each model and the prefix as a text."""
+    report = _flow(spark, sf_dir)[0]
+    return report.withColumns({c: F.round(c, 10) for c in ("producer_cost", "reviewer_cost", "total_cost")})
+
+
+@query(
+    "cost_estimate_unpriced",
+    q.using("SELECT deck_id, CAST(NULL AS DOUBLE) AS total_cost, false AS priced FROM totals", _FLOW_WORK),
+)
+def cost_estimate_unpriced(spark, sf_dir):
+    """A reviewer without any rate."""
+    return _flow(spark, sf_dir, "openai:free")[0].select("deck_id", "total_cost", "priced")
+
+
+@query(
+    "cost_estimate_alternatives",
+    q.using(
+        "SELECT deck_id, model, uncached_in, cached_in, read_tokens AS cached_read, write_tokens AS cached_write, out_tokens, "
+        "coalesce(\"in\", out, in_cached, cached_read, cached_write) IS NOT NULL AS priced, "
+        f"round({_price()}, 10) AS cost FROM priced",
+        _FLOW_WORK, _FLOW_PRICES, _flow_parts("chars"),
+    ),
+)
+def cost_estimate_alternatives(spark, sf_dir):
+    """The producer's tokens under every model, the prefix in each model's own."""
+    return _flow(spark, sf_dir)[1].withColumn("cost", F.round("cost", 10))

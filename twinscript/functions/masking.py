@@ -12,28 +12,43 @@ STAGES = (("URL", rules.FRAGILE_URL), ("NUM", rules.FRAGILE_NUMBER), ("CODE", ru
 MAY_BE_FRAGILE = r"(?U)\d|@|https?://"
 
 
+PLACEHOLDER = r"⟦(?:URL|NUM|CODE)_(\d+)⟧"
+COUNTED_DIGITS = 9  # a longer number is none that a counter reaches
+
+
 def _placeholder(tag: str, i: Column) -> Column:
     return F.concat(F.lit(f"⟦{tag}_"), (i + 1).cast("string"), F.lit("⟧"))
 
 
+def _taken(text: Column) -> Column:
+    """The largest number of a placeholder that stands in the text already."""
+    numbers = F.transform(
+        F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(1)),
+        lambda n: F.when(F.length(n) <= COUNTED_DIGITS, n.try_cast("int")),
+    )
+    return F.when(text.contains("⟦"), F.coalesce(F.array_max(numbers), F.lit(0))).otherwise(F.lit(0))
+
+
 def mask_fragile(text: Column) -> Column:
     """``struct(masked string, marks map<string,string>)``.
 
-    Links go first, then numbers, then codes; each tag counts from one. Later
-    stages do not look inside placeholders.
+    Links go first, then numbers, then codes; each tag counts from one, or from past
+    the largest placeholder that the text itself holds, which so stays what it is.
+    Later stages do not look inside placeholders.
     """
     none = F.array().cast("array<string>")
     unmasked = F.struct(text.alias("masked"), F.map_from_arrays(none, none).alias("marks"))
-    state = F.struct(text.alias("masked"), none.alias("keys"), none.alias("spans"))
+    state = F.struct(text.alias("masked"), none.alias("keys"), none.alias("spans"), _taken(text).alias("taken"))
 
     def apply_stage(s: Column, tag: str, pattern: str) -> Column:
         text = s["masked"]
 
         def put(hits: Column) -> Column:
             return F.struct(
-                splice(text, pattern, lambda hit, i: F.when(hit.isNotNull(), _placeholder(tag, i)), hits).alias("masked"),
-                F.concat(s["keys"], F.transform(hits, lambda _, i: _placeholder(tag, i))).alias("keys"),
+                splice(text, pattern, lambda hit, i: F.when(hit.isNotNull(), _placeholder(tag, i + s["taken"])), hits).alias("masked"),
+                F.concat(s["keys"], F.transform(hits, lambda _, i: _placeholder(tag, i + s["taken"]))).alias("keys"),
                 F.concat(s["spans"], hits).alias("spans"),
+                s["taken"].alias("taken"),
             )
 
         return let(matches(text, pattern), lambda hits: F.when(F.size(hits) == 0, s).otherwise(put(hits)))
@@ -63,4 +78,4 @@ def unmask_fragile(masked: Column, marks: Column) -> Column:
 
 def placeholders(text: Column) -> Column:
     """The placeholders of a text, sorted."""
-    return F.array_sort(F.regexp_extract_all(text, F.lit(r"⟦(?:URL|NUM|CODE)_\d+⟧"), F.lit(0)))
+    return F.array_sort(F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0)))

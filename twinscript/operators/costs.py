@@ -42,10 +42,24 @@ def tokenizer(encode: Callable[[str], list] | None = None) -> Callable[[Column],
     return count
 
 
-def tokenizer_for(name: str | None, encoders: dict[str, Callable[[str], list]] | None = None) -> Callable[[Column], Column]:
-    """The counter of a named encoding; unknown names fall back to the default one, then to characters."""
+Encoder = Callable[[str], list]
+
+
+def encoder_for(name: str | None, encoders: dict[str, Encoder] | None = None) -> Encoder | None:
+    """A named encoding; unknown names fall back to the default one, then to none (a token a character)."""
     encoders = encoders or {}
-    return tokenizer(encoders.get(name, encoders.get(rules.DEFAULT_TOKENIZER)))
+    return encoders.get(name, encoders.get(rules.DEFAULT_TOKENIZER))
+
+
+def tokenizer_for(name: str | None, encoders: dict[str, Encoder] | None = None) -> Callable[[Column], Column]:
+    """The counter of a named encoding (:func:`encoder_for`)."""
+    return tokenizer(encoder_for(name, encoders))
+
+
+def prefix_counts(pricing: DataFrame, models: list[str], prefix: str, encoders: dict[str, Encoder] | None = None) -> dict[str, int]:
+    """Tokens of a repeated prefix for each of the models, by the encoder its price row names."""
+    rows = _price_rows(pricing, models)
+    return {r["model"]: len((encoder_for(r["tokenizer"], encoders) or list)(prefix)) for r in rows}
 
 
 def token_totals(
@@ -112,15 +126,24 @@ def deck_workload(
 
 
 def price_alternatives(
-    workload: DataFrame, pricing: DataFrame, models: list[str], no_cache: bool = False, charge_write: bool = False
+    workload: DataFrame, pricing: DataFrame, models: list[str], no_cache: bool = False, charge_write: bool = False,
+    prefixes: dict[str, int] | None = None,
 ) -> DataFrame:
-    """Each workload under each of the models; ``priced`` is false where no rate is known."""
+    """Each workload under each of the models; ``priced`` is false where no rate is known.
+
+    The tokens are the workload's; ``prefixes`` (:func:`prefix_counts`) gives the prefix in
+    each model's own tokens, and models it lacks take the workload's.
+    """
     price = F.col("_p")
-    parts = input_parts(
-        price["provider"], F.col("tokens"), F.col("prefix_tokens"), F.col("n_requests"), no_cache, charge_write
-    )
+    prefix = F.coalesce(F.col("_prefix"), F.col("prefix_tokens"))
+    parts = input_parts(price["provider"], F.col("tokens"), prefix, F.col("n_requests"), no_cache, charge_write)
+    asked = [
+        F.struct(_literal(r).alias("p"), F.lit((prefixes or {}).get(r["model"])).cast("long").alias("prefix"))
+        for r in _price_rows(pricing, models)
+    ]
     return (
-        workload.withColumn("_p", F.explode(F.array(*[_literal(r) for r in _price_rows(pricing, models)])))
+        workload.withColumn("_m", F.explode(F.array(*asked)))
+        .withColumns({"_p": F.col("_m.p"), "_prefix": F.col("_m.prefix")})
         .withColumn("_parts", parts)
         .select(
             "deck_id",
@@ -144,20 +167,27 @@ def deck_cost_report(
     chars_per_token: float = rules.CHARS_PER_TOKEN,
     no_cache: bool = False,
     charge_write: bool = False,
-    encoders: dict[str, Callable[[str], list]] | None = None,
+    encoders: dict[str, Encoder] | None = None,
     reviewer_prefix_tokens: int | None = None,
+    prefix: str | None = None,
 ) -> DataFrame:
     """One row per deck: size, requests, and what producing and reviewing it costs.
 
     The reviewer reads the same input and answers with next to nothing. Each model
-    counts tokens with the encoder its price row names, when ``encoders`` has it.
+    counts tokens with the encoder its price row names, when ``encoders`` has it; blocks
+    are counted once for each encoder. ``prefix`` is the text that every request repeats,
+    in place of its numbers of tokens. ``priced`` is false where one of the models has no
+    rate; its costs are null.
     """
+    if prefix is not None:
+        counts = prefix_counts(pricing, [producer, reviewer], prefix, encoders)
+        prefix_tokens, reviewer_prefix_tokens = counts[producer], counts[reviewer]
     producing, reviewing = _price_rows(pricing, [producer, reviewer])
-    totals = token_totals(
-        blocks,
-        tokenizer_for(producing["tokenizer"], encoders),
-        reviewer_tokens=tokenizer_for(reviewing["tokenizer"], encoders),
-    )
+    ways = [encoder_for(r["tokenizer"], encoders) for r in (producing, reviewing)]
+    if ways[0] is ways[1]:
+        totals = token_totals(blocks, tokenizer(ways[0])).withColumn("reviewer_tokens", F.col("tokens"))
+    else:
+        totals = token_totals(blocks, tokenizer(ways[0]), reviewer_tokens=tokenizer(ways[1]))
     work = deck_workload(totals, batch_size, prefix_tokens, expansion, chars_per_token, keep=["reviewer_tokens"])
 
     def cost(row: Row, tokens: str, prefix: Column, out: Column) -> Column:
@@ -172,5 +202,6 @@ def deck_cost_report(
         .select(
             "deck_id", "n_blocks", "n_requests", "script_chars", "tokens", "out_tokens", "producer_cost", "reviewer_cost",
             (F.col("producer_cost") + F.col("reviewer_cost")).alias("total_cost"),
+            (is_priced(_literal(producing)) & is_priced(_literal(reviewing))).alias("priced"),
         )
     )

@@ -1,6 +1,6 @@
 """Audit records and formatting statistics of whole decks."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinscript import rules
@@ -79,19 +79,37 @@ def deck_audit(
     )
 
 
+def format_counts(runs: DataFrame) -> DataFrame:
+    """Per slide, how often each combination of formatting values is used.
+
+    Counts merge before and after a shuffle; a slide of any number of runs is as many
+    rows as it has combinations.
+    """
+    return runs.groupBy(
+        "deck_id", "part_name", "record", "is_title", "font_family", "font_size", "margins", "line_spacing"
+    ).agg(F.count("*").alias("n"))
+
+
+def _repeated(value: str) -> Column:
+    """The values of all records, ascending, from their counts."""
+    counted = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col("n").alias("n")))))
+    return F.flatten(F.transform(counted, lambda c: F.array_repeat(c["v"], c["n"].cast("int"))))
+
+
 def format_stats(runs: DataFrame) -> DataFrame:
-    """Per slide: frames by role and the distinct fonts, sizes, margins and spacings.
+    """Per slide: frames by role, its fonts, and the sizes, margins and spacings of all records.
 
     ``runs`` has one ``frame`` record per text frame, one ``spacing`` record per
-    spaced paragraph and one ``run`` record per styled run.
+    spaced paragraph and one ``run`` record per styled run. Records are counted by
+    value first (:func:`format_counts`).
     """
-    frame = F.col("record") == "frame"
-    return runs.groupBy("deck_id", "part_name").agg(
-        F.count_if(frame).alias("text_frames"),
-        F.count_if(frame & F.col("is_title")).alias("title_frames"),
-        F.count_if(frame & ~F.col("is_title")).alias("body_frames"),
+    frames = lambda more: F.coalesce(F.sum(F.when((F.col("record") == "frame") & more, F.col("n"))), F.lit(0))
+    return format_counts(runs).groupBy("deck_id", "part_name").agg(
+        frames(F.lit(True)).alias("text_frames"),
+        frames(F.col("is_title")).alias("title_frames"),
+        frames(~F.col("is_title")).alias("body_frames"),
         F.array_sort(F.collect_set("font_family")).alias("font_families"),
-        F.array_sort(F.collect_list("font_size")).alias("font_sizes"),
-        F.array_sort(F.collect_list("margins")).alias("margin_settings"),
-        F.array_sort(F.collect_list("line_spacing")).alias("line_spacings"),
+        _repeated("font_size").alias("font_sizes"),
+        _repeated("margins").alias("margin_settings"),
+        _repeated("line_spacing").alias("line_spacings"),
     )

@@ -26,35 +26,17 @@ def _offsets(per_chunk: DataFrame, by: list[str], names: list[str]) -> DataFrame
     ).filter("_n > 0").drop("_n")
 
 
-def _attach(rows: DataFrame, per_chunk: DataFrame, by: list[str], how: str, broadcast: bool = False) -> DataFrame:
-    """Join per-range values to the rows of their range; a null group is a group too."""
+def _attach(rows: DataFrame, offsets: DataFrame, by: list[str]) -> DataFrame:
+    """Join the offsets to the rows of their range; a null group is a group too."""
     keys = [*by, "_chunk"]
-    side = per_chunk.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    side = offsets.withColumnsRenamed({k: f"_of_{k}" for k in keys})
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
-    return rows.join(F.broadcast(side) if broadcast else side, same, how).drop(*[f"_of_{k}" for k in keys])
+    return rows.join(F.broadcast(side), same, "left").drop(*[f"_of_{k}" for k in keys])
 
 
 def number_rows(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    """``row_number`` by group, exact, with one range shuffle.
-
-    Rows of a group are consecutive inside a sorted range, so the position in the
-    range and the size of the earlier ranges give the number.
-    """
-    ranged = staged(
-        df.repartitionByRange(*by, *order)
-        .sortWithinPartitions(*by, *order)
-        .withColumn("_chunk", F.spark_partition_id())
-        .withColumn("_seq", F.monotonically_increasing_id()),
-        "number-rows",
-    )
-    per_chunk = ranged.groupBy(*by, "_chunk").agg(F.min("_seq").alias("_start"), F.count("*").alias("rows"))
-    before = _offsets(per_chunk, by, ["rows"])
-    starts = per_chunk.select(*by, "_chunk", "_start")
-    placed = _attach(_attach(ranged, starts, by, "inner"), before, by, "left", broadcast=True)
-    return (
-        placed.withColumn(name, F.col("_seq") - F.col("_start") + 1 + F.coalesce("_before_rows", F.lit(0)))
-        .drop("_chunk", "_seq", "_start", "_before_rows")
-    )
+    """``row_number`` by group, exact: a running count over ranges of the order."""
+    return running_totals(df, by, order, {name: F.lit(1).cast("long")})
 
 
 def running_totals(df: DataFrame, by: list[str], order: list[str], totals: dict[str, Column]) -> DataFrame:
@@ -71,7 +53,7 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], totals: dict[
     )
     summed = ranged.withColumns({n: F.sum(n).over(inside) for n in names})
     return (
-        _attach(summed, before, by, "left", broadcast=True)
+        _attach(summed, before, by)
         .withColumns({n: F.col(n) + F.coalesce(f"_before_{n}", F.lit(0)) for n in names})
         .drop("_chunk", *[f"_before_{n}" for n in names])
     )

@@ -104,17 +104,22 @@ def residual_report(parts: DataFrame, limit: int = 0, k: int = 10) -> dict[str,
 
 
 def cost_estimate(
-    blocks: DataFrame, pricing: DataFrame, also: list[str] | None = None, prefix_tokens: int = 0, **options
+    blocks: DataFrame, pricing: DataFrame, also: list[str] | None = None, prefix_tokens: int = 0, prefix: str | None = None, **options
 ) -> tuple[DataFrame, DataFrame | None]:
-    """The report per deck, and the same work, in the producer's tokens, under further models."""
-    report = costs.deck_cost_report(blocks, pricing, prefix_tokens=prefix_tokens, **options)
+    """The report per deck, and the same work, in the producer's tokens, under further models.
+
+    ``prefix``, the text every request repeats, is counted by each model's own encoder; without
+    it ``prefix_tokens`` holds for all.
+    """
+    report = costs.deck_cost_report(blocks, pricing, prefix_tokens=prefix_tokens, prefix=prefix, **options)
     if not also:
         return report, None
     shape = {k: options[k] for k in ("batch_size", "expansion", "chars_per_token") if k in options}
     billing = {k: options[k] for k in ("no_cache", "charge_write") if k in options}
     count = costs.producer_tokenizer(pricing, options.get("producer"), options.get("encoders"))
     work = costs.deck_workload(costs.token_totals(blocks, count), prefix_tokens=prefix_tokens, **shape)
-    return report, costs.price_alternatives(work, pricing, also, **billing)
+    prefixes = None if prefix is None else costs.prefix_counts(pricing, also, prefix, options.get("encoders"))
+    return report, costs.price_alternatives(work, pricing, also, **billing, prefixes=prefixes)
 
 
 def clean_memory(spark: SparkSession, path: str, version: str, new_version: str) -> DataFrame:

@@ -320,3 +320,21 @@ def test_format_counts_stay_small(spark):
     row = decks.format_stats(runs).first()
     assert (row.text_frames, row.title_frames, row.body_frames) == (2, 1, 0)
     assert row.font_sizes == [0] * 10000 + [1] * 10000 + [2] * 10000 and row.font_families == ["Arial"] and row.margin_settings == ["m"]
+
+
+def test_a_filled_worklist_goes_back_into_the_memory(spark, tmp_path):
+    from twinscript.sources import files
+
+    rows = [("日", "sun"), ("日", "day"), ("日", "day"), ("月", "m"), ("月", "l"), ("本", " "), ("木", None), ("x木", "x木"), ("火", "火 fire"), (None, "x"), ("水", "say \"water\", 2\nlines")]
+    filled = spark.createDataFrame(rows, "jp_text string, proposed_en string").withColumn("slide_example", F.lit("s")).withColumn("deck_example", F.lit("d"))
+    path = str(tmp_path / "list")
+    files.write_worklist(filled, path)
+    patch = residual.residual_patch(files.read_worklist(spark, path))
+    assert {r.src: r.tgt for r in patch.collect()} == {"日": "day", "月": "l", "水": 'say "water", 2\nlines'}
+    tm = spark.createDataFrame([("a", "日"), ("日", "old"), ("b", "fine"), ("c", None)], "src string, tgt string")
+    assert {r.src: r.tgt for r in residual.patch_memory(tm, patch).collect()} == {
+        "a": "day", "b": "fine", "c": None, "日": "day", "月": "l", "水": 'say "water", 2\nlines'
+    }
+    pairs = spark.createDataFrame([("d", "日"), ("d", "日"), ("e", None), (None, "x")], "deck_id string, tgt string")
+    got = sorted(map(tuple, residual.patch_bilingual(pairs, patch).collect()), key=repr)
+    assert got == sorted([("d", "day", True), ("d", "day", True), ("e", None, False), (None, "x", False)], key=repr)

@@ -6,6 +6,7 @@ from twinscript.catalog import sql as q
 from twinscript.catalog import workloads as w
 from twinscript.catalog.registry import query
 from twinscript.operators import audits, decks, matching
+from twinscript.plans import flows
 
 ROW = "deck_id, slide, idx"
 _BARE = f"rows AS (SELECT *, {q.untag('tgt')} AS bare, {q.strip(q.untag('tgt'))} AS trimmed FROM bilingual)"
@@ -132,6 +133,29 @@ def quality_gate(spark, sf_dir):
     return audits.quality_gate(_issues(spark, sf_dir))
 
 
+@query(
+    "style_audit",
+    q.using(
+        "SELECT 'gate' AS part, deck_id, NULL AS category, total AS n, total <= 1000 AND unbalanced = 0 AS passed FROM (SELECT deck_id, count(*) AS total, "
+        "count(*) FILTER (issue_type = 'unbalanced_tags') AS unbalanced FROM issues GROUP BY deck_id) "
+        "UNION ALL SELECT 'counts', NULL, category, count(*), NULL FROM issues GROUP BY ROLLUP (category) "
+        "UNION ALL SELECT 'issues', deck_id, NULL, count(*), NULL FROM issues GROUP BY deck_id",
+        *_ALL,
+    ),
+)
+def style_audit(spark, sf_dir):
+    """The flow's three results in one table."""
+    out = flows.style_audit(
+        w.bilingual(spark, sf_dir), w.glossary(spark), matching.alternatives_table(spark, w.ALTERNATIVES), w.BANNED, max_issues=1000, critical=[]
+    )
+    none = lambda kind: F.lit(None).cast(kind)
+    gate = out.gate.select(F.lit("gate").alias("part"), "deck_id", none("string").alias("category"), F.col("total_issues").alias("n"), "passed")
+    counts = out.counts.select(F.lit("counts").alias("part"), none("string").alias("deck_id"), "category", F.col("n_issues").alias("n"), none("boolean").alias("passed"))
+    issues = out.issues.groupBy("deck_id").agg(F.count("*").alias("n"))
+    listed = issues.select(F.lit("issues").alias("part"), "deck_id", none("string").alias("category"), "n", none("boolean").alias("passed"))
+    return gate.unionByName(counts).unionByName(listed)
+
+
 @query("quality_gate_without_critical", q.using(_GATE.format(critical="WHEN false THEN ''", limit=1000), *_ALL))
 def quality_gate_without_critical(spark, sf_dir):
     return audits.quality_gate(_issues(spark, sf_dir), max_issues=1000, critical=[])

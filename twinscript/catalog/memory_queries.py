@@ -11,6 +11,8 @@ from twinscript.operators import memory as m
 from twinscript.operators import runs
 from twinscript.operators.replies import parse_model_array
 from twinscript.plans import flows
+from twinscript.session import scratch_path
+from twinscript.sources import files
 
 
 @query(
@@ -155,6 +157,14 @@ def translate_corpus(spark, sf_dir):
     return out.bilingual
 
 
+@query("clean_memory", q.using(f"SELECT src, tgt FROM tm WHERE tgt <> src AND NOT {q.has('tgt')}"))
+def clean_memory(spark, sf_dir):
+    """The flow over a stored memory: a new version without entries that need another translation."""
+    path = scratch_path(spark, "tm")
+    files.write_tm(w.memory(spark, sf_dir), path, "001")
+    return flows.clean_memory(spark, path, "001", "002")
+
+
 _VOTES = "votes AS (SELECT src, tgt, count(*) AS votes FROM tm_runs GROUP BY ALL)"
 
 

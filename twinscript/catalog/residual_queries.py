@@ -8,6 +8,9 @@ from twinscript.catalog import workloads as w
 from twinscript.catalog.registry import query
 from twinscript.operators import residual as r
 from twinscript.operators import segments as s
+from twinscript.plans import flows
+from twinscript.session import scratch_path
+from twinscript.sources import files
 
 _BY_SLIDE = f"by_slide AS (SELECT deck_id, part_name, CAST(sum({q.count('text')}) AS BIGINT) AS n_chars FROM segments GROUP BY ALL)"
 
@@ -121,6 +124,72 @@ def residual_worklist(spark, sf_dir):
     return r.residual_worklist(r.residual_locations(w.bilingual(spark, sf_dir)))
 
 
+def _filled_sql(table: str) -> str:
+    """The patch of a worklist over ``table``'s targets: some left empty, some unchanged, the rest filled."""
+    proposal = "CASE length(tgt) % 4 WHEN 0 THEN ' ' WHEN 1 THEN tgt ELSE 'Line, \"of\" ' || length(tgt) END"
+    return f"patch AS (SELECT DISTINCT tgt AS src, {proposal} AS tgt FROM {table} WHERE {q.has('tgt')} AND length(tgt) % 4 > 1)"
+
+
+def _filled(spark, pairs):
+    """A worklist written, filled by a rule, written and read again."""
+    locations = r.residual_locations(pairs)
+    size = F.length("jp_text")
+    proposal = F.when(size % 4 == 0, " ").when(size % 4 == 1, F.col("jp_text")).otherwise(F.concat(F.lit('Line, "of" '), size))
+    path = scratch_path(spark, "worklist")
+    files.write_worklist(r.residual_worklist(locations).withColumn("proposed_en", proposal), path)
+    return files.read_worklist(spark, path)
+
+
+@query("residual_patch", q.using("SELECT src, tgt FROM patch", _filled_sql("bilingual")))
+def residual_patch(spark, sf_dir):
+    return r.residual_patch(_filled(spark, w.bilingual(spark, sf_dir)))
+
+
+@query(
+    "patch_residuals",
+    q.using(
+        "SELECT deck_id, slide, idx, b.src, coalesce(p.tgt, b.tgt) AS tgt, kind, p.tgt IS NOT NULL AS patched "
+        "FROM bilingual b LEFT JOIN patch p ON b.tgt = p.src",
+        _filled_sql("bilingual"),
+    ),
+)
+def patch_residuals(spark, sf_dir):
+    """Residual texts replaced by what a filled worklist says."""
+    rows = w.bilingual(spark, sf_dir)
+    return flows.patch_residuals(rows, w.memory(spark, sf_dir), _filled(spark, rows))[0]
+
+
+@query(
+    "patch_memory",
+    q.using(
+        "SELECT src, coalesce(p.tgt, n.tgt, m.tgt) AS tgt FROM (SELECT src FROM tm UNION SELECT src FROM patch) "
+        "LEFT JOIN tm m USING (src) LEFT JOIN patch p USING (src) LEFT JOIN patch n ON m.tgt = n.src",
+        _filled_sql("tm"),
+    ),
+)
+def patch_memory(spark, sf_dir):
+    """The memory after a worklist of its own residual translations."""
+    tm = w.memory(spark, sf_dir)
+    pairs = tm.select(F.lit("tm").alias("deck_id"), F.lit("tm").alias("slide"), F.lit(0).cast("long").alias("idx"), "src", "tgt")
+    return flows.patch_residuals(pairs, tm, _filled(spark, pairs))[1]
+
+
+_REPORT = {
+    "summary": "SELECT 'summary' AS part, deck_id, CAST(sum(n_chars) AS BIGINT) AS n FROM by_slide GROUP BY deck_id",
+    "gate": "SELECT 'failed', deck_id, CAST(sum(n_chars) AS BIGINT) FROM by_slide GROUP BY deck_id HAVING sum(n_chars) > 500",
+    "top": "SELECT 'top', deck_id, n_chars FROM (SELECT * FROM by_slide WHERE n_chars > 0 ORDER BY n_chars DESC, deck_id, part_name LIMIT 10)",
+}
+
+
+@query("residual_report", q.using(" UNION ALL ".join(_REPORT.values()), _BY_SLIDE))
+def residual_report(spark, sf_dir):
+    """The flow's three results in one table."""
+    report = flows.residual_report(w.segments(spark, sf_dir), limit=500, k=10)
+    of = lambda part, df, n: df.select(F.lit(part).alias("part"), "deck_id", F.col(n).alias("n"))
+    failed = report["gate"].filter(~F.col("passed"))
+    return of("summary", report["summary"], "total_chars").unionByName(of("failed", failed, "remaining")).unionByName(of("top", report["top"], "n_chars"))
+
+
 @query(
     "filter_slide_range",
     q.using(

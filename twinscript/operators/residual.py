@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from twinscript import rules
 from twinscript.functions.script import count_core_script, count_script_chars, has_script
+from twinscript.functions.text import is_nonblank
+from twinscript.operators.joins import join_hot
+from twinscript.operators.memory import merge_tm
 
 SLIDE = ["deck_id", "part_name"]
 
@@ -114,6 +117,38 @@ def residual_worklist(locations: DataFrame) -> DataFrame:
     )
 
 
+def residual_patch(filled: DataFrame, cls: str = rules.SCRIPT_ANY) -> DataFrame:
+    """What a filled worklist (``jp_text, proposed_en``) says to write: ``src, tgt``, one row per text.
+
+    Proposals that are null, blank, the text itself, or still in the source script are
+    left out. Of several for a text the most frequent wins, then the first in code-point
+    order. Counting comes before any text is chosen, so a text of any number of proposals
+    is as many rows as they differ.
+    """
+    src, tgt = F.col("jp_text"), F.col("proposed_en")
+    usable = filled.filter(src.isNotNull() & is_nonblank(tgt) & (src != tgt) & ~has_script(tgt, cls))
+    votes = usable.groupBy(src.alias("src"), tgt.alias("tgt")).agg(F.count("*").alias("votes"))
+    best = F.min(F.struct((-F.col("votes")).alias("fewer"), "tgt")).alias("best")
+    return votes.groupBy("src").agg(best).select("src", F.col("best.tgt").alias("tgt"))
+
+
+def patch_bilingual(bilingual: DataFrame, patch: DataFrame) -> DataFrame:
+    """Rows with the patched text where their target is a text of the patch, and ``patched``."""
+    fixed = patch.select(F.col("src").alias("tgt"), F.col("tgt").alias("_fixed"))
+    joined = join_hot(bilingual, fixed, "tgt", "left")
+    columns = [F.coalesce("_fixed", "tgt").alias("tgt") if c == "tgt" else F.col(c) for c in bilingual.columns]
+    return joined.select(*columns, F.col("_fixed").isNotNull().alias("patched"))
+
+
+def patch_memory(tm: DataFrame, patch: DataFrame) -> DataFrame:
+    """The memory after a patch: entries whose translation is a patched text get the new one, patched texts an entry.
+
+    A text that is a source of the memory takes the patch too.
+    """
+    renewed = patch_bilingual(tm.select("src", "tgt"), patch).filter("patched").select("src", "tgt")
+    return merge_tm(tm, renewed, patch)
+
+
 def deck_residual_report(parts: DataFrame, cls: str = rules.SCRIPT_ANY) -> DataFrame:
     """Totals per deck next to each deck's worst slide."""
     by_slide = script_chars_by_slide(parts, cls)

@@ -103,6 +103,12 @@ def residual_report(parts: DataFrame, limit: int = 0, k: int = 10) -> dict[str,
     }
 
 
+def patch_residuals(bilingual: DataFrame, tm: DataFrame, filled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bilingual rows and memory after a filled worklist: what people wrote takes the place of residual texts."""
+    patch = staged(residual.residual_patch(filled), "patch")
+    return residual.patch_bilingual(bilingual, patch), residual.patch_memory(tm, patch)
+
+
 def cost_estimate(
     blocks: DataFrame, pricing: DataFrame, also: list[str] | None = None, prefix_tokens: int = 0, prefix: str | None = None, **options
 ) -> tuple[DataFrame, DataFrame | None]:

@@ -151,3 +151,13 @@ def write_issue_report(issues: DataFrame, path: str) -> None:
     issues.select(
         "category", "slide", F.col("idx").alias("index"), "issue_type", "description", "suggested_fix", "deck_id"
     ).write.options(**CSV_OUT).csv(path)
+
+
+def write_worklist(worklist: DataFrame, path: str) -> None:
+    """Texts to translate as CSV, with an empty column to fill in and an example of where each stands."""
+    worklist.select("jp_text", "proposed_en", "slide_example", "deck_example").write.options(**CSV_OUT).csv(path)
+
+
+def read_worklist(spark: SparkSession, path: str) -> DataFrame:
+    """A worklist that people filled in: ``jp_text, proposed_en, slide_example``; an empty proposal is null."""
+    return spark.read.options(**CSV, mode="PERMISSIVE").schema("jp_text string, proposed_en string, slide_example string").csv(path)

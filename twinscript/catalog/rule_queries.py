@@ -9,6 +9,7 @@ from twinscript.operators import audits, diagnostics, islands, matching
 
 ROW = ["deck_id", "slide", "idx"]
 _ROW = "deck_id, slide, idx"
+MERGED = {"inline": 0, "broadcast": 0}  # the way of rule tables beyond any broadcast
 
 
 def _rules(spark):
@@ -34,6 +35,12 @@ def glossary_hits_large_table(spark, sf_dir):
     return matching.glossary_hits(w.bilingual(spark, sf_dir), w.glossary(spark), inline=0).select(*ROW, "term", "expected")
 
 
+@query("glossary_hits_merge_join", _HITS)
+def glossary_hits_merge_join(spark, sf_dir):
+    """The way taken when the glossary is too large to broadcast."""
+    return matching.glossary_hits(w.bilingual(spark, sf_dir), w.glossary(spark), **MERGED).select(*ROW, "term", "expected")
+
+
 @query(
     "glossary_missing",
     q.using(f"SELECT {_ROW}, term, expected FROM bilingual JOIN glossary ON contains(src, term) AND NOT contains(tgt, expected)"),
@@ -63,6 +70,12 @@ def glossary_alternatives_large_table(spark, sf_dir):
     return matching.glossary_alternatives(w.bilingual(spark, sf_dir), terms, alts, ROW, inline=0)
 
 
+@query("glossary_alternatives_merge_join", _ALT)
+def glossary_alternatives_merge_join(spark, sf_dir):
+    _, _, terms, alts = _rules(spark)
+    return matching.glossary_alternatives(w.bilingual(spark, sf_dir), terms, alts, ROW, **MERGED)
+
+
 @query(
     "term_usage",
     q.using(f"SELECT {_ROW}, term, expected AS usage, b AS context FROM bare JOIN glossary ON contains(b, lower(expected))", _BARE),
@@ -151,6 +164,11 @@ def banned_word_matches_large_table(spark, sf_dir):
     return matching.banned_word_matches(w.bilingual(spark, sf_dir), _rules(spark)[0], inline=0)
 
 
+@query("banned_word_matches_merge_join", _MATCHES)
+def banned_word_matches_merge_join(spark, sf_dir):
+    return matching.banned_word_matches(w.bilingual(spark, sf_dir), _rules(spark)[0], **MERGED)
+
+
 @query(
     "punct_flags",
     q.using(

@@ -8,12 +8,13 @@ none passes the driver.
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from twinscript.catalog import CATALOG  # noqa: E402
-from twinscript.session import build_session  # noqa: E402
+from twinscript.session import build_session, drop_stages  # noqa: E402
 
 HEADLINE = [
     "deck_residual_report",
@@ -63,10 +64,11 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     if names == ["all"]:
         names = list(CATALOG)
+    shared = tempfile.mkdtemp(prefix="bench-")
     spark = build_session(
         "bench",
         f"local[{cores}]",
-        **{"spark.sql.shuffle.partitions": cores, "spark.ui.enabled": "false", "spark.driver.memory": "16g"},
+        **{"spark.sql.shuffle.partitions": cores, "spark.ui.enabled": "false", "spark.driver.memory": "16g", "spark.checkpoint.dir": shared},
     )
     spark.sparkContext.setLogLevel("ERROR")
     # The first queries would pay for starting the engine.
@@ -77,6 +79,7 @@ def main() -> None:
         start = time.perf_counter()
         CATALOG[name][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        drop_stages(spark)
     slides = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     spark.stop()
     print(

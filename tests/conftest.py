@@ -19,7 +19,7 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     drop_stages(session)
-    assert not open_stages() and not [p for p in shared.glob("twinscript/*") if p.name.startswith("stage-")]
+    assert not open_stages() and not list(shared.glob("twinscript/*"))
     session.stop()
 
 

@@ -6,6 +6,7 @@ usage: python tools/check_oracle.py SF_DIR [name ...]
 import math
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -14,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb  # noqa: E402
 
 from twinscript.catalog import CATALOG  # noqa: E402
-from twinscript.session import build_session  # noqa: E402
+from twinscript.session import build_session, drop_stages  # noqa: E402
 
 
 def plain(v):
@@ -38,8 +39,10 @@ def rows_of(columns, data):
 def main():
     sf_dir, names = sys.argv[1], sys.argv[2:]
     cores = os.environ.get("CHECK_CPUS", "8")
+    shared = tempfile.mkdtemp(prefix="check-oracle-")
     spark = build_session(
-        "check", f"local[{cores}]", **{"spark.sql.shuffle.partitions": cores, "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
+        "check", f"local[{cores}]",
+        **{"spark.sql.shuffle.partitions": cores, "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.checkpoint.dir": shared},
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
@@ -48,6 +51,7 @@ def main():
     bad = []
     for name in names or CATALOG:
         fn, sql = CATALOG[name]
+        drop_stages(spark)
         try:
             t0 = time.time()
             df = fn(spark, sf_dir)

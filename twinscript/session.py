@@ -52,6 +52,10 @@ def build_session(
     return builder.getOrCreate()
 
 
+# Folders of stages that nobody has dropped yet with their owner, and what each stage's DataFrame was written to.
+_open_stages: dict[str, str | None] = {}
+_owner: list[str] = []
+_stage_of: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
 _local_folders: dict[str, str] = {}
 
 
@@ -72,14 +76,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/twinscript/{label}-{uuid.uuid4().hex}"
-
-
-# Folders of stages that nobody has dropped yet with their owner, and what each stage's DataFrame was written to.
-_open_stages: dict[str, str | None] = {}
-_owner: list[str] = []
-_stage_of: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
+    """A new path below the shared folder; what is written there goes with ``drop_stages``."""
+    path = f"{shared_folder(spark)}/twinscript/{label}-{uuid.uuid4().hex}"
+    _open_stages[path] = _owner[-1] if _owner else None
+    return path
 
 
 def staged(df: DataFrame, label: str = "stage", **options: str) -> DataFrame:
@@ -91,14 +91,12 @@ def staged(df: DataFrame, label: str = "stage", **options: str) -> DataFrame:
     ``drop_stages`` removes it.
     """
     path = scratch_path(df.sparkSession, label)
-    _open_stages[path] = _owner[-1] if _owner else None
     df.write.options(**options).parquet(path)
     return stage_reader(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
 def stage_reader(df: DataFrame, path: str) -> DataFrame:
-    """Register ``df`` as what reads the stage at ``path``."""
-    _open_stages.setdefault(path, _owner[-1] if _owner else None)
+    """Note that ``df`` is what reads the stage at ``path``."""
     _stage_of[df] = path
     return df
 
@@ -147,8 +145,9 @@ def drop_stages(spark: SparkSession, *unread: DataFrame, owner: str | None = Non
     """
     mine = [path for path, of in _open_stages.items() if owner is None or of == owner]
     files = [f for df in unread for f in df.inputFiles()] if mine else []
+    # Folder names are unique by themselves; the path before them may be written in other ways.
     for path in mine:
-        if not any(f"{path}/" in f for f in files):
+        if not any(f"/{path.rsplit('/', 1)[1]}/" in f for f in files):
             _remove(spark, path)
 
 

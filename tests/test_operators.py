@@ -338,3 +338,19 @@ def test_a_filled_worklist_goes_back_into_the_memory(spark, tmp_path):
     pairs = spark.createDataFrame([("d", "日"), ("d", "日"), ("e", None), (None, "x")], "deck_id string, tgt string")
     got = sorted(map(tuple, residual.patch_bilingual(pairs, patch).collect()), key=repr)
     assert got == sorted([("d", "day", True), ("d", "day", True), ("e", None, False), (None, "x", False)], key=repr)
+
+
+def test_totals_are_told_from_nameless_slides(spark):
+    rows = [(None, "s", "日"), ("d", None, "日本"), ("d", "t", "x")]
+    got = residual.script_chars_total(spark.createDataFrame(rows, "deck_id string, part_name string, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(
+        [(None, "s", 1, 0), ("d", None, 2, 0), ("d", "t", 0, 0), (None, None, 1, 1), ("d", None, 2, 1), (None, None, 3, 3)], key=repr
+    )
+
+
+def test_slide_ranges_keep_notes_by_name_too(spark):
+    from twinscript.operators.segments import filter_slide_range
+
+    names = ["ppt/slides/slide3.xml", "ppt/notesSlides/notesSlide3.xml", "ppt/slides/slide9.xml", "other"]
+    df = spark.createDataFrame([(n,) for n in names], "part_name string")
+    assert {r[0] for r in filter_slide_range(df, "2-4").collect()} == set(names[:2])

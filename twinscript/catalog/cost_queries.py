@@ -38,10 +38,16 @@ def token_totals(spark, sf_dir):
     return _totals(spark, sf_dir)
 
 
-@query("tokenizer_hook", q.using("SELECT deck_id, n_blocks, tokens, script_chars FROM totals", _WORK))
+@query(
+    "tokenizer_hook",
+    q.using(
+        "SELECT deck_id, count(*) AS n_blocks, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS tokens, "
+        f"CAST(sum({q.count('text', q.COST)}) AS BIGINT) AS script_chars FROM segments GROUP BY deck_id"
+    ),
+)
 def tokenizer_hook(spark, sf_dir):
-    """A caller's encoder in Arrow batches; here one token per character."""
-    return costs.token_totals(w.segments(spark, sf_dir), costs.tokenizer(list))
+    """A caller's encoder in Arrow batches; here a token is what stands between blanks."""
+    return costs.token_totals(w.segments(spark, sf_dir), costs.tokenizer(lambda text: text.split(" ")))
 
 
 @query("request_count", q.using("SELECT deck_id, n_requests FROM work", _WORK))

@@ -44,7 +44,8 @@ def script_chars_by_slide_strict(spark, sf_dir):
 @query(
     "script_chars_total",
     q.using(
-        "SELECT deck_id, part_name, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM by_slide GROUP BY ROLLUP (deck_id, part_name)",
+        "SELECT deck_id, part_name, CAST(sum(n_chars) AS BIGINT) AS n_chars, CAST(GROUPING(deck_id, part_name) AS INTEGER) AS level "
+        "FROM by_slide GROUP BY ROLLUP (deck_id, part_name)",
         _BY_SLIDE,
     ),
 )

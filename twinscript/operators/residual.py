@@ -26,12 +26,13 @@ def script_chars_by_slide(
 def script_chars_total(segments: DataFrame, cls: str = rules.SCRIPT_ANY, strict: bool = False) -> DataFrame:
     """Per-slide rows with deck and corpus totals (null keys).
 
-    The rollup runs over the per-slide sums, not over the paragraphs.
+    ``level`` tells a total from a slide or deck without a name: 0 for a slide, 1 for a
+    deck, 3 for the corpus. The rollup runs over the per-slide sums, not over the paragraphs.
     """
     return (
         script_chars_by_slide(segments, cls, strict)
         .rollup(*SLIDE)
-        .agg(F.sum("n_chars").alias("n_chars"))
+        .agg(F.sum("n_chars").alias("n_chars"), F.grouping_id(*SLIDE).cast("int").alias("level"))
     )
 
 

@@ -40,7 +40,7 @@ def filter_slide_range(segments: DataFrame, spec: str | None) -> DataFrame:
         return segments
     if "part_no" in segments.columns:
         return segments.filter(F.col("part_no").between(*bounds))
-    number = F.regexp_extract("part_name", r"slide(\d+)\.xml", 1)
+    number = F.regexp_extract("part_name", r"(?i)slide(\d+)\.xml", 1)
     return segments.filter((number != "") & number.try_cast("long").between(*bounds))
 
 

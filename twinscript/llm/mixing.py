@@ -25,9 +25,15 @@ SECTIONS, PASSES = 16, 10  # of the exponent's range per pass over the sources
 
 @dataclass(frozen=True)
 class Mix:
-    """``entropy`` is a share of the largest possible one, ``budget`` of the corpus's tokens."""
+    """``budget`` is a share of the corpus's tokens.
 
-    entropy: float = 0.995
+    The target entropy lies ``gap`` of the way from the corpus's own to the largest possible one (all
+    sources alike), so there is something to mix unless they are alike already. ``entropy``, a share of
+    the largest possible one, names it outright.
+    """
+
+    gap: float = 0.5
+    entropy: float | None = None
     max_repeats: float = 4.0
     budget: float = 1.0
     block_documents: int = 1024
@@ -85,7 +91,9 @@ def exponent(sources: DataFrame, total: int, mix: Mix) -> float:
     """The exponent that meets the target entropy, raised as far as the repetition limit asks."""
     budget = mix.budget * total
     n = sources.count()
-    target = mix.entropy * math.log(n) if n > 1 else 0.0
+    largest = math.log(n) if n > 1 else 0.0
+    own = _at_exponents(sources, [1.0], total, budget)[0][0]
+    target = own + mix.gap * (largest - own) if mix.entropy is None else mix.entropy * largest
     even = _last_true(lambda grid: [h >= target - 1e-12 for h, _ in _at_exponents(sources, grid, total, budget)], 0.0, 1.0)
     # Repetition falls as the exponent grows; mirrored, the search above finds the smallest that holds.
     scarce = _last_true(lambda grid: [r <= mix.max_repeats for _, r in _at_exponents(sources, [1 - g for g in grid], total, budget)], 0.0, 1.0)

@@ -29,7 +29,7 @@ class Fit:
     positives: int = 8_000
     unlabelled: int = 24_000
     features: int = 4_096
-    least_positives: int = 8  # positives that must hold a word
+    least_positives: int = 8  # that must hold a word, or a quarter of them if that is fewer
     least_ratio: float = 2.5  # share of positives with the word over the share of unlabelled
     least_z: float = 5.0
     steps: int = 400
@@ -124,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     p, q = F.col("a") / n_pos, F.col("b") / n_hidden
     pooled = (F.col("a") + F.col("b")) / (n_pos + n_hidden)
     z = (p - q) / F.sqrt(pooled * (1 - pooled) * (1 / n_pos + 1 / n_hidden) + 1e-12)
-    telling = counted.filter((F.col("a") >= fit.least_positives) & (p >= fit.least_ratio * q) & (z >= fit.least_z))
+    least = min(fit.least_positives, max(1, n_pos // 4))
+    telling = counted.filter((F.col("a") >= least) & (p >= fit.least_ratio * q) & (z >= fit.least_z))
     vocabulary = [r[0] for r in telling.orderBy(F.desc(z), "word").limit(fit.features).select("word").collect()]
     if not vocabulary:
         return Model({}, float(np.log(prior / (1 - prior))))

@@ -61,6 +61,8 @@ NOTICES = [
     ),
 ]
 PHRASE_WORDS, NOTICE_WORDS = 2, 4  # of a gram
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MASK_BITS = 62  # template positions told apart by one number
 
 
 @dataclass(frozen=True)
@@ -120,14 +122,16 @@ def _hits(k: int, known: list[int]) -> Column:
 def license_scan(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every document.
 
-    ``score`` is the largest part of a template found: one for a whole phrase. A null text counts as
+    ``score`` is the largest part of a template's positions found near each other: one for a whole phrase.
+    A position counts once, however often a text repeats it; neighbouring diagonals make a band of no more
+    words than the template has. A null text counts as
     empty; texts without a hit have no labels and score zero. Overlapping places all count. Repeated
     rows and null doc_ids stay rows; copies of a text share one result. An empty table gives an empty
     result. Columns besides doc_id and text are not read.
     """
     spark = docs.sparkSession
     known = _known_hashes(spark)
-    words = F.array_remove(F.split(F.lower(text_of()), NOT_WORD), "")
+    words = F.array_remove(F.split(F.translate(text_of(), UPPER, UPPER.lower()), NOT_WORD), "")
     rows = docs.select("doc_id", content_key().alias("_key"), words.alias("_w"))
     # A first column of places, then both: the array of words is computed once for all uses.
     rows = rows.select("doc_id", "_key", F.size("_w").cast("long").alias("n_words"), F.concat(*[_hits(k, known[k]) for k in sorted(known)]).alias("_hits"))
@@ -136,17 +140,22 @@ def license_scan(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
     hits = rows.select("_key", F.explode("_hits").alias("_hit")).select("_key", "_hit.*").distinct()
     met = hits.join(F.broadcast(_template_table(spark)), (hits["k"] == F.col("_k")) & (hits["gram"] == F.col("_gram")))
     met = met.withColumn("_diagonal", F.col("pos") - F.col("_at"))
-    votes = met.groupBy("_key", "_template", "_label", "_base", "_grams", "_width", "_diagonal").agg(F.count("*").alias("_votes"))
+    # Which positions of the template a diagonal hits, as bits: repeats of one position count once.
+    masks = [f"_mask{i}" for i in range(-(-max(at + 1 for _, _, at, _ in template_grams()) // MASK_BITS))]
+    bit = lambda i: F.when(F.floor(F.col("_at") / MASK_BITS) == i, F.expr(f"shiftleft(1L, _at % {MASK_BITS})")).otherwise(F.lit(0).cast("long"))
+    keys = ["_key", "_template", "_label", "_base", "_grams", "_width"]
+    votes = met.groupBy(*keys, "_diagonal").agg(*[F.bit_or(bit(i)).alias(m) for i, m in enumerate(masks)])
     # One text's diagonals of one template stand together here, never several texts'.
     order = Window.partitionBy("_key", "_template").orderBy("_diagonal")
     whole = F.col("_width") == PHRASE_WORDS
     apart = F.coalesce(F.col("_diagonal") - F.lag("_diagonal").over(order) > F.when(whole, 0).otherwise(scan.band), F.lit(True))
-    bands = votes.withColumn("_apart", apart.cast("int")).withColumn("_band", F.sum("_apart").over(order))
-    spans = bands.groupBy("_key", "_template", "_label", "_base", "_grams", "_width", "_band").agg(
-        F.sum("_votes").alias("_votes"), F.min("_diagonal").alias("_start")
-    )
-    part = F.least(F.lit(1.0), F.col("_votes") / F.col("_grams"))
-    spans = spans.withColumn("_part", F.when(whole & (F.col("_votes") < F.col("_grams")), 0.0).otherwise(part))
+    chains = votes.withColumn("_apart", apart.cast("int")).withColumn("_chain", F.sum("_apart").over(order))
+    first = F.min("_diagonal").over(Window.partitionBy("_key", "_template", "_chain"))
+    # A chain of neighbours may run on through a long text; a band of it spans no more words than the template.
+    bands = chains.withColumn("_band", F.floor((F.col("_diagonal") - first) / (F.col("_grams") + F.col("_width") - 1)))
+    spans = bands.groupBy(*keys, "_chain", "_band").agg(*[F.bit_or(m).alias(m) for m in masks], F.min("_diagonal").alias("_start"))
+    hit = sum(F.bit_count(m) for m in masks)
+    spans = spans.withColumn("_part", F.when(whole & (hit < F.col("_grams")), 0.0).otherwise(hit / F.col("_grams")))
     intact = F.col("_base") & (F.col("_part") == 1.0)
     found = spans.groupBy("_key").agg(
         F.count(F.when(intact, 1)).alias("n_base"),
@@ -173,13 +182,14 @@ WITH grams(t, k, slot, gram) AS (VALUES {grams}), facts(t, label, base, grams, w
 rows AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'),
     '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
 places AS (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM rows, (SELECT unnest([{PHRASE_WORDS}, {NOTICE_WORDS}]) AS k)),
-met AS (SELECT rid, g.t, i - 1 - slot AS d FROM (SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS gram FROM places) p JOIN grams g ON p.k = g.k AND p.gram = g.gram),
-votes AS (SELECT rid, t, d, count(*) AS votes FROM met GROUP BY ALL),
+met AS (SELECT rid, g.t, slot, i - 1 - slot AS d FROM (SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS gram FROM places) p JOIN grams g ON p.k = g.k AND p.gram = g.gram),
+votes AS (SELECT DISTINCT rid, t, d FROM met),
 apart AS (SELECT v.*, f.* EXCLUDE (t), CASE WHEN d - lag(d) OVER (PARTITION BY rid, v.t ORDER BY d) <= CASE WHEN width = {PHRASE_WORDS} THEN 0 ELSE {scan.band} END THEN 0 ELSE 1 END AS a
     FROM votes v JOIN facts f ON v.t = f.t),
-bands AS (SELECT *, sum(a) OVER (PARTITION BY rid, t ORDER BY d) AS band FROM apart),
-spans AS (SELECT rid, label, base, min(d) AS start, CASE WHEN width = {PHRASE_WORDS} AND sum(votes) < grams THEN 0.0 ELSE least(1.0, CAST(sum(votes) AS DOUBLE) / grams) END AS part
-    FROM bands GROUP BY rid, t, label, base, grams, width, band),
+chains AS (SELECT *, sum(a) OVER (PARTITION BY rid, t ORDER BY d) AS chain FROM apart),
+bands AS (SELECT *, (d - min(d) OVER (PARTITION BY rid, t, chain)) // (grams + width - 1) AS band FROM chains),
+spans AS (SELECT rid, label, base, min(d) AS start, CASE WHEN width = {PHRASE_WORDS} AND count(DISTINCT slot) < grams THEN 0.0 ELSE CAST(count(DISTINCT slot) AS DOUBLE) / grams END AS part
+    FROM bands JOIN met USING (rid, t, d) GROUP BY rid, t, label, base, grams, width, chain, band),
 found AS (SELECT rid, count(*) FILTER (base AND part = 1) AS n_base, min(start) FILTER (base AND part = 1) AS first_word, max(start) FILTER (base AND part = 1) AS last_word,
     array_to_string(list_sort(list(DISTINCT label) FILTER (base AND part = 1)), ',') AS base_labels,
     array_to_string(list_sort(list(DISTINCT label) FILTER (part >= {scan.coverage})), ',') AS labels, max(part) AS score FROM spans GROUP BY rid)

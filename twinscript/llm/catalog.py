@@ -57,7 +57,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.suffix_array_dedup(read(spark, sf_dir, "documents"), window=400)
+    return suffixes.suffix_array_dedup(read(spark, sf_dir, "documents"), window=400).withColumn("removed", F.col("n_removed") > 0)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -416,3 +416,85 @@ def test_empty_labels(frame, spark, odd_rows):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["predicted"] for r in toxicity.toxicity(frame(odd_rows), none).collect()} == {0}
     assert toxicity.toxicity(frame([]), none).collect() == []
+
+
+def test_mixing_equals_a_walk_over_the_documents(frame, collect):
+    """An own bisection, quotas, and what a walk over every source's blocks takes."""
+    import math
+
+    r = np.random.default_rng(12)
+    rows = [(i, "w " * int(r.integers(1, 60)), "en", ["big", "big", "big", "big", "mid", None, "small"][i % 7] if i % 50 else "tiny") for i in range(2500)]
+    docs = frame(rows)
+    for mix in (mixing.Mix(block_documents=64), mixing.Mix(gap=0.9, max_repeats=2.0, budget=0.5, block_documents=64)):
+        tokens = Counter()
+        for _, t, _, s in rows:
+            tokens[s] += len(t.split())
+        total = sum(tokens.values())
+
+        def weights(a):
+            raw = {s: (n / total) ** a for s, n in tokens.items()}
+            return {s: x / sum(raw.values()) for s, x in raw.items()}
+
+        entropy = lambda a: -sum(w * math.log(w) for w in weights(a).values())
+        repeats = lambda a: max(w * mix.budget * total / tokens[s] for s, w in weights(a).items())
+        target = entropy(1.0) + mix.gap * (math.log(len(tokens)) - entropy(1.0))
+
+        def bisect(low_holds):
+            lo, hi = 0.0, 1.0
+            for _ in range(60):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if low_holds(mid) else (lo, mid)
+            return lo
+
+        even = bisect(lambda a: entropy(a) >= target)
+        scarce = 0.0 if repeats(0.0) <= mix.max_repeats else bisect(lambda a: repeats(a) > mix.max_repeats)
+        w = weights(max(even, scarce))
+        assert max(even, scarce) < 0.95  # something is mixed
+        got = mixing.mix_sources(docs, mix).toPandas()
+        copies = Counter(zip(got["doc_id"], [None if x != x else x for x in got["source"].where(got["source"].notna(), None)]))
+        block = {d: b for d, b in zip(got["doc_id"], got["block"])}
+        for s, n in tokens.items():
+            quota = w[s] * mix.budget * total
+            epochs = math.floor(quota / n + 1e-9)
+            own = [(i, len(t.split())) for i, t, _, source in rows if source == s]
+            taken = sum(copies[i, s] * k for i, k in own)
+            assert quota - 61 <= taken <= quota + 1
+            assert all(copies[i, s] in (epochs, epochs + 1) for i, _ in own)
+            # Of the last epoch whole blocks are in or out, but for one that is cut.
+            state = {}
+            for i, _ in own:
+                if i in block:
+                    state.setdefault(block[i], set()).add(copies[i, s] > epochs)
+            assert sum(len(x) == 2 for x in state.values()) <= 1
+
+
+def test_few_confirmed_texts_teach(frame, spark):
+    r = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(700):
+        words = [f"w{x}" for x in r.integers(0, 200, 30)]
+        if i % 70 == 3:
+            words[4:4] = ["vile", "foul"]
+        rows.append((i, " ".join(words), "en", "a"))
+    outside = [i for i in range(700) if i % 70 == 3 and zlib.crc32(str(i).encode()) % 3 != 1]
+    for n in (4, 6):
+        labels = [(i, 1, int(i in outside[:n])) for i in range(700) if i % 70 != 3 or i in outside[:n]]
+        out = toxicity.toxicity(frame(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+        assert all(x["predicted"] == int(x["doc_id"] % 70 == 3) for x in out)
+
+
+def test_repeats_of_one_line_are_no_license(frame):
+    names = {label: text for label, text in licenses.NOTICES}
+    notice = names["apache"]
+    rows = [
+        (1, "http www apache org " * 16, "en", "a"),
+        (2, "x " * 50 + notice, "en", "a"),
+        (3, " ".join(w for i, w in enumerate(notice.split()) if i % 12 != 5), "en", "a"),
+        (4, (" ".join(notice.split()[:6]) + " filler words between them all ") * 40, "en", "a"),
+        (5, "MIT LICENSE K", "en", "a"),
+        (6, "mİt license", "en", "a"),
+    ]
+    got = {r["doc_id"]: r for r in licenses.license_scan(frame(rows)).collect()}
+    assert got[1]["labels"] == "" and got[1]["score"] < 0.3 and got[4]["labels"] == ""
+    assert "apache" in got[2]["labels"] and got[2]["score"] == 1.0
+    assert got[5]["base_labels"] == "mit" and got[6]["n_base"] == 0

@@ -23,7 +23,8 @@ LEAST_DOCUMENTS, SMOOTHING, SCALE_STEPS, TOP_TERMS = 30, 5, 3, 50
 CHARACTER = 7  # bytes compared at once; the eighth tells whether a term goes on
 BLOCK_BYTES = 16 * 2**20
 FEW_SLICES = 64
-CELLS = 2_000_000  # terms x sources of a slice
+CELLS = 2_000_000  # terms x sources of a slice, and of what is filled in at once
+SLICE_TERMS = 4_096
 SOURCES_AT_ONCE = 1_000
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -232,9 +233,9 @@ def source_distances(terms: DataFrame, sizes: DataFrame) -> DataFrame:
     """Every other source of the language for each group, farthest first.
 
     Two sources differ in terms that neither has too, since their smoothed rates differ; so a slice of terms is met
-    with all sources of the language, a bounded number of cells at a time.
+    with all sources of the language, a bounded number of terms and cells at a time.
     """
-    slices = F.greatest(F.lit(1), F.ceil(F.col("n_terms") * F.col("n_sources") / CELLS))
+    slices = F.greatest(F.lit(1), F.ceil(F.col("n_terms") * F.col("n_sources") / CELLS), F.ceil(F.col("n_terms") / SLICE_TERMS))
     blocks = F.ceil(F.col("n_sources") / SOURCES_AT_ONCE)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     sized = sizes.withColumn("_slices", slices).withColumn("_blocks", blocks)

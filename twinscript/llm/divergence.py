@@ -107,6 +107,8 @@ def source_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not len(batch):
+                continue
             lang, source, text = (batch.column(k) for k in range(3))
             pair = pa.StructArray.from_arrays([lang, source], ["lang", "source"])
             numbers: dict[tuple[str, str], int] = {}

@@ -134,6 +134,21 @@ def format_stats(spark, sf_dir):
     )
 
 
+ENTRIES_PER_OBJECT = 250
+
+
+def _objects(entries):
+    """A column of JSON objects joined into objects of up to ``ENTRIES_PER_OBJECT`` of them, as a cache or price file holds.
+
+    Blocks are cut by place, so none outgrows that whatever the keys; they are joined as text, so equal keys all stay.
+    """
+    value = F.col(entries.columns[0])
+    inside = value.substr(F.lit(2), F.length(value) - 2)
+    block = F.floor(F.monotonically_increasing_id() / ENTRIES_PER_OBJECT)
+    lines = entries.select(block.alias("block"), inside.alias("inside")).groupBy("block").agg(F.collect_list("inside").alias("all"))
+    return lines.select(F.concat(F.lit("{"), F.array_join("all", ","), F.lit("}")).alias("value"))
+
+
 @query(
     "read_kv_json",
     "SELECT 'supplier' AS file, s_name AS key, CAST(s_nationkey AS VARCHAR) AS value FROM supplier UNION ALL "
@@ -148,7 +163,7 @@ def read_kv_json(spark, sf_dir):
     )
     turns = w.table(spark, sf_dir, "conversations").select(of(F.col("role"), F.col("text"), F.lit("length"), F.length("text").cast("string")))
     one, many = scratch_path(spark, "objects"), scratch_path(spark, "object-lines")
-    suppliers.write.option("maxRecordsPerFile", 1).text(one)
+    _objects(suppliers).write.option("maxRecordsPerFile", 1).text(one)
     turns.write.text(many)
     return files.read_kv_json(spark, one).select(F.lit("supplier").alias("file"), "*").unionByName(
         files.read_kv_json(spark, many, lines=True).select(F.lit("conversation").alias("file"), "*")
@@ -174,7 +189,7 @@ def read_pricing(spark, sf_dir):
     one, many = scratch_path(spark, "prices"), scratch_path(spark, "price-lines")
     w.table(spark, sf_dir, "part").select(F.to_json(entries)).write.text(many)
     balance = F.create_map(F.concat(F.lit("supplier:"), "s_suppkey"), F.struct(F.col("s_acctbal").alias("in")))
-    w.table(spark, sf_dir, "supplier").select(F.to_json(balance)).write.option("maxRecordsPerFile", 1).text(one)
+    _objects(w.table(spark, sf_dir, "supplier").select(F.to_json(balance))).write.option("maxRecordsPerFile", 1).text(one)
     return files.read_pricing(spark, many, lines=True).unionByName(files.read_pricing(spark, one))
 
 

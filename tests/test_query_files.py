@@ -26,3 +26,11 @@ def test_price_files_hold_many_entries(spark, suppliers):
     assert len(read.inputFiles()) < 10
     got = {r["model"]: r["in"] for r in read.filter("provider = 'supplier'").collect()}
     assert got == {f"supplier:{i}": i / 8 if i % 7 else None for i in range(1000)}
+
+
+def test_object_files_hold_many_entries_and_equal_keys(spark, suppliers):
+    read = CATALOG["read_kv_json"][0](spark, suppliers)
+    assert len(read.inputFiles()) < 10
+    got = sorted((r["key"], r["value"]) for r in read.filter("file = 'supplier'").collect())
+    names = [f'name "{i % 30}", {{}}\n' for i in range(1000)]
+    assert got == sorted([(n, str(i % 25)) for i, n in enumerate(names)] + [(f"key of {n}", str(i)) for i, n in enumerate(names)])

@@ -245,6 +245,46 @@ def test_rows_leave_in_frames_of_bounded_size(monkeypatch):
     assert [len(f) for f in frames] == [4, 4, 4, 4, 4, 0]
 
 
+class Captured:
+    """Stands for a DataFrame and runs what is mapped over it on batches of its own."""
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, function, _):
+        return function(iter([self.batch]))
+
+
+def most_held(rows_of, wanted):
+    """Rows that leave, and the most MB of Python objects meanwhile, for 24 MB of parts in one batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    xml = slide(*[run("word " * 80, '<a:rPr b="1" sz="1800"/>') for _ in range(17)])
+    count = 24_000_000 // len(xml)
+    head = {"deck_id": ["d"] * count, "part_kind": ["slide"] * count, "part_name": [f"p{i}" for i in range(count)], "part_no": list(range(count))}
+    batch = pa.RecordBatch.from_pydict({**head, "xml": [xml + " " * (i % 7) for i in range(count)]})
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in rows_of(Captured(batch)))
+        return n == count * wanted, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_runs_of_a_batch_are_not_held_whole():
+    whole, megabytes = most_held(lambda parts: decks._parsed(
+        parts, lambda data, _: list(decks._frame_records(decks.ElementTree.fromstring(data))),
+        ["frame_idx", "is_title", "record", "margins", "line_spacing", "font_size", "font_family"],
+        {"frame_idx": "Int64", "font_size": "Int32"}, decks.schemas.RUNS,
+    ), 18)
+    assert whole and megabytes < 16
+
+
 def test_bilingual_files_name_their_decks(spark, tmp_path):
     rows = [("a.pptx", "s1", 0, "日", "day", "title"), ("b, c.pptx", "s1", 0, "日", "", "title"), (None, "s2", 1, "", "x", "title")]
     df = spark.createDataFrame(rows, "deck_id string, slide string, idx long, src string, tgt string, kind string")

@@ -15,8 +15,11 @@ from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from twinscript import schemas
 from twinscript.functions.text import is_nonblank
@@ -26,8 +29,9 @@ from twinscript.operators.segments import filter_nonblank, is_notes_name, is_sli
 DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 PRESENTATION = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 
-BATCH_CHARS = 16_000_000
-BATCH_ROWS = 100_000
+BATCH_CHARS = 4_000_000
+BATCH_ROWS = 10_000
+SLICE_ROWS = 64
 KEYS = ["deck_id", "part_kind", "part_name", "part_no"]
 
 # Inline style tags in opening order.
@@ -131,12 +135,30 @@ def deck_rows(files: DataFrame, slides: str | None = None, notes: bool = True) -
                     problem = _described(error)
                 yield deck_id, kind, name, slide_no(name), xml, problem
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (row for batch in batches for pair in zip(batch["deck_id"], batch["content"]) for row in parts_of(*pair))
+    def unpack(cells: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        rows = (row for pair in cells for row in parts_of(*pair))
         # A large deck leaves in pieces and is never held decompressed.
         yield from _frames(rows, [*KEYS, "xml", "error"], {"part_no": "Int64"}, lambda row: len(row[4] or ""))
 
-    return files.select("deck_id", "content").mapInPandas(unpack, schemas.PARTS + ", error string")
+    return _map_cells(files.select("deck_id", "content"), unpack, schemas.PARTS + ", error string")
+
+
+def _map_cells(df: DataFrame, function: Callable[[Iterator[tuple]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Rows as tuples in, frames out; of an Arrow batch only ``SLICE_ROWS`` rows at a time are Python values."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                yield from zip(*(column.to_pylist() for column in batch.slice(start, SLICE_ROWS).columns))
+            # The next batch is read while this name still holds the last one.
+            del batch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in function(cells(batches)):
+            yield pa.RecordBatch.from_pandas(frame, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
 
 
 def _frames(rows: Iterable[tuple], names: list[str], kinds: dict[str, str], size: Callable[[tuple], int]) -> Iterator[pd.DataFrame]:
@@ -167,17 +189,12 @@ def _parsed(parts: DataFrame, records: Callable[[bytes], list[tuple]], names: li
         for record in found:
             yield (*head, *record, None)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (
-            row
-            for batch in batches
-            for *head, xml in zip(*(batch[k] for k in (*KEYS, "xml")))
-            for row in rows_of(tuple(head), xml)
-        )
+    def parse(cells: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        rows = (row for *head, xml in cells for row in rows_of(tuple(head), xml))
         columns = [*KEYS, *names, "error"]
         yield from _frames(rows, columns, {"part_no": "Int64", **kinds}, lambda row: sum(len(v) for v in row if isinstance(v, str)))
 
-    return parts.select(*KEYS, "xml").mapInPandas(parse, schema + ", error string")
+    return _map_cells(parts.select(*KEYS, "xml"), parse, schema + ", error string")
 
 
 def _run_style(run) -> list[str]:

@@ -285,6 +285,14 @@ def test_runs_of_a_batch_are_not_held_whole():
     assert whole and megabytes < 16
 
 
+@pytest.mark.parametrize("tagged", [False, True])
+def test_paragraphs_of_a_batch_are_not_held_whole(tagged):
+    whole, megabytes = most_held(lambda parts: decks._parsed(
+        parts, decks._paragraph_records(tagged), ["para_idx", "text"], {"para_idx": "Int64"}, decks.schemas.SEGMENTS
+    ), 17)
+    assert whole and megabytes < 40
+
+
 def test_bilingual_files_name_their_decks(spark, tmp_path):
     rows = [("a.pptx", "s1", 0, "日", "day", "title"), ("b, c.pptx", "s1", 0, "日", "", "title"), (None, "s2", 1, "", "x", "title")]
     df = spark.createDataFrame(rows, "deck_id string, slide string, idx long, src string, tgt string, kind string")

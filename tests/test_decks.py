@@ -293,6 +293,24 @@ def test_paragraphs_of_a_batch_are_not_held_whole(tagged):
     assert whole and megabytes < 40
 
 
+def test_decks_in_a_bundle(spark, tmp_path):
+    whole = tmp_path / "whole.bin"
+    with zipfile.ZipFile(whole, "w") as z:
+        z.writestr("ppt/slides/slide1.xml", slide(run("one")))
+        z.writestr("ppt/embeddings/inner.pptx", b"no deck of its own")
+    folder = tmp_path / "decks"
+    folder.mkdir()
+    (folder / "alone.pptx").write_bytes(whole.read_bytes())
+    with zipfile.ZipFile(folder / "many.zip", "w") as z:
+        for n in range(30):
+            z.writestr(f"sub/{n}.pptx", whole.read_bytes()[: 40 if n == 7 else None])
+        z.writestr("readme.txt", "x")
+    rows = decks.read_deck_rows(spark, str(folder))
+    got = {r.deck_id.split("/decks/")[1]: r.error for r in rows.collect()}
+    assert sorted(got) == sorted(["alone.pptx"] + [f"many.zip/sub/{n}.pptx" for n in range(30)])
+    assert [k for k, error in got.items() if error] == ["many.zip/sub/7.pptx"]
+
+
 def test_bilingual_files_name_their_decks(spark, tmp_path):
     rows = [("a.pptx", "s1", 0, "日", "day", "title"), ("b, c.pptx", "s1", 0, "日", "", "title"), (None, "s2", 1, "", "x", "title")]
     df = spark.createDataFrame(rows, "deck_id string, slide string, idx long, src string, tgt string, kind string")

@@ -34,3 +34,12 @@ def test_object_files_hold_many_entries_and_equal_keys(spark, suppliers):
     got = sorted((r["key"], r["value"]) for r in read.filter("file = 'supplier'").collect())
     names = [f'name "{i % 30}", {{}}\n' for i in range(1000)]
     assert got == sorted([(n, str(i % 25)) for i, n in enumerate(names)] + [(f"key of {n}", str(i)) for i, n in enumerate(names)])
+
+
+def test_decks_lie_in_bundles(spark, tmp_path):
+    docs = spark.range(0, 3000, 1, 8).selectExpr("id doc_id", "concat('text ', id) text", "'en' lang", "'s' source")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    read = CATALOG["read_decks"][0](spark, str(tmp_path))
+    assert len(read.inputFiles()) <= 2 * 8
+    got = read.groupBy("unreadable").agg(F.count("*"), F.countDistinct("deck")).collect()
+    assert sorted(map(tuple, got)) == [(False, 5400, 2700), (True, 300, 300)]

@@ -2,9 +2,10 @@
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from twinscript.catalog import audit_queries
@@ -23,8 +24,34 @@ _LINES = (
 )
 
 
+DECKS_PER_BUNDLE, BUNDLE_BYTES = 500, 8 * 2**20
+
+
+def _deck_file(doc_id: int, xml: str) -> bytes:
+    """A deck of one slide and one notes part; one file in ten is cut short."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("ppt/slides/slide7.xml", xml)
+        archive.writestr("ppt/notesSlides/notesSlide7.xml", "<n/>")
+        archive.writestr("ppt/theme/theme1.xml", "<t/>")
+    data = out.getvalue()
+    return data[: len(data) // 2] if doc_id % 10 == 3 else data
+
+
+def _bundles(decks: Iterable[tuple[int, bytes]]) -> Iterator[list[tuple[int, bytes]]]:
+    held, size = [], 0
+    for deck in decks:
+        held.append(deck)
+        size += len(deck[1])
+        if len(held) >= DECKS_PER_BUNDLE or size >= BUNDLE_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _archives(spark, sf_dir) -> str:
-    """Each document as a deck file of its own, one slide and one notes part; one file in ten is cut short. The folder."""
+    """Each document as a deck file of its own, in bundles; the first deck of a bundle lies beside it. The folder."""
     rows = w.documents(spark, sf_dir)
     clean = F.regexp_replace("text", r"[\x00-\x09\x0b-\x1f]", " ")
     markup = rows.select(F.col("part_no").alias("doc_id"), w.slide_xml(clean).alias("xml"))
@@ -35,17 +62,20 @@ def _archives(spark, sf_dir) -> str:
 
         store, base = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
         store.create_dir(base)
-        for batch in batches:
-            for doc_id, xml in zip(batch["doc_id"], batch["xml"]):
+        task = TaskContext.get().partitionId()
+        decks = ((doc_id, _deck_file(doc_id, xml)) for batch in batches for doc_id, xml in zip(batch["doc_id"], batch["xml"]))
+        for n, ((first, data), *others) in enumerate(_bundles(decks)):
+            # The number before the name keeps equal ids of two tasks apart.
+            with store.open_output_stream(f"{base}/{task}-{n}-{first}.pptx") as file:
+                file.write(data)
+            if others:
                 out = io.BytesIO()
-                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-                    archive.writestr("ppt/slides/slide7.xml", xml)
-                    archive.writestr("ppt/notesSlides/notesSlide7.xml", "<n/>")
-                    archive.writestr("ppt/theme/theme1.xml", "<t/>")
-                data = out.getvalue()
-                with store.open_output_stream(f"{base}/{doc_id}.pptx") as file:
-                    file.write(data[: len(data) // 2] if doc_id % 10 == 3 else data)
-            yield pd.DataFrame({"n": [len(batch)]})
+                with zipfile.ZipFile(out, "w") as bundle:
+                    for doc_id, deck in others:
+                        bundle.writestr(f"{doc_id}.pptx", deck)
+                with store.open_output_stream(f"{base}/{task}-{n}.zip") as file:
+                    file.write(out.getvalue())
+            yield pd.DataFrame({"n": [len(others) + 1]})
 
     markup.mapInPandas(pack, "n long").write.format("noop").mode("overwrite").save()
     return folder
@@ -71,7 +101,7 @@ _MARKUP = (
 )
 def read_decks(spark, sf_dir):
     """Real files, one in ten of them no archive."""
-    rows = deck_source.read_deck_rows(spark, f"{_archives(spark, sf_dir)}/*.pptx")
+    rows = deck_source.read_deck_rows(spark, _archives(spark, sf_dir))
     deck = F.regexp_extract("deck_id", r"(\d+)\.pptx$", 1)
     return rows.select(
         deck.alias("deck"), "part_kind", "part_name", "part_no", F.md5(F.encode("xml", "UTF-8")).alias("xml_md5"), F.col("error").isNotNull().alias("unreadable")

@@ -34,6 +34,12 @@ BATCH_ROWS = 10_000
 SLICE_ROWS = 64
 KEYS = ["deck_id", "part_kind", "part_name", "part_no"]
 
+# Damaged or encrypted members, unknown compression, bytes outside the encoding.
+DAMAGED = (zipfile.BadZipFile, zlib.error, OSError, EOFError, ValueError, RuntimeError, NotImplementedError)
+
+# Where a deck keeps its parts, and how a bundle names its decks.
+DECK_FOLDER, DECK_SUFFIX = "ppt/", ".pptx"
+
 # Inline style tags in opening order.
 STYLE_TAGS = ["b", "i", "u", "sup", "sub"]
 
@@ -104,7 +110,9 @@ def unreadable(rows: DataFrame) -> DataFrame:
 def deck_rows(files: DataFrame, slides: str | None = None, notes: bool = True) -> DataFrame:
     """Parts of archives with ``error``: null, or why the archive (no part) or the part (no xml) cannot be read.
 
-    A null archive counts as an empty file. Parts are decoded by their byte order mark
+    A null archive counts as an empty file. An archive without a ``ppt`` folder is a bundle:
+    each ``.pptx`` in it is a deck, named ``<bundle>/<member>``. Keep small decks in bundles:
+    a file of its own costs Spark a listing and a part of a task. Parts are decoded by their byte order mark
     or XML declaration, without one as UTF-8.
     """
     bounds = slide_bounds(slides)
@@ -116,13 +124,29 @@ def deck_rows(files: DataFrame, slides: str | None = None, notes: bool = True) -
             return None
         return kind
 
-    def parts_of(deck_id: str, content: bytes | None) -> Iterator[tuple]:
+    def decks_of(bundle: str, archive: zipfile.ZipFile) -> Iterator[tuple]:
+        for member in archive.infolist():
+            if not member.filename.lower().endswith(DECK_SUFFIX):
+                continue
+            deck_id = f"{bundle}/{member.filename}"
+            try:
+                content = archive.read(member)
+            except DAMAGED as error:
+                yield deck_id, None, None, None, None, _described(error)
+                continue
+            yield from parts_of(deck_id, content, bundles=False)
+
+    def parts_of(deck_id: str, content: bytes | None, bundles: bool = True) -> Iterator[tuple]:
         try:
             archive = zipfile.ZipFile(io.BytesIO(content or b""))
         except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError) as error:
             yield deck_id, None, None, None, None, _described(error)
             return
         with archive:
+            # A deck may embed other decks; they lie in its own folder.
+            if bundles and not any(name.startswith(DECK_FOLDER) for name in archive.namelist()):
+                yield from decks_of(deck_id, archive)
+                return
             for name in archive.namelist():
                 kind = wanted(name)
                 if kind is None:
@@ -130,8 +154,7 @@ def deck_rows(files: DataFrame, slides: str | None = None, notes: bool = True) -
                 xml = problem = None
                 try:
                     xml = markup_text(archive.read(name))
-                # Damaged or encrypted members, unknown compression, bytes outside the encoding.
-                except (zipfile.BadZipFile, zlib.error, OSError, EOFError, ValueError, RuntimeError, NotImplementedError) as error:
+                except DAMAGED as error:
                     problem = _described(error)
                 yield deck_id, kind, name, slide_no(name), xml, problem
 

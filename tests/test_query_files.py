@@ -43,3 +43,14 @@ def test_decks_lie_in_bundles(spark, tmp_path):
     assert len(read.inputFiles()) <= 2 * 8
     got = read.groupBy("unreadable").agg(F.count("*"), F.countDistinct("deck")).collect()
     assert sorted(map(tuple, got)) == [(False, 5400, 2700), (True, 300, 300)]
+
+
+@pytest.mark.parametrize("name", ["write_bilingual", "read_bilingual_csv"])
+def test_no_csv_file_holds_all_rows(spark, tmp_path, name):
+    spark.range(0, 50_000, 1, 1).selectExpr("id doc_id", "concat('a, \"b\" ', id) text", "'de' lang", "'s' source").coalesce(1).write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    spark.sql("SELECT 0L doc_id, 's' source, 'de' lang, 'x' text").coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    read = CATALOG[name][0](spark, str(tmp_path))
+    per_file = read.groupBy(F.input_file_name()).count().agg(F.max("count"), F.sum("count")).first()
+    assert per_file[0] <= 20_000 and per_file[1] == 50_001

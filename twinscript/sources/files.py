@@ -8,8 +8,10 @@ from twinscript.functions.text import classify_kind_by_length
 from twinscript.session import small_table
 
 CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
-# Texts are written whole: the writer would trim them by default.
+# Texts are written whole: the writer would trim them by default. A reader cannot split a file whose
+# texts break lines, so no file outgrows a task.
 CSV_OUT = {
+    "maxRecordsPerFile": "20000",
     "header": "true", "quote": '"', "escape": '"', "quoteAll": "true",
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
 }

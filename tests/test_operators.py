@@ -231,6 +231,13 @@ def test_style_audit_flow(spark):
     assert {r.category for r in out.counts.collect()} == {None, "capitalization_issues", "formatting_tag_issues"}
 
 
+def test_style_audit_checks_rows_once(spark):
+    rows = spark.createDataFrame([("d", "s", 0, "x", "A Fine Title"), ("e", "s", 0, "x", "bad [b]title")], ROW)
+    out = flows.style_audit(rows)
+    written = set(out.issues.inputFiles())
+    assert written and written == set(out.counts.inputFiles()) == set(out.gate.inputFiles())
+
+
 def test_exact_matches_keep_null_texts(spark):
     segments = spark.createDataFrame(
         [("d", "p", 0, "日本"), ("d", "p", 1, None), ("d", "p", 2, "plain"), (None, None, 3, None)],

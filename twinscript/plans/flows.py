@@ -84,9 +84,12 @@ def style_audit(
     max_issues: int = rules.GATE_MAX_ISSUES,
     critical: list[str] | None = None,
 ) -> StyleAudit:
-    """All issues, their counts, and a verdict for every deck."""
+    """All issues, their counts, and a verdict for every deck.
+
+    Rows are checked once: the three results read the issues as written.
+    """
     rows = bilingual if "kind" in bilingual.columns else audits.with_kind(bilingual)
-    issues = audits.all_issues(rows, glossary, alternatives, banned)
+    issues = staged(audits.all_issues(rows, glossary, alternatives, banned), "issues")
     return StyleAudit(
         issues, audits.issue_counts(issues), audits.quality_gate(issues, max_issues, critical, rows.select("deck_id"))
     )

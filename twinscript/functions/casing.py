@@ -72,8 +72,10 @@ def whole_word(phrase: str) -> str:
 
 
 def any_phrase(phrases: list[str]) -> str:
-    """One alternation over all phrases, in the given order."""
-    return "(?iU)" + "|".join(rf"\b{re.escape(p)}\b" for p in phrases)
+    """One alternation over all phrases, in the given order, tried where a phrase's first character stands."""
+    firsts = "".join(sorted({re.escape(p[0]) for p in phrases})) if phrases and all(phrases) else ""
+    ahead = f"(?=[{firsts}])" if firsts else ""
+    return rf"(?iU){ahead}\b(?:{'|'.join(map(re.escape, phrases))})\b"
 
 
 def replace_banned(text: Column, banned: dict[str, str] | None = None) -> Column:
@@ -108,8 +110,8 @@ def normalize_block(text: Column, kind: Column | None = None, banned: dict[str,
     """Punctuation, phrases, then the rule of the segment's kind; blanks pass."""
     kind = classify_segment_kind(text) if kind is None else F.coalesce(kind, classify_segment_kind(text))
     styled = let(
-        let(normalize_punctuation(text), lambda s: replace_banned(s, banned)),
-        lambda s: F.when(kind == "title", title_case_tagged(s)).when(kind == "bullet", bullet_fragment(s)).otherwise(s),
+        F.struct(kind.alias("kind"), let(normalize_punctuation(text), lambda s: replace_banned(s, banned)).alias("s")),
+        lambda t: F.when(t["kind"] == "title", title_case_tagged(t["s"])).when(t["kind"] == "bullet", bullet_fragment(t["s"])).otherwise(t["s"]),
     )
     return F.when(is_nonblank(text), collapse_whitespace(styled)).otherwise(text)
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from twinscript import rules
 
 TAG = r"\[/?[^\]]+\]"
+# What (?U)\s matches but a space, spelled out: far quicker to look for.
+OTHER_SPACE = r"[\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 TERMINAL = r"(?U)[.;:]\s*$"
 TERMINAL_WIDE = r"(?U)[.;:。；：]\s*$"
 
@@ -45,12 +47,21 @@ def strip_tags(text: Column) -> Column:
 
 
 def strip_text(text: Column) -> Column:
-    """Trim Unicode whitespace at both ends."""
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    """Trim Unicode whitespace at both ends. Most texts have none there, and only their ends are looked at."""
+    at_start = r"(?U)\A\s"
+    return let(
+        text,
+        lambda t: F.when(
+            t.rlike(at_start) | F.right(t, F.lit(1)).rlike(at_start), F.regexp_replace(t, r"(?U)\A\s+|\s+\z", "")
+        ).otherwise(t),
+    )
 
 
 def collapse_whitespace(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    """Each run of whitespace as one space. Texts with single spaces only, which are most, pass one plain pattern."""
+    return let(
+        text, lambda t: F.trim(F.when(t.rlike(f"  |{OTHER_SPACE}"), F.regexp_replace(t, r"(?U)\s+", " ")).otherwise(t))
+    )
 
 
 def is_nonblank(text: Column) -> Column:
@@ -65,6 +76,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\S+"))
 
 
+def has_at_most(text: Column, n: int) -> Column:
+    """Whether a text has ``n`` words or fewer; a long one is read only as far as its next word."""
+    return ~text.rlike(rf"(?U)\A\s*+(?:\S++\s++){{{n}}}\S")
+
+
 def sentence_marks(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[.!?]+"))
 
@@ -80,11 +96,16 @@ def preview(text: Column, size: int = 50, always: bool = False) -> Column:
 def replace_marks(text: Column, table: dict[str, str]) -> Column:
     """Replace single characters by the strings of ``table``."""
     single = {k: v for k, v in table.items() if len(v) == 1}
-    text = F.translate(text, "".join(single), "".join(single.values()))
-    for mark, replacement in table.items():
-        if mark not in single:
-            text = F.replace(text, F.lit(mark), F.lit(replacement))
-    return text
+
+    def replaced(t: Column) -> Column:
+        held, out = F.lit(False), F.translate(t, "".join(single), "".join(single.values()))
+        for mark, replacement in table.items():
+            held = held | t.contains(mark)
+            if mark not in single:
+                out = F.replace(out, F.lit(mark), F.lit(replacement))
+        return F.when(held, out).otherwise(t)
+
+    return let(text, replaced)
 
 
 def _close_up(text: Column, *pairs: tuple[str, str]) -> Column:
@@ -93,22 +114,34 @@ def _close_up(text: Column, *pairs: tuple[str, str]) -> Column:
     return text
 
 
+def _replaced(text: Column, marks: str, *steps: tuple[str, str]) -> Column:
+    """Patterns that need one of ``marks`` replaced; a text without them runs none."""
+    def replaced(t: Column) -> Column:
+        held, out = F.lit(False), t
+        for mark in marks:
+            held = held | t.contains(mark)
+        for pattern, wanted in steps:
+            out = F.regexp_replace(out, pattern, wanted)
+        return F.when(held, out).otherwise(t)
+
+    return let(text, replaced)
+
+
 def normalize_punctuation(text: Column) -> Column:
     text = replace_marks(text, rules.PUNCTUATION)
     text = _close_up(text, (" ,", ","), (" .", "."), (" %", "%"), (" )", ")"), ("( ", "("))
-    text = F.regexp_replace(text, r"(?U)\s*–\s*", "–")
-    text = F.regexp_replace(text, r"(?U)(\d)\s*-\s*(\d)", "$1–$2")
-    text = F.regexp_replace(text, r'(?U)"\s+', '"')
-    text = F.regexp_replace(text, r'(?U)\s+"', '"')
+    text = _replaced(text, "–", (r"(?U)\s*–\s*", "–"))
+    text = _replaced(text, "-", (r"(?U)(\d)\s*-\s*(\d)", "$1–$2"))
+    text = _replaced(text, '"', (r'(?U)"\s+', '"'), (r'(?U)\s+"', '"'))
     return collapse_whitespace(text)
 
 
 def normalize_mechanics(text: Column) -> Column:
     text = replace_marks(F.coalesce(text, F.lit("")), rules.MECHANICS_PUNCTUATION)
     text = _close_up(text, (" ,", ","), (" .", "."), (" %", "%"), (" ;", ";"), (" :", ":"))
-    text = F.regexp_replace(text, r"(?U)(\d)\s*-\s*(\d)", "$1–$2")
-    text = F.regexp_replace(text, r"(?U)\s*[〜～]\s*", "–")
-    text = F.regexp_replace(text, r"(?U)\s*–\s*", "–")
+    text = _replaced(text, "-", (r"(?U)(\d)\s*-\s*(\d)", "$1–$2"))
+    text = _replaced(text, "〜～", (r"(?U)\s*[〜～]\s*", "–"))
+    text = _replaced(text, "–", (r"(?U)\s*–\s*", "–"))
     return collapse_whitespace(text)
 
 
@@ -132,10 +165,12 @@ def classify_segment_kind(
     text: Column, is_title: Column | None = None, is_bullet: Column | None = None
 ) -> Column:
     """``title`` or ``bullet``; hints win over the shape of the text."""
-    bare = strip_tags(text)
-    by_shape = F.when(
-        (word_count(bare) <= rules.TITLE_MAX_WORDS) & ~bare.rlike(r"(?U)[.:;]\s*\z"), "title"
-    ).otherwise("bullet")
+    by_shape = let(
+        strip_tags(text),
+        lambda bare: F.when(
+            has_at_most(bare, rules.TITLE_MAX_WORDS) & ~bare.rlike(r"(?U)[.:;]\s*\z"), "title"
+        ).otherwise("bullet"),
+    )
     kind = by_shape
     if is_bullet is not None:
         kind = F.when(is_bullet, "bullet").otherwise(kind)
@@ -145,7 +180,7 @@ def classify_segment_kind(
 
 
 def classify_kind_by_length(text: Column) -> Column:
-    return F.when(word_count(text) <= rules.TITLE_MAX_WORDS, "title").otherwise("bullet")
+    return F.when(has_at_most(text, rules.TITLE_MAX_WORDS), "title").otherwise("bullet")
 
 
 # The named entities of XML.

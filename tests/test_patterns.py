@@ -41,3 +41,12 @@ def test_short_cuts_equal_the_plain_patterns(values):
 def test_long_texts_are_not_counted_for_their_kind(spark):
     plan = spark.range(1).select(text.classify_segment_kind(F.col("id").cast("string")), text.classify_kind_by_length(F.col("id").cast("string")))
     assert "regexp_count" not in plan._jdf.queryExecution().toString().lower()
+
+
+def test_a_round_trip_translates_once(spark):
+    from twinscript.operators.lengths import mask_round_trip_check
+
+    rows = spark.createDataFrame([("call 12 at a.b@ex.org",), ("no marks",), ("7 of 9",), (None,)], "text string")
+    checked = mask_round_trip_check(rows, lambda masked: F.replace(masked, F.lit("⟦NUM_2⟧"), F.lit("LOST")))
+    assert checked._jdf.queryExecution().analyzed().toString().count("LOST") == 1
+    assert [(r.text, r.translated, r.same_text, r.same_placeholders) for r in checked.collect()] == [("7 of 9", "⟦NUM_1⟧ of LOST", True, False)]

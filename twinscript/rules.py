@@ -109,7 +109,7 @@ MODEL_PRICES = {
 
 # Patterns of fragile spans, and of the numbers and links counted
 # when text is split over two places.
-FRAGILE_URL = r"(?U)https?://[^\s]+|\b[\w.%-]+@[\w.-]+\.[A-Za-z]{2,}\b"
+FRAGILE_URL = r"(?U)https?://[^\s]+|\b[\w.%-]++@[\w.-]+\.[A-Za-z]{2,}\b"
 FRAGILE_NUMBER = r"(?U)(?<!\w)\d[\d,.\-–%]*"
 FRAGILE_CODE = r"(?U)(?<!⟦)\b[A-Z]{2,}[A-Z0-9\-_.]*\d+[A-Z0-9\-_.]*\b"
 COUNTED_NUMBER = r"(?U)\d+(?:[,.]?\d+)*[%％]?"

@@ -50,3 +50,13 @@ def test_a_round_trip_translates_once(spark):
     checked = mask_round_trip_check(rows, lambda masked: F.replace(masked, F.lit("⟦NUM_2⟧"), F.lit("LOST")))
     assert checked._jdf.queryExecution().analyzed().toString().count("LOST") == 1
     assert [(r.text, r.translated, r.same_text, r.same_placeholders) for r in checked.collect()] == [("7 of 9", "⟦NUM_1⟧ of LOST", True, False)]
+
+
+def test_links_are_counted_where_they_may_stand(spark, values):
+    from twinscript.functions.length import counts_preserved
+
+    pairs = [("a https://x.y b", "a b"), ("www.a.b", "http://c"), ("http:/ ://", "plain"), (None, "x"), ("x", None), ("1 two", "two")]
+    got = [spark.createDataFrame([p], "a string, b string").select(counts_preserved(F.col("a"), F.col("b"))).first()[0] for p in pairs]
+    assert got == [False, True, True, None, None, False]
+    plan = spark.createDataFrame([("x", "y")], "a string, b string").select(counts_preserved(F.col("a"), F.col("b")))
+    assert "contains" in plan._jdf.queryExecution().analyzed().toString().lower()

@@ -127,3 +127,29 @@ def test_keys_are_cut_only_where_one_may_begin(spark):
     assert sorted((x["i"], x["term"]) for x in matching.match_rules(rows, F.col("text"), table, "term", inline=0).collect()) == [
         (0, ""), (0, "zebra"), (0, "zest"), (1, ""), (2, "")
     ]
+
+
+def test_words_are_cut_only_where_one_may_begin(spark):
+    rows = spark.createDataFrame([("Zest or zebra, azure İZ Ζ z",), ("ſo ςo so",), ("",), (None,)], "t string")
+    cut = lambda first: [r[0] for r in rows.select(matching._words(F.col("t"), first)).collect()]
+    assert cut("[\\x{7a}]") == [["zest", "zebra", "z"], [], [], None]
+    assert cut(".") == [["zest", "or", "zebra", "azure", "iz", "ζ", "z"], ["so", "σo", "so"], [], None]
+    table = small_table(spark, [("zebra",), ("zest or",)], "term string")
+    out = matching.match_rules(rows, F.col("t"), table, "term", word=True, inline=0)
+    assert "\\x{" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["term"] for r in out.collect()) == ["zebra", "zest or"]
+
+
+def test_alternatives_read_their_rows_once(spark, tmp_path):
+    """Rows alike in all that is shown, texts included, each get their answer."""
+    rows = [("d", None, 1, "[b]der[/b] die x"), ("d", None, 1, "[b]der[/b] die x"), ("d", None, 1, "der die x"), ("d", "s", 1, "the der"), ("e", "s", 1, None)]
+    spark.createDataFrame(rows, "deck_id string, slide string, idx long, tgt string").write.parquet(f"{tmp_path}/rows")
+    glossary = small_table(spark, [("T", "the")], "term string, expected string")
+    alternatives = small_table(spark, [("T", "die", 1), ("T", "der", 0), ("T", "der", 0), ("T", "x", 2)], "term string, alt string, place int")
+    read = spark.read.parquet(f"{tmp_path}/rows")
+    out = matching.glossary_alternatives(read, glossary, alternatives, KEYS, inline=0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [deck_id" in line for line in plan.splitlines()) == 1
+    assert [tuple(r) for r in out.orderBy("context").collect()] == [
+        ("d", None, 1, "T", "the", "der", c) for c in ("[b]der[/b] die x...", "[b]der[/b] die x...", "der die x...")
+    ]

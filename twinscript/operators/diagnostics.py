@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from twinscript import schemas
 from twinscript.functions.casing import any_phrase, quoted, whole_word
 from twinscript.functions.text import let, strip_tags
-from twinscript.operators.audits import bullet_fix, check_bullet_punct, check_title_case, title_case_fix
+from twinscript.operators.audits import bullet_fix, title_case_fix
 from twinscript.operators.islands import bullet_groups, parallelism_issues
 from twinscript.operators.matching import (
     INLINE_RULES,
@@ -101,8 +101,8 @@ def _item(category: str, place: Column | int, find: Column, replacement: Column)
     )
 
 
-def row_findings(text: Column, banned: list[Row], marks: list[Row], listed: list[Row]) -> Column:
-    """All findings of one text as an array; the rule rows become literal conditions."""
+def _shape_findings(text: Column) -> Column:
+    """The findings that need no rule table: title case and closing marks."""
     none = F.array().cast(f"array<{ITEM}>")
 
     def fix(category: str, wanted: Column) -> Column:
@@ -110,6 +110,13 @@ def row_findings(text: Column, banned: list[Row], marks: list[Row], listed: list
             wanted, lambda f: F.when(f.isNotNull(), F.array(_item(category, 0, F.lit(None), f))).otherwise(none)
         )
 
+    return F.concat(fix("title_case_violations", title_case_fix(text)), fix("bullet_terminal_punctuation", bullet_fix(text)))
+
+
+def row_findings(text: Column, banned: list[Row], marks: list[Row], listed: list[Row]) -> Column:
+    """All findings of one text as an array; the rule rows become literal conditions."""
+    none = F.array().cast(f"array<{ITEM}>")
+
     def each(category: str, hits: list[tuple[Column, int, str, str]]) -> Column:
         found = [F.when(hit, _item(category, place, F.lit(find), F.lit(wanted))) for hit, place, find, wanted in hits]
         return F.array_compact(F.array(*found)) if found else none
@@ -126,8 +133,7 @@ def row_findings(text: Column, banned: list[Row], marks: list[Row], listed: list
         )
 
     return F.concat(
-        fix("title_case_violations", title_case_fix(text)),
-        fix("bullet_terminal_punctuation", bullet_fix(text)),
+        _shape_findings(text),
         let(strip_tags(text), lambda bare: F.concat(phrases(bare), terms(bare))),
         each("punctuation_errors", [(text.contains(r["original"]), r["place"], r["original"], r["correct"]) for r in marks]),
     )
@@ -153,8 +159,8 @@ def style_diagnostics(
     """The checks run on segments ``(batch_id, index, text)`` in the rows of :func:`parse_diagnostics`.
 
     ``banned`` and ``marks`` carry ``place``, the order their fixes are applied in.
-    Small rule tables take one scan for all checks; otherwise each check runs by
-    itself and the large table is joined.
+    Small rule tables take one scan for all checks; otherwise each table is joined in
+    a scan of its own, and one more serves the checks without a table.
     """
     keys = ["batch_id", "index"]
     columns = ["category", "stage", "place", "find", "replacement"]
@@ -167,11 +173,9 @@ def style_diagnostics(
             *keys, *[f"_f.{c}" for c in columns]
         )
 
-    null, fix = F.lit(None), F.col("suggested_fix")
     bare = segments.withColumn("_tgt", strip_tags(F.col("text")))
     parts = [
-        rows(check_title_case(segments, keys), CATEGORIES[0], 0, null, fix),
-        rows(check_bullet_punct(segments, keys), CATEGORIES[1], 0, null, fix),
+        segments.select(*keys, F.explode(_shape_findings(F.col("text"))).alias("_f")).select(*keys, *[f"_f.{c}" for c in columns]),
         rows(
             banned_phrase_flags(segments, banned, inline=inline),
             CATEGORIES[2], F.col("place"), F.col("phrase"), F.col("suggested"),

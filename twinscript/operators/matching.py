@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from twinscript import rules
 from twinscript.functions.casing import any_phrase, quoted, whole_word
-from twinscript.functions.text import preview, strip_tags
+from twinscript.functions.text import let, preview, strip_tags
 from twinscript.operators.joins import join_hot
 from twinscript.session import small_table, staged
 
@@ -62,12 +62,15 @@ LOOKALIKES = ("ſςıµϐϑϕϖϰϱϵẛ", "sσiμβθφπκρεṡ")
 
 
 def _folded(text: Column) -> Column:
-    """One form for all spellings that differ in case only."""
-    return F.translate(F.lower(F.translate(text, "İ", "i")), *LOOKALIKES)
+    """One form for all spellings that differ in case only. Most texts hold no such letter, and none of theirs is looked up."""
+    dotless = F.when(text.contains("İ"), F.translate(text, "İ", "i")).otherwise(text)
+    return let(F.lower(dotless), lambda t: F.when(t.rlike(f"[{LOOKALIKES[0]}]"), F.translate(t, *LOOKALIKES)).otherwise(t))
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(_folded(text), F.lit(r"(?U)\w+"), F.lit(0))
+def _words(text: Column, first: str = ".") -> Column:
+    """The words of a text (that begin with a character of ``first``), folded."""
+    begins = r"\w+" if first == "." else rf"{first}(?<!\w.)\w*"
+    return F.regexp_extract_all(_folded(text), F.lit(f"(?Us){begins}"), F.lit(0))
 
 
 def _gram_pattern(n: Column, first: str = ".") -> Column:
@@ -110,12 +113,20 @@ def _measure(keyed: DataFrame) -> Row:
     return keyed.agg(F.count("*").alias("n"), F.coalesce(F.sum(chars), F.lit(0)).alias("chars")).first()
 
 
+def _firsts() -> Column:
+    """The characters that keys begin with, one more than a pattern lists if they are too many."""
+    return F.slice(F.array_sort(F.collect_set(F.substring("_key", 1, 1))), 1, FIRST_CHARS + 1).alias("first")
+
+
+def _class(chars: list[str]) -> str:
+    """The characters as a pattern's class, any character if they are none or too many."""
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]" if chars and all(chars) and len(chars) <= FIRST_CHARS else "."
+
+
 def _cuts(keyed: DataFrame) -> list[tuple[int, str]]:
     """The gram sizes of the keys with the characters these begin with, as a class, if they are not too many."""
-    first = F.array_sort(F.collect_set(F.substring("_key", 1, 1)))
-    rows = keyed.groupBy(F.length("_key").alias("size")).agg(F.slice(first, 1, FIRST_CHARS + 1).alias("first")).collect()
-    several = lambda chars: "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
-    return sorted((r["size"], several(r["first"]) if r["size"] and len(r["first"]) <= FIRST_CHARS else ".") for r in rows)
+    rows = keyed.groupBy(F.length("_key").alias("size")).agg(_firsts()).collect()
+    return sorted((r["size"], _class(r["first"])) for r in rows)
 
 
 def _meet(df: DataFrame, text: Column, keys: Callable[[Column], Column], keyed: DataFrame, broadcast: int) -> DataFrame:
@@ -161,7 +172,8 @@ def _pairs_by_gram(df: DataFrame, text: Column, table: DataFrame, term: Column,
 def _pairs_by_word(df: DataFrame, text: Column, table: DataFrame, term: Column, broadcast: int = BROADCAST_RULES) -> DataFrame:
     """Rows paired with the rules of which a word is a word of ``text``."""
     keyed = _rarest_key(table, term, F.array_distinct(_words(F.col("_t"))))
-    worded = _meet(df, text, lambda value: F.array_distinct(_words(value)), keyed.filter(F.col("_key").isNotNull()), broadcast)
+    first = _class(keyed.agg(_firsts()).first()["first"])
+    worded = _meet(df, text, lambda value: F.array_distinct(_words(value, first)), keyed.filter(F.col("_key").isNotNull()), broadcast)
     # A rule without any word in it can only be met by its characters.
     without = keyed.filter(F.col("_key").isNull()).drop("_key", "_rule")
     if without.isEmpty():
@@ -285,15 +297,18 @@ def glossary_alternatives(
         return rows.withColumn("_hit", F.explode(alternative_hits(F.col("_bare"), small))).select(
             *keys, "_hit.term", "_hit.expected", "_hit.found", context.alias("context")
         )
-    bare = rows.select("_bare", _identity(F.col("_bare")).alias("_of"))
-    pairs = match_rules(bare, F.col("_bare"), listed, "alt", ignore_case=True, inline=inline, broadcast=broadcast)
+    # A row's hits meet again by all that the result shows of the row and by its text, so the rows are read once.
+    # Rows alike in that are as many in each hit; every one of them gets its own answer.
+    shown = rows.select(F.struct(*keys, context.alias("_context")).alias("_row"), "_bare", _identity(F.col("_bare")).alias("_of"))
+    pairs = match_rules(shown, F.col("_bare"), listed.distinct(), "alt", ignore_case=True, inline=inline, broadcast=broadcast)
     first = (
         pairs.filter(~F.col("_bare").contains(F.lower("expected")))
-        .groupBy("_of", F.col("term").alias("_term"), F.col("expected").alias("_expected"))
-        .agg(F.min(F.struct("place", "alt")).alias("_first"))
+        .groupBy("_row", "_of", "term", "expected")
+        .agg(F.collect_set(F.struct("place", "alt")).alias("_found"), F.count("*").alias("_n"))
+        .withColumn("_same", F.explode(F.array_repeat(F.array_min("_found"), (F.col("_n") / F.size("_found")).cast("int"))))
     )
-    return _answered(rows, first, _identity(F.col("_bare"))).select(
-        *keys, F.col("_term").alias("term"), F.col("_expected").alias("expected"), F.col("_first.alt").alias("found"), context.alias("context")
+    return first.select(
+        *[F.col("_row")[k].alias(k) for k in keys], "term", "expected", F.col("_same.alt").alias("found"), F.col("_row._context").alias("context")
     )
 
 

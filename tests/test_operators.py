@@ -361,3 +361,16 @@ def test_slide_ranges_keep_notes_by_name_too(spark):
     names = ["ppt/slides/slide3.xml", "ppt/notesSlides/notesSlide3.xml", "ppt/slides/slide9.xml", "other"]
     df = spark.createDataFrame([(n,) for n in names], "part_name string")
     assert {r[0] for r in filter_slide_range(df, "2-4").collect()} == set(names[:2])
+
+
+def test_only_rows_with_script_meet_the_patch(spark):
+    """The others are not shuffled, unless the patch holds a text without script."""
+    rows = spark.createDataFrame([("d", "s", i, "x", t) for i, t in enumerate(["日本", "plain", None, "日"])], ROW)
+    patch = spark.createDataFrame([("日本", "Japan")], "src string, tgt string")
+    out = residual.patch_bilingual(rows, patch)
+    joined = out._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
+    assert "RLIKE" in joined.split("LogicalRDD")[0]
+    assert sorted((r.idx, r.tgt, r.patched) for r in out.collect()) == [(0, "Japan", True), (1, "plain", False), (2, None, False), (3, "日", False)]
+    more = patch.unionByName(spark.createDataFrame([("plain", "better")], "src string, tgt string"))
+    got = sorted((r.idx, r.tgt, r.patched) for r in residual.patch_bilingual(rows, more).collect())
+    assert got == [(0, "Japan", True), (1, "better", True), (2, None, False), (3, "日", False)]

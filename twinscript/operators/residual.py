@@ -134,11 +134,22 @@ def residual_patch(filled: DataFrame, cls: str = rules.SCRIPT_ANY) -> DataFrame:
 
 
 def patch_bilingual(bilingual: DataFrame, patch: DataFrame) -> DataFrame:
-    """Rows with the patched text where their target is a text of the patch, and ``patched``."""
+    """Rows with the patched text where their target is a text of the patch, and ``patched``.
+
+    A worklist names texts that hold source script. If all of the patch do, which is looked up, only rows
+    whose target does are joined; the others, most of them, are never shuffled.
+    """
     fixed = patch.select(F.col("src").alias("tgt"), F.col("tgt").alias("_fixed"))
-    joined = join_hot(bilingual, fixed, "tgt", "left")
-    columns = [F.coalesce("_fixed", "tgt").alias("tgt") if c == "tgt" else F.col(c) for c in bilingual.columns]
-    return joined.select(*columns, F.col("_fixed").isNotNull().alias("patched"))
+    scripted = F.coalesce(has_script(F.col("tgt")), F.lit(False))
+
+    def patched(rows: DataFrame, new: Column) -> DataFrame:
+        columns = [F.coalesce(new, "tgt").alias("tgt") if c == "tgt" else F.col(c) for c in bilingual.columns]
+        return rows.select(*columns, new.isNotNull().alias("patched"))
+
+    if not fixed.filter(F.col("tgt").isNotNull() & ~scripted).isEmpty():
+        return patched(join_hot(bilingual, fixed, "tgt", "left"), F.col("_fixed"))
+    joined = patched(join_hot(bilingual.filter(scripted), fixed, "tgt", "left"), F.col("_fixed"))
+    return joined.unionByName(patched(bilingual.filter(~scripted), F.lit(None).cast("string")))
 
 
 def patch_memory(tm: DataFrame, patch: DataFrame) -> DataFrame:

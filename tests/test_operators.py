@@ -374,3 +374,21 @@ def test_only_rows_with_script_meet_the_patch(spark):
     more = patch.unionByName(spark.createDataFrame([("plain", "better")], "src string, tgt string"))
     got = sorted((r.idx, r.tgt, r.patched) for r in residual.patch_bilingual(rows, more).collect())
     assert got == [(0, "Japan", True), (1, "better", True), (2, None, False), (3, "日", False)]
+
+
+def test_many_batches_cross_at_a_time(spark):
+    """Each batch is one call, in order; a failed one keeps its texts; a null deck is a deck."""
+    batches = spark.range(0, 1200, 1, 3).selectExpr(
+        "if((id div 4) % 3 > 0, 'd', null) AS deck_id", "id div 4 AS batch_id", "3 - id % 4 AS pos_in_batch", "concat('日', id div 4, ' ', 3 - id % 4) AS src"
+    )
+
+    def translate(texts):
+        assert len(texts) == 4
+        return [f"{i} {t}" for i, t in enumerate(texts)]
+
+    out = memory.translate_missing(batches, translate, backoff=0.0)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.batch_id, r.pos_in_batch, r.deck_id, r.src, r.tgt, r.translated) for r in out.collect())
+    assert got == [(b, p, "d" if b % 3 else None, f"日{b} {p}", f"{p} 日{b} {p}", True) for b in range(300) for p in range(4)]
+    got = [(r.src, r.tgt, r.translated) for r in memory.translate_missing(batches, lambda texts: texts[:3], backoff=0.0).collect()]
+    assert len(got) == 1200 and all(tgt == src and not done for src, tgt, done in got)

@@ -11,7 +11,7 @@ from twinscript.operators import memory as m
 from twinscript.operators import runs
 from twinscript.operators.replies import parse_model_array
 from twinscript.plans import flows
-from twinscript.session import scratch_path
+from twinscript.session import scratch_path, staged
 from twinscript.sources import files
 
 
@@ -150,9 +150,9 @@ _ANSWERS = (
     ),
 )
 def translate_corpus(spark, sf_dir):
-    """The whole flow: gaps, batches, calls, length and style rules, memory, lookup."""
+    """The whole flow: gaps, batches, calls, length and style rules, memory, lookup. The memory is read twice, so it is written."""
     out = flows.translate_corpus(
-        w.segments(spark, sf_dir), w.memory(spark, sf_dir), lambda texts: [f"EN {t}" for t in texts], w.glossary(spark)
+        w.segments(spark, sf_dir), staged(w.memory(spark, sf_dir), "memory"), lambda texts: [f"EN {t}" for t in texts], w.glossary(spark)
     )
     return out.bilingual
 

@@ -18,6 +18,9 @@ from twinscript.operators.joins import join_hot
 from twinscript.operators.ordering import number_rows
 
 
+BATCHES_AT_ONCE = 64  # whose texts are Python values
+
+
 def lookup_translations(segments: DataFrame, tm: DataFrame) -> DataFrame:
     """Each paragraph with its target, or with its own text when the memory has none."""
     entries = tm.select(F.col("src").alias("text"), "tgt")
@@ -125,35 +128,52 @@ def translate_missing(
     A batch that fails ``tries`` times keeps its sources. Links, numbers and codes
     are masked before the call and restored after it, outside Python.
     """
-    # Only what the call needs crosses into Python: batch key, position, both texts.
+    # Only what the call needs crosses into Python: batch key, positions, both texts. A batch is one row,
+    # so that many cross at a time; as groups of their own each would cost more than its texts.
     sent = F.col("src")
     if mask:
         sent = mask_fragile(sent)["masked"]
-    prepared = batches.select("deck_id", "batch_id", "pos_in_batch", "src", sent.alias("sent"))
+    prepared = batches.select("deck_id", "batch_id", F.struct("pos_in_batch", "src", sent.alias("sent")).alias("_text"))
+    grouped = prepared.groupBy("deck_id", "batch_id").agg(F.array_sort(F.collect_list("_text")).alias("_texts"))
+    requests = grouped.select("deck_id", "batch_id", *[F.col(f"_texts.{c}").alias(c) for c in ("pos_in_batch", "src", "sent")])
 
-    def call(pdf):
+    def call(texts):
         import time
 
-        pdf = pdf.sort_values("pos_in_batch", ignore_index=True)
-        texts = pdf.pop("sent").tolist()
-        answer = None
         for attempt in range(tries):
             try:
-                got = list(translate(texts))
+                got = list(translate(list(texts)))
                 if len(got) >= len(texts):
-                    answer = [str(t) for t in got[: len(texts)]]
-                    break
+                    return [str(t) for t in got[: len(texts)]], True
             except Exception:
                 pass
             if attempt + 1 < tries:
                 time.sleep(backoff * (1 + attempt))
-        pdf["answer"] = texts if answer is None else answer
-        pdf["translated"] = answer is not None
-        return pdf
-
-    answers = prepared.groupBy("deck_id", "batch_id").applyInPandas(
-        call,
-        "deck_id string, batch_id long, pos_in_batch long, src string, answer string, translated boolean",
+        return texts, False
+
+    def answered(tables):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for whole in tables:
+            for start in range(0, whole.num_rows, BATCHES_AT_ONCE):
+                table = whole.slice(start, BATCHES_AT_ONCE)
+                answers = [call(texts) for texts in table.column("sent").to_pylist()]
+                sizes = [len(texts) for texts, _ in answers]
+                of = pa.array(np.repeat(np.arange(table.num_rows), sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[table.column(c).take(of) for c in ("deck_id", "batch_id")],
+                        *[pc.list_flatten(table.column(c)) for c in ("pos_in_batch", "src")],
+                        pa.array([text for texts, _ in answers for text in texts], pa.string()),
+                        pa.array(np.repeat([done for _, done in answers], sizes), pa.bool_()),
+                    ],
+                    ["deck_id", "batch_id", "pos_in_batch", "src", "answer", "translated"],
+                )
+
+    answers = requests.mapInArrow(
+        answered, "deck_id string, batch_id long, pos_in_batch long, src string, answer string, translated boolean"
     )
     tgt: Column = F.col("answer")
     if mask:

@@ -154,6 +154,18 @@ def test_run_audits(spark, tmp_path):
     assert sorted((r.part_name, r.n_before, r.n_after) for r in slides.collect()) == [("s1", 4, 0), ("s2", 5, 3)]
 
 
+def test_run_audits_in_an_array(spark, tmp_path):
+    record = {"deck_id": "d", "jp_chars_before": 9, "per_slide_before": {"s1": 4, "s2": 5}, "per_slide_after": {"s1": 0}}
+    for run_id, records in (("11", [record, {**record, "deck_id": "e"}]), ("12", record), ("13", [])):
+        folder = tmp_path / f"run-{run_id}"
+        folder.mkdir()
+        (folder / "audit.json").write_text(json.dumps(records, indent=2))
+    slides = files.slides_of_audits(files.read_run_audits(spark, str(tmp_path / "run-*")))
+    assert sorted(map(tuple, slides.collect()), key=repr) == sorted(
+        [(run, deck, *s) for run, deck in (("11", "d"), ("11", "e"), ("12", "d")) for s in (("s1", 4, 0), ("s2", 5, None))], key=repr
+    )
+
+
 def test_memory_versions(spark, tmp_path):
     from twinscript.plans.flows import clean_memory
 

@@ -36,6 +36,17 @@ def test_object_files_hold_many_entries_and_equal_keys(spark, suppliers):
     assert got == sorted([(n, str(i % 25)) for i, n in enumerate(names)] + [(f"key of {n}", str(i)) for i, n in enumerate(names)])
 
 
+def test_audit_files_hold_many_records(spark, tmp_path):
+    # Every document is a page of its own, so a record of its own.
+    spark.range(0, 600, 1, 1).selectExpr("id * 1000 doc_id", "concat('a ', id, ' \"b\", [e]') text", "'de' lang", "'s' source").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    read = CATALOG["read_run_audits"][0](spark, str(tmp_path))
+    assert len(read.inputFiles()) <= 2 * 8
+    got = read.select("run_id", "deck_id", "part_name").collect()
+    assert sorted(map(tuple, got)) == sorted(("base", "s", f"ppt/slides/slide{i * 1000}.xml") for i in range(600))
+
+
 def test_decks_lie_in_bundles(spark, tmp_path):
     docs = spark.range(0, 3000, 1, 8).selectExpr("id doc_id", "concat('text ', id) text", "'en' lang", "'s' source")
     docs.write.parquet(f"{tmp_path}/documents.parquet")

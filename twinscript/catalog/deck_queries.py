@@ -164,19 +164,27 @@ def format_stats(spark, sf_dir):
     )
 
 
-ENTRIES_PER_OBJECT = 250
+ENTRIES_PER_OBJECT, RECORDS_PER_ARRAY = 250, 100
+
+
+def _joined(items, size, opening, closing):
+    """A column of texts joined by commas, up to ``size`` of them between two marks.
+
+    Blocks are cut by place, so none outgrows that whatever the keys.
+    """
+    item = F.col(items.columns[0])
+    block = F.floor(F.monotonically_increasing_id() / size)
+    lines = items.select(block.alias("block"), item.alias("item")).groupBy("block").agg(F.collect_list("item").alias("all"))
+    return lines.select(F.concat(F.lit(opening), F.array_join("all", ","), F.lit(closing)).alias("value"))
 
 
 def _objects(entries):
     """A column of JSON objects joined into objects of up to ``ENTRIES_PER_OBJECT`` of them, as a cache or price file holds.
 
-    Blocks are cut by place, so none outgrows that whatever the keys; they are joined as text, so equal keys all stay.
+    They are joined as text, so equal keys all stay.
     """
     value = F.col(entries.columns[0])
-    inside = value.substr(F.lit(2), F.length(value) - 2)
-    block = F.floor(F.monotonically_increasing_id() / ENTRIES_PER_OBJECT)
-    lines = entries.select(block.alias("block"), inside.alias("inside")).groupBy("block").agg(F.collect_list("inside").alias("all"))
-    return lines.select(F.concat(F.lit("{"), F.array_join("all", ","), F.lit("}")).alias("value"))
+    return _joined(entries.select(value.substr(F.lit(2), F.length(value) - 2)), ENTRIES_PER_OBJECT, "{", "}")
 
 
 @query(
@@ -252,12 +260,6 @@ def write_tm(spark, sf_dir):
     return files.read_tm(spark, path)
 
 
-def _written_audits(spark, sf_dir, records_per_file=0):
-    folder = scratch_path(spark, "audits")
-    files.write_audit(audit_queries.audit_records(spark, sf_dir), f"{folder}/run-base", records_per_file)
-    return f"{folder}/run-*"
-
-
 @query(
     "write_audit",
     q.using(
@@ -268,7 +270,9 @@ def _written_audits(spark, sf_dir, records_per_file=0):
     ),
 )
 def write_audit(spark, sf_dir):
-    return files.read_run_audit_lines(spark, _written_audits(spark, sf_dir), run_rx=r"run-([^/]+)/").select(
+    folder = scratch_path(spark, "audits")
+    files.write_audit(audit_queries.audit_records(spark, sf_dir), f"{folder}/run-base")
+    return files.read_run_audit_lines(spark, f"{folder}/run-*", run_rx=r"run-([^/]+)/").select(
         "run_id", "deck_id", "unique_strings", "jp_chars_before", "jp_chars_after",
         audit_queries.map_text("per_slide_before").alias("before"),
     )
@@ -279,8 +283,11 @@ def write_audit(spark, sf_dir):
     q.using("SELECT 'base' AS run_id, deck_id, part_name, n_before, n_after FROM by_slide", audit_queries._TOTALS),
 )
 def read_run_audits(spark, sf_dir):
-    """One record per file, as a run leaves it."""
-    return files.slides_of_audits(files.read_run_audits(spark, _written_audits(spark, sf_dir, records_per_file=1)))
+    """Files of an array of records each; the reader takes a file of one record, as a run leaves it, as well."""
+    folder = scratch_path(spark, "audits")
+    records = audit_queries.audit_records(spark, sf_dir).select(F.to_json(F.struct("*")))
+    _joined(records, RECORDS_PER_ARRAY, "[", "]").write.option("maxRecordsPerFile", 1).text(f"{folder}/run-base")
+    return files.slides_of_audits(files.read_run_audits(spark, f"{folder}/run-*"))
 
 
 @query(

@@ -129,7 +129,7 @@ def write_audit(audits: DataFrame, path: str, records_per_file: int = 0) -> None
 
 
 def read_run_audits(spark: SparkSession, glob: str, run_rx: str = r"run-([^/]+?)(?:-artifacts)?/") -> DataFrame:
-    """Audit records of many runs, one record per file, which may spread over lines; the run id comes from the path."""
+    """Audit records of many runs, the run id from the path. A file holds one record or an array of records, over any lines."""
     fields = schemas.RUN_AUDIT
     multi = spark.read.schema(fields).json(glob, multiLine=True)
     return multi.select(F.regexp_extract(F.input_file_name(), run_rx, 1).alias("run_id"), "*")

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -67,6 +68,39 @@ def test_suffix_array_dedup(frame, odd_rows, collect, sizes):
     assert got == sorted(expected, key=repr)
 
 
+class _Unlaid:
+    """In the place of a DataFrame: hands ``decided`` its own worker function back."""
+
+    def repartition(self, *_):
+        return self
+
+    sortWithinPartitions = repartition
+
+    def mapInArrow(self, function, _):
+        return function
+
+
+@pytest.mark.parametrize("keys", [[1] * 3000, list(range(300)), [1] * 7 + [2] * 2500 + [3] * 10 + [4] * 483])
+def test_nodes_of_a_minimizer_meet_over_batches(monkeypatch, keys):
+    r = np.random.default_rng(2)
+    h, node = np.array(keys), r.integers(0, len(keys) // 2, len(keys))
+    order = np.lexsort((node, h))
+    whole = [h[order], node[order], np.arange(len(h)), (r.integers(0, 400, len(h)) << 9 | 5) << 2 | r.integers(0, 3, len(h))]
+    names = ["h", "node", "_id", "x"]
+    rows = pa.RecordBatch.from_arrays([pa.array(c) for c in whole], names)
+    batches = [b for a in range(0, len(h), 10) for b in (rows.slice(a, 10), rows.slice(a, 0))]
+    joined, concatenate = [], np.concatenate
+    monkeypatch.setattr(suffixes, "_decide", lambda *c: pa.RecordBatch.from_arrays([pa.array(x) for x in c[:4]], names))
+    monkeypatch.setattr(np, "concatenate", lambda parts, *a, **b: joined.append(sum(map(len, parts))) or concatenate(parts, *a, **b))
+    out = list(suffixes.decided(_Unlaid(), 1)(iter(batches)))
+    monkeypatch.undo()
+    for i, column in enumerate(whole):
+        assert concatenate([b.column(i).to_numpy() for b in out]).tolist() == column.tolist()
+    found = [set(b.column(0).to_pylist()) for b in out]
+    assert all(not a & b for a, b in zip(found, found[1:]))  # no minimizer is cut in two
+    assert sum(joined) <= 2 * sum(map(len, whole))  # and none is put together again with every batch
+
+
 def test_suffix_array_sorts_to_its_depth():
     r = np.random.default_rng(1)
     text = np.concatenate([r.integers(97, 99, 600).astype(np.uint8)] * 2 + [np.zeros(40, np.uint8)])

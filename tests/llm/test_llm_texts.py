@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from twinscript.llm import licenses, mixing, packing, quality, simhash, substrings, suffixes, tables, toxicity
+from twinscript.llm import licenses, mixing, packing, quality, repeats, simhash, substrings, suffixes, tables, toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -532,3 +532,44 @@ def test_repeats_of_one_line_are_no_license(frame):
     assert got[1]["labels"] == "" and got[1]["score"] < 0.3 and got[4]["labels"] == ""
     assert "apache" in got[2]["labels"] and got[2]["score"] == 1.0
     assert got[5]["base_labels"] == "mit" and got[6]["n_base"] == 0
+
+
+def test_keep_good_measures_texts_once(frame, odd_rows, monkeypatch):
+    plans = []
+    for name in ("staged", "staged_texts"):
+        real = getattr(quality, name)
+        monkeypatch.setattr(quality, name, lambda df, *a, real=real, **b: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, *a, **b))
+    kept = quality.keep_good(frame([row for row in odd_rows if row[2] in quality.COMMON_WORDS]))
+    assert sum("xxhash64(_w" in p for p in plans) == 1
+    # The references read figures only, not the rows beside them; nor does the verdict measure again.
+    assert len(plans) == 3 and not any("_row" in p for p in plans[1:])
+    assert "xxhash64(_w" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rolling_shingles_are_those_of_the_texts(odd_rows):
+    texts = [t or "" for _, t, _, _ in odd_rows] + ["A b\u00c9 c D e f", "a b\u00c9 C d e\x0bF", "a b\u00e9 c d e f", "\u00a0 a", "one\x85two"]
+    hashes, sizes = simhash._shingle_hashes(texts, 5)
+    rolling, same_sizes = simhash._rolling_hashes(texts, 5, repeats.Powers())
+    assert sizes.tolist() == same_sizes.tolist()
+    # Equal shingles have equal hashes, others differ.
+    first = lambda h: np.unique(h, return_index=True)[1][np.unique(h, return_inverse=True)[1]]
+    assert first(hashes).tolist() == first(rolling).tolist()
+
+
+@pytest.mark.parametrize("edges, rounds", [([], 0), ([(5, 1), (1, 9), (3, 2)], 0), ([(2, 1), (3, 2)], 1)])
+def test_components_stop_when_stars_are_left(spark, monkeypatch, edges, rounds):
+    calls = []
+    monkeypatch.setattr(simhash, "staged", lambda df, *a, real=simhash.staged: calls.append(1) or real(df, *a))
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {0: {}, 3: {1: 1, 5: 1, 9: 1, 2: 2, 3: 2}, 2: {1: 1, 2: 1, 3: 1}}[len(edges)]
+    assert len(calls) == 2 + 2 * rounds
+
+
+def test_only_texts_with_repeats_are_cut_again(frame, odd_rows):
+    docs = frame(odd_rows)
+    results = {r["_key"]: r for r in substrings.deduplicated_texts(docs).collect()}
+    fewer = substrings.deduplicated_texts(docs, repeats_only=True).collect()
+    assert all(r == results[r["_key"]] for r in fewer) and len(fewer) < len(results) / 2
+    assert {r["_key"] for r in fewer} >= {k for k, r in results.items() if r["n_removed"]}
+    plan = substrings.without_repeats(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"MapInArrow remove.*\n\W+Filter.*copies.* > 1|MapInArrow remove.*\n\W+Project.*\n\W+Filter.*copies.* > 1", plan)

@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinscript.llm.packing import blocks
-from twinscript.llm.repeats import mix, offsets_of
+from twinscript.llm.repeats import Powers, Rolling, mix, offsets_of
+from twinscript.llm.substrings import words_of
 from twinscript.llm.tables import content_key, drop_stage, staged, text_of
 from twinscript.operators.joins import join_hot
 
@@ -69,8 +70,9 @@ def _majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     for at in range(0, len(hashes), 1 << 18):
         part, whose = hashes[at : at + (1 << 18)], owner[at : at + (1 << 18)]
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(whose)) + 1])
-        np.add.at(votes, whose[cuts], np.add.reduceat(bits, cuts, axis=0, dtype=np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(whose)) + 1).tolist(), len(part)]
+        for a, b in zip(cuts, cuts[1:]):
+            votes[whose[a]] += bits[a:b].sum(0, dtype=np.int64)
     majority = (2 * votes > sizes[full][:, None]).astype(np.uint8)
     out[full] = np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
@@ -214,16 +216,22 @@ def by_blocks(prints: DataFrame) -> DataFrame:
     return prints.select("_fp").distinct().select(F.explode(keys).alias("_key"), F.col("_fp").alias("_node"), "_fp")
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node ``a`` has one ``b`` and no ``b`` is an ``a`` itself: then no round changes anything."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("_up"), F.lit(0).alias("_top"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("_up"), F.lit(1).alias("_top")))
+    return ends.groupBy("x").agg(F.sum("_up").alias("_ups"), F.max("_top").alias("_top")).filter("_ups > 0 AND _ups + _top > 1").isEmpty()
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``node`` and its ``root``, the smallest node reachable, for every node with a link.
 
-    Rounds of large-star and small-star over joins until nothing changes; a node only ever
+    Rounds of large-star and small-star over joins until only stars are left; a node only ever
     points to smaller ones, so a chain shortens by more than half in a pair of rounds.
     """
     spans = lambda e: e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     edges = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    before = None
-    while True:
+    while not _is_stars(edges):
         # Large star: every larger neighbour points to the smallest one around.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -235,12 +243,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         moved = join_hot(large, lowest, "a").select(F.explode(F.array("a", "b")).alias("x"), "m")
         edges = staged(moved.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), label)
         drop_stage(large)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
-        if state == before or state[0] == 0:
-            rooted = staged(spans(edges), label)
-            drop_stage(edges)
-            return rooted
-        before = state
+    rooted = staged(spans(edges), label)
+    drop_stage(edges)
+    return rooted
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, widest: int = WIDEST) -> DataFrame:
@@ -290,11 +295,21 @@ def _bands(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _rolling_hashes(texts: list[str], shingle: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_shingle_hashes`` returns, by another hash that needs one pass over all bytes and one over all words."""
+    words = words_of(texts, powers, lower=True)
+    count = np.diff(words.first)
+    sizes = np.where(count > 0, np.maximum(1, count - shingle + 1), 0)
+    owner = np.repeat(np.arange(len(count)), sizes)
+    start = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner] + words.first[owner]
+    stop = np.minimum(start + shingle, words.first[owner + 1])
+    return Rolling(words.hashes, powers).of(start, stop), sizes
+
+
 def _distinct(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's hashes once, in ascending order, and their number."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
+    hashes = np.concatenate([np.sort(part) for part in np.split(hashes, np.cumsum(sizes)[:-1])])
     once = np.ones(len(hashes), bool)
     once[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
     return hashes[once], np.bincount(owner[once], minlength=len(sizes)).astype(np.int64)
@@ -306,10 +321,11 @@ def _wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def hash_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for lo, hi in blocks(texts, 2_000_000):
-                hashes, sizes = _distinct(*_shingle_hashes(texts[lo:hi], shingle))
+            for lo, hi in blocks(texts):
+                hashes, sizes = _distinct(*_rolling_hashes(texts[lo:hi], shingle, powers))
                 wide = [_majority(hashes if i == 0 else mix(hashes ^ np.uint64(i * 0x9E3779B97F4A7C15 % 2**64)), sizes) for i in range(LANES)]
                 keys = _bands(hashes, sizes).view(np.int64)
                 sets = np.split(hashes, np.cumsum(sizes)[:-1])
@@ -326,10 +342,11 @@ def _shingle_sets(docs: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame
     """``_cluster``, ``_node`` and its distinct shingle hashes, from the rows of ``docs`` that ``firsts`` (``_id, _node, _cluster``) names."""
 
     def hash_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for lo, hi in blocks(texts, 2_000_000):
-                hashes, sizes = _distinct(*_shingle_hashes(texts[lo:hi], shingle))
+            for lo, hi in blocks(texts):
+                hashes, sizes = _distinct(*_rolling_hashes(texts[lo:hi], shingle, powers))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
                 sets = pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), sets], ["_cluster", "_node", "_set"])

@@ -187,7 +187,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     struct = docs.select(F.struct(*docs.columns).alias("_row"), "text")
     joined = _with_results(struct, results, "n_words", "n_removed", "kept", how="left")
     # A text without a result loses nothing: it stays if it has a word at all.
-    rows = joined.filter(F.coalesce(F.col("n_words") > F.col("n_removed"), text_of().rlike("[^\\x20\\x09-\\x0D]")))
+    rows = joined.filter(F.coalesce(F.col("n_words") > F.col("n_removed"), text_of("_row.text").rlike("[^\\x20\\x09-\\x0D]")))
     columns = [F.coalesce("kept", F.col("_row.text")).alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
     return rows.select(*columns)
 
